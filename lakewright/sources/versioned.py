@@ -22,15 +22,20 @@ class VersionedTable:
     def _pointer(self) -> str:
         return f"{self.base}/pointer"
 
+    @classmethod
+    def create(cls, spark: SparkSession, base: str) -> VersionedTable:
+        """A new table under a path of its own, without a version yet."""
+        table = cls(spark, base)
+        table._point_to(0)
+        return table
+
+    def _point_to(self, version: int) -> None:
+        row = self.spark.range(1).select(F.lit(version).cast("long").alias("version"))
+        row.write.mode("append").parquet(self._pointer)
+
     def version(self) -> int:
         """Number of the current version, 0 if there is none."""
-        try:
-            found = self.spark.read.schema("version long").parquet(self._pointer).agg(F.max("version")).first()[0]
-        except Exception as error:
-            if "PATH_NOT_FOUND" in str(error):
-                return 0
-            raise
-        return found or 0
+        return self.spark.read.schema("version long").parquet(self._pointer).agg(F.max("version")).first()[0]
 
     def read(self) -> DataFrame:
         current = self.version()
@@ -45,7 +50,7 @@ class VersionedTable:
         observed = df.observe(counted, F.count(F.lit(1)).alias("rows"))
         writer = observed.write.mode("overwrite").option("compression", "zstd")
         (writer.partitionBy(*partition_by) if partition_by else writer).parquet(f"{self.base}/v{after}")
-        self.spark.range(1).select(F.lit(after).cast("long").alias("version")).write.mode("append").parquet(self._pointer)
+        self._point_to(after)
         return counted.get["rows"]
 
     def _rewrite(self, df: DataFrame, changed: Column) -> int:

@@ -12,7 +12,10 @@ def _aggregates(value: str) -> list[Column]:
 
 
 def _bounded(df: DataFrame, ts: str, watermark: str | None) -> DataFrame:
-    return df.withWatermark(ts, watermark) if watermark and df.isStreaming else df
+    """Late-data bound for a stream; event time must be a timestamp with the session's zone."""
+    if not (watermark and df.isStreaming):
+        return df
+    return df.withColumn(ts, F.col(ts).cast("timestamp")).withWatermark(ts, watermark)
 
 
 def sliding(df: DataFrame, ts: str, value: str, size: str, slide: str | None = None, *, overlap: bool = True,
@@ -28,8 +31,9 @@ def sliding(df: DataFrame, ts: str, value: str, size: str, slide: str | None = N
         rows = rows.where(F.col(ts) >= as_of - F.expr(f"2 * INTERVAL {size}"))
     bucket = F.window(ts, size, slide or size) if overlap else F.window(ts, slide or size)
     grouped = rows.groupBy(*keys, bucket.alias("w")).agg(*_aggregates(value))
+    kind = df.schema[ts].dataType
     end = F.col("w.end") if overlap else F.col("w.start") + F.expr(f"INTERVAL {size}")
-    return grouped.select(*keys, F.col("w.start").alias("window_start"), end.alias("window_end"),
+    return grouped.select(*keys, F.col("w.start").cast(kind).alias("window_start"), end.cast(kind).alias("window_end"),
                           "count_values", "sum_values", "avg_values", "min_values", "max_values")
 
 
@@ -52,6 +56,6 @@ def real_time_aggregate(df: DataFrame, keys: list[str], columns: list[str], ts:
     """
     if df.isStreaming:
         grouped = _bounded(df, ts, watermark).groupBy(*keys, F.window(ts, window).alias("w")).agg(*_per_column(columns))
-        return grouped.withColumn("window_start", F.col("w.start")).drop("w")
+        return grouped.withColumn("window_start", F.col("w.start").cast(df.schema[ts].dataType)).drop("w")
     recent = df.where((F.col(ts) >= as_of - F.expr(f"INTERVAL {window}")) & (F.col(ts) < as_of))
     return recent.groupBy(*keys).agg(*_per_column(columns))
