@@ -41,9 +41,12 @@ class Catalog:
         self.entries[name] = entry
         return entry
 
-    def create_sql(self, name: str, signature: str, return_type: str, body: str, **facts) -> Entry:
-        """Register and deploy a function with a SQL expression as its body."""
-        entry = Entry(identifier(name), "sql", return_type, signature=signature, body=body, **facts)
+    def create_sql(self, name: str, signature: str, return_type: str, body: str, language: str = "sql", **facts) -> Entry:
+        """Register and deploy a function with a SQL expression as its body.
+
+        ``language`` records where the body came from; R and Lua bodies are given as expressions.
+        """
+        entry = Entry(identifier(name), language, return_type, signature=signature, body=body, **facts)
         self.spark.sql(f"CREATE OR REPLACE TEMPORARY FUNCTION {name}({signature}) RETURNS {return_type} RETURN {body}")
         self.entries[name] = entry
         return entry

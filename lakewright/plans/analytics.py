@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from lakewright.operators import ml, nearest, stats, timeseries
+from lakewright.operators.percentiles import percentiles
 from lakewright.plans.registry import plan
 from lakewright.plans.workloads import EVENTS_AS_OF, SERVICE_SQL, ntz, service
 from lakewright.sources.tables import scratch_path
@@ -31,6 +32,13 @@ def stat_describe(t):
     return rounded(rounded(rounded(d, 6, "mean", "median", "std_dev", "q1", "q3", "iqr"), 2, "range"), 4, "jarque_bera")
 
 
+@plan("arr_var_quantile", """SELECT event_type, round(var_samp(value), 6) AS variance, round(quantile_cont(value, 0.1), 6) AS q10, round(quantile_cont(value, 0.9), 6) AS q90 FROM events GROUP BY 1""")
+def arr_var_quantile(t):
+    spread = t.events.groupBy("event_type").agg(F.round(F.var_samp("value"), 6).alias("variance"))
+    quantiles = percentiles(t.events, ["event_type"], "value", {"q10": 0.1, "q90": 0.9})
+    return spread.join(rounded(quantiles, 6, "q10", "q90"), "event_type")
+
+
 @plan("stat_regr_slope", """SELECT l_returnflag, round(regr_slope(l_extendedprice, l_quantity), 6) AS slope,
   round(regr_intercept(l_extendedprice, l_quantity), 4) AS intercept, count(*) AS n FROM lineitem GROUP BY 1""")
 def stat_regr_slope(t):

@@ -260,6 +260,12 @@ def pandas_type_map(t):
     return files.frame_types(t.lineitem.select("l_quantity", "l_discount", "l_returnflag", "l_shipdate", "l_orderkey"), split_whole=True)
 
 
+@plan("tbl_column_count", "SELECT count(*) AS row_count, count(nullif(event_type, 'error')) AS filled, count(DISTINCT nullif(event_type, 'error')) AS different FROM events")
+def tbl_column_count(t):
+    column = t.events.select(F.nullif("event_type", F.lit("error")).alias("v"))
+    return column.agg(F.count(F.lit(1)).alias("row_count"), F.count("v").alias("filled"), F.countDistinct("v").alias("different"))
+
+
 # --- federation
 
 def relational(source, columns):
@@ -523,6 +529,28 @@ def udf_create_sql(t):
     return t.orders.select("o_orderkey", F.expr("lw_months_ago(o_orderdate)").alias("months_ago"))
 
 
+@plan("udf_create_r", "SELECT event_id, (value - 5) / 7.0::DOUBLE AS scaled FROM events")
+def udf_create_r(t):
+    catalog = udfs.Catalog(t.spark)
+    catalog.create_sql("lw_scale", "x DOUBLE, center DOUBLE, spread DOUBLE", "DOUBLE", "(x - center) / nullif(spread, 0)", language="r")
+    return t.events.select("event_id", F.expr("lw_scale(value, 5, 7)").alias("scaled"))
+
+
+@plan("udf_create_lua", "SELECT p_partkey, lower(replace(p_name, ' ', '_')) AS snake FROM part")
+def udf_create_lua(t):
+    catalog = udfs.Catalog(t.spark)
+    catalog.create_sql("lw_snake", "x STRING", "STRING", "lower(regexp_replace(x, ' +', '_'))", language="lua")
+    return t.part.select("p_partkey", F.expr("lw_snake(p_name)").alias("snake"))
+
+
+@plan("udf_drop", "SELECT true AS dropped, 0 AS left_in_catalog, count(*) AS n FROM orders")
+def udf_drop(t):
+    catalog = udfs.Catalog(t.spark)
+    catalog.create_sql("lw_gone", "x DOUBLE", "DOUBLE", "x + 1")
+    dropped = catalog.drop("lw_gone")
+    return t.orders.agg(F.lit(dropped).alias("dropped"), F.lit(len(catalog.entries)).alias("left_in_catalog"), F.count(F.lit(1)).alias("n"))
+
+
 @plan("udf_catalog_view", f"""SELECT {SERVICE_SQL} AS name, count(*) FILTER (event_type = 'signup') AS example_count, count(*) FILTER (event_type <> 'signup') AS execution_count,
   round(avg(value) FILTER (event_type <> 'signup'), 6) AS avg_execution_time FROM events GROUP BY 1""")
 def udf_catalog_view(t):
