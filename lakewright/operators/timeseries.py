@@ -15,6 +15,8 @@ from lakewright.operators.windows import affine_scan, numbered, shifted
 def exponential_smoothing(df: DataFrame, keys: list[str], order: list[str], value: str, alpha: float = 0.3,
                           name: str = "smoothed", chunks: int | None = None) -> DataFrame:
     """s[1] = x[1], s[n] = alpha * x[n] + (1 - alpha) * s[n-1] per series, for series of any length."""
+    if not 0 < alpha <= 1:
+        raise ValueError("alpha must be above 0 and at most 1")
     placed = numbered(df, keys, order, "_seq", chunks)
     push = F.when(F.col("_seq") == 1, F.col(value)).otherwise(F.col(value) * alpha).cast("double")
     return affine_scan(placed.withColumn("_push", push), keys, "_seq", "_push", 1.0 - alpha, name).drop("_seq", "_push")

@@ -236,10 +236,10 @@ def affine_scan(df: DataFrame, keys: list[str], seq: str, value: str, q: float,
         *keys, (F.col("_block") + 1).alias("_bseq"), F.col("_y").alias("_end"))
     jump = q ** length
     if jump < 1e-30:
-        carried = ends.withColumnRenamed("_end", "_carry")
+        carried = ends
     else:
-        carried = affine_scan(ends, keys, "_bseq", "_end", jump, "_carry").select(*keys, "_bseq", "_carry")
-    carried = carried.withColumnRenamed("_bseq", "_block")
+        carried = affine_scan(ends, keys, "_bseq", "_end", jump, "_solved").drop("_end").withColumnRenamed("_solved", "_end")
+    carried = carried.select(*keys, F.col("_bseq").alias("_block"), F.col("_end").alias("_carry"))
     return (match(local, carried, [*keys, "_block"], "left")
             .withColumn(name, F.col("_y") + power * F.coalesce("_carry", F.lit(0.0)))
             .drop("_block", "_at", "_y", "_carry"))
