@@ -194,7 +194,7 @@ def stat_tests_doc(t):
     return rows[0].unionByName(rows[1]).unionByName(rows[2])
 
 
-@plan("vec_l2_topk", """WITH q AS (SELECT label AS query_id, arg_min(embedding, vec_id) AS query FROM embeddings GROUP BY 1)
+@plan("vec_l2_topk", """WITH q AS (SELECT label::BIGINT AS query_id, arg_min(embedding, vec_id) AS query FROM embeddings GROUP BY 1)
 SELECT query_id, rank::INT AS rank, vec_id AS neighbor, round(d, 6) AS distance FROM (
   SELECT query_id, vec_id, list_distance(embedding::DOUBLE[], query::DOUBLE[]) AS d,
     row_number() OVER (PARTITION BY query_id ORDER BY list_distance(embedding::DOUBLE[], query::DOUBLE[]), vec_id) AS rank FROM embeddings, q) WHERE rank <= 10""")

@@ -176,7 +176,7 @@ def shipped(t):
     return t.lineitem.join(t.orders, C("l_orderkey") == C("o_orderkey"))
 
 
-@plan("dt_days_between", f"""SELECT date_diff('day', o_orderdate, l_shipdate) AS days, -date_diff('day', o_orderdate, l_shipdate) AS helper_days,
+@plan("dt_days_between", f"""SELECT date_diff('day', o_orderdate, l_shipdate)::INT AS days, (-date_diff('day', o_orderdate, l_shipdate))::INT AS helper_days,
   count(*) AS n FROM {LINES} GROUP BY 1, 2""")
 def dt_days_between(t):
     o, s = F.to_date("o_orderdate"), F.to_date("l_shipdate")
@@ -276,7 +276,7 @@ def dt_format(t):
     return t.events.select("event_id", dates.format_date(C("ts"), "DD.MM.YYYY HH24:MI").alias("label"))
 
 
-@plan("dt_now_today", """SELECT event_id, TIMESTAMP '2024-01-31' AS as_of, date_diff('day', ts, TIMESTAMP '2024-01-31') AS age_days FROM events""")
+@plan("dt_now_today", """SELECT event_id, TIMESTAMP '2024-01-31' AS as_of, date_diff('day', ts, TIMESTAMP '2024-01-31')::INT AS age_days FROM events""")
 def dt_now_today(t):
     as_of = ntz("2024-01-31")
     return t.events.select("event_id", as_of.alias("as_of"), F.datediff(as_of, "ts").alias("age_days"))
@@ -338,7 +338,7 @@ def str_left_right(t):
     return t.customer.select("c_custkey", strings.left(C("c_name"), 8).alias("l"), strings.right(C("c_name"), 4).alias("r"))
 
 
-@plan("str_length", "SELECT doc_id, length(text) AS chars FROM documents")
+@plan("str_length", "SELECT doc_id, length(text)::INT AS chars FROM documents")
 def str_length(t):
     return t.documents.select("doc_id", F.char_length("text").alias("chars"))
 
@@ -503,7 +503,7 @@ def arr_stats(t):
 
 # --- arrays
 
-@plan("arr_unnest", "SELECT vec_id, generate_subscripts(embedding, 1) - 1 AS at, unnest(embedding)::DOUBLE AS x FROM embeddings")
+@plan("arr_unnest", "SELECT vec_id, (generate_subscripts(embedding, 1) - 1)::INT AS at, unnest(embedding)::DOUBLE AS x FROM embeddings")
 def arr_unnest(t):
     return t.embeddings.select("vec_id", F.posexplode("embedding").alias("at", "x")).withColumn("x", C("x").cast("double"))
 

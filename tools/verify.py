@@ -33,12 +33,20 @@ def norm(v):
     if isinstance(v, float):
         if math.isnan(v):
             return "nan"
-        return v if v != 0 else 0.0
+        return "-0.0" if v == 0 and math.copysign(1, v) < 0 else v
     if isinstance(v, (dt.datetime, int, str)):
         return v
     return f"UNSAFE<{type(v).__name__}>{v}"
 
 
+def compatible(ours: str, theirs: str) -> bool:
+    """Whether a Spark and a DuckDB column become the same kind of value in pandas."""
+    if theirs.startswith("DECIMAL") or theirs.endswith("[]"):
+        return False
+    return {"bigint": {"BIGINT"}, "int": {"INTEGER"}, "double": {"DOUBLE"}, "string": {"VARCHAR"}, "boolean": {"BOOLEAN"},
+            "timestamp_ntz": {"TIMESTAMP"}}.get(ours, set()) >= {theirs}
+
+
 def compare(spark, folder, key, plan, con):
     begin = time.time()
     df = plan(spark, folder)
@@ -46,6 +54,10 @@ def compare(spark, folder, key, plan, con):
     took = time.time() - begin
     if plan.sql is None:
         return f"rows-only {len(rows)}", took, None
+    kinds = {r[0]: r[1] for r in con.execute(f"DESCRIBE {plan.sql}").fetchall()}
+    mixed = [f"{c}:{k}/{kinds.get(c)}" for c, k in df.dtypes if not compatible(k, kinds.get(c, ""))]
+    if mixed:
+        return f"TYPES {mixed}", took, False
     cur = con.execute(plan.sql)
     names = [d[0] for d in cur.description]
     want = cur.fetchall()
