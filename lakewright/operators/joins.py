@@ -9,12 +9,14 @@ from lakewright.operators.windows import latest_per_key, match
 from lakewright.sources.tables import durable
 
 SMALL_ROWS = 1_000_000
+SMALL_BYTES = 100 * 1024 * 1024
 
 
-def broadcast_if_small(df: DataFrame, max_rows: int = SMALL_ROWS) -> DataFrame:
-    """Mark for broadcast only after a bounded look has shown at most ``max_rows`` rows."""
-    seen = df.select(F.lit(1)).limit(max_rows + 1).count()
-    return F.broadcast(df) if seen <= max_rows else df
+def broadcast_if_small(df: DataFrame, max_rows: int = SMALL_ROWS, max_bytes: int = SMALL_BYTES) -> DataFrame:
+    """Mark for broadcast only after a bounded look has shown few rows of little text; else join as usual."""
+    seen = df.limit(max_rows + 1).agg(F.count(F.lit(1)).alias("rows"),
+                                      F.sum(F.length(F.to_json(F.struct("*")))).alias("bytes")).first()
+    return F.broadcast(df) if seen.rows <= max_rows and (seen.bytes or 0) <= max_bytes else df
 
 
 def not_in(left: DataFrame, column: str, values: DataFrame, value: str) -> DataFrame:

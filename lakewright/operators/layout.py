@@ -106,15 +106,14 @@ def partition_report(spark: SparkSession, path: str, column: str) -> DataFrame:
 
 def size_breakdown(spark: SparkSession, tables: dict[str, str]) -> DataFrame:
     """Rows and bytes of stored tables, largest first."""
-    parts = []
+    out = None
     for name, path in tables.items():
-        rows = spark.read.parquet(path).agg(F.count(F.lit(1)).alias("row_count"))
-        size = file_sizes(spark, path).agg(F.sum("length").alias("bytes"))
-        parts.append(rows.join(size).select(F.lit(name).alias("table_name"), "row_count", "bytes"))
-    out = parts[0]
-    for one in parts[1:]:
-        out = out.unionByName(one)
-    return out.orderBy(F.desc("bytes"), "table_name")
+        rows = spark.read.parquet(path).agg(F.count(F.lit(1)).alias("row_count"), F.lit(0).cast("long").alias("bytes"))
+        size = file_sizes(spark, path).agg(F.lit(0).cast("long").alias("row_count"), F.sum("length").alias("bytes"))
+        facts = rows.unionByName(size).select(F.lit(name).alias("table_name"), "row_count", "bytes")
+        out = facts if out is None else out.unionByName(facts)
+    return (out.groupBy("table_name").agg(F.sum("row_count").alias("row_count"), F.sum("bytes").alias("bytes"))
+            .orderBy(F.desc("bytes"), "table_name"))
 
 
 def maintain(tables: dict[str, tuple[DataFrame, str]], as_of: Column, keep_months: int, archive_months: int,
@@ -216,7 +215,9 @@ def format_sizes(df: DataFrame, base: str) -> DataFrame:
     spark = df.sparkSession
     df.write.mode("overwrite").option("compression", "zstd").parquet(f"{base}/columns")
     df.write.mode("overwrite").json(f"{base}/rows")
-    columns = file_sizes(spark, f"{base}/columns").agg(F.sum("length").alias("column_bytes"))
-    rows = (spark.read.format("binaryFile").option("pathGlobFilter", "*.json").load(f"{base}/rows")
-            .agg(F.sum("length").alias("row_bytes")))
-    return columns.join(rows).withColumn("ratio", F.col("row_bytes") / F.col("column_bytes"))
+    files = (spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", "*.{parquet,json}")
+             .load(base).select("length", F.col("path").endswith(".json").alias("as_rows")))
+    return files.agg(
+        F.sum(F.when(~F.col("as_rows"), F.col("length"))).alias("column_bytes"),
+        F.sum(F.when(F.col("as_rows"), F.col("length"))).alias("row_bytes")).withColumn(
+        "ratio", F.col("row_bytes") / F.col("column_bytes"))

@@ -11,20 +11,30 @@ from pyspark.sql import functions as F
 
 from lakewright.operators.windows import top_per_key
 
-MAX_QUERIES = 10_000
+SLICE = 10_000
 
 
-def l2_topk(vectors: DataFrame, key: str, vector: str, queries: DataFrame, k: int) -> DataFrame:
+def l2_topk(vectors: DataFrame, key: str, vector: str, queries: DataFrame, k: int, slice_size: int = SLICE) -> DataFrame:
     """The ``k`` vectors nearest to each query (query_id, query) by Euclidean distance, exactly.
 
-    The query set is checked to be small. Each task keeps the best ``k`` of its
-    batch per query, so only those meet in the shuffle.
+    Queries travel to the tasks in slices of bounded size, one pass over the
+    vectors each; a large query set takes more passes. Each task keeps the best
+    ``k`` of its batch per query, so only those meet in the shuffle.
     """
-    asked = queries.select("query_id", "query").limit(MAX_QUERIES + 1).collect()
-    if len(asked) > MAX_QUERIES:
-        raise ValueError(f"more than {MAX_QUERIES} query vectors: search them in parts")
-    if not asked:
-        return vectors.sparkSession.createDataFrame([], "query_id long, rank int, neighbor long, distance double")
+    slices = -(-queries.count() // slice_size)
+    out = None
+    for i in range(slices):
+        part = queries.where(F.pmod(F.xxhash64("query_id"), F.lit(slices)) == i).select("query_id", "query").collect()
+        if not part:
+            continue
+        found = _slice_topk(vectors, key, vector, part, k)
+        out = found if out is None else out.unionByName(found)
+    if out is None:
+        return vectors.sparkSession.createDataFrame([], "query_id long, neighbor long, distance double, rank int")
+    return out
+
+
+def _slice_topk(vectors: DataFrame, key: str, vector: str, asked: list, k: int) -> DataFrame:
     ids = [r[0] for r in asked]
     matrix = np.array([r[1] for r in asked], dtype=np.float64)
 

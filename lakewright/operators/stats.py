@@ -109,9 +109,8 @@ def chi_square(df: DataFrame, a: str, b: str) -> DataFrame:
     cells = df.groupBy(a, b).agg(F.count(F.lit(1)).alias("o"))
     rows = cells.groupBy(a).agg(F.sum("o").alias("r"))
     cols = cells.groupBy(b).agg(F.sum("o").alias("c"))
-    totals = cells.agg(F.sum("o").alias("_n"), F.countDistinct(a).alias("_ra"), F.countDistinct(b).alias("_cb"))
+    n = F.sum("o")
     # Sum over all cells of (o - e)^2 / e equals n * sum(o^2 / (r * c)) - n; empty cells add nothing.
-    part = (match(match(cells, rows, [a]), cols, [b])
-            .agg(F.sum(F.col("o") * F.col("o") / (F.col("r") * F.col("c"))).alias("_s")))
-    return part.join(totals).select((F.col("_n") * F.col("_s") - F.col("_n")).alias("statistic"),
-                                    ((F.col("_ra") - 1) * (F.col("_cb") - 1)).alias("df"))
+    return match(match(cells, rows, [a]), cols, [b]).agg(
+        (n * F.sum(F.col("o") * F.col("o") / (F.col("r") * F.col("c"))) - n).alias("statistic"),
+        ((F.countDistinct(a) - 1) * (F.countDistinct(b) - 1)).alias("df"))

@@ -149,11 +149,10 @@ def par_hash_split(t):
         F.count(F.lit(1)).alias("n"), F.round(F.sum("l_extendedprice"), 2).alias("total")))
 
 
-@plan("layout_compare", "SELECT 'lineitem' AS table_name, true AS columns_smaller, count(*) AS n FROM lineitem")
+@plan("layout_compare", "SELECT 'lineitem' AS table_name, count(*) > 0 AS columns_smaller FROM lineitem")
 def layout_compare(t):
     sizes = layout.format_sizes(t.lineitem, scratch_path(t.spark, "formats"))
-    return sizes.join(t.lineitem.agg(F.count(F.lit(1)).alias("n"))).select(
-        F.lit("lineitem").alias("table_name"), (C("ratio") > 1).alias("columns_smaller"), "n")
+    return sizes.select(F.lit("lineitem").alias("table_name"), (C("ratio") > 1).alias("columns_smaller"))
 
 
 # --- scans and files

@@ -8,6 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from lakewright.operators import layout, migrate, nearest, stats, timeseries, udfs
+from lakewright.operators.windows import top_per_key
 from lakewright.plans import load_plans
 from lakewright.plans.relational import colocated_orders
 from lakewright.sources import federation, files
@@ -251,6 +252,20 @@ def test_nearest_is_exact(spark, tables):
         want = sorted((float(np.sqrt(((v - vectors[q][1]) ** 2).sum())), i) for i, v in vectors)[:5]
         assert [r.neighbor for r in sorted(got, key=lambda r: r["rank"]) if r.query_id == q] == [i for _, i in want]
     assert nearest.l2_topk(tables.embeddings, "vec_id", "embedding", asked.limit(0), 5).isEmpty()
+    sliced = nearest.l2_topk(tables.embeddings, "vec_id", "embedding", asked, 5, slice_size=1)
+    assert rows(sliced.select("query_id", "rank", "neighbor")) == sorted(((r.query_id, r["rank"], r.neighbor) for r in got), key=repr)
+
+
+def test_top_per_key_limits_before_the_shuffle(tables):
+    text = plan_text(top_per_key(tables.events, ["event_type"], [F.col("value").desc(), F.col("event_id").asc()], 3))
+    assert "WindowGroupLimit" in text
+
+
+def test_broadcast_is_checked(tables):
+    from lakewright.operators.joins import broadcast_if_small
+
+    assert "BroadcastHashJoin" in plan_text(tables.customer.join(broadcast_if_small(tables.nation), F.col("c_nationkey") == F.col("n_nationkey")))
+    assert "ResolvedHint" not in plan_text(broadcast_if_small(tables.orders, max_rows=10))
 
 
 def test_haversine(spark):
