@@ -6,20 +6,24 @@ tells which bins hold the wanted ranks, and only those bins are ordered.
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lakewright.sources.tables import durable
 
 
-def _attach(left: DataFrame, right: DataFrame, keys: list[str], how: str = "inner") -> DataFrame:
-    aliased = right.select(*[F.col(k).alias(f"_r_{k}") for k in keys],
-                           *[c for c in right.columns if c not in keys])
-    condition = reduce(lambda a, b: a & b, [F.col(k).eqNullSafe(F.col(f"_r_{k}")) for k in keys])
-    joined = left.join(aliased, condition, how)
-    return joined.drop(*[f"_r_{k}" for k in keys])
+def _histogram(pool: DataFrame, group: list[str], bins: int, *carried: Column) -> tuple[DataFrame, DataFrame]:
+    """Values with their bin, and per bin the number of values in it and below it."""
+    edges = pool.groupBy(*group).agg(F.min("_v").alias("_lo"), F.max("_v").alias("_hi"), *carried)
+    share = (F.col("_v") - F.col("_lo")) / F.nullif(F.col("_hi") - F.col("_lo"), F.lit(0.0))
+    number = F.least(F.coalesce(F.floor(share * bins), F.lit(0)), F.lit(bins - 1)).cast("int")
+    binned = pool.join(edges, group).withColumn("_bin", number)
+    extra = [c for c in edges.columns if c not in (*group, "_lo", "_hi")]
+    kept = [c for c in ("_rank",) if c in pool.columns]
+    counted = binned.groupBy(*group, "_bin").agg(F.sum("_n").alias("_in"), *[F.first(c).alias(c) for c in (*extra, *kept)])
+    # One row per group and bin is left for the window.
+    upto = Window.partitionBy(*group).orderBy("_bin").rowsBetween(Window.unboundedPreceding, 0)
+    return binned.drop("_lo", "_hi", *extra), counted.withColumn("_below", F.sum("_in").over(upto) - F.col("_in"))
 
 
 def percentiles(df: DataFrame, keys: list[str], value: str, probs: dict[str, float],
@@ -27,45 +31,34 @@ def percentiles(df: DataFrame, keys: list[str], value: str, probs: dict[str, flo
     """One row per group with one column per entry of ``probs``.
 
     Continuous percentiles interpolate between neighbours; discrete ones return
-    the first value whose cumulative share reaches the probability.
+    the first value whose cumulative share reaches the probability. More levels
+    narrow the bins again, for groups whose values crowd into few bins.
     """
-    group = [*keys, "_path"]
+    # As one struct, keys that are null equal each other in joins.
+    group = F.struct(*[F.col(k) for k in keys]) if keys else F.struct(F.lit(0).alias("_all"))
     # The counts feed several steps: written once, all of them see the same values.
     pool = durable(df.where(F.col(value).isNotNull())
-                   .groupBy(*keys, F.col(value).cast("double").alias("_v"))
-                   .agg(F.count(F.lit(1)).alias("_n"))
-                   .withColumn("_path", F.lit(0).cast("long")))
-    position = (F.greatest(F.ceil(F.col("_p") * F.col("_total")) - 1, F.lit(0)).cast("double")
-                if discrete else F.col("_p") * (F.col("_total") - 1))
-    wanted = F.array(*[F.struct(F.lit(name).alias("name"), F.lit(float(p)).alias("p"))
-                       for name, p in probs.items()])
-    targets = (pool.groupBy(*group).agg(F.sum("_n").alias("_total"))
-               .withColumn("_w", F.explode(wanted))
-               .withColumn("_p", F.col("_w.p")).withColumn("_pos", position)
-               .withColumn("_side", F.explode(F.array(F.lit("lo"), F.lit("hi"))))
-               .select(*group, F.col("_w.name").alias("_name"), "_side",
-                       (F.col("_pos") - F.floor("_pos")).alias("_frac"),
-                       F.when(F.col("_side") == "lo", F.floor("_pos"))
-                       .otherwise(F.ceil("_pos")).cast("long").alias("_rank")))
-    for _ in range(levels):
-        edges = pool.groupBy(*group).agg(F.min("_v").alias("_lo"), F.max("_v").alias("_hi"))
-        share = (F.col("_v") - F.col("_lo")) / F.nullif(F.col("_hi") - F.col("_lo"), F.lit(0.0))
-        binned = _attach(pool, edges, group).withColumn(
-            "_bin", F.least(F.coalesce(F.floor(share * bins), F.lit(0)), F.lit(bins - 1)).cast("long"))
-        ordered = Window.partitionBy(*group).orderBy("_bin")
-        histogram = (binned.groupBy(*group, "_bin").agg(F.sum("_n").alias("_in"))
-                     .withColumn("_below", F.sum("_in").over(ordered) - F.col("_in")))
-        targets = (_attach(targets, histogram, group)
-                   .where((F.col("_rank") >= F.col("_below"))
-                          & (F.col("_rank") < F.col("_below") + F.col("_in")))
-                   .withColumn("_path", F.col("_path") * bins + F.col("_bin"))
-                   .withColumn("_rank", F.col("_rank") - F.col("_below"))
-                   .select(*group, "_name", "_side", "_frac", "_rank"))
-        narrowed = binned.select(*keys, (F.col("_path") * bins + F.col("_bin")).alias("_path"), "_v", "_n")
-        pool = _attach(narrowed, targets.select(*group).distinct(), group, "left_semi")
-    inside = Window.partitionBy(*group).orderBy("_v")
-    ranked = pool.withColumn("_end", F.sum("_n").over(inside))
-    found = (_attach(targets, ranked, group)
+                   .groupBy(group.alias("_g"), F.col(value).cast("double").alias("_v"))
+                   .agg(F.count(F.lit(1)).alias("_n")))
+    binned, histogram = _histogram(pool, ["_g"], bins, F.sum("_n").alias("_total"))
+    wanted = F.explode(F.array(*[F.struct(F.lit(name).alias("name"), F.lit(float(p)).alias("p")) for name, p in probs.items()]))
+    position = (F.greatest(F.ceil(F.col("_w.p") * F.col("_total")) - 1, F.lit(0)).cast("double")
+                if discrete else F.col("_w.p") * (F.col("_total") - 1))
+    ranks = F.explode(F.array(F.struct(F.lit("lo").alias("side"), F.floor("_pos").alias("rank")),
+                              F.struct(F.lit("hi").alias("side"), F.ceil("_pos").alias("rank"))))
+    inside = (F.col("_r.rank") >= F.col("_below")) & (F.col("_r.rank") < F.col("_below") + F.col("_in"))
+    hits = (histogram.withColumn("_w", wanted).withColumn("_pos", position).withColumn("_r", ranks).where(inside)
+            .select("_g", "_bin", F.col("_w.name").alias("_name"), F.col("_r.side").alias("_side"),
+                    (F.col("_pos") - F.floor("_pos")).alias("_frac"), (F.col("_r.rank") - F.col("_below")).alias("_rank")))
+    pool = binned.join(hits, ["_g", "_bin"]).drop("_bin")
+    one = ["_g", "_name", "_side"]  # from here on each group looks for a single rank
+    for _ in range(levels - 1):
+        binned, histogram = _histogram(pool, one, bins)
+        hit = histogram.where((F.col("_rank") >= F.col("_below")) & (F.col("_rank") < F.col("_below") + F.col("_in")))
+        pool = (binned.join(hit.select(*one, "_bin", "_below"), [*one, "_bin"])
+                .withColumn("_rank", F.col("_rank") - F.col("_below")).drop("_bin", "_below"))
+    upto = Window.partitionBy(*one).orderBy("_v").rowsBetween(Window.unboundedPreceding, 0)
+    found = (pool.withColumn("_end", F.sum("_n").over(upto))
              .where((F.col("_rank") < F.col("_end")) & (F.col("_rank") >= F.col("_end") - F.col("_n"))))
 
     def pick(name: str, side: str, column: str) -> Column:
@@ -75,4 +68,5 @@ def percentiles(df: DataFrame, keys: list[str], value: str, probs: dict[str, flo
     for name in probs:
         low, high = pick(name, "lo", "_v"), pick(name, "hi", "_v")
         outputs.append((low + (high - low) * pick(name, "lo", "_frac")).alias(name))
-    return found.groupBy(*keys).agg(*outputs)
+    result = found.groupBy("_g").agg(*outputs)
+    return result.select(*[F.col(f"_g.{k}").alias(k) for k in keys], *probs)

@@ -58,8 +58,11 @@ def scratch_path(spark: SparkSession, name: str) -> str:
 
 
 def durable(df: DataFrame) -> DataFrame:
-    """Materialize ``df`` reliably, so later steps see one fixed result even if executors are lost."""
-    spark = df.sparkSession
-    if not spark.sparkContext.getCheckpointDir():
-        spark.sparkContext.setCheckpointDir(shared_folder(spark))
-    return df.checkpoint(eager=True)
+    """Write ``df`` to the shared folder and read it back.
+
+    Later steps see one fixed result even if executors are lost, the work before
+    runs once, and the stored size lets Spark choose the joins that follow.
+    """
+    path = scratch_path(df.sparkSession, "step")
+    df.write.option("compression", "zstd").parquet(path)
+    return df.sparkSession.read.parquet(path)
