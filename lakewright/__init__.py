@@ -1 +1,9 @@
 """lakewright: warehouse analytics operators for PySpark DataFrames and streams."""
+
+import sys
+
+from pyspark import cloudpickle
+
+# Functions of this package travel to the executors by value, so the package
+# does not have to be installed there.
+cloudpickle.register_pickle_by_value(sys.modules[__name__])
