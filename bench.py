@@ -28,7 +28,7 @@ HEADLINE = (
 def main() -> None:
     folder = os.environ.get("BENCH_SF_DIR", "/root/testdata/sf0.1")
     cpus = os.environ.get("BENCH_CPUS", str(os.cpu_count() or 4))
-    runs = int(os.environ.get("BENCH_RUNS", "3"))
+    runs = int(os.environ.get("BENCH_RUNS", "2"))
     plans = load_plans()
     chosen = os.environ.get("BENCH_KEYS")
     keys = list(plans) if chosen == "all" else (chosen.split(",") if chosen else HEADLINE)

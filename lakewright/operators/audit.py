@@ -105,33 +105,37 @@ def compliance_report(activity: DataFrame, security: DataFrame, changes: DataFra
 
 
 WHO = ["user_name", "client_ip"]
+# Name, text and severity of each alert.
+LOGIN_FAILURES = ("MULTIPLE_LOGIN_FAILURES", "Multiple login failures within {span}", "HIGH")
+QUERY_BURST = ("UNUSUAL_QUERY_PATTERN", "High volume of queries in short time", "MEDIUM")
+OFF_HOURS = ("OFF_HOURS_SENSITIVE_ACCESS", "Access to sensitive data outside business hours", "HIGH")
 
 
 def _since(df: DataFrame, ts: str, as_of: Column, span: str) -> DataFrame:
     return df.where((F.col(ts) > as_of - F.expr(f"INTERVAL {span}")) & (F.col(ts) <= as_of))
 
 
-def _alert(rows: DataFrame, kind: str, text: str, severity: str, at_least: int) -> DataFrame:
+def _alert(rows: DataFrame, alert: tuple[str, str, str], span: str, at_least: int) -> DataFrame:
+    kind, text, severity = alert
     return (rows.groupBy(*WHO).agg(F.count(F.lit(1)).alias("event_count")).where(F.col("event_count") >= at_least)
-            .select(F.lit(kind).alias("alert_type"), *WHO, F.lit(text).alias("description"), F.lit(severity).alias("severity"),
+            .select(F.lit(kind).alias("alert_type"), *WHO, F.lit(text.format(span=span.lower())).alias("description"), F.lit(severity).alias("severity"),
                     "event_count"))
 
 
 def login_failures(security: DataFrame, as_of: Column, span: str = "1 HOUR", at_least: int = 5) -> DataFrame:
     failed = _since(security, "occurred_at", as_of, span).where("event_type = 'LOGIN_FAILED'")
-    return _alert(failed, "MULTIPLE_LOGIN_FAILURES", f"Multiple login failures within {span.lower()}", "HIGH", at_least)
+    return _alert(failed, LOGIN_FAILURES, span, at_least)
 
 
 def query_burst(activity: DataFrame, as_of: Column, span: str = "10 MINUTES", more_than: int = 1000) -> DataFrame:
-    return _alert(_since(activity, "logged_at", as_of, span), "UNUSUAL_QUERY_PATTERN",
-                  "High volume of queries in short time", "MEDIUM", more_than + 1)
+    return _alert(_since(activity, "logged_at", as_of, span), QUERY_BURST, span, more_than + 1)
 
 
 def off_hours(activity: DataFrame, as_of: Column, span: str = "1 HOUR") -> DataFrame:
     hour = F.hour("logged_at")
     touched = F.exists("table_names", lambda n: reduce(or_, [n.ilike(f"%{word}%") for word in SENSITIVE]))
     rows = _since(activity, "logged_at", as_of, span).where(((hour < 8) | (hour > 18)) & touched)
-    return _alert(rows, "OFF_HOURS_SENSITIVE_ACCESS", "Access to sensitive data outside business hours", "HIGH", 1)
+    return _alert(rows, OFF_HOURS, span, 1)
 
 
 def failures_per_window(security: DataFrame, span: str, at_least: int) -> DataFrame:

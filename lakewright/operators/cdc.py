@@ -6,8 +6,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from lakewright.functions.validators import identifier
+from lakewright.functions.validators import identifier, identifier_ok
 from lakewright.operators.windows import latest_per_key, match
+from lakewright.sources.versioned import upsert
 
 
 def capture(before: DataFrame, after: DataFrame, keys: list[str], table: str) -> DataFrame:
@@ -44,6 +45,15 @@ def apply(base: DataFrame, log: DataFrame, keys: list[str], order: list[str]) ->
     return match(base, last.select(*keys), keys, "left_anti").unionByName(rows)
 
 
+def enable(config: DataFrame, requests: DataFrame) -> DataFrame:
+    """Configuration with the requested tables (table_name, key_columns) registered.
+
+    A table whose name is not a plain identifier is kept as not enabled.
+    """
+    rows = requests.withColumn("enabled", identifier_ok(F.col("table_name")))
+    return upsert(config, rows, ["table_name"])
+
+
 ENVELOPE = T.StructType([
     T.StructField("op", T.StringType()), T.StructField("before", T.StringType()),
     T.StructField("after", T.StringType()), T.StructField("ts_ms", T.LongType())])

@@ -157,11 +157,16 @@ def choose_key(df: DataFrame, table: str) -> DataFrame:
 
 
 def distribute(df: DataFrame, strategy: str, key: str | None = None, n: int | None = None) -> DataFrame:
-    """Rows laid out by hash or range of a key, kept as they come, or marked as a small reference table."""
+    """Rows laid out by hash or range of a key, kept as they come, or marked as a small reference table.
+
+    ``hash`` keeps each key together; ``balanced`` groups by the key as well but splits large keys.
+    """
     if strategy == "hash":
         return df.repartition(n, key) if n else df.repartition(key)
     if strategy == "range":
         return df.repartitionByRange(n, key) if n else df.repartitionByRange(key)
+    if strategy == "balanced":
+        return df.hint("rebalance", F.col(key))
     if strategy == "reference":
         return broadcast_if_small(df)
     if strategy == "append":
@@ -206,8 +211,11 @@ def rebalance_plan(sizes: DataFrame, threshold: float = 0.2) -> DataFrame:
 
 
 def by_key(df: DataFrame, key: str, n: int, job: Callable[[DataFrame], DataFrame]) -> DataFrame:
-    """Run a per-key job on ``n`` hash parts of the rows; equal to the plain job if it groups by the key."""
-    return job(df.repartition(n, key))
+    """Run a job that aggregates by the key, its result spread over ``n`` hash parts of the key.
+
+    The rows are not moved by key beforehand: partial results are, so a large key costs no more than others.
+    """
+    return job(df).repartition(n, key)
 
 
 def format_sizes(df: DataFrame, base: str) -> DataFrame:

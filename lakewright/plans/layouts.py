@@ -9,13 +9,13 @@ import pandas as pd
 from pyspark.sql import functions as F
 
 
-from lakewright.functions import dates
 from lakewright.operators import layout, migrate, udfs
 from lakewright.plans.registry import plan
 from lakewright.plans.relational import COLOCATED_SQL, colocated_orders
-from lakewright.plans.workloads import EVENTS_AS_OF, K_SQL, SERVICE_SQL, k_of, ntz, service
+from lakewright.plans.workloads import K_SQL, SERVICE_SQL, k_of, ntz, service
 from lakewright.sources import federation, files
 from lakewright.sources.tables import TABLES, scratch_path
+from lakewright.sources.versioned import VersionedTable
 
 C = F.col
 
@@ -321,9 +321,15 @@ def sources_registry(t):
 SOURCES_SQL = """src AS (SELECT *, ['postgres', 'mysql', 'mssql', 'mongodb', 'redis', 'sqlite'][c_custkey % 6 + 1] AS source_type FROM customer)"""
 
 
-@plan("vs_create", f"WITH {SOURCES_SQL} SELECT source_type, count(*) AS sources FROM src GROUP BY 1")
+@plan("vs_create", f"""WITH {SOURCES_SQL} SELECT c_custkey AS source_id, CASE WHEN c_mktsegment = 'BUILDING' THEN 'postgres' ELSE source_type END AS source_type,
+  CASE WHEN c_mktsegment = 'BUILDING' THEN '{{"port":"9999"}}' ELSE '{{}}' END AS options FROM src""")
 def vs_create(t):
-    return sources_registry(t).groupBy("source_type").agg(F.count(F.lit(1)).alias("sources"))
+    # Every source is registered; those of one segment are then registered again with another type.
+    registry = VersionedTable.create(t.spark, scratch_path(t.spark, "sources"))
+    registry.replace(sources_registry(t).select("source_id", "source_type", "options"))
+    moved = registry.read().where(C("options") != "{}").withColumn("source_type", F.lit("postgres"))
+    registry.upsert(moved, ["source_id"])
+    return registry.read()
 
 
 @plan("vs_setup_source", f"""WITH {SOURCES_SQL} SELECT c_custkey AS source_id, source_type, CASE WHEN source_type <> 'sqlite' THEN 'host' || c_nationkey END AS host,

@@ -4,13 +4,12 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from lakewright.functions import dates
 from lakewright.operators import etl, quality, stats
 from lakewright.operators.quality import Check
 from lakewright.plans.registry import plan
-from lakewright.plans.workloads import EVENTS_AS_OF, K_SQL, SERVICE_SQL, k_of, ntz, service
+from lakewright.plans.workloads import K_SQL, SERVICE_SQL, k_of, ntz, service
 from lakewright.sources.tables import scratch_path
-from lakewright.sources.versioned import VersionedTable, insert_ignore, upsert
+from lakewright.sources.versioned import VersionedTable, insert_ignore
 
 C = F.col
 

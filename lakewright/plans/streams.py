@@ -64,12 +64,14 @@ def audit_change_trail(t):
     return cdc.change_trail(change_log(t)[2], ["id"])
 
 
-@plan("cdc_enable", """SELECT 'src.' || source AS table_name, 'doc_id' AS key_columns, count(*) AS rows, true AS enabled FROM documents GROUP BY source""")
+@plan("cdc_enable", """SELECT source AS table_name, 'doc_id' AS key_columns, true AS enabled FROM documents GROUP BY source
+UNION ALL SELECT split_part(url, '/', 3), 'page_id', regexp_matches(split_part(url, '/', 3), '^[a-zA-Z_][a-zA-Z0-9_]*$') FROM pages GROUP BY 1, 3""")
 def cdc_enable(t):
-    # Registration of every source found in the table, with its key and present size.
-    return (t.documents.groupBy("source").agg(F.count(F.lit(1)).alias("rows"))
-            .select(F.concat(F.lit("src."), "source").alias("table_name"), F.lit("doc_id").alias("key_columns"), "rows",
-                    F.lit(True).alias("enabled")))
+    # Document sources are tables with plain names; host names of pages are not and stay off.
+    sources = t.documents.groupBy(C("source").alias("table_name")).agg(F.lit("doc_id").alias("key_columns"))
+    hosts = t.pages.groupBy(F.split_part("url", F.lit("/"), F.lit(3)).alias("table_name")).agg(F.lit("page_id").alias("key_columns"))
+    config = sources.withColumn("enabled", F.lit(False))
+    return cdc.enable(config, sources.unionByName(hosts))
 
 
 @plan("cdc_connector_config", """SELECT event_id, user_id, CASE event_type WHEN 'signup' THEN 'I' WHEN 'view' THEN 'I' WHEN 'purchase' THEN 'U' WHEN 'error' THEN 'D' END AS operation,

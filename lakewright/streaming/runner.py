@@ -56,15 +56,22 @@ def append_versions(stream: DataFrame, key: str, order: list[str], path: str, ch
                     first: DataFrame) -> DataFrame:
     """Give events gapless versions batch by batch; ``first`` is the (possibly empty) store so far.
 
-    A batch numbers its events on from the versions written by earlier batches,
-    so a repeated batch comes to the same versions.
+    A batch numbers its events on from the versions reached by earlier batches,
+    which are kept per batch and key, so a repeated batch comes to the same
+    versions and the stored events are not read again.
     """
     spark = stream.sparkSession
-    first.write.mode("overwrite").parquet(f"{path}/batch_id=-1")
+
+    def keep(events: DataFrame, batch: int) -> None:
+        events.write.mode("overwrite").parquet(f"{path}/events/batch_id={batch}")
+        stored = spark.read.parquet(f"{path}/events/batch_id={batch}")
+        (stored.groupBy(key).agg(F.max("event_version").alias("event_version"))
+         .write.mode("overwrite").parquet(f"{path}/reached/batch_id={batch}"))
 
     def step(df: DataFrame, batch: int) -> None:
-        store = spark.read.parquet(path).where(F.col("batch_id") < batch)
-        append(store, df, key, order).write.mode("overwrite").parquet(f"{path}/batch_id={batch}")
+        reached = spark.read.parquet(f"{path}/reached").where(F.col("batch_id") < batch)
+        keep(append(reached, df, key, order), batch)
 
+    keep(first, -1)
     each_batch(stream, step, checkpoint)
-    return spark.read.parquet(path).drop("batch_id")
+    return spark.read.parquet(f"{path}/events").drop("batch_id")

@@ -6,7 +6,6 @@ import datetime as dt
 import math
 import sys
 import time
-from decimal import Decimal
 from pathlib import Path
 
 import duckdb
