@@ -6,10 +6,12 @@ from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import LogisticRegression, RandomForestClassifier
 from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.functions import vector_to_array
-from pyspark.ml.regression import LinearRegression
+from pyspark.ml.regression import LinearRegression, LinearRegressionModel
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from lakewright.sources.tables import scratch_path
+
 
 def padded_features(array: Column, width: int = 4) -> list[Column]:
     """The first ``width`` entries of an array, missing ones as 0."""
@@ -19,8 +21,11 @@ def padded_features(array: Column, width: int = 4) -> list[Column]:
 def classify(df: DataFrame, features: list[str], label: str, trees: int = 10, seed: int = 42) -> DataFrame:
     """Rows with a random-forest ``prediction``; one forest is trained for the whole table."""
     forest = RandomForestClassifier(featuresCol="_features", labelCol=label, numTrees=trees, seed=seed)
-    model = Pipeline(stages=[VectorAssembler(inputCols=features, outputCol="_features"), forest]).fit(df)
-    scored = model.transform(df)
+    trained = Pipeline(stages=[VectorAssembler(inputCols=features, outputCol="_features"), forest]).fit(df)
+    # A stored model carries no training summary, which would tie the tasks to the session.
+    path = scratch_path(df.sparkSession, "forest")
+    trained.write().save(path)
+    scored = PipelineModel.load(path).transform(df)
     return scored.withColumn("confidence", F.array_max(vector_to_array("probability"))).drop(
         "_features", "rawPrediction", "probability")
 
@@ -44,5 +49,7 @@ def linear_model(df: DataFrame, features: list[str], label: str) -> tuple[DataFr
     model = LinearRegression(featuresCol="_features", labelCol=label, solver="normal").fit(assembled)
     facts = [("intercept", float(model.intercept)), *zip(features, map(float, model.coefficients)),
              ("r2", float(model.summary.r2)), ("rmse", float(model.summary.rootMeanSquaredError))]
-    return (df.sparkSession.createDataFrame(facts, "term string, value double"),
-            model.transform(assembled).drop("_features"))
+    path = scratch_path(df.sparkSession, "line")
+    model.write().save(path)
+    fitted = LinearRegressionModel.load(path).transform(assembled).drop("_features")
+    return df.sparkSession.createDataFrame(facts, "term string, value double"), fitted
