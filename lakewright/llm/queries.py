@@ -69,3 +69,10 @@ def op6(t: Tables) -> DataFrame:
     from lakewright.llm.mixing import mix
 
     return mix(t.documents).select("doc_id", "size", "source_size", "target", "taken")
+
+
+@query("op8_token_counts")
+def op8(t: Tables) -> DataFrame:
+    from lakewright.llm.counting import token_counts
+
+    return token_counts(t.documents, limit=4096)
