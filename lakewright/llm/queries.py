@@ -76,3 +76,11 @@ def op8(t: Tables) -> DataFrame:
     from lakewright.llm.counting import token_counts
 
     return token_counts(t.documents, limit=4096)
+
+
+@query("op2_language")
+def op2(t: Tables) -> DataFrame:
+    from lakewright.llm.language import fit, held_out, identify
+
+    found = identify(t.documents, fit(t.documents))
+    return found.select("doc_id", held_out().alias("held_out"), "lang_pred", "score", "shares")
