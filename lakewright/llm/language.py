@@ -158,7 +158,7 @@ def cut_windows(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.n
     return np.where(np.arange(WINDOW) < length[:, None], windows, 0).astype(np.uint8), length, row
 
 
-def position_probabilities(net: dict[str, np.ndarray], windows: np.ndarray, group: int = 2048) -> Iterator[tuple[slice, np.ndarray]]:
+def position_probabilities(net: dict[str, np.ndarray], windows: np.ndarray, group: int = 1024) -> Iterator[tuple[slice, np.ndarray]]:
     """Probabilities (WINDOW, rows, languages) of every position, for groups of rows."""
     wide = len(net["loop"])
     for begin in range(0, len(windows), group):
