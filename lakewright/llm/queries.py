@@ -84,3 +84,10 @@ def op2(t: Tables) -> DataFrame:
 
     found = identify(t.documents, fit(t.documents))
     return found.select("doc_id", held_out().alias("held_out"), "lang_pred", "score", "shares")
+
+
+@query("op9_quality")
+def op9(t: Tables) -> DataFrame:
+    from lakewright.llm.quality import assess, fit
+
+    return assess(t.documents, fit(t.documents, t.labels))
