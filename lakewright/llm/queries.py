@@ -91,3 +91,28 @@ def op9(t: Tables) -> DataFrame:
     from lakewright.llm.quality import assess, fit
 
     return assess(t.documents, fit(t.documents, t.labels))
+
+
+@query("op4_line_dedup")
+def op4(t: Tables) -> DataFrame:
+    from lakewright.llm.lines import without_repeated_lines
+
+    return without_repeated_lines(t.documents).drop("text")
+
+
+_EXACT_SQL = r"""
+with plain as (
+    select doc_id, length(coalesce(text, '')) as n_chars, sha256(regexp_replace(coalesce(text, ''), '[\x20\x09-\x0D]', '', 'g')) as text_sha256,
+        regexp_replace(coalesce(text, ''), '[\x20\x09-\x0D]', '', 'g') as plain
+    from documents)
+select doc_id, first_value(doc_id) over best as keep_id, count(*) over (partition by plain) as group_size,
+    row_number() over best = 1 as kept, text_sha256
+from plain window best as (partition by plain order by n_chars desc, doc_id nulls last)
+"""
+
+
+@query("op5_exact_dedup", _EXACT_SQL)
+def op5(t: Tables) -> DataFrame:
+    from lakewright.llm.exact import exact_duplicates
+
+    return exact_duplicates(t.documents)
