@@ -116,3 +116,10 @@ def op5(t: Tables) -> DataFrame:
     from lakewright.llm.exact import exact_duplicates
 
     return exact_duplicates(t.documents)
+
+
+@query("op1_sentencepiece")
+def op1(t: Tables) -> DataFrame:
+    from lakewright.llm.sampling import digests
+
+    return digests(t.documents)
