@@ -12,7 +12,7 @@ from lakewright.llm.pieces import Pieces, load_pieces, tokenizer_path
 #: Parts of a text up to this length are kept with their counts; a count then fits into one byte.
 KEPT_LENGTH = 60
 #: Entries of one generation of kept parts; two generations are held.
-KEPT_PARTS = 300_000
+KEPT_PARTS = 500_000
 
 
 class PrefixCounts:
@@ -29,38 +29,61 @@ class PrefixCounts:
 
     def __init__(self, pieces: Pieces):
         self.pieces = pieces
-        self.whole: dict[int, bool] = {}
+        self.history: dict[int, tuple] = {}
         self.apart: dict[int, bool] = {}
         self.young: dict[str, bytes] = {}
         self.old: dict[str, bytes] = {}
 
-    def merged(self, text: str) -> list[str]:
-        """What merging makes of a short text: best score first, leftmost among equals."""
-        ids, score = self.pieces.ids, self.pieces.score
-        parts = list(text)
-        while len(parts) > 1:
-            best, at = None, -1
-            for k in range(len(parts) - 1):
-                i = ids.get(parts[k] + parts[k + 1], -1)
-                if i >= 0 and (best is None or score[i] > best):
-                    best, at = score[i], k
-            if at < 0:
-                break
-            parts[at:at + 2] = [parts[at] + parts[at + 1]]
-        return parts
-
-    def _whole(self, piece: int) -> bool:
-        known = self.whole.get(piece)
+    def _history(self, piece: int) -> tuple[bool, str, str, list[tuple[float, str, str]]]:
+        """How merging makes a piece of its characters: best score first, leftmost among equals.
+
+        Whether it ends in the one piece, the first and last character, and
+        (score, first part, last part) after each merge.
+        """
+        known = self.history.get(piece)
         if known is None:
-            known = self.whole[piece] = len(self.merged(self.pieces.text[piece])) == 1
+            ids, score = self.pieces.ids, self.pieces.score
+            parts = list(self.pieces.text[piece])
+            ends, merges = (parts[0], parts[-1]), []
+            while len(parts) > 1:
+                best, at = None, -1
+                for k in range(len(parts) - 1):
+                    i = ids.get(parts[k] + parts[k + 1], -1)
+                    if i >= 0 and (best is None or score[i] > best):
+                        best, at = score[i], k
+                if at < 0:
+                    break
+                parts[at:at + 2] = [parts[at] + parts[at + 1]]
+                merges.append((best, parts[0], parts[-1]))
+            known = self.history[piece] = (len(parts) == 1, *ends, merges)
         return known
 
-    def _apart(self, left: int, right: int) -> bool:
-        a, b = self.pieces.text[left], self.pieces.text[right]
-        return self.merged(a + b) == [a, b]
-
     def _fits(self, before: int, piece: int) -> bool:
-        return self._whole(piece) and (before < 0 or self._apart(before, piece))
+        """Whether ``piece`` can follow ``before`` (or begin a part, if that is negative).
+
+        The merges of both sides run side by side, the better score first, the
+        left one among equals. They stay apart unless the parts that touch can
+        be merged before the next merge of either side.
+        """
+        right = self._history(piece)
+        if before < 0 or not right[0]:
+            return right[0]
+        left = self._history(before)
+        ids, score = self.pieces.ids, self.pieces.score
+        outer, inner = left[2], right[1]
+        on_left, on_right = iter(left[3]), iter(right[3])
+        none = (float("-inf"), "", "")
+        a, b = next(on_left, none), next(on_right, none)
+        while True:
+            across = ids.get(outer + inner, -1)
+            if across >= 0 and score[across] > a[0] and score[across] >= b[0]:
+                return False
+            if a is none and b is none:
+                return True
+            if a[0] >= b[0]:
+                outer, a = a[2], next(on_left, none)
+            else:
+                inner, b = b[1], next(on_right, none)
 
     def _extend(self, part: str, begin: int, last: list[int], count: list[int]) -> None:
         """Fill last piece and count of the prefixes of ``part`` longer than ``begin``."""
