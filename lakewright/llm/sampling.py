@@ -20,7 +20,7 @@ from lakewright.llm.pieces import SPACE, Pieces, load_pieces, tokenizer_path
 #: Parts up to this length share their filtered positions; longer ones are sampled on their own.
 KEPT_LENGTH = 60
 #: Filtered positions held by a process; beyond, it starts anew.
-KEPT_POSITIONS = 1_000_000
+KEPT_POSITIONS = 2_500_000
 #: A blank mark that a text itself contains; no text in UTF-8 contains this code point.
 _LITERAL = "\udc81"
 _ODD = np.uint64(0x9E3779B97F4A7C15)
@@ -52,11 +52,20 @@ class Lattice:
     def clear(self) -> None:
         self.end_of: dict[str, int] = {}
         # Position 0 is the beginning of every part. Edges of position p: first[p] to first[p + 1].
-        self.first = np.zeros(2, np.int64)
-        self.depth = np.zeros(1, np.int32)
-        self.share = np.zeros(0, np.float32)
-        self.piece = np.zeros(0, np.int32)
-        self.back = np.zeros(0, np.int32)
+        self.positions, self.links = 1, 0
+        self.first = np.zeros(1 << 16, np.int64)
+        self.depth = np.zeros(1 << 16, np.int32)
+        self.share = np.zeros(1 << 17, np.float32)
+        self.piece = np.zeros(1 << 17, np.int32)
+        self.back = np.zeros(1 << 17, np.int32)
+
+    def _room(self, positions: int, links: int) -> None:
+        for name, need in (("first", positions + 1), ("depth", positions), ("share", links), ("piece", links), ("back", links)):
+            held = getattr(self, name)
+            if need > len(held):
+                wider = np.zeros(max(need, len(held) * 3 // 2), held.dtype)
+                wider[:len(held)] = held
+                setattr(self, name, wider)
 
     def edges(self, part: str, end: int, alpha: list[float]) -> tuple[list[float], list[int], list[int]]:
         """Running weights, pieces and beginnings of the pieces that end at ``end``, shortest first."""
@@ -96,9 +105,11 @@ class Lattice:
         new = sorted(p for p in parts if len(p) <= KEPT_LENGTH and p not in self.end_of)
         if not new:
             return
-        at = len(self.depth)
+        get, weight, byte_weight = self.pieces.ids.get, self.weight, self.byte_weight
+        at = self.positions
         alpha, node = [1.0] * (KEPT_LENGTH + 1), [0] * (KEPT_LENGTH + 1)
-        degree, depth, sums, totals, names, backs = [], [], [], [], [], []
+        depth, sums, totals, names, backs, stops = [], [], [], [], [], []
+        add_sum, add_name, add_back = sums.append, names.append, backs.append
         before = ""
         for part in new:
             shared = 0
@@ -108,25 +119,46 @@ class Lattice:
                 shared += 1
             lifted, alpha[0] = False, 1.0
             for end in range(shared + 1, len(part) + 1):
-                s, n, b = self.edges(part, end, alpha)
-                alpha[end], node[end] = s[-1], at
+                # As ``edges`` finds them, without its lists.
+                start = end - 1
+                piece = get(part[start])
+                total = 0.0
+                if piece is None or piece < 0:
+                    raw = self.spelling(part[start])
+                    total = alpha[start] * byte_weight ** len(raw)
+                    add_sum(total)
+                    add_name(self.pieces.byte_id[raw[0]] if len(raw) == 1 else self.pieces.size + ord(part[start]))
+                    add_back(node[start])
+                while piece is not None:
+                    if piece >= 0:
+                        total += alpha[start] * weight[piece]
+                        add_sum(total)
+                        add_name(piece)
+                        add_back(node[start])
+                    if not start:
+                        break
+                    start -= 1
+                    piece = get(part[start:end])
+                alpha[end], node[end] = total, at
                 at += 1
-                degree.append(len(s))
                 depth.append(end)
-                totals.append(s[-1])
-                sums += s
-                names += n
-                backs += [node[k] for k in b]
-                lifted |= self.rescale(alpha, end)
+                totals.append(total)
+                stops.append(len(names))
+                if total < _TINY:
+                    lifted = self.rescale(alpha, end)
             self.end_of[part] = node[len(part)]
             before = "" if lifted else part  # lifted sums fit no other part
+        degree = np.diff(stops, prepend=0)
         share = (np.array(sums) / np.repeat(totals, degree)).astype(np.float32)
-        share[np.cumsum(degree) - 1] = 2  # a draw never runs past the last edge
-        self.share = np.concatenate([self.share, share])
-        self.piece = np.concatenate([self.piece, np.array(names, np.int32)])
-        self.back = np.concatenate([self.back, np.array(backs, np.int32)])
-        self.depth = np.concatenate([self.depth, np.array(depth, np.int32)])
-        self.first = np.concatenate([self.first, self.first[-1] + np.cumsum(degree)])
+        share[np.array(stops) - 1] = 2  # a draw never runs past the last edge
+        positions, links = self.positions, self.links
+        self._room(at, links + len(names))
+        self.depth[positions:at] = depth
+        self.first[positions + 1:at + 1] = links + np.array(stops)
+        self.first[positions] = links
+        for held, values in ((self.share, share), (self.piece, names), (self.back, backs)):
+            held[links:links + len(names)] = values
+        self.positions, self.links = at, links + len(names)
 
     def sample_long(self, part: str, seed: int, offset: int) -> list[int]:
         """One part on its own: the sums are kept, the edges found again on the way back."""
@@ -151,7 +183,7 @@ class Lattice:
     def sample(self, parts: list[list[str]], seeds: np.ndarray) -> list[np.ndarray]:
         """Piece ids of each text, given its parts and its seed."""
         flat = [p for ps in parts for p in ps]
-        if len(self.depth) > KEPT_POSITIONS:
+        if self.positions > KEPT_POSITIONS:
             self.clear()
         self.learn(set(flat))
         sizes = np.fromiter(map(len, flat), np.int64, len(flat))
@@ -160,11 +192,13 @@ class Lattice:
         upto = np.cumsum(sizes)
         begin = np.concatenate([[0], upto])[np.cumsum(per_text) - per_text] if len(parts) else upto
         offset = upto - sizes - begin[text]
-        state = np.fromiter((self.end_of.get(p, 0) for p in flat), np.int64, len(flat))
+        long = np.flatnonzero(sizes > KEPT_LENGTH)
+        ends = self.end_of.__getitem__ if not len(long) else lambda p: self.end_of.get(p, 0)
+        state = np.fromiter(map(ends, flat), np.int64, len(flat))
         live = np.flatnonzero(state)
         taken = []
         count = np.zeros(len(flat), np.int64)
-        longer = {int(k): self.sample_long(flat[k], int(seeds[text[k]]), int(offset[k])) for k in np.flatnonzero(sizes > KEPT_LENGTH)}
+        longer = {int(k): self.sample_long(flat[k], int(seeds[text[k]]), int(offset[k])) for k in long}
         for k, names in longer.items():
             count[k] = len(names)
             taken.append((np.full(len(names), k), np.array(names), np.arange(len(names))))
