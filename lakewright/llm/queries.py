@@ -123,3 +123,10 @@ def op1(t: Tables) -> DataFrame:
     from lakewright.llm.sampling import digests
 
     return digests(t.documents)
+
+
+@query("op10_private_data")
+def op10(t: Tables) -> DataFrame:
+    from lakewright.llm.private import private_spans
+
+    return private_spans(t.documents)
