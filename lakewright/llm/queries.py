@@ -130,3 +130,10 @@ def op10(t: Tables) -> DataFrame:
     from lakewright.llm.private import private_spans
 
     return private_spans(t.documents)
+
+
+@query("op3_near_dedup")
+def op3(t: Tables) -> DataFrame:
+    from lakewright.llm.neardup import near_duplicates
+
+    return near_duplicates(t.documents)
