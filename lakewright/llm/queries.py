@@ -137,3 +137,10 @@ def op3(t: Tables) -> DataFrame:
     from lakewright.llm.neardup import near_duplicates
 
     return near_duplicates(t.documents)
+
+
+@query("op7_suffix_dedup")
+def op7(t: Tables) -> DataFrame:
+    from lakewright.llm.suffixes import without_repeats
+
+    return without_repeats(t.documents).drop("kept")
