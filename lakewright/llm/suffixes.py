@@ -130,7 +130,7 @@ def repeated_windows(order: np.ndarray, places: list, starts: np.ndarray, sizes:
     group = np.cumsum(shared[order] < length)[window]
     segment, inner = segment[window], inner[window]
     if not len(segment):
-        return []
+        return [segment, inner]
     place = np.asarray(places, np.int64)[segment] * (1 << 40) + starts[segment] + inner
     begin = np.flatnonzero(np.concatenate([[True], group[1:] != group[:-1]]))
     least = np.minimum.reduceat(place, begin)
@@ -150,7 +150,7 @@ def _shard(length: int) -> Callable[[pa.Table], pa.Table]:
         sizes = np.array([len(p) for p in pieces])
         starts = table.column("start").to_numpy()
         found = repeated_windows(suffix_array(text), places, starts, sizes, text, length)
-        if not found:
+        if not len(found[0]):
             return pa.table({"d": table.column("d").slice(0, 0), "start": pa.array([], pa.int64()), "n": pa.array([], pa.int32())})
         turn = np.lexsort((found[1], found[0]))
         segment, inner = found[0][turn], found[1][turn]
