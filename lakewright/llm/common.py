@@ -183,3 +183,19 @@ class Steps:
 def word_count(text: str = "text"):
     """Number of words of a text column; null counts as no word."""
     return F.coalesce(F.regexp_count(F.col(text), F.lit(WORD)), F.lit(0)).cast("long")
+
+
+def rows_by_id(documents: DataFrame, id_col: str, chosen: DataFrame) -> DataFrame:
+    """The rows of ``documents`` whose id has a verdict that keeps them, with all their columns.
+
+    ``chosen`` holds (doc_id, keep, single) for ids that need one: those with
+    keep false go, of those with single true one row stays, and ids without a
+    row in it stay as they are. Columns go by position, so names cannot clash.
+    """
+    held = documents.toDF(*[f"c{k}" for k in range(len(documents.columns))])
+    key = f"c{documents.columns.index(id_col)}"
+    verdict = chosen.select(F.col("doc_id").alias("v_id"), F.col("keep").alias("v_keep"), F.col("single").alias("v_single"))
+    marked = held.join(verdict, F.col(key).eqNullSafe(F.col("v_id")), "left")
+    plain = marked.where("v_keep is null or (v_keep and not v_single)").select(*held.columns)
+    one = marked.where("v_keep and v_single").select(*held.columns).dropDuplicates([key])
+    return plain.unionByName(one).toDF(*documents.columns)

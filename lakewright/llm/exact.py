@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lakewright.llm.chunks import DIGEST_BYTES, clashing, digest, distinct_batch
-from lakewright.llm.common import SPACE_BYTES, Steps, mixed, text_step
+from lakewright.llm.common import SPACE_BYTES, Steps, mixed, rows_by_id, text_step
 from lakewright.operators.windows import match
 
 #: A chunk ends where the hash of the last 16 bytes is rare enough, but not before and not long after these sizes.
@@ -119,10 +119,6 @@ def exact_duplicates(documents: DataFrame, *, digest_bytes: int = DIGEST_BYTES,
 
 def without_exact_duplicates(documents: DataFrame, *, id_col: str = "doc_id", **options) -> DataFrame:
     """The rows that stay, with all their columns. Of rows that repeat an id one stays."""
-    gone = exact_duplicates(documents, id_col=id_col, **options).groupBy("doc_id").agg(
-        F.count_if("kept").alias("_kept"), F.count(F.lit(1)).alias("_rows")).where("_kept < _rows")
-    marked = match(documents, gone.withColumnRenamed("doc_id", id_col), [id_col], "left")
-    # Ids that occur once go or stay; only those that repeat need a choice among their rows.
-    single = marked.where("_rows is null").drop("_kept", "_rows")
-    repeated = marked.where("_kept > 0").drop("_kept", "_rows")
-    return single.unionByName(repeated.dropDuplicates([id_col]))
+    found = exact_duplicates(documents, id_col=id_col, **options).groupBy("doc_id").agg(
+        F.bool_or("kept").alias("keep"), (F.count(F.lit(1)) > 1).alias("single"))
+    return rows_by_id(documents, id_col, found.where("not keep or single"))

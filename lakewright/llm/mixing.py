@@ -81,10 +81,15 @@ def mix(documents: DataFrame, *, share: float = 1.5, repeats: int = 2, weights:
     return queued.select("doc_id", "source", "size", "source_size", "target", (F.col("size") * times).cast("long").alias("taken"))
 
 
-def mixed_documents(documents: DataFrame, **options) -> DataFrame:
+def mixed_documents(documents: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", **options) -> DataFrame:
     """The mix itself: each input row as many times as it is taken, with all its columns."""
-    id_col, source_col = options.get("id_col", "doc_id"), options.get("source_col", "source")
-    taken = mix(documents, **options).where("taken > 0").select(
-        F.col("doc_id").alias(id_col), F.col("source").alias(source_col), (F.col("taken") / F.col("size")).cast("int").alias("_times"))
-    joined = match(documents, taken.dropDuplicates([id_col, source_col]), [id_col, source_col])
-    return joined.withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_times")))).drop("_times", "_copy")
+    taken = mix(documents, id_col=id_col, text_col=text_col, source_col=source_col, **options).where("taken > 0").select(
+        F.col("doc_id").alias("t_id"), F.col("source").alias("t_source"), F.col("size").alias("t_size"),
+        (F.col("taken") / F.col("size")).cast("int").alias("times")).distinct()
+    # Columns go by position, so names cannot clash.
+    held = documents.toDF(*[f"c{k}" for k in range(len(documents.columns))])
+    at = {c: f"c{documents.columns.index(c)}" for c in (id_col, text_col, source_col)}
+    joined = held.join(taken, F.col(at[id_col]).eqNullSafe(F.col("t_id")) & F.col(at[source_col]).eqNullSafe(F.col("t_source"))
+                       & (word_count(at[text_col]) == F.col("t_size")))
+    copies = joined.withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("times"))))
+    return copies.select(*held.columns).toDF(*documents.columns)

@@ -9,7 +9,7 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from lakewright.llm.common import _ODD, Steps, lowered, mixed, span_hashes, text_step, utf8, word_spans
+from lakewright.llm.common import _ODD, Steps, lowered, mixed, rows_by_id, span_hashes, text_step, utf8, word_spans
 from lakewright.llm.components import components
 from lakewright.operators.windows import match
 
@@ -309,7 +309,5 @@ def near_duplicates(documents: DataFrame, *, id_col: str = "doc_id", text_col: s
 def without_near_duplicates(documents: DataFrame, *, id_col: str = "doc_id", **options) -> DataFrame:
     """The rows whose document heads its component, with all their columns; of rows that repeat an id one stays."""
     found = near_duplicates(documents, id_col=id_col, **options).groupBy("doc_id").agg(
-        F.bool_or("kept").alias("_kept"), F.count(F.lit(1)).alias("_rows")).where("not _kept or _rows > 1")
-    marked = match(documents, found.withColumnRenamed("doc_id", id_col), [id_col], "left")
-    single = marked.where("_rows is null").drop("_kept", "_rows")
-    return single.unionByName(marked.where("_kept").drop("_kept", "_rows").dropDuplicates([id_col]))
+        F.bool_or("kept").alias("keep"), (F.count(F.lit(1)) > 1).alias("single"))
+    return rows_by_id(documents, id_col, found.where("not keep or single"))

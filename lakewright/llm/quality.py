@@ -307,6 +307,18 @@ def assess(documents: DataFrame, field: LineField | None, *, least_share: float
                         *[c.split()[0] for c in COLUMNS.split(", ")])
 
 
+def good_documents(documents: DataFrame, field: LineField | None, *, least_share: float = 0.5, text_col: str = "text") -> DataFrame:
+    """The rows that ``assess`` keeps, with all their columns; names cannot clash, as columns go by position."""
+    held = documents.toDF(*[f"c{k}" for k in range(len(documents.columns))])
+    at = documents.columns.index(text_col)
+
+    def work(batch: pa.RecordBatch) -> pa.RecordBatch:
+        m = measure(batch.column(f"c{at}"))
+        return batch.filter(pa.array(~m.base_failed & (_content(m, field)[1] >= least_share)))
+
+    return text_step(held, f"c{at}", work, ", ".join(f"{c} {kind}" for c, kind in held.dtypes)).toDF(*documents.columns)
+
+
 def label_lines(documents: DataFrame, field: LineField | None, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, begin, end, content) of each line that has a word; byte positions, end exclusive."""
     def work(batch: pa.RecordBatch) -> pa.RecordBatch:
