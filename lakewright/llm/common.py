@@ -11,6 +11,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from lakewright.operators.windows import top_per_key
 from lakewright.sources.tables import scratch_path
 
 #: A word is a run of anything but blank, tab, line feed, vertical tab, form feed and carriage return.
@@ -180,6 +181,19 @@ class Steps:
             path.getFileSystem(self.spark._jsparkSession.sessionState().newHadoopConf()).delete(path, True)
 
 
+def sample_by_hash(df: DataFrame, key: str, place: str, n: int) -> DataFrame:
+    """At most ``n`` rows of each ``key``, those with the least hash ``place``.
+
+    A threshold per key, from its count, leaves about twice the rows wanted, so
+    the exact choice that follows never sees a whole key. For few keys (classes).
+    """
+    share = F.lit(0)
+    for value, count in df.groupBy(key).count().collect():
+        share = F.when(F.col(key).eqNullSafe(F.lit(value)), F.lit(min(1 << 20, 1 + (2 * n << 20) // count))).otherwise(share)
+    rest = [F.col(c) for c in df.columns if c not in (key, place)]
+    return top_per_key(df.where(F.pmod(F.col(place), F.lit(1 << 20)) < share), [key], [F.col(place), *rest], n)
+
+
 def word_count(text: str = "text"):
     """Number of words of a text column; null counts as no word."""
     return F.coalesce(F.regexp_count(F.col(text), F.lit(WORD)), F.lit(0)).cast("long")

@@ -11,8 +11,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lakewright.llm.common import text_step, utf8
-from lakewright.operators.windows import top_per_key
+from lakewright.llm.common import sample_by_hash, text_step, utf8
 
 UNKNOWN = "und"
 #: Bytes that the network reads at once. A longer text is read window after window.
@@ -207,20 +206,12 @@ def learning_sample(documents: DataFrame, *, id_col: str = "doc_id", text_col: s
     Rows: (lang, windows). Only rows that are not held out, with language and text.
     """
     usable = documents.where(F.col(lang_col).isNotNull() & F.col(text_col).isNotNull() & ~held_out(id_col))
-    sizes = {r[0]: r[1] for r in usable.groupBy(F.col(lang_col).alias("lang")).count().collect()}
-    if not sizes:
-        return []
-    order = F.xxhash64(F.col(id_col).cast("string"), F.lit("sample"))
-    share = F.lit(0)
-    for lang, n in sizes.items():
-        # About twice the documents wanted; the exact number is cut below.
-        share = F.when(F.col(lang_col) == lang, F.lit(min(1 << 20, 1 + (2 * per_language << 20) // n))).otherwise(share)
     raw = F.col(text_col).cast("binary")
     places = [F.pmod(F.xxhash64(F.col(id_col).cast("string"), F.lit(k)), F.greatest(F.length(raw) - WINDOW + 1, F.lit(1))) + 1
               for k in range(windows)]
-    chosen = usable.where(F.pmod(order, F.lit(1 << 20)) < share).select(
-        F.col(lang_col).alias("lang"), order.alias("place"), F.array(*[F.substring(raw, p.cast("int"), F.lit(WINDOW)) for p in places]).alias("windows"))
-    best = top_per_key(chosen, ["lang"], [F.col("place"), F.col("windows")], per_language)
+    rows = usable.select(F.col(lang_col).alias("lang"), F.xxhash64(F.col(id_col).cast("string"), F.lit("sample")).alias("place"),
+                         F.array(*[F.substring(raw, p.cast("int"), F.lit(WINDOW)) for p in places]).alias("windows"))
+    best = sample_by_hash(rows, "lang", "place", per_language)
     return best.select("lang", "windows").orderBy("lang", "place", "windows").collect()
 
 

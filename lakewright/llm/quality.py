@@ -9,8 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lakewright.llm.common import _ODD, mixed, span_hashes, text_step, utf8, word_spans
-from lakewright.operators.windows import top_per_key
+from lakewright.llm.common import _ODD, mixed, sample_by_hash, span_hashes, text_step, utf8, word_spans
 
 #: Words of a window whose repetition within a text counts.
 REPEAT_WORDS = 8
@@ -244,8 +243,8 @@ def fit(documents: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text
     """
     known = (labels.where(F.col(label_col).isin(0, 1) & F.col(id_col).isNotNull())
              .groupBy(F.col(id_col).alias("doc_id")).agg(F.min(label_col).cast("int").alias("quality")))
-    sample = top_per_key(known.withColumn("place", F.xxhash64(F.col("doc_id").cast("string"), F.lit("quality"))),
-                         ["quality"], [F.col("place"), F.col("doc_id")], per_class)
+    sample = sample_by_hash(known.withColumn("place", F.xxhash64(F.col("doc_id").cast("string"), F.lit("quality"))),
+                            "quality", "place", per_class)
     texts = documents.where(F.col(text_col).isNotNull()).selectExpr(f"`{id_col}` as doc_id", f"cast(`{text_col}` as string) as text")
     chosen = texts.join(F.broadcast(sample.select("doc_id", "quality")), "doc_id").select("quality", "text")
 
