@@ -14,17 +14,19 @@ from lakewright.llm.components import components
 from lakewright.operators.windows import match
 
 SHINGLE_WORDS = 5
-#: Registers: BANDS groups of ROWS. A pair of similarity 0.85 agrees in no band with probability 6e-9.
+#: Bands of ROWS registers each. A pair of similarity 0.85 agrees in no band with probability 6e-9.
 BANDS, ROWS = 40, 6
-REGISTERS = BANDS * ROWS
+#: The first registers are banded, all are estimated from.
+REGISTERS = 2 * BANDS * ROWS
 #: Registers hold the rounded negative logarithm, to this base, of the least exponential value; one byte each.
 BASE, RATE, TOP = 1.1, 20.0, 255
-#: Links have a similarity of at least LINK. A pair whose joint estimate lies more than SLACK below it is no link.
-LINK, SLACK = 0.85, 0.13
-#: Bucket members that are paired at once. Larger buckets are dealt into blocks of this size, block against block.
-BLOCK = 48
-#: Partners of the highest estimate that a class verifies first.
-FIRST_PARTNERS = 2
+#: Links have a similarity of at least LINK. A pair whose likeliest similarity lies more than SLACK below it is
+#: no link: SLACK is five standard errors of the estimate.
+LINK, SLACK = 0.85, 0.085
+#: Larger buckets are dealt into blocks of about this size, and block meets block.
+BLOCK = 128
+#: Partners in most equal registers that a class verifies first.
+FIRST_PARTNERS = 3
 _FILTER_BITS = 1 << 24
 _MULTIPLIERS = mixed(np.arange(1, REGISTERS + 1, dtype=np.uint64)) | np.uint64(1)
 
@@ -77,40 +79,45 @@ def registers(sets: list[np.ndarray]) -> np.ndarray:
     return out
 
 
-def joint_similarity(a: np.ndarray, b: np.ndarray, n_a: np.ndarray, n_b: np.ndarray) -> np.ndarray:
-    """Likeliest Jaccard similarity of pairs, from where registers are larger, smaller and equal.
+def _agreement(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Where registers of the first are larger, smaller and equal, counted per pair of rows."""
+    larger, smaller = np.count_nonzero(a > b, axis=1), np.count_nonzero(a < b, axis=1)
+    return larger, smaller, a.shape[1] - larger - smaller
+
+
+def _slope(j, counts: tuple, u: np.ndarray) -> np.ndarray:
+    """Derivative by J of the likelihood's logarithm.
 
-    With shares u and v of the set sizes and similarity J, a register of the
-    first is larger with probability p(u - vJ) and smaller with p(v - uJ),
+    With shares u and v of the set sizes, a register of the first is larger
+    with probability p(u - vJ) and smaller with p(v - uJ), where
     p(x) = -log_b(1 - x (b - 1) / b). The likelihood has one peak in J.
     """
-    larger, smaller = (a > b).sum(axis=1), (a < b).sum(axis=1)
-    equal = a.shape[1] - larger - smaller
-    u = n_a / (n_a + n_b)
-    v = 1 - u
-    low, high = np.zeros(len(u)), np.minimum(u / v, v / u)
-
-    def p(x):
-        return -np.log1p(-np.clip(x, 0, 1) * (BASE - 1) / BASE) / np.log(BASE)
-
-    def fit(j):
-        more, less = p(u - v * j), p(v - u * j)
-        with np.errstate(divide="ignore", invalid="ignore"):
-            parts = [np.where(c > 0, c * np.log(np.maximum(q, 1e-300)), 0.0)
-                     for c, q in ((larger, more), (smaller, less), (equal, 1 - more - less))]
-        return sum(parts)
-
-    ratio = (np.sqrt(5) - 1) / 2
-    c, d = high - ratio * (high - low), low + ratio * (high - low)
-    fc, fd = fit(c), fit(d)
-    for _ in range(24):
-        left = fc >= fd
-        low, high = np.where(left, low, c), np.where(left, d, high)
-        c, d = high - ratio * (high - low), low + ratio * (high - low)
-        fc, fd = fit(c), fit(d)
+    larger, smaller, equal = counts
+    v, rate = 1 - u, (BASE - 1) / BASE
+    x, y = np.maximum(u - v * j, 1e-12), np.maximum(v - u * j, 1e-12)
+    p, q = (-np.log1p(-z * rate) / np.log(BASE) for z in (x, y))
+    dp, dq = (rate / ((1 - z * rate) * np.log(BASE)) for z in (x, y))
+    return -larger * v * dp / p - smaller * u * dq / q + equal * (v * dp + u * dq) / np.maximum(1 - p - q, 1e-12)
+
+
+def joint_similarity(a: np.ndarray, b: np.ndarray, n_a: np.ndarray, n_b: np.ndarray) -> np.ndarray:
+    """Likeliest Jaccard similarity of pairs of register rows with known set sizes."""
+    counts, u = _agreement(a, b), n_a / (n_a + n_b)
+    low, high = np.zeros(len(u)), np.minimum(u / (1 - u), (1 - u) / u)
+    for _ in range(30):
+        middle = (low + high) / 2
+        rising = _slope(middle, counts, u) > 0
+        low, high = np.where(rising, middle, low), np.where(rising, high, middle)
     return (low + high) / 2
 
 
+def may_link(counts: tuple, n_a: np.ndarray, n_b: np.ndarray) -> np.ndarray:
+    """Whether the likeliest similarity is at least LINK - SLACK: the likelihood still rises there."""
+    u = n_a / (n_a + n_b)
+    fits = 100 * np.minimum(n_a, n_b) >= round(100 * LINK) * np.maximum(n_a, n_b)
+    return fits & (_slope(LINK - SLACK, counts, u) >= 0)
+
+
 def _matrix(column: pa.Array) -> np.ndarray:
     return np.frombuffer(b"".join(column.to_pylist()), np.uint8).reshape(-1, REGISTERS)
 
@@ -128,85 +135,133 @@ def sketches(documents: DataFrame) -> DataFrame:
 
 
 def _bands(classes: DataFrame) -> DataFrame:
-    """(key, c, n) for every band of every class."""
+    """(key, band, c) for every band of every class."""
     def keys(batches):
         for batch in batches:
-            rows = _matrix(batch.column("registers")).reshape(batch.num_rows, BANDS, ROWS).astype(np.uint64)
+            rows = _matrix(batch.column("registers"))[:, :BANDS * ROWS].reshape(batch.num_rows, BANDS, ROWS).astype(np.uint64)
             with np.errstate(over="ignore"):
                 key = np.broadcast_to(np.arange(1, BANDS + 1, dtype=np.uint64), (batch.num_rows, BANDS))
                 for k in range(ROWS):
                     key = mixed(key * np.uint64(257) + rows[:, :, k])
             yield pa.RecordBatch.from_pydict({
-                "key": pa.array(key.ravel().view(np.int64)), "c": pa.array(np.repeat(batch.column("c").to_numpy(), BANDS)),
-                "n": pa.array(np.repeat(batch.column("n_shingles").to_numpy(), BANDS))})
-
-    return classes.select("c", "n_shingles", "registers").mapInArrow(keys, "key long, c long, n long")
-
-
-def _similar_sizes() -> str:
-    return f"100 * least(a.n, b.n) >= {round(100 * LINK)} * greatest(a.n, b.n)"
+                "key": pa.array(key.ravel().view(np.int64)), "band": pa.array(np.tile(np.arange(BANDS, dtype=np.int32), batch.num_rows)),
+                "c": pa.array(np.repeat(batch.column("c").to_numpy(), BANDS))})
 
+    return classes.select("c", "registers").mapInArrow(keys, "key long, band int, c long")
 
-def _small_pairs(members: DataFrame) -> DataFrame:
-    """Pairs within buckets of at most BLOCK members whose set sizes allow a link."""
-    small = members.where(F.col("size") <= BLOCK).select("key", "c", "n")
-    return small.alias("a").join(small.alias("b"), (F.col("a.key") == F.col("b.key")) & (F.col("a.c") < F.col("b.c")) & F.expr(
-        _similar_sizes())).select(F.col("a.c").alias("x"), F.col("b.c").alias("y"))
 
+def _dealt(members: DataFrame, classes: DataFrame) -> DataFrame:
+    """Members (key, band, c, size[, root]) with registers, sorted into groups (key, i, j).
 
-def _large_pairs(members: DataFrame, classes: DataFrame) -> DataFrame:
-    """Pairs within larger buckets that the joint estimate allows.
-
-    Members are dealt into blocks of about BLOCK; a group is two blocks that
-    meet, so it stays small however large the bucket is, and only pairs that
-    may be links leave it.
+    A bucket of up to BLOCK members is one group. A larger one is dealt into
+    blocks; a group is then two blocks that meet, so that no group has more
+    than about two blocks of rows, however large the bucket is.
     """
-    large = members.where(F.col("size") > BLOCK)
-    count = F.ceil(F.col("size") / BLOCK).cast("int")
-    dealt = large.withColumn("count", count).withColumn("own", F.pmod(F.xxhash64("c", "key"), F.col("count")).cast("int"))
-    met = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("count") - 1))).select(
-        "key", "c", "n", "own", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"))
-    full = met.join(classes.select("c", "registers"), "c")
-
-    def pairs(table: pa.Table) -> pa.Table:
-        table = table.sort_by("c")
-        c, n, own = (table.column(k).to_numpy() for k in ("c", "n", "own"))
-        a, b = np.triu_indices(len(c), 1)
-        same = table.column("i")[0].as_py() == table.column("j")[0].as_py()
-        fits = (100 * np.minimum(n[a], n[b]) >= round(100 * LINK) * np.maximum(n[a], n[b])) & (same | (own[a] != own[b]))
-        a, b = a[fits], b[fits]
-        rows = _matrix(table.column("registers").combine_chunks())
-        likely = joint_similarity(rows[a], rows[b], n[a].astype(float), n[b].astype(float)) >= LINK - SLACK
-        return pa.table({"x": pa.array(c[a[likely]], pa.int64()), "y": pa.array(c[b[likely]], pa.int64())})
-
-    return full.groupBy("key", "i", "j").applyInArrow(pairs, "x long, y long")
-
-
-def _estimated(pairs: DataFrame, classes: DataFrame) -> DataFrame:
-    """(x, y, guess) of the pairs whose joint estimate allows a link."""
-    known = classes.select("c", F.col("n_shingles").alias("n"), "registers")
-    joined = (pairs.join(known.toDF("x", "n_x", "r_x"), "x").join(known.toDF("y", "n_y", "r_y"), "y"))
-
-    def guess(batches):
-        for batch in batches:
-            n = [batch.column(k).to_numpy().astype(float) for k in ("n_x", "n_y")]
-            j = joint_similarity(_matrix(batch.column("r_x")), _matrix(batch.column("r_y")), *n)
-            likely = pa.array(j >= LINK - SLACK)
-            yield pa.RecordBatch.from_pydict({"x": batch.column("x"), "y": batch.column("y"), "guess": pa.array(j)}).filter(likely)
-
-    return joined.select("x", "y", "n_x", "n_y", "r_x", "r_y").mapInArrow(guess, "x long, y long, guess double")
+    blocks = F.ceil(F.col("size") / BLOCK).cast("int")
+    dealt = members.withColumn("blocks", blocks).withColumn("own", F.pmod(F.xxhash64("c", "key"), F.col("blocks")).cast("int"))
+    met = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    keyed = met.withColumn("i", F.least("own", "other")).withColumn("j", F.greatest("own", "other")).drop("size", "blocks", "other")
+    full = keyed.join(classes.select("c", F.col("n_shingles").alias("n"), "registers"), "c")
+    return full.repartition("key", "i", "j").sortWithinPartitions("key", "i", "j")
+
+
+def _groups(batches):
+    """Arrow tables of whole groups from sorted batches."""
+    held = None
+    for batch in batches:
+        table = pa.Table.from_batches([batch])
+        table = pa.concat_tables([held, table]) if held is not None else table
+        marks = [table.column(k).to_numpy() for k in ("key", "i", "j")]
+        last = np.logical_and.reduce([m == m[-1] for m in marks])
+        cut = int(np.flatnonzero(~last)[-1]) + 1 if not last.all() else 0
+        if cut:
+            yield table.slice(0, cut)
+        held = table.slice(cut)
+    if held is not None and held.num_rows:
+        yield held
+
+
+def _pairs_within(table: pa.Table, step: int = 1 << 15):
+    """Index pairs of rows that meet in a group: all of one block, or of two different blocks."""
+    key, i, j, own = (table.column(k).to_numpy() for k in ("key", "i", "j", "own"))
+    n = len(key)
+    change = np.ones(n, bool)
+    change[1:] = (key[1:] != key[:-1]) | (i[1:] != i[:-1]) | (j[1:] != j[:-1])
+    group = np.cumsum(change)
+    left, right, held = [], [], 0
+    at, lag = np.arange(n), 1
+    while len(at):
+        at = at[at + lag < n]
+        at = at[group[at] == group[at + lag]]
+        met = at[(i[at] == j[at]) | (own[at] != own[at + lag])]
+        for a in range(0, len(met), step):
+            left.append(met[a:a + step])
+            right.append(met[a:a + step] + lag)
+            held += len(left[-1])
+            if held >= step:
+                yield np.concatenate(left), np.concatenate(right)
+                left, right, held = [], [], 0
+        lag += 1
+    if held:
+        yield np.concatenate(left), np.concatenate(right)
+
+
+def _promising(dealt: DataFrame) -> DataFrame:
+    """(own, other, equal): per class and group the partner with most equal registers, if it may be a link."""
+    def best(batches):
+        for table in _groups(batches):
+            c, n = table.column("c").to_numpy(), table.column("n").to_numpy().astype(float)
+            rows = _matrix(table.column("registers"))
+            found = []
+            for a, b in _pairs_within(table):
+                counts = _agreement(rows[a], rows[b])
+                likely = may_link(counts, n[a], n[b])
+                a, b, equal = a[likely], b[likely], counts[2][likely]
+                found += [(a, b, equal), (b, a, equal)]
+            if not found:
+                continue
+            a, b, equal = (np.concatenate(x) for x in zip(*found))
+            # A row of the table is one class in one group.
+            order = np.lexsort((c[b], -equal, a))
+            order = order[np.concatenate([[True], a[order[1:]] != a[order[:-1]]])] if len(order) else order
+            yield pa.RecordBatch.from_pydict({"own": pa.array(c[a[order]]), "other": pa.array(c[b[order]]), "equal": pa.array(equal[order], pa.int64())})
+
+    return dealt.select("key", "i", "j", "own", "c", "n", "registers").mapInArrow(best, "own long, other long, equal long")
+
+
+def _across(dealt: DataFrame) -> DataFrame:
+    """(x, y): pairs with different roots that may be links, each from the first band in which it agrees."""
+    def pairs(batches):
+        for table in _groups(batches):
+            c, root = table.column("c").to_numpy(), table.column("root").to_numpy()
+            n, band = table.column("n").to_numpy().astype(float), table.column("band").to_numpy()
+            rows = _matrix(table.column("registers"))
+            for a, b in _pairs_within(table):
+                other = root[a] != root[b]
+                a, b = a[other], b[other]
+                likely = may_link(_agreement(rows[a], rows[b]), n[a], n[b])
+                a, b = a[likely], b[likely]
+                same = (rows[a, :BANDS * ROWS] == rows[b, :BANDS * ROWS]).reshape(-1, BANDS, ROWS).all(axis=2)
+                first = same.argmax(axis=1) == band[a]
+                x, y = c[a[first]], c[b[first]]
+                yield pa.RecordBatch.from_pydict({"x": pa.array(np.minimum(x, y)), "y": pa.array(np.maximum(x, y))})
+
+    return dealt.select("key", "i", "j", "own", "band", "c", "root", "n", "registers").mapInArrow(pairs, "x long, y long")
 
 
 def _bit(keys: list[bytes]) -> np.ndarray:
     return np.array([int.from_bytes(k[:8], "little") % _FILTER_BITS for k in keys], np.int64)
 
 
-def _needed_sets(documents: DataFrame, needed: DataFrame, steps: Steps) -> DataFrame:
-    """(c, set): whole shingle sets of the representatives ``needed`` (doc_id, set_key, c).
+def _needed_sets(documents: DataFrame, pairs: DataFrame, classes: DataFrame, steps: Steps, name: str) -> DataFrame:
+    """(c, set): whole shingle sets of the classes in ``pairs``, from the documents with the smallest ids.
 
     A table of fixed size, sent to every task, keeps most other documents from
     being shuffled; the join behind it is exact.
     """
+    used_ = pairs.select(F.explode(F.array("x", "y")).alias("c")).distinct()
+    needed = steps.write(f"{name}-needed", classes.join(used_, "c", "left_semi").select(F.col("least").alias("doc_id"), "set_key", "c"))
+
     def used(batches):
         for batch in batches:
             yield pa.RecordBatch.from_pydict({"bit": pa.array(np.unique(_bit(batch.column(0).to_pylist())) + 1, pa.int64())})
@@ -230,7 +285,7 @@ def _needed_sets(documents: DataFrame, needed: DataFrame, steps: Steps) -> DataF
 
     found = text_step(documents, "text", work, f"doc_id {dict(documents.dtypes)['doc_id']}, set_key binary, set binary")
     joined = match(found, needed, ["doc_id", "set_key"])
-    return steps.write("sets", joined.groupBy("c").agg(F.first("set").alias("set")))
+    return steps.write(name, joined.groupBy("c").agg(F.first("set").alias("set")))
 
 
 def _verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
@@ -258,9 +313,10 @@ def near_duplicates(documents: DataFrame, *, id_col: str = "doc_id", text_col: s
     least 0.85. Documents with the same set form a class, and only classes are
     compared. Classes that agree in a band of registers are candidates; the
     joint estimate drops hopeless ones; the rest are verified on whole sets.
-    First every class verifies its most promising partners. Then every
-    candidate pair that these links have not already put into one component is
-    verified, so no link between components is missed.
+    First every class verifies its most promising partners, which gives as many
+    pairs as bands and puts most of a large group into one component. Then
+    every candidate pair that is not in one component yet is verified, so no
+    link between components is missed and pairs within one are not listed.
 
     ``component_id`` is the smallest id that a document reaches, itself
     included, and ``kept`` tells that it is the document's own. A text without
@@ -278,29 +334,21 @@ def near_duplicates(documents: DataFrame, *, id_col: str = "doc_id", text_col: s
     bands = _bands(classes)
     shared = bands.groupBy("key").agg(F.count(F.lit(1)).alias("size")).where("size > 1")
     members = steps.write("members", bands.join(shared, "key"))
-    pairs = steps.write("pairs", _small_pairs(members).union(_large_pairs(members, classes)).distinct())
-    likely = steps.write("likely", _estimated(pairs, classes))
-    steps.drop("members", "pairs")
-    used = likely.select(F.explode(F.array("x", "y")).alias("c")).distinct()
-    needed = steps.write("needed", classes.join(used, "c", "left_semi").select(F.col("least").alias("doc_id"), "set_key", "c"))
-    sets = _needed_sets(source, needed, steps)
-    promising = Window.partitionBy("own").orderBy(F.col("guess").desc(), "other")
-    sides = likely.select(F.explode(F.array(F.struct(F.col("x").alias("own"), F.col("y").alias("other")),
-                                            F.struct(F.col("y").alias("own"), F.col("x").alias("other")))).alias("s"), "guess")
-    best = (sides.select("s.*", "guess").withColumn("_r", F.row_number().over(promising)).where(F.col("_r") <= FIRST_PARTNERS)
-            .select(F.least("own", "other").alias("x"), F.greatest("own", "other").alias("y")).distinct())
-    links = steps.write("links", _verified(best, sets))
+    nearest = Window.partitionBy("own").orderBy(F.col("equal").desc(), "other")
+    first = steps.write("first", _promising(_dealt(members, classes)).distinct().withColumn("_r", F.row_number().over(nearest))
+                        .where(F.col("_r") <= FIRST_PARTNERS).select(F.least("own", "other").alias("x"), F.greatest("own", "other").alias("y")).distinct())
+    links = steps.write("links", _verified(first, _needed_sets(source, first, classes, steps, "first-sets")))
     roots = steps.write("roots", components(links, steps))
-    root = [F.coalesce(F.col(f"{side}.root"), F.col(f"likely.{end}")) for side, end in (("at_x", "x"), ("at_y", "y"))]
-    rest = (likely.alias("likely").join(roots.alias("at_x"), F.col("at_x.node") == F.col("x"), "left")
-            .join(roots.alias("at_y"), F.col("at_y.node") == F.col("y"), "left").where(root[0] != root[1]).select("x", "y"))
-    rest = rest.join(best, ["x", "y"], "left_anti")
-    more = steps.write("more", _verified(rest, sets))
+    rooted = members.join(roots, F.col("c") == F.col("node"), "left").withColumn("root", F.coalesce("root", "c")).drop("node")
+    open_ = rooted.groupBy("key").agg(F.min("root").alias("a"), F.max("root").alias("b")).where("a < b").select("key")
+    across = _across(_dealt(rooted.join(open_, "key", "left_semi"), classes))
+    rest = steps.write("rest", across.join(first, ["x", "y"], "left_anti"))
+    more = steps.write("more", _verified(rest, _needed_sets(source, rest, classes, steps, "rest-sets")))
     roots = steps.write("all", components(links.union(more), steps))
     grouped = classes.join(roots, F.col("c") == F.col("node"), "left").select("set_key", F.coalesce("root", "c").alias("root"), "least")
     heads = grouped.groupBy("root").agg(F.min("least").alias("component"))
     found = steps.write("found", grouped.join(heads, "root").select("set_key", "component"))
-    steps.drop("likely", "needed", "sets", "links", "roots", "more")
+    steps.drop(*[s for s in list(steps.paths) if s not in ("sketches", "found")])
     rows = sketched.drop("registers").join(found, "set_key", "left")
     return rows.select("doc_id", "n_shingles", F.when(F.col("n_shingles") > 0, F.col("component")).otherwise(F.col("doc_id")).alias("component_id")
                        ).withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))
