@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-import re
+import numpy as np
 
 SPACE = "▁"
 
@@ -41,19 +41,32 @@ class Pieces:
             for k in range(1, len(piece)):
                 self.ids.setdefault(piece[k:], -1)
         inner = {c for p in words for c in p[:-1]}
-        # A text may be cut before a blank mark and behind a line feed if no piece reaches across.
-        blank = not any(SPACE in p.lstrip(SPACE) for p in words)
-        feed = "\n" not in inner and not any("\n" in p[1:] for p in words)
-        if blank and feed:
-            self.cutter = re.compile(f"{SPACE}+[^{SPACE}\n]*\n?|[^{SPACE}\n]+\n?|\n")
-        elif blank:
-            self.cutter = re.compile(f"{SPACE}+[^{SPACE}]*|[^{SPACE}]+")
-        else:
-            self.cutter = re.compile("(?s).+")
+        # A text may be cut before a run of blank marks and behind a line feed if no piece reaches across.
+        self.cut_blank = not any(SPACE in p.lstrip(SPACE) for p in words)
+        self.cut_feed = "\n" not in inner and not any("\n" in p[1:] for p in words)
 
     def chunks(self, text: str) -> list[str]:
         """The marked text in parts that no piece crosses; none for an empty text."""
-        return self.cutter.findall(SPACE + text.replace(" ", SPACE)) if text else []
+        if not text:
+            return []
+        whole = SPACE + text.replace(" ", SPACE)
+        begin = cut_parts(whole, np.array([len(whole)]), self)[0].tolist()
+        return [whole[a:b] for a, b in zip(begin, [*begin[1:], len(whole)])]
+
+
+def cut_parts(whole: str, lengths: np.ndarray, pieces: Pieces) -> tuple[np.ndarray, np.ndarray]:
+    """Where the parts of joined marked texts begin, and how many parts each text has."""
+    chars = np.frombuffer(whole.encode("utf-32-le", "surrogatepass"), np.uint32)
+    first = np.zeros(len(chars), bool)
+    ends = np.cumsum(lengths)
+    first[(ends - lengths)[lengths > 0]] = True
+    if pieces.cut_blank:
+        blank = chars == ord(SPACE)
+        first[1:] |= blank[1:] & ~blank[:-1]
+    if pieces.cut_feed:
+        first[1:] |= chars[:-1] == 10
+    begin = np.flatnonzero(first)
+    return begin, np.diff(np.searchsorted(begin, np.concatenate([[0], ends])))
 
 
 def load_pieces(path: str, store: dict) -> Pieces:

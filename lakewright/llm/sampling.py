@@ -14,16 +14,17 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lakewright.llm.common import mixed, process_store, text_step
-from lakewright.llm.pieces import SPACE, Pieces, load_pieces, tokenizer_path
+from lakewright.llm.common import mixed, process_store, span_hashes, text_step
+from lakewright.llm.pieces import SPACE, Pieces, cut_parts, load_pieces, tokenizer_path
 
 #: Parts up to this length share their filtered positions; longer ones are sampled on their own.
-KEPT_LENGTH = 60
+KEPT_LENGTH = 50
 #: Filtered positions held by a process; beyond, it starts anew.
 KEPT_POSITIONS = 2_500_000
 #: A blank mark that a text itself contains; no text in UTF-8 contains this code point.
 _LITERAL = "\udc81"
 _ODD = np.uint64(0x9E3779B97F4A7C15)
+_BASE, _CHAR = 0xD6E8FEB86659FD93, 0x9FB21C651E98DF25
 #: Sums below the first are lifted by the second. Within the longest piece this happens three times at most.
 _TINY, _HUGE = 1e-100, 1e100
 
@@ -45,12 +46,24 @@ class Lattice:
         self.weight = [(-s + 2) ** -power for s in pieces.score]
         self.byte_weight = (worst + 2) ** -power
         self.longest = max(len(p) for p in pieces.text if p)
+        # Pieces and their tails by a polynomial hash of their characters.
+        known = sorted((self._hash(t), i) for t, i in pieces.ids.items())
+        self.keys = np.array([h for h, _ in known], np.uint64)
+        self.values = np.array([i for _, i in known], np.int64)
+        self.weights = np.array(self.weight)
         spelled = {i: p.replace(SPACE, " ").encode() for i, p in enumerate(pieces.text) if p is not None}
         self.bytes = {**spelled, **{i: bytes([b]) for i, b in pieces.byte_of.items()}}
         self.clear()
 
+    @staticmethod
+    def _hash(text: str) -> int:
+        h = 0
+        for c in text:
+            h = (h * _BASE + (ord(c) + 1) * _CHAR) % (1 << 64)
+        return h
+
     def clear(self) -> None:
-        self.end_of: dict[str, int] = {}
+        self.end_of: dict[int, int] = {}  # by the hash of the part
         # Position 0 is the beginning of every part. Edges of position p: first[p] to first[p + 1].
         self.positions, self.links = 1, 0
         self.first = np.zeros(1 << 16, np.int64)
@@ -100,65 +113,101 @@ class Lattice:
             alpha[k] *= _HUGE
         return True
 
-    def learn(self, parts: set[str]) -> None:
-        """Filter the short parts that are new, in sorted order, each from where it leaves the one before."""
-        new = sorted(p for p in parts if len(p) <= KEPT_LENGTH and p not in self.end_of)
-        if not new:
-            return
-        get, weight, byte_weight = self.pieces.ids.get, self.weight, self.byte_weight
-        at = self.positions
-        alpha, node = [1.0] * (KEPT_LENGTH + 1), [0] * (KEPT_LENGTH + 1)
-        depth, sums, totals, names, backs, stops = [], [], [], [], [], []
-        add_sum, add_name, add_back = sums.append, names.append, backs.append
-        before = ""
-        for part in new:
-            shared = 0
-            for x, y in zip(before, part):
-                if x != y:
+    def learn(self, parts: list[str], hashes: list[int]) -> None:
+        """Filter short parts that are new."""
+        new = sorted(zip(parts, hashes))
+        for some in ([p for p in new if len(p[0]) <= 18], [p for p in new if len(p[0]) > 18]):
+            if some:
+                self._filter([p for p, _ in some], [h for _, h in some])
+
+    def _filter(self, parts: list[str], hashes: list[int]) -> None:
+        """Forward filtering of sorted parts, all at once.
+
+        Each part goes on where it leaves the one before: ``node`` holds the
+        position of every prefix, new ones numbered on. Pieces that end at a new
+        position are looked up by the hash of its last characters, one
+        character more each time, for those positions where a piece can go on.
+        """
+        n, width = len(parts), max(map(len, parts))
+        sizes = np.fromiter(map(len, parts), np.int64, n)
+        chars = np.frombuffer("".join(p.ljust(width) for p in parts).encode("utf-32-le", "surrogatepass"), np.uint32).reshape(n, width).astype(np.int64)
+        inside = np.arange(width) < sizes[:, None]
+        chars[~inside] = -1
+        shared = np.zeros(n, np.int64)
+        shared[1:] = (chars[1:] != chars[:-1]).argmax(axis=1)
+        row, col = np.nonzero(inside & (np.arange(width) >= shared[:, None]))
+        # Local numbers: 0 is the beginning, the new positions follow.
+        node = np.zeros((n, width + 1), np.int64)
+        node[row, col + 1] = np.arange(1, len(row) + 1)
+        np.maximum.accumulate(node, axis=0, out=node)
+        hashed = np.zeros((n, width + 1), np.uint64)
+        with np.errstate(over="ignore"):
+            for k in range(width):
+                hashed[:, k + 1] = hashed[:, k] * np.uint64(_BASE) + (chars[:, k] + 1).astype(np.uint64) * np.uint64(_CHAR)
+            own, names, backs, gains = [], [], [], []
+            live, power = np.arange(len(row)), np.uint64(1)
+            for length in range(1, self.longest + 1):
+                live = live[col[live] + 1 >= length]
+                if not len(live):
                     break
-                shared += 1
-            lifted, alpha[0] = False, 1.0
-            for end in range(shared + 1, len(part) + 1):
-                # As ``edges`` finds them, without its lists.
-                start = end - 1
-                piece = get(part[start])
-                total = 0.0
-                if piece is None or piece < 0:
-                    raw = self.spelling(part[start])
-                    total = alpha[start] * byte_weight ** len(raw)
-                    add_sum(total)
-                    add_name(self.pieces.byte_id[raw[0]] if len(raw) == 1 else self.pieces.size + ord(part[start]))
-                    add_back(node[start])
-                while piece is not None:
-                    if piece >= 0:
-                        total += alpha[start] * weight[piece]
-                        add_sum(total)
-                        add_name(piece)
-                        add_back(node[start])
-                    if not start:
-                        break
-                    start -= 1
-                    piece = get(part[start:end])
-                alpha[end], node[end] = total, at
-                at += 1
-                depth.append(end)
-                totals.append(total)
-                stops.append(len(names))
-                if total < _TINY:
-                    lifted = self.rescale(alpha, end)
-            self.end_of[part] = node[len(part)]
-            before = "" if lifted else part  # lifted sums fit no other part
-        degree = np.diff(stops, prepend=0)
-        share = (np.array(sums) / np.repeat(totals, degree)).astype(np.float32)
-        share[np.array(stops) - 1] = 2  # a draw never runs past the last edge
-        positions, links = self.positions, self.links
-        self._room(at, links + len(names))
-        self.depth[positions:at] = depth
-        self.first[positions + 1:at + 1] = links + np.array(stops)
-        self.first[positions] = links
-        for held, values in ((self.share, share), (self.piece, names), (self.back, backs)):
-            held[links:links + len(names)] = values
-        self.positions, self.links = at, links + len(names)
+                power = power * np.uint64(_BASE)
+                r, end = row[live], col[live] + 1
+                key = hashed[r, end] - hashed[r, end - length] * power
+                at = np.minimum(np.searchsorted(self.keys, key), len(self.keys) - 1)
+                found = self.keys[at] == key
+                piece = np.where(found, self.values[at], -1)
+                hit = piece >= 0
+                if length == 1 and not hit.all():
+                    point = chars[r[~hit], end[~hit] - 1]
+                    count = 1 + (point >= 0x80) + (point >= 0x800) + (point >= 0x10000)
+                    own.append(live[~hit] + 1)
+                    names.append(np.where(count == 1, np.array(self.pieces.byte_id)[np.minimum(point, 127)], self.pieces.size + point))
+                    backs.append(node[r[~hit], end[~hit] - 1])
+                    gains.append(self.byte_weight ** count)
+                own.append(live[hit] + 1)
+                names.append(piece[hit])
+                backs.append(node[r[hit], end[hit] - length])
+                gains.append(self.weights[piece[hit]])
+                live = live[found]
+        own, names, backs, gains = (np.concatenate(x) for x in (own, names, backs, gains))
+        order = np.argsort(own, kind="stable")
+        own, names, backs, gains = own[order], names[order], backs[order], gains[order]
+        stops = np.cumsum(np.bincount(own, minlength=len(row) + 1))
+        # Sums in the order of depth, as a position needs those of its prefixes.
+        alpha = np.zeros(len(row) + 1)
+        alpha[0] = 1
+        depth = np.concatenate([[0], col + 1])
+        by_depth = np.argsort(depth[own], kind="stable")
+        bounds = np.searchsorted(depth[own][by_depth], np.arange(1, width + 2))
+        flow = np.empty(len(own))
+        for a, b in zip(bounds[:-1], bounds[1:]):
+            edges = by_depth[a:b]
+            flow[edges] = alpha[backs[edges]] * gains[edges]
+            ends, first = np.unique(own[edges], return_index=True)
+            alpha[ends] = np.add.reduceat(flow[edges], first)
+        # Shares are added up edge by edge, so that they do not depend on what else is filtered.
+        share, sums = np.empty(len(own), np.float32), np.zeros(len(row))
+        degree, begin = np.diff(stops), stops[:-1]
+        held = np.arange(len(row))
+        for k in range(int(degree.max(initial=0))):
+            held = held[degree[held] > k]
+            sums[held] += flow[begin[held] + k]
+            share[begin[held] + k] = sums[held] / np.maximum(alpha[held + 1], 1e-300)
+        share[stops[1:] - 1] = 2  # a draw never runs past the last edge
+        start, links = self.positions - 1, self.links
+        self._room(self.positions + len(row), links + len(own))
+        self.depth[self.positions:self.positions + len(row)] = depth[1:]
+        self.first[self.positions:self.positions + len(row)] = links + stops[:-1]
+        self.first[self.positions + len(row)] = links + len(own)
+        self.share[links:links + len(own)] = share
+        self.piece[links:links + len(own)] = names
+        self.back[links:links + len(own)] = np.where(backs > 0, backs + start, 0)
+        self.positions, self.links = self.positions + len(row), links + len(own)
+        last = node[np.arange(n), sizes]
+        # Sums too small for a double: such a part is sampled on its own.
+        tiny = np.zeros(len(row) + 1, bool)
+        tiny[1:] = alpha[1:] < _TINY ** 2
+        self.end_of.update(zip(hashes, np.where(tiny[last], 0, last + start).tolist()))
 
     def sample_long(self, part: str, seed: int, offset: int) -> list[int]:
         """One part on its own: the sums are kept, the edges found again on the way back."""
@@ -180,25 +229,27 @@ class Lattice:
             end = low + starts[k]
         return names
 
-    def sample(self, parts: list[list[str]], seeds: np.ndarray) -> list[np.ndarray]:
-        """Piece ids of each text, given its parts and its seed."""
-        flat = [p for ps in parts for p in ps]
+    def sample(self, texts: list[str], seeds: np.ndarray) -> list[np.ndarray]:
+        """Piece ids of each text, given its seed."""
+        marked = [SPACE + t.replace(SPACE, _LITERAL).replace(" ", SPACE) if t else "" for t in texts]
+        whole = "".join(marked)
+        begin, per_text = cut_parts(whole, np.fromiter(map(len, marked), np.int64, len(marked)), self.pieces)
+        chars = np.frombuffer(whole.encode("utf-32-le", "surrogatepass"), np.uint32)
+        stops = np.append(begin[1:], len(whole))
+        sizes = stops - begin
+        text = np.repeat(np.arange(len(texts)), per_text)
+        offset = begin - np.append(begin, len(whole))[np.cumsum(per_text) - per_text][text]
         if self.positions > KEPT_POSITIONS:
             self.clear()
-        self.learn(set(flat))
-        sizes = np.fromiter(map(len, flat), np.int64, len(flat))
-        per_text = np.array([len(ps) for ps in parts])
-        text = np.repeat(np.arange(len(parts)), per_text)
-        upto = np.cumsum(sizes)
-        begin = np.concatenate([[0], upto])[np.cumsum(per_text) - per_text] if len(parts) else upto
-        offset = upto - sizes - begin[text]
-        long = np.flatnonzero(sizes > KEPT_LENGTH)
-        ends = self.end_of.__getitem__ if not len(long) else lambda p: self.end_of.get(p, 0)
-        state = np.fromiter(map(ends, flat), np.int64, len(flat))
-        live = np.flatnonzero(state)
+        hashes, first, which = np.unique(span_hashes(chars, begin, stops), return_index=True, return_inverse=True)
+        listed, short = hashes.tolist(), sizes[first] <= KEPT_LENGTH
+        new = [k for k in np.flatnonzero(short).tolist() if listed[k] not in self.end_of]
+        self.learn([whole[begin[first[k]]:stops[first[k]]] for k in new], [listed[k] for k in new])
+        state = np.array([self.end_of.get(h, 0) for h in listed], np.int64)[which] if listed else np.zeros(0, np.int64)
+        live, long = np.flatnonzero(state), np.flatnonzero(state == 0)
         taken = []
-        count = np.zeros(len(flat), np.int64)
-        longer = {int(k): self.sample_long(flat[k], int(seeds[text[k]]), int(offset[k])) for k in long}
+        count = np.zeros(len(begin), np.int64)
+        longer = {int(k): self.sample_long(whole[begin[k]:stops[k]], int(seeds[text[k]]), int(offset[k])) for k in long}
         for k, names in longer.items():
             count[k] = len(names)
             taken.append((np.full(len(names), k), np.array(names), np.arange(len(names))))
@@ -220,8 +271,8 @@ class Lattice:
         out = np.zeros(int(stop[-1]) if len(stop) else 0, np.int64)
         for where, names, steps in taken:
             out[stop[where] - 1 - steps] = names
-        ends = np.concatenate([[0], stop])[np.cumsum(per_text)] if len(parts) else []
-        return [self.written(x) for x in np.split(out, ends[:-1])] if len(parts) else []
+        ends = np.concatenate([[0], stop])[np.cumsum(per_text)]
+        return [self.written(x) for x in np.split(out, ends[:-1])] if texts else []
 
     def written(self, names: np.ndarray) -> np.ndarray:
         """Characters without a piece become their byte pieces."""
@@ -256,8 +307,13 @@ def _seeds(keys: list, seed: str) -> np.ndarray:
 
 
 def _encoded(lattice: Lattice, texts: list[str], seeds: np.ndarray) -> list[np.ndarray]:
-    cut = [lattice.pieces.cutter.findall(SPACE + t.replace(SPACE, _LITERAL).replace(" ", SPACE)) if t else [] for t in texts]
-    return lattice.sample(cut, seeds)
+    """Sampled ids of each text; they decode to it, or it is sampled part by part without hashes."""
+    found = lattice.sample(texts, seeds)
+    for k, (ids, text) in enumerate(zip(found, texts)):
+        if lattice.decode(ids.tolist()) != text.encode():
+            marked = SPACE + text.replace(SPACE, _LITERAL).replace(" ", SPACE)
+            found[k] = lattice.written(np.array(lattice.sample_long(marked, int(seeds[k]), 0)[::-1], np.int64))
+    return found
 
 
 def encode(documents: DataFrame, *, seed: str = "pieces", power: float = 1.0, model: str | None = None,
