@@ -6,12 +6,12 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from lakewright.llm.common import process_store, text_step
-from lakewright.llm.pieces import Pieces, load_pieces, tokenizer_path
+from lakewright.llm.common import process_store, span_hashes, text_step
+from lakewright.llm.pieces import SPACE, Pieces, cut_parts, load_pieces, tokenizer_path
 
-#: Parts of a text up to this length are kept with their counts; a count then fits into one byte.
+#: The token counts of parts up to this length are kept.
 KEPT_LENGTH = 60
-#: Entries of one generation of kept parts; two generations are held.
+#: Entries of one generation of kept part totals; two generations are held.
 KEPT_PARTS = 500_000
 
 
@@ -31,8 +31,8 @@ class PrefixCounts:
         self.pieces = pieces
         self.history: dict[int, tuple] = {}
         self.apart: dict[int, bool] = {}
-        self.young: dict[str, bytes] = {}
-        self.old: dict[str, bytes] = {}
+        self.young: dict[int, int] = {}  # tokens by the hash of the part
+        self.old: dict[int, int] = {}
 
     def _history(self, piece: int) -> tuple[bool, str, str, list[tuple[float, str, str]]]:
         """How merging makes a piece of its characters: best score first, leftmost among equals.
@@ -115,65 +115,87 @@ class PrefixCounts:
         self._extend(part, 0, last, count)
         return count[1:]
 
-    def learn(self, parts: set[str]) -> None:
-        """Keep the counts of short parts. In sorted order each goes on where it leaves the one before."""
+    def _each(self, parts: list[str]) -> list[int]:
+        """The token count of short parts in sorted order; each goes on where it leaves the one before."""
+        last, count = [-1] * (KEPT_LENGTH + 1), [0] * (KEPT_LENGTH + 1)
+        before, out = "", []
+        for part in parts:
+            shared = 0
+            for x, y in zip(before, part):
+                if x != y:
+                    break
+                shared += 1
+            self._extend(part, shared, last, count)
+            before = part
+            out.append(count[len(part)])
+        return out
+
+    def _learned(self, hashes: list[int], part) -> list[int]:
+        """The token count of parts by hash; ``part(k)`` gives the text of the k-th."""
         young, old = self.young, self.old
         if len(young) >= KEPT_PARTS:
             old, young = self.old, self.young = young, {}
-        last, count = [-1] * (KEPT_LENGTH + 1), [0] * (KEPT_LENGTH + 1)
-        before = ""
-        for part in sorted(parts - young.keys()):
-            found = old.get(part)
-            if found is None:
-                shared = 0
-                for x, y in zip(before, part):
-                    if x != y:
-                        break
-                    shared += 1
-                self._extend(part, shared, last, count)
-                before = part
-                found = bytes(count[1:len(part) + 1])
-            young[part] = found
+        new, found = [], []
+        for k, h in enumerate(hashes):
+            n = young.get(h)
+            if n is None:
+                n = old.get(h)
+                if n is None:
+                    new.append(k)
+                else:
+                    young[h] = n
+            found.append(n)
+        texts = sorted((part(k), k) for k in new)
+        for (_, k), n in zip(texts, self._each([t for t, _ in texts])):
+            found[k] = young[hashes[k]] = n
+        return found
 
     def _tail(self, char: str) -> bool:
         """Whether a character is a piece: pieces are built from pieces."""
         return self.pieces.ids.get(char, -1) >= 0
 
-    def parts(self, text: str) -> tuple[list[str], np.ndarray]:
-        """The parts of a text and the token count of each."""
-        parts = self.pieces.chunks(text)
-        self.learn({p for p in parts if len(p) <= KEPT_LENGTH})
-        young = self.young
-        totals = [young[p][-1] if len(p) <= KEPT_LENGTH else self.prefixes(p)[-1] for p in parts]
-        return parts, np.array(totals, np.int64)
-
     def totals(self, texts: list[str]) -> list[int]:
-        """The token count of each text; parts that are new are learned together."""
-        cut = [self.pieces.chunks(t) for t in texts]
-        new = set().union(*cut)
-        self.learn({p for p in new if len(p) <= KEPT_LENGTH})
-        ends = {p: self.young[p][-1] if len(p) <= KEPT_LENGTH else self.prefixes(p)[-1] for p in new}
-        return [sum(map(ends.__getitem__, parts)) for parts in cut]
+        """The token count of each text. Equal parts are counted once per call, by a 64-bit hash."""
+        marked = [SPACE + t.replace(" ", SPACE) if t else "" for t in texts]
+        whole = "".join(marked)
+        begin, per_text = cut_parts(whole, np.fromiter(map(len, marked), np.int64, len(marked)), self.pieces)
+        stops = np.append(begin[1:], len(whole))
+        chars = np.frombuffer(whole.encode("utf-32-le"), np.uint32)
+        hashes, first, which = np.unique(span_hashes(chars, begin, stops), return_index=True, return_inverse=True)
+        counts = np.zeros(len(hashes), np.int64)
+        short = stops[first] - begin[first] <= KEPT_LENGTH
+        where = np.flatnonzero(short)
+        a, b = begin[first[where]].tolist(), stops[first[where]].tolist()
+        counts[where] = self._learned(hashes[where].tolist(), lambda k: whole[a[k]:b[k]])
+        for k in np.flatnonzero(~short):
+            counts[k] = self.prefixes(whole[begin[first[k]]:stops[first[k]]])[-1]
+        upto = np.concatenate([[0], np.cumsum(counts[which])])
+        ends = np.cumsum(per_text)
+        return (upto[ends] - upto[ends - per_text]).tolist()
 
     def total(self, text: str) -> int:
-        return int(self.parts(text)[1].sum())
+        return self.totals([text])[0]
+
+    def parts(self, text: str) -> tuple[list[str], np.ndarray, list[list[int]]]:
+        """The parts of a text, the token count of each, and the counts of their prefixes."""
+        parts, known = self.pieces.chunks(text), {}
+        rows = [known.get(p) or known.setdefault(p, self.prefixes(p)) for p in parts]
+        return parts, np.array([r[-1] for r in rows], np.int64), rows
 
     def table(self, text: str) -> np.ndarray:
         """The token count of every prefix of ``text``, by number of characters from 0 on."""
-        parts, totals = self.parts(text)
+        parts, totals, rows = self.parts(text)
         if not parts:
             return np.zeros(1, np.int64)
         base = np.cumsum(totals) - totals
-        rows = [np.frombuffer(self.young[p], np.uint8).astype(np.int64) if len(p) <= KEPT_LENGTH
-                else np.array(self.prefixes(p), np.int64) for p in parts]
         # Position 0 of the marked text is the blank that every text gets in front.
-        counts = np.concatenate([b + r for b, r in zip(base, rows)])
+        counts = np.concatenate([b + np.array(r) for b, r in zip(base, rows)])
         counts[0] = 0
         return counts
 
     def cut(self, text: str, limit: int) -> int:
         """Characters of the longest prefix with at most ``limit`` tokens."""
-        parts, totals = self.parts(text)
+        parts, totals, rows = self.parts(text)
         ends = np.cumsum(totals)
         if not parts or ends[-1] <= limit:
             return len(text)
@@ -182,7 +204,7 @@ class PrefixCounts:
         while at >= 0:
             base = int(ends[at] - totals[at])
             if base <= limit:
-                fits = np.flatnonzero(np.array(self.prefixes(parts[at])) + base <= limit)
+                fits = np.flatnonzero(np.array(rows[at]) + base <= limit)
                 behind = sum(map(len, parts[:at]))
                 if len(fits):
                     return max(0, behind + int(fits[-1]))
