@@ -6,18 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lakewright.operators.windows import latest_per_key, match
-from lakewright.sources.tables import durable
-
-SMALL_ROWS = 1_000_000
-SMALL_BYTES = 100 * 1024 * 1024
-
-
-def broadcast_if_small(df: DataFrame, max_rows: int = SMALL_ROWS, max_bytes: int = SMALL_BYTES) -> DataFrame:
-    """Mark for broadcast only after a bounded look has shown few rows of little text; else join as usual."""
-    seen = df.limit(max_rows + 1).agg(F.count(F.lit(1)).alias("rows"),
-                                      F.sum(F.length(F.to_json(F.struct("*")))).alias("bytes")).first()
-    return F.broadcast(df) if seen.rows <= max_rows and (seen.bytes or 0) <= max_bytes else df
-
+from lakewright.sources.tables import scratch_path
 
 def not_in(left: DataFrame, column: str, values: DataFrame, value: str) -> DataFrame:
     """Rows whose ``column`` is NOT IN the values, with SQL null rules.
@@ -47,27 +36,34 @@ def update_from(target: DataFrame, source: DataFrame, on: list[str], changes: di
                            for c in kept])
 
 
-def hierarchy(nodes: DataFrame, max_depth: int = 100) -> DataFrame:
+def hierarchy(nodes: DataFrame) -> DataFrame:
     """Level and path of every node (id, parent) reachable from the roots, level by level.
 
     Each level is written before the next one starts, so depth does not grow the
-    plan and there is no row limit.
+    plan, and the levels are read back as one table: there is no limit on rows
+    or depth. A node that comes up again below itself raises an error.
     """
-    level = durable(nodes.where(F.col("parent").isNull())
-                    .select("id", "parent", F.lit(1).alias("level"), F.col("id").alias("path")))
+    spark = nodes.sparkSession
+    path = scratch_path(spark, "hierarchy")
     children = nodes.where(F.col("parent").isNotNull())
-    levels = [level]
-    while len(levels) < max_depth:
-        above = level.select(F.col("id").alias("_up"), "level", "path")
-        level = durable(children.join(above, F.col("parent") == F.col("_up")).select(
-            "id", "parent", (F.col("level") + 1).alias("level"), F.concat_ws("/", "path", "id").alias("path")))
-        if level.isEmpty():
+    level = nodes.where(F.col("parent").isNull()).select("id", "parent", F.lit(1).alias("level"), F.col("id").alias("path"),
+                                                         F.array("id").alias("_above"))
+    depth = 1
+    while True:
+        folder = f"{path}/depth={depth}"
+        level.write.option("compression", "zstd").parquet(folder)
+        written = spark.read.parquet(folder)
+        if written.isEmpty():
             break
-        levels.append(level)
-    found = levels[0]
-    for one in levels[1:]:
-        found = found.unionByName(one)
-    return found
+        above = written.select(F.col("id").alias("_up"), "level", "path", "_above")
+        below = children.join(above, F.col("parent") == F.col("_up"))
+        looped = below.where(F.array_contains("_above", F.col("id"))).select("id").first()
+        if looped is not None:
+            raise ValueError(f"node {looped.id} lies below itself")
+        level = below.select("id", "parent", (F.col("level") + 1).alias("level"), F.concat_ws("/", "path", "id").alias("path"),
+                             F.concat("_above", F.array("id")).alias("_above"))
+        depth += 1
+    return spark.read.parquet(path).drop("_above", "depth")
 
 
 def write_bucketed(df: DataFrame, table: str, path: str, key: str, buckets: int) -> DataFrame:

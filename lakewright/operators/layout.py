@@ -8,7 +8,6 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lakewright.functions.validators import identifier
-from lakewright.operators.joins import broadcast_if_small
 
 # How partitions of each interval are named and how far apart they start.
 INTERVALS = {
@@ -168,7 +167,8 @@ def distribute(df: DataFrame, strategy: str, key: str | None = None, n: int | No
     if strategy == "balanced":
         return df.hint("rebalance", F.col(key))
     if strategy == "reference":
-        return broadcast_if_small(df)
+        # A small table needs no layout: Spark sends it to every task if its size allows.
+        return df
     if strategy == "append":
         return df
     raise ValueError(f"unknown strategy {strategy}")

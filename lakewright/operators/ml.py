@@ -5,17 +5,20 @@ from __future__ import annotations
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import LogisticRegression, RandomForestClassifier
 from pyspark.ml.feature import VectorAssembler
-from pyspark.ml.functions import vector_to_array
+from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.ml.regression import LinearRegression, LinearRegressionModel
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lakewright.sources.tables import scratch_path
 
 
-def padded_features(array: Column, width: int = 4) -> list[Column]:
-    """The first ``width`` entries of an array, missing ones as 0."""
-    return [F.coalesce(F.try_element_at(array, F.lit(i + 1)).cast("double"), F.lit(0.0)).alias(f"f{i}") for i in range(width)]
+def vector_column(df: DataFrame, array: str, name: str) -> DataFrame:
+    """``df`` with an array of numbers as a vector as long as its longest row; missing and null entries are 0."""
+    width = df.agg(F.max(F.size(array))).first()[0] or 0
+    filled = F.transform(F.sequence(F.lit(1), F.lit(max(width, 1))), lambda i: F.coalesce(
+        F.try_element_at(F.col(array), i).cast("double"), F.lit(0.0)))
+    return df.withColumn(name, array_to_vector(filled))
 
 
 def classify(df: DataFrame, features: list[str], label: str, trees: int = 10, seed: int = 42) -> DataFrame:

@@ -14,49 +14,57 @@ from lakewright.sources.tables import durable
 
 def _histogram(pool: DataFrame, group: list[str], bins: int, *carried: Column) -> tuple[DataFrame, DataFrame]:
     """Values with their bin, and per bin the number of values in it and below it."""
-    edges = pool.groupBy(*group).agg(F.min("_v").alias("_lo"), F.max("_v").alias("_hi"), *carried)
-    share = (F.col("_v") - F.col("_lo")) / F.nullif(F.col("_hi") - F.col("_lo"), F.lit(0.0))
+    edges = pool.groupBy(*group).agg(F.min("_v").cast("double").alias("_lo"), F.max("_v").cast("double").alias("_hi"), *carried)
+    share = (F.col("_v").cast("double") - F.col("_lo")) / F.nullif(F.col("_hi") - F.col("_lo"), F.lit(0.0))
     number = F.least(F.coalesce(F.floor(share * bins), F.lit(0)), F.lit(bins - 1)).cast("int")
     binned = pool.join(edges, group).withColumn("_bin", number)
     extra = [c for c in edges.columns if c not in (*group, "_lo", "_hi")]
     kept = [c for c in ("_rank",) if c in pool.columns]
-    counted = binned.groupBy(*group, "_bin").agg(F.sum("_n").alias("_in"), *[F.first(c).alias(c) for c in (*extra, *kept)])
+    counted = binned.groupBy(*group, "_bin").agg(F.sum("_n").alias("_in"), F.count(F.lit(1)).alias("_kinds"),
+                                                 *[F.first(c).alias(c) for c in (*extra, *kept)])
     # One row per group and bin is left for the window.
     upto = Window.partitionBy(*group).orderBy("_bin").rowsBetween(Window.unboundedPreceding, 0)
     return binned.drop("_lo", "_hi", *extra), counted.withColumn("_below", F.sum("_in").over(upto) - F.col("_in"))
 
 
 def percentiles(df: DataFrame, keys: list[str], value: str, probs: dict[str, float],
-                discrete: bool = False, bins: int = 4096, levels: int = 1) -> DataFrame:
-    """One row per group with one column per entry of ``probs``.
+                discrete: bool = False, bins: int = 4096, crowd: int = 65536) -> DataFrame:
+    """One row per group with one column per entry of ``probs``; null for a group without a value.
 
     Continuous percentiles interpolate between neighbours; discrete ones return
-    the first value whose cumulative share reaches the probability. More levels
-    narrow the bins again, for groups whose values crowd into few bins.
+    the first value whose cumulative share reaches the probability, in the type
+    of the column. While a wanted rank lies in a bin of more than ``crowd``
+    different values, that bin is cut into bins again: one far value cannot
+    bring most of a group into one task. Without keys there is always one row.
     """
     # As one struct, keys that are null equal each other in joins.
     group = F.struct(*[F.col(k) for k in keys]) if keys else F.struct(F.lit(0).alias("_all"))
     # The counts feed several steps: written once, all of them see the same values.
-    pool = durable(df.where(F.col(value).isNotNull())
-                   .groupBy(group.alias("_g"), F.col(value).cast("double").alias("_v"))
-                   .agg(F.count(F.lit(1)).alias("_n")))
-    binned, histogram = _histogram(pool, ["_g"], bins, F.sum("_n").alias("_total"))
+    pool = durable(df.groupBy(group.alias("_g"), F.col(value).alias("_v")).agg(F.count(F.lit(1)).alias("_n")))
+    groups = pool.select("_g").distinct() if keys else df.sparkSession.range(1).select(group.alias("_g"))
+    binned, histogram = _histogram(pool.where("_v is not null"), ["_g"], bins, F.sum("_n").alias("_total"))
     wanted = F.explode(F.array(*[F.struct(F.lit(name).alias("name"), F.lit(float(p)).alias("p")) for name, p in probs.items()]))
     position = (F.greatest(F.ceil(F.col("_w.p") * F.col("_total")) - 1, F.lit(0)).cast("double")
                 if discrete else F.col("_w.p") * (F.col("_total") - 1))
     ranks = F.explode(F.array(F.struct(F.lit("lo").alias("side"), F.floor("_pos").alias("rank")),
                               F.struct(F.lit("hi").alias("side"), F.ceil("_pos").alias("rank"))))
     inside = (F.col("_r.rank") >= F.col("_below")) & (F.col("_r.rank") < F.col("_below") + F.col("_in"))
-    hits = (histogram.withColumn("_w", wanted).withColumn("_pos", position).withColumn("_r", ranks).where(inside)
-            .select("_g", "_bin", F.col("_w.name").alias("_name"), F.col("_r.side").alias("_side"),
-                    (F.col("_pos") - F.floor("_pos")).alias("_frac"), (F.col("_r.rank") - F.col("_below")).alias("_rank")))
-    pool = binned.join(hits, ["_g", "_bin"]).drop("_bin")
+    hits = durable(
+        histogram.withColumn("_w", wanted).withColumn("_pos", position).withColumn("_r", ranks).where(inside)
+        .select("_g", "_bin", F.col("_w.name").alias("_name"), F.col("_r.side").alias("_side"),
+                (F.col("_pos") - F.floor("_pos")).alias("_frac"), (F.col("_r.rank") - F.col("_below")).alias("_rank"), "_kinds"))
+    pool = binned.join(hits.drop("_kinds"), ["_g", "_bin"]).drop("_bin")
     one = ["_g", "_name", "_side"]  # from here on each group looks for a single rank
-    for _ in range(levels - 1):
-        binned, histogram = _histogram(pool, one, bins)
-        hit = histogram.where((F.col("_rank") >= F.col("_below")) & (F.col("_rank") < F.col("_below") + F.col("_in")))
-        pool = (binned.join(hit.select(*one, "_bin", "_below"), [*one, "_bin"])
+    most = hits.agg(F.max("_kinds")).first()[0] or 0
+    while most > crowd:
+        binned, histogram = _histogram(durable(pool), one, bins)
+        hit = durable(histogram.where((F.col("_rank") >= F.col("_below")) & (F.col("_rank") < F.col("_below") + F.col("_in")))
+                      .select(*one, "_bin", "_below", "_kinds"))
+        pool = (binned.join(hit.drop("_kinds"), [*one, "_bin"])
                 .withColumn("_rank", F.col("_rank") - F.col("_below")).drop("_bin", "_below"))
+        before, most = most, hit.agg(F.max("_kinds")).first()[0] or 0
+        if most == before:
+            break
     upto = Window.partitionBy(*one).orderBy("_v").rowsBetween(Window.unboundedPreceding, 0)
     found = (pool.withColumn("_end", F.sum("_n").over(upto))
              .where((F.col("_rank") < F.col("_end")) & (F.col("_rank") >= F.col("_end") - F.col("_n"))))
@@ -66,7 +74,8 @@ def percentiles(df: DataFrame, keys: list[str], value: str, probs: dict[str, flo
 
     outputs = []
     for name in probs:
-        low, high = pick(name, "lo", "_v"), pick(name, "hi", "_v")
-        outputs.append((low + (high - low) * pick(name, "lo", "_frac")).alias(name))
-    result = found.groupBy("_g").agg(*outputs)
+        low, high = pick(name, "lo", "_v"), pick(name, "hi", "_v").cast("double")
+        outputs.append(low.alias(name) if discrete else
+                       (low.cast("double") + (high - low.cast("double")) * pick(name, "lo", "_frac")).alias(name))
+    result = groups.join(found.groupBy("_g").agg(*outputs), "_g", "left")
     return result.select(*[F.col(f"_g.{k}").alias(k) for k in keys], *probs)

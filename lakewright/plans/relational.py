@@ -157,7 +157,7 @@ def join_update_from(t):
 
 @plan("join_broadcast", """SELECT n_name, count(*) AS n FROM customer JOIN nation ON c_nationkey = n_nationkey GROUP BY 1""")
 def join_broadcast(t):
-    return (t.customer.join(joins.broadcast_if_small(t.nation), C("c_nationkey") == C("n_nationkey"))
+    return (t.customer.join(t.nation, C("c_nationkey") == C("n_nationkey"))
             .groupBy("n_name").agg(n_rows().alias("n")))
 
 

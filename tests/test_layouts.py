@@ -261,11 +261,11 @@ def test_top_per_key_limits_before_the_shuffle(tables):
     assert "WindowGroupLimit" in text
 
 
-def test_broadcast_is_checked(tables):
-    from lakewright.operators.joins import broadcast_if_small
+def test_small_tables_are_sent_by_size_alone(tables):
+    from lakewright.operators import layout
 
-    assert "BroadcastHashJoin" in plan_text(tables.customer.join(broadcast_if_small(tables.nation), F.col("c_nationkey") == F.col("n_nationkey")))
-    assert "ResolvedHint" not in plan_text(broadcast_if_small(tables.orders, max_rows=10))
+    joined = tables.customer.join(layout.distribute(tables.nation, "reference"), F.col("c_nationkey") == F.col("n_nationkey"))
+    assert "BroadcastHashJoin" in plan_text(joined) and "ResolvedHint" not in plan_text(joined)
 
 
 def test_haversine(spark):
@@ -284,3 +284,19 @@ def test_reconcile_finds_a_lost_row(tables):
     assert migrate.reconcile(tables.orders, tables.orders, amounts).where("NOT matches").isEmpty()
     short = tables.orders.where("o_orderkey > 0")
     assert migrate.reconcile(tables.orders, short, amounts).where("NOT matches").count() == 2
+
+
+@pytest.mark.parametrize("name", ["documents", "conversations"])
+def test_delimited_files_keep_texts(spark, tables, tmp_path, name):
+    from lakewright.sources import files
+
+    odd = spark.createDataFrame([('a "quoted"\nline\\', ""), (" spaces ", None), ("\r\n", "x,y|z")], "text string, other string")
+    given = getattr(tables, name)
+    for k, df in enumerate((given, odd, tables.events.select("event_id", (F.col("ts") + F.expr("INTERVAL 123456 MICROSECOND")).alias("ts"),
+                                                             F.lit("2024-01-01 00:00:00.123456").cast("timestamp").alias("zoned")))):
+        fmt = files.CsvFormat(null_string="\\N")
+        path = str(tmp_path / f"{k}")
+        files.export_csv(df, path, fmt)
+        back = files.scan_csv(spark, path, ", ".join(f"`{c}` {kind}" for c, kind in df.dtypes), fmt)
+        assert back.exceptAll(df).isEmpty() and df.exceptAll(back).isEmpty()
+    assert rows(migrate.copy_table(odd, str(tmp_path / "staged"), str(tmp_path / "copy"))) == rows(odd)

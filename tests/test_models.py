@@ -15,10 +15,10 @@ def points(spark):
     return spark.range(200).select("id", x.alias("a"), (F.col("id") % 3).cast("double").alias("b"), (F.col("id") % 2).cast("double").alias("label"))
 
 
-def test_features_are_padded(spark):
+def test_vectors_are_taken_whole(spark):
     df = spark.createDataFrame([([1.0, 2.0, 3.0, 4.0, 5.0],), ([7.0],), (None,)], "v array<double>")
-    got = [tuple(r) for r in df.select(*ml.padded_features(F.col("v"))).collect()]
-    assert got == [(1.0, 2.0, 3.0, 4.0), (7.0, 0.0, 0.0, 0.0), (0.0, 0.0, 0.0, 0.0)]
+    got = [list(r.vector) for r in ml.vector_column(df, "v", "vector").collect()]
+    assert got == [[1.0, 2.0, 3.0, 4.0, 5.0], [7.0, 0.0, 0.0, 0.0, 0.0], [0.0] * 5]
 
 
 def test_forest_separates_classes(points):

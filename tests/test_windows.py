@@ -132,25 +132,34 @@ def test_smoothing_fixture(spark):
     assert [r.smoothed for r in got] == [10.0, 15.0, 22.5]
 
 
-@pytest.mark.parametrize("levels,bins", [(1, 4096), (2, 8), (3, 3), (1, 1)])
-def test_percentiles(spark, levels, bins):
+@pytest.mark.parametrize("crowd,bins", [(65536, 4096), (20, 8), (2, 3), (1, 1)])
+def test_percentiles(spark, crowd, bins):
     import numpy as np
 
     rng = random.Random(1)
-    data = [("hot", rng.expovariate(0.01)) for _ in range(700)] + [("one", 5.0)] + [(None, float(i % 7)) for i in range(90)]
+    data = [("hot", rng.expovariate(0.01)) for _ in range(700)] + [("hot", 1e9)] + [("one", 5.0)] + [(None, float(i % 7)) for i in range(90)]
     data += [("nulls", None)] * 3
     df = spark.createDataFrame(data, "k string, v double")
     probs = {"p0": 0.0, "p25": 0.25, "p50": 0.5, "p99": 0.99, "p100": 1.0}
     for discrete in (False, True):
-        got = {r.k: r for r in percentiles(df, ["k"], "v", probs, discrete, bins, levels).collect()}
-        assert set(got) == {"hot", "one", None}
-        for k in got:
+        got = {r.k: r for r in percentiles(df, ["k"], "v", probs, discrete, bins, crowd).collect()}
+        assert set(got) == {"hot", "one", None, "nulls"}
+        assert all(got["nulls"][name] is None for name in probs)
+        for k in ("hot", "one", None):
             values = np.array([v for kk, v in data if kk == k])
             for name, p in probs.items():
                 want = np.quantile(values, p, method="inverted_cdf" if discrete else "linear")
                 assert got[k][name] == pytest.approx(want, rel=1e-12)
 
 
+def test_percentiles_of_nothing_and_of_large_whole_numbers(spark):
+    empty = spark.createDataFrame([], "k string, v double")
+    assert [tuple(r) for r in percentiles(empty, [], "v", {"p": 0.5}).collect()] == [(None,)]
+    assert percentiles(empty, ["k"], "v", {"p": 0.5}).count() == 0
+    large = spark.createDataFrame([(9007199254740993,), (9007199254740995,)], "v long")
+    assert percentiles(large, [], "v", {"p": 0.1}, True).first().p == 9007199254740993
+
+
 @settings(max_examples=8, deadline=None, suppress_health_check=[HealthCheck.function_scoped_fixture])
 @given(st.lists(st.tuples(st.sampled_from(["x", "y"]), st.integers(-5, 5), st.one_of(st.none(), st.integers(-9, 9))),
                 min_size=1, max_size=40), st.integers(1, 6))
