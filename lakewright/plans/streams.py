@@ -54,8 +54,15 @@ def cdc_capture(t):
 
 @plan("cdc_apply", AFTER_SQL)
 def cdc_apply(t):
+    """The captured log, stored in several files, is streamed into the stored table."""
     before, _, log = change_log(t)
-    return cdc.apply(before, log.withColumn("change_id", C("id")), ["id"], ["change_id"])
+    table = VersionedTable.create(t.spark, scratch_path(t.spark, "customers"))
+    table.replace(before)
+    path = scratch_path(t.spark, "changes")
+    log.withColumn("change_id", C("id")).repartition(3).write.parquet(f"{path}/log")
+    changes = runner.file_stream(t.spark, path, "log", files_per_batch=2)
+    runner.apply_changes(changes, table, ["id"], ["change_id"], scratch_path(t.spark, "progress"))
+    return table.read()
 
 
 @plan("audit_change_trail", f"""WITH {LOG_SQL} SELECT table_name, id, CASE operation WHEN 'I' THEN 'INSERT' WHEN 'U' THEN 'UPDATE' ELSE 'DELETE' END AS action,
@@ -140,7 +147,7 @@ def stream_process(t):
 @plan("stream_rt_aggregate", """SELECT event_type, date_trunc('hour', ts) AS window_start, round(sum(value), 2) AS sum_value,
   round(sum(value), 2) / count(*) AS avg_value, count(value) AS count_value, count(*) AS total_rows FROM events GROUP BY 1, 2""")
 def stream_rt_aggregate(t):
-    agg = windows.real_time_aggregate(events_stream(t), ["event_type"], ["value"], "ts", "1 hour")
+    agg = windows.real_time_aggregate(events_stream(t), ["event_type"], ["value"], "ts", "1 hour", watermark=None)
     path = scratch_path(t.spark, "hourly")
     runner.updates_to(agg, path, scratch_path(t.spark, "progress"))
     out = runner.current(t.spark, path, ["event_type", "window_start"])
@@ -154,7 +161,7 @@ WINDOW_SQL = """count(*) AS count_values, round(sum(value), 2) AS sum_values, ro
 @plan("stream_tumbling", f"""SELECT time_bucket(INTERVAL '2 hours', ts) AS window_start, time_bucket(INTERVAL '2 hours', ts) + INTERVAL 2 HOUR AS window_end, {WINDOW_SQL} FROM events GROUP BY 1, 2""")
 def stream_tumbling(t):
     path = scratch_path(t.spark, "tumbling")
-    runner.updates_to(windows.tumbling(events_stream(t), "ts", "value", "2 hours", watermark="1 hour"), path,
+    runner.updates_to(windows.tumbling(events_stream(t), "ts", "value", "2 hours"), path,
                       scratch_path(t.spark, "progress"))
     return mean_of_sum(runner.current(t.spark, path, ["window_start", "window_end"]))
 
@@ -163,7 +170,10 @@ def stream_tumbling(t):
   WHERE ts >= TIMESTAMP '{EVENTS_AS_OF}' - INTERVAL 12 HOUR)
 SELECT window_start, window_start + INTERVAL 6 HOUR AS window_end, {WINDOW_SQL} FROM e GROUP BY 1, 2""")
 def stream_sliding(t):
-    return mean_of_sum(windows.sliding(t.events, "ts", "value", "6 hours", "3 hours", as_of=ntz(EVENTS_AS_OF)))
+    path = scratch_path(t.spark, "sliding")
+    runner.updates_to(windows.sliding(events_stream(t), "ts", "value", "6 hours", "3 hours", as_of=ntz(EVENTS_AS_OF)), path,
+                      scratch_path(t.spark, "progress"))
+    return mean_of_sum(runner.current(t.spark, path, ["window_start", "window_end"]))
 
 
 @plan("stream_event_summary", """SELECT event_type, count(*) AS event_count, count(DISTINCT user_id) AS unique_users, min(ts) AS first_event, max(ts) AS last_event FROM events GROUP BY 1""")

@@ -7,17 +7,33 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from lakewright.operators import cdc
 from lakewright.operators.eventstore import append
 from lakewright.operators.windows import latest_per_key
+from lakewright.sources.tables import durable
+from lakewright.sources.versioned import VersionedTable
 
 
 def file_stream(spark: SparkSession, folder: str, name: str, files_per_batch: int | None = None) -> DataFrame:
-    """Stream of the parquet files called ``name`` in a folder."""
-    schema = spark.read.parquet(f"{folder}/{name}").schema
-    reader = spark.readStream.schema(schema).option("pathGlobFilter", name)
+    """Stream of a parquet table: the files of the folder called ``name``, or the one file of that name."""
+    path = f"{folder}/{name}"
+    reader = spark.readStream.schema(spark.read.parquet(path).schema)
     if files_per_batch:
         reader = reader.option("maxFilesPerTrigger", files_per_batch)
-    return reader.parquet(folder)
+    if is_folder(spark, path):
+        return reader.parquet(path)
+    return reader.option("pathGlobFilter", name).parquet(folder)
+
+
+def is_folder(spark: SparkSession, path: str) -> bool:
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    system = where.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf())
+    return system.exists(where) and system.getFileStatus(where).isDirectory()
+
+
+def _read_or_empty(spark: SparkSession, path: str, schema) -> DataFrame:
+    """The written table, or no rows of its schema if nothing has been written."""
+    return spark.read.parquet(path) if is_folder(spark, path) else spark.createDataFrame([], schema)
 
 
 def _finish(writer) -> None:
@@ -37,10 +53,44 @@ def each_batch(stream: DataFrame, step: Callable[[DataFrame, int], None], checkp
 
 def updates_to(stream: DataFrame, path: str, checkpoint: str) -> None:
     """Write each batch's changed groups under its batch number; a repeated batch replaces itself."""
+    nothing = stream.sparkSession.createDataFrame([], stream.schema)
+    nothing.write.mode("overwrite").parquet(f"{path}/batch_id=-1")
     each_batch(stream, lambda df, batch: df.write.mode("overwrite").parquet(f"{path}/batch_id={batch}"),
                checkpoint, mode="update")
 
 
+def compact(spark: SparkSession, path: str, keys: list[str]) -> None:
+    """Merge the batches written so far into the newest one's folder; readers see the same groups.
+
+    The merged state replaces the newest batch before older folders go, so a
+    reader that comes between finds each group's latest state either way. A
+    batch must not be running.
+    """
+    written = spark.read.parquet(path)
+    newest = written.agg(F.max("batch_id")).first()[0]
+    if newest is None:
+        return
+    merged = durable(latest_per_key(written, keys, ["batch_id"]).drop("batch_id"))
+    merged.write.mode("overwrite").parquet(f"{path}/batch_id={newest}")
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    system = where.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf())
+    for status in system.listStatus(where):
+        name = status.getPath().getName()
+        if name.startswith("batch_id=") and int(name.split("=")[1]) < newest:
+            system.delete(status.getPath(), True)
+
+
+def apply_changes(log: DataFrame, table: VersionedTable, keys: list[str], order: list[str], checkpoint: str) -> None:
+    """Apply a stream of changes (see ``cdc.capture``) to a stored table, one version per batch.
+
+    Applying a batch again gives the same rows, as the last change of a key wins.
+    """
+    def step(changes: DataFrame, _: int) -> None:
+        table.replace(cdc.apply(table.read(), changes, keys, order))
+
+    each_batch(log, step, checkpoint)
+
+
 def current(spark: SparkSession, path: str, keys: list[str]) -> DataFrame:
     """The latest written state of every group."""
     return latest_per_key(spark.read.parquet(path), keys, ["batch_id"]).drop("batch_id")
@@ -48,8 +98,9 @@ def current(spark: SparkSession, path: str, keys: list[str]) -> DataFrame:
 
 def process_stream(stream: DataFrame, transform: Callable[[DataFrame], DataFrame], path: str, checkpoint: str) -> DataFrame:
     """Apply a row transformation to everything new and return the processed table."""
-    append_to(transform(stream), path, checkpoint)
-    return stream.sparkSession.read.parquet(path)
+    changed = transform(stream)
+    append_to(changed, path, checkpoint)
+    return _read_or_empty(stream.sparkSession, path, changed.schema)
 
 
 def append_versions(stream: DataFrame, key: str, order: list[str], path: str, checkpoint: str,

@@ -49,10 +49,12 @@ def _per_column(columns: list[str]) -> list[Column]:
 
 
 def real_time_aggregate(df: DataFrame, keys: list[str], columns: list[str], ts: str, window: str = "1 hour", *,
-                        as_of: Column | None = None, watermark: str = "10 minutes") -> DataFrame:
+                        as_of: Column | None = None, watermark: str | None = "10 minutes") -> DataFrame:
     """Sum, mean and count per column and group.
 
     A batch covers the last window before ``as_of``; a stream gives every window.
+    Rows later than the watermark are dropped; without one none are, which a run
+    over a whole stored table needs, as its files come in any order.
     """
     if df.isStreaming:
         grouped = _bounded(df, ts, watermark).groupBy(*keys, F.window(ts, window).alias("w")).agg(*_per_column(columns))

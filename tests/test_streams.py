@@ -94,3 +94,40 @@ def test_threshold_spans_and_rates(spark):
     assert [(r.started.minute, r.ended.minute, r.samples) for r in found] == [(1, 3, 3)]
     rate = alerts.counter_rate(df, ["k"], "ts", "v", F.lit("all"), 60.0).first().rate
     assert rate == pytest.approx((4 + 0 + 0 + 1 + 8 + 0) / 60)
+
+
+def test_a_folder_streams_as_a_file_does(spark, tables, tmp_path):
+    from lakewright.plans import load_plans
+
+    plans = load_plans()
+    folder = tmp_path / "tables"
+    for k, part in enumerate(tables.events.randomSplit([1.0, 1.0, 1.0], 3)):
+        part.coalesce(1).write.mode("append").parquet(str(folder / "events.parquet"))
+    for key in ("stream_process", "stream_rt_aggregate", "stream_tumbling", "stream_sliding"):
+        rounded = [F.round(c, 6).alias(c) if t == "double" else F.col(c) for c, t in plans[key](spark, tables.folder).dtypes]
+        assert rows(plans[key](spark, str(folder)).select(rounded)) == rows(plans[key](spark, tables.folder).select(rounded)), key
+
+
+def test_unordered_batches_lose_nothing_without_a_watermark(spark, tables, tmp_path):
+    for lo, hi in (("2024-01-20", "2024-02-01"), ("2024-01-01", "2024-01-10"), ("2024-01-10", "2024-01-20")):
+        part = tables.events.where(f"ts >= timestamp_ntz'{lo}' AND ts < timestamp_ntz'{hi}'")
+        part.coalesce(1).write.mode("append").parquet(str(tmp_path / "in" / "events.parquet"))
+    source = runner.file_stream(spark, str(tmp_path / "in"), "events.parquet", files_per_batch=1)
+    out = str(tmp_path / "out")
+    runner.updates_to(windows.tumbling(source, "ts", "value", "1 day"), out, str(tmp_path / "cp"))
+    total = runner.current(spark, out, ["window_start"]).agg(F.sum("count_values")).first()[0]
+    assert total == tables.events.count()
+    before = rows(runner.current(spark, out, ["window_start"]))
+    runner.compact(spark, out, ["window_start"])
+    assert len([p for p in (tmp_path / "out").iterdir() if p.name.startswith("batch_id=")]) == 1
+    assert rows(runner.current(spark, out, ["window_start"])) == before
+
+
+def test_an_empty_stream_gives_an_empty_table(spark, tables, tmp_path):
+    schema = tables.events.schema
+    (tmp_path / "in").mkdir()
+    source = spark.readStream.schema(schema).parquet(str(tmp_path / "in"))
+    done = runner.process_stream(source, lambda df: df.select("event_id"), str(tmp_path / "out"), str(tmp_path / "cp"))
+    assert done.columns == ["event_id"] and done.count() == 0
+    runner.updates_to(windows.tumbling(source, "ts", "value", "1 day"), str(tmp_path / "w"), str(tmp_path / "cp2"))
+    assert runner.current(spark, str(tmp_path / "w"), ["window_start"]).count() == 0
