@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -92,9 +94,22 @@ def time_bucket(width: str, ts: Column, origin: str | None = None) -> Column:
         if int(count) != 1:
             raise ValueError("calendar buckets are one month or one year wide")
         return trunc(unit.rstrip("s"), ts)
-    if origin is None:
-        return F.window(ts, width).getField("start")
-    return F.window(ts, width, width, origin).getField("start")
+    size = _micros(width)
+    shift = _micros(origin) if origin else 0
+    # Subtracting keeps the type of ``ts`` and a null; a window would drop rows without a time.
+    into = F.pmod(F.unix_micros(ts.cast("timestamp")) - F.lit(shift), F.lit(size))
+    seconds = (into.cast("decimal(20,0)") / F.lit(1000000).cast("decimal(7,0)")).cast("decimal(18,6)")
+    return ts - F.make_dt_interval(F.lit(0), F.lit(0), F.lit(0), seconds)
+
+
+_UNIT_MICROS = {"microsecond": 1, "millisecond": 10 ** 3, "second": 10 ** 6, "minute": 60 * 10 ** 6, "hour": 3600 * 10 ** 6,
+                "day": 86400 * 10 ** 6, "week": 7 * 86400 * 10 ** 6}
+
+
+def _micros(interval: str) -> int:
+    """Length of an interval of one number and one unit below a month."""
+    count, unit = interval.split()
+    return int(count) * _UNIT_MICROS[unit.lower().rstrip("s")]
 
 
 def age_months(later: Column, earlier: Column) -> Column:
@@ -108,15 +123,37 @@ def age_month_part(later: Column, earlier: Column) -> Column:
 
 
 # Date format letters of the reference dialect and of Spark.
-FORMAT_LETTERS = (
-    ("YYYY", "yyyy"), ("MM", "MM"), ("DD", "dd"), ("HH24", "HH"), ("HH12", "hh"), ("MI", "mm"), ("SS", "ss"),
-)
+FORMAT_LETTERS = {
+    "YYYY": "yyyy", "YY": "yy", "MONTH": "MMMM", "MON": "MMM", "MM": "MM", "DDD": "DDD", "DD": "dd", "DAY": "EEEE", "DY": "EEE",
+    "HH24": "HH", "HH12": "hh", "HH": "hh", "MI": "mm", "SS": "ss", "MS": "SSS", "US": "SSSSSS", "AM": "a", "PM": "a", "Q": "q",
+}
+_TOKEN = re.compile("|".join(["'(?:[^']|'')*'", '"[^"]*"', *sorted(FORMAT_LETTERS, key=len, reverse=True), "[A-Z]+", "."]),
+                    re.IGNORECASE | re.DOTALL)
 
 
 def spark_format(fmt: str) -> str:
-    for theirs, ours in FORMAT_LETTERS:
-        fmt = fmt.replace(theirs, ours)
-    return fmt
+    """A format of the reference dialect in Spark's letters, the longest token first.
+
+    Text in single or double quotes stays as it is. Names come out as Spark
+    spells them, so only their capitalised spelling (Mon, Month, Dy, Day) is
+    accepted. Unknown letters raise an error instead of giving another text.
+    """
+    out = []
+    for token in _TOKEN.findall(fmt):
+        known = FORMAT_LETTERS.get(token.upper())
+        if token[0] == '"':
+            out.append("'" + token[1:-1].replace("'", "''") + "'")
+        elif token[0] == "'":
+            out.append(token)
+        elif known and token.upper() in ("MONTH", "MON", "DAY", "DY") and token != token.capitalize():
+            raise ValueError(f"only the spelling {token.capitalize()} of {token} is supported in {fmt!r}")
+        elif known:
+            out.append(known)
+        elif token[0].isalpha():
+            raise ValueError(f"unknown letters {token!r} in format {fmt!r}")
+        else:
+            out.append(token)
+    return "".join(out)
 
 
 def to_date(text: Column, fmt: str) -> Column:

@@ -25,8 +25,8 @@ def parse_safe(doc: Column) -> Column:
 
 
 def merge(a: Column, b: Column) -> Column:
-    """Object concatenation in which the right side wins."""
-    left, right = (F.from_json(x, "map<string,string>") for x in (a, b))
+    """Object concatenation in which the right side wins; values keep their JSON type."""
+    left, right = (F.from_json(x, "map<string,variant>") for x in (a, b))
     kept = F.map_filter(left, lambda k, _: ~F.array_contains(F.map_keys(right), k))
     return F.to_json(F.map_concat(kept, right))
 
@@ -43,15 +43,18 @@ def flatten_rows(df: DataFrame, doc: str) -> DataFrame:
     return df.select(*df.columns, F.explode(F.from_json(F.col(doc), "map<string,string>")).alias("key", "value"))
 
 
-# What the text of a scalar looks like for each declared JSON type.
+# The declared JSON types, and how the type of a parsed value is spelled.
 TYPE_PATTERNS = {
-    "integer": r"^-?\d+$", "number": r"^-?\d+(\.\d+)?([eE][+-]?\d+)?$", "boolean": r"^(true|false)$", "string": r"(?s)^.*$",
+    "integer": r"^BIGINT$", "number": r"^(BIGINT|DECIMAL\(.*\)|DOUBLE|FLOAT)$", "boolean": r"^BOOLEAN$", "string": r"^STRING$",
+    "object": r"^OBJECT<.*>$", "array": r"^ARRAY<.*>$",
 }
 
 
 def matches_schema(doc: Column, required: dict[str, str]) -> Column:
     """True if the text is a JSON object holding every required key with its declared type."""
-    ok = F.try_parse_json(doc).isNotNull() & F.json_object_keys(doc).isNotNull()
+    parsed = F.try_parse_json(doc)
+    ok = parsed.isNotNull() & F.json_object_keys(doc).isNotNull()
     for key, kind in required.items():
-        ok = ok & F.coalesce(get(doc, key).rlike(TYPE_PATTERNS[kind]), F.lit(False))
+        found = F.schema_of_variant(F.try_variant_get(parsed, f"$.{key}", "variant"))
+        ok = ok & F.coalesce(found.rlike(TYPE_PATTERNS[kind]), F.lit(False))
     return F.coalesce(ok, F.lit(False))

@@ -11,13 +11,23 @@ def round_half_away(x: Column, places: int) -> Column:
     return F.round(x, places)
 
 
-def floor_div(a: Column, b: Column) -> Column:
-    return F.floor(a / F.nullif(b, F.lit(0)))
+def floor_div(a: Column, b: Column, whole: bool = False) -> Column:
+    """Quotient rounded down, null for division by 0.
+
+    ``whole`` says that both are whole numbers, which are then divided as such
+    and stay exact beyond 2 ** 53.
+    """
+    divisor = F.nullif(b, F.lit(0))
+    if not whole:
+        return F.floor(a / divisor)
+    down = (a % divisor != 0) & ((a < 0) != (b < 0))
+    return F.call_function("div", a, divisor) - F.when(down, 1).otherwise(0)
 
 
 def floor_mod(a: Column, b: Column) -> Column:
-    """Remainder with the sign of the divisor."""
-    return a - floor_div(a, b) * b
+    """Remainder with the sign of the divisor, null for division by 0; exact for whole numbers."""
+    rest = a % F.nullif(b, F.lit(0))
+    return F.when((rest != 0) & ((rest < 0) != (b < 0)), rest + b).otherwise(rest)
 
 
 def safe_sqrt(x: Column) -> Column:

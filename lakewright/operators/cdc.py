@@ -25,12 +25,13 @@ def capture(before: DataFrame, after: DataFrame, keys: list[str], table: str) ->
         one = F.col(f"_old_{k}").eqNullSafe(F.col(f"_new_{k}"))
         same = one if same is None else same & one
     both = old.join(new, same, "full_outer")
+    whole = {"ignoreNullFields": "false"}
     operation = (F.when(F.col("old").isNull(), "I").when(F.col("new").isNull(), "D")
                  .when(~F.col("old").eqNullSafe(F.col("new")), "U"))
     return (both.withColumn("operation", operation).where(F.col("operation").isNotNull())
             .select(F.lit(table).alias("table_name"), "operation",
                     *[F.coalesce(f"_new_{k}", f"_old_{k}").alias(k) for k in keys],
-                    F.to_json("old").alias("old_values"), F.to_json("new").alias("new_values")))
+                    F.to_json("old", whole).alias("old_values"), F.to_json("new", whole).alias("new_values")))
 
 
 def apply(base: DataFrame, log: DataFrame, keys: list[str], order: list[str]) -> DataFrame:
@@ -88,8 +89,10 @@ def connector_options(servers: Column, topic: Column) -> Column:
 def change_trail(log: DataFrame, keys: list[str]) -> DataFrame:
     """One audit entry per change: table, key, action and the names of the changed fields."""
     old, new = (F.from_json(F.col(c), "map<string,string>") for c in ("old_values", "new_values"))
-    changed = F.filter(F.map_keys(F.coalesce(new, old)), lambda k: ~F.coalesce(
-        F.try_element_at(old, k).eqNullSafe(F.try_element_at(new, k)), F.lit(False)))
+    fields = F.array_union(F.coalesce(F.map_keys(old), F.array()), F.coalesce(F.map_keys(new), F.array()))
+    # An entry or removal names every field, also one whose value is null.
+    alone = old.isNull() | new.isNull()
+    changed = F.filter(fields, lambda k: alone | ~F.try_element_at(old, k).eqNullSafe(F.try_element_at(new, k)))
     action = F.element_at(F.create_map(F.lit("I"), F.lit("INSERT"), F.lit("U"), F.lit("UPDATE"), F.lit("D"), F.lit("DELETE")),
                           F.col("operation"))
     return log.select("table_name", *keys, action.alias("action"), F.array_join(F.sort_array(changed), ",").alias("changed_fields"))

@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
+import hashlib
 import time
-import uuid
 from collections.abc import Callable, Sequence
 from dataclasses import dataclass, field
 
@@ -83,13 +83,14 @@ class RunResult:
     last_value: object
 
 
-def load(source: DataFrame, job: Job, path: str, last_value=None) -> RunResult:
+def load(source: DataFrame, job: Job, path: str, last_value=None, run_id: str | None = None) -> RunResult:
     """One run of a job as one distributed write into a folder of its own under the target.
 
     An incremental job takes rows above ``last_value`` and reports the greatest
-    value it saw. Earlier loads are not rewritten.
+    value it saw. The folder is named after the run: without ``run_id`` after
+    job and mark, so a repeated load replaces itself and others stay.
     """
-    run_id, begin = uuid.uuid4().hex, time.monotonic()
+    run_id, begin = run_id or hashlib.md5(f"{job.name}:{last_value}".encode()).hexdigest(), time.monotonic()
     rows, mark = source, F.lit(None)
     if job.incremental_column:
         mark = F.col(job.incremental_column)

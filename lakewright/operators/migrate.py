@@ -7,7 +7,6 @@ from pyspark.sql import functions as F
 
 from lakewright.operators.windows import match
 from lakewright.sources.federation import map_vendor_type
-from lakewright.sources.files import CsvFormat, export_csv, scan_csv
 
 
 def table_definitions(columns: DataFrame, keys: DataFrame) -> DataFrame:
@@ -31,11 +30,10 @@ def chunk_plan(tables: DataFrame, size: int = 100_000) -> DataFrame:
 
 
 def copy_table(df: DataFrame, staging: str, target: str) -> DataFrame:
-    """Copy a table through delimited files, in parallel on both sides."""
+    """Copy a table through a staged export, in parallel on both sides; every value and type survives."""
     spark = df.sparkSession
-    export_csv(df, staging, CsvFormat(null_string="\\N"))
-    schema = ", ".join(f"`{c}` {k}" for c, k in df.dtypes)
-    scan_csv(spark, staging, schema, CsvFormat(null_string="\\N")).write.mode("overwrite").parquet(target)
+    df.write.mode("overwrite").option("compression", "zstd").parquet(staging)
+    spark.read.parquet(staging).write.mode("overwrite").option("compression", "zstd").parquet(target)
     return spark.read.parquet(target)
 
 

@@ -468,7 +468,7 @@ def math_round(t):
 @plan("math_div", f"SELECT event_id, floor((value - 50) / 7)::BIGINT AS q, floor((event_id - 5000) / nullif({K_SQL} - 50, 0)::DOUBLE)::BIGINT AS p FROM events")
 def math_div(t):
     return t.events.select("event_id", numbers.floor_div(C("value") - 50, F.lit(7.0)).alias("q"),
-                           numbers.floor_div(C("event_id") - 5000, k_of() - 50).alias("p"))
+                           numbers.floor_div(C("event_id") - 5000, k_of() - 50, whole=True).alias("p"))
 
 
 @plan("math_mod", f"""SELECT event_id, (event_id - 5000) - floor((event_id - 5000) / nullif({K_SQL} - 50, 0)::DOUBLE)::BIGINT * ({K_SQL} - 50) AS m FROM events""")
@@ -546,7 +546,7 @@ def json_extract_path(t):
                            jsons.extract_path(doc, "type").alias("kind"), jsons.extract_path(doc, "no.such").alias("absent"))
 
 
-@plan("json_build", """SELECT event_id, '{"k":"' || json_extract_string(props, '$.k') || '","user":"' || user_id || '"}' AS doc FROM events""")
+@plan("json_build", "SELECT event_id, json_merge_patch(props::JSON, json_object('user', user_id))::VARCHAR AS doc FROM events")
 def json_build(t):
     extra = F.to_json(F.struct(C("user_id").alias("user")))
     return t.events.select("event_id", jsons.merge(C("props"), extra).alias("doc"))

@@ -12,17 +12,28 @@ from lakewright.functions.validators import column_definitions, identifier
 
 @dataclass(frozen=True)
 class CsvFormat:
+    """How a delimited file is written and read.
+
+    ``line_breaks`` allows line breaks inside quoted values: one file is then
+    read by one task, so large exports should consist of many files. Without it
+    large files are split. A null and an empty text differ if ``null_string``
+    is not empty.
+    """
+
     delimiter: str = ","
     null_string: str = ""
     header: bool = True
     encoding: str = "UTF-8"
     quote: str = '"'
     escape: str = '"'
+    line_breaks: bool = True
 
     def options(self) -> dict[str, str]:
         return {"sep": self.delimiter, "nullValue": self.null_string, "header": str(self.header).lower(),
                 "encoding": self.encoding, "quote": self.quote, "escape": self.escape,
-                "timestampNTZFormat": "yyyy-MM-dd HH:mm:ss[.SSSSSS]"}
+                "multiLine": str(self.line_breaks).lower(), "mode": "FAILFAST", "lineSep": "\n",
+                "ignoreLeadingWhiteSpace": "false", "ignoreTrailingWhiteSpace": "false",
+                "timestampNTZFormat": "yyyy-MM-dd HH:mm:ss[.SSSSSS]", "timestampFormat": "yyyy-MM-dd HH:mm:ss[.SSSSSS][XXX]"}
 
 
 def scan_csv(spark: SparkSession, path: str, schema: str, fmt: CsvFormat = CsvFormat()) -> DataFrame:

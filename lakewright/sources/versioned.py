@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
-from lakewright.operators.windows import match
+from lakewright.operators.windows import latest_per_key, match
 
 
 class VersionedTable:
@@ -88,9 +88,16 @@ class VersionedTable:
         return self.replace(upsert(self.read(), rows, keys))
 
 
-def upsert(target: DataFrame, source: DataFrame, keys: list[str]) -> DataFrame:
-    """Source rows over target rows of the same key; ``source`` must be unique on the keys."""
-    return match(target, source.select(*keys), keys, "left_anti").unionByName(source.select(*target.columns))
+def upsert(target: DataFrame, source: DataFrame, keys: list[str], order: list[str] | None = None) -> DataFrame:
+    """Source rows over target rows of the same key.
+
+    Of source rows that share a key the greatest by ``order`` counts; without
+    one, the greatest by its values, so the result has one row per source key.
+    """
+    rows = source.select(*target.columns, *[c for c in order or [] if c not in target.columns])
+    rest = order or [c for c in target.columns if c not in keys]
+    one = (latest_per_key(rows, keys, rest) if rest else rows.distinct()).select(*target.columns)
+    return match(target, one.select(*keys), keys, "left_anti").unionByName(one)
 
 
 def insert_ignore(target: DataFrame, source: DataFrame, keys: list[str]) -> DataFrame:

@@ -162,9 +162,16 @@ def test_not_in_null_rules(spark):
 
 
 def test_hierarchy_has_no_depth_limit(spark):
-    chain = spark.range(12).select(F.col("id").cast("string").alias("id"), F.when(F.col("id") > 0, (F.col("id") - 1).cast("string")).alias("parent"))
+    chain = spark.range(110).select(F.col("id").cast("string").alias("id"), F.when(F.col("id") > 0, (F.col("id") - 1).cast("string")).alias("parent"))
     got = joins.hierarchy(chain)
-    assert got.count() == 12 and got.agg(F.max("level")).first()[0] == 12
+    assert got.count() == 110 and got.agg(F.max("level")).first()[0] == 110
+
+
+def test_hierarchy_finds_a_node_below_itself(spark):
+    nodes = spark.createDataFrame([("a", None), ("b", "a"), ("c", "b"), ("b", "c")], "id string, parent string")
+    with pytest.raises(ValueError, match="lies below itself"):
+        joins.hierarchy(nodes)
+    assert joins.hierarchy(nodes.limit(0)).count() == 0
 
 
 def test_refresh_schedule(spark, tmp_path):
@@ -222,3 +229,47 @@ def test_scratch_paths_are_in_the_shared_folder(spark):
     from lakewright.sources.tables import shared_folder
 
     assert scratch_path(spark, "x").startswith(shared_folder(spark) + "/x-")
+
+
+def test_predicate_columns_of_texts(spark):
+    from lakewright.operators import logs
+
+    texts = [
+        "SELECT a, b FROM Orders o JOIN items AS i ON o.id = i.order_id WHERE o.status in ('a.b = c', 'x') AND total > 5 ORDER BY o.placed DESC, i.line",
+        "select 1 from users where name like '%= 3' -- and hidden.col = 1\n and /* other.col = 2 */ \"Age\" not in (3) limit 3",
+        "SELECT * FROM a, b WHERE a.x = b.y",
+        "SELECT * FROM t WHERE id IN (SELECT ref FROM u WHERE u.kind <> 'k') ORDER BY 1",
+    ]
+    log = spark.createDataFrame([(t, 10) for t in texts], "query_text string, execution_time_ms long")
+    got = {(r.table_name, r.column_name) for r in logs.predicate_columns(log).collect()}
+    assert got == {("orders", "id"), ("items", "order_id"), ("orders", "status"), ("orders", "total"), ("items", "total"), ("orders", "placed"),
+                   ("items", "line"), ("users", "name"), ("users", "age"), ("a", "x"), ("b", "y"), ("t", "id"), ("u", "id"), ("u", "kind")}
+
+
+def test_change_to_null_is_in_the_trail(spark):
+    before = spark.createDataFrame([(1, 5.0, "a"), (2, None, "b")], "id int, x double, y string")
+    after = spark.createDataFrame([(1, None, "a"), (2, 3.0, "b"), (3, None, "c")], "id int, x double, y string")
+    log = cdc.capture(before, after, ["id"], "t")
+    got = {r.id: (r.action, r.changed_fields) for r in cdc.change_trail(log, ["id"]).collect()}
+    assert got == {1: ("UPDATE", "x"), 2: ("UPDATE", "x"), 3: ("INSERT", "id,x,y")}
+    assert rows(cdc.apply(before, log.withColumn("n", F.lit(1)), ["id"], ["n"])) == rows(after)
+
+
+def test_a_repeated_load_replaces_itself(spark, tmp_path):
+    from lakewright.operators import etl
+
+    job = etl.Job("numbers", (etl.Mapping("n", "bigint", "id", nullable=False),))
+    for _ in range(2):
+        assert etl.load(spark.range(10), job, str(tmp_path)).rows_loaded == 10
+    assert etl.read_target(spark, str(tmp_path), job.mappings).count() == 10
+    etl.load(spark.range(3), job, str(tmp_path), run_id="other")
+    assert etl.read_target(spark, str(tmp_path), job.mappings).count() == 13
+
+
+def test_upsert_takes_one_row_per_key(spark):
+    from lakewright.sources.versioned import upsert
+
+    target = spark.createDataFrame([(1, "old", 0), (2, "kept", 0)], "id int, v string, at int")
+    source = spark.createDataFrame([(1, "b", 2), (1, "c", 1), (3, "new", 1)], "id int, v string, at int")
+    assert rows(upsert(target, source, ["id"], ["at"])) == rows(spark.createDataFrame([(1, "b", 2), (2, "kept", 0), (3, "new", 1)], target.schema))
+    assert upsert(target, source, ["id"]).count() == 3

@@ -139,7 +139,37 @@ def test_json_schema(spark):
     assert not value(spark, jsons.matches_schema(doc, {"b": "integer"}))
     assert not value(spark, jsons.matches_schema(doc, {"missing": "string"}))
     assert not value(spark, jsons.matches_schema(F.lit("{bad"), {"a": "integer"}))
+    assert not value(spark, jsons.matches_schema(F.lit('{"a": 5}'), {"a": "string"}))
+    assert not value(spark, jsons.matches_schema(F.lit('{"a": "5"}'), {"a": "integer"}))
+    assert value(spark, jsons.matches_schema(F.lit('{"a": 1.5, "b": {"x": 1}, "c": [1]}'), {"a": "number", "b": "object", "c": "array"}))
     assert value(spark, jsons.merge(F.lit('{"a":"1","b":"2"}'), F.lit('{"b":"3"}'))) == '{"a":"1","b":"3"}'
+    assert value(spark, jsons.merge(F.lit('{"k":5,"o":{"x":[1,null]}}'), F.lit('{"u":true,"k":2.5}'))) == '{"o":{"x":[1,null]},"u":true,"k":2.5}'
+
+
+def test_whole_numbers_divide_exactly(spark):
+    large = F.lit(9007199254740993)
+    assert value(spark, numbers.floor_div(large, F.lit(1), whole=True)) == 9007199254740993
+    assert value(spark, numbers.floor_mod(large, F.lit(1))) == 0
+    for a, b in ((7, 2), (-7, 2), (7, -2), (-7, -2), (6, 3), (-6, 3), (0, 5)):
+        assert value(spark, numbers.floor_div(F.lit(a), F.lit(b), whole=True)) == a // b
+        assert value(spark, numbers.floor_mod(F.lit(a), F.lit(b))) == a % b
+    assert value(spark, numbers.floor_div(F.lit(1), F.lit(0), whole=True)) is None and value(spark, numbers.floor_mod(F.lit(1), F.lit(0))) is None
+
+
+def test_time_buckets_keep_rows_without_a_time(spark):
+    df = spark.sql("SELECT * FROM VALUES (timestamp_ntz'2024-01-01 07:59:59.5'), (timestamp_ntz'1969-12-31 23:00:00'), (NULL) AS t(ts)")
+    got = [r.b for r in df.select(dates.time_bucket("6 hours", F.col("ts")).alias("b")).collect()]
+    assert [str(b) for b in got] == ["2024-01-01 06:00:00", "1969-12-31 18:00:00", "None"]
+
+
+def test_format_letters(spark):
+    when = F.lit("2024-03-05 06:07:08").cast("timestamp")
+    for fmt, want in (("DD Mon YYYY", "05 Mar 2024"), ("DDD", "065"), ("YY/MM", "24/03"), ("'y'YYYY'm'MM", "y2024m03"), ('HH24"h"MI', "06h07"),
+                      ("Day, DD Month", "Tuesday, 05 March"), ("HH12:MI AM", "06:07 AM")):
+        assert value(spark, dates.format_date(when, fmt)) == want
+    for fmt in ("DD MON YYYY", "YYYY-XX"):
+        with pytest.raises(ValueError):
+            dates.spark_format(fmt)
 
 
 @pytest.mark.parametrize("rule,good,bad", [
