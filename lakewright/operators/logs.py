@@ -11,6 +11,45 @@ from lakewright.operators.windows import match
 # Texts that mark a query of the system itself.
 SYSTEM_TEXTS = ("pg_stat_statements", "query_diagnosis", "information_schema")
 
+# Words that begin a clause, compare their left neighbour, or are no name.
+_CLAUSES = ("select", "from", "join", "where", "on", "group", "having", "order", "limit", "offset", "set", "values", "union")
+_COMPARISONS = ("=", "<", ">", "<=", ">=", "<>", "!=", "in", "like", "ilike", "between", "is")
+_WORDS = (*_CLAUSES, *_COMPARISONS, "and", "or", "not", "null", "as", "by", "asc", "desc", "nulls", "first", "last", "case", "when",
+          "then", "else", "end", "true", "false", "distinct", "exists", "inner", "left", "right", "full", "outer", "cross", "using", "all")
+
+
+def _tokens(text: Column) -> Column:
+    """Names, comparison signs and punctuation of a query in lower case.
+
+    Comments go, and literals become marks, so nothing inside them is taken for a name.
+    """
+    bare = F.regexp_replace(text, r"--[^\n]*|/\*(?s:.*?)\*/", " ")
+    plain = F.regexp_replace(bare, r"'(?:[^']|'')*'", " ? ")
+    name = r'(?:[a-z_][a-z0-9_$]*|"[^"]+")'
+    return F.transform(F.regexp_extract_all(F.lower(plain), F.lit(rf"({name}(?:\.{name})*|<=|>=|<>|!=|[=<>(),?]|[0-9]+)"), F.lit(1)),
+                       lambda t: F.replace(t, F.lit('"'), F.lit("")))
+
+
+def _is_name(token: Column) -> Column:
+    return token.rlike(r"^[a-z_]") & ~token.isin(*_WORDS)
+
+
+def _with_neighbours(tokens: Column) -> Column:
+    """Every token with the ones around it and the clause it stands in."""
+    def around(token: Column, i: Column) -> Column:
+        clause = F.try_element_at(F.filter(F.slice(tokens, F.lit(1), i), lambda t: t.isin(*_CLAUSES)), F.lit(-1))
+        return F.struct(token.alias("t"), F.get(tokens, i - 1).alias("before"), F.get(tokens, i + 1).alias("after"),
+                        F.get(tokens, i + 2).alias("second"), clause.alias("clause"))
+
+    return F.transform(tokens, around)
+
+
+def _compared(x: Column) -> Column:
+    """Whether a name is an operand of a comparison."""
+    left = x["after"].isin(*_COMPARISONS) | ((x["after"] == "not") & x["second"].isin(*_COMPARISONS))
+    right = x["before"].isin("=", "<", ">", "<=", ">=", "<>", "!=")
+    return _is_name(x["t"]) & F.coalesce(left | right, F.lit(False))
+
 
 def query_statistics(log: DataFrame) -> DataFrame:
     """Calls, total and mean time per query text, keyed by the text's hash."""
@@ -37,7 +76,8 @@ def plan_issues(nodes: DataFrame) -> DataFrame:
     """Issues found on plan nodes (query_id, node_type, relation, plan_rows, actual_rows, total_cost, filter)."""
     kind, cost, rows = F.col("node_type"), F.col("total_cost"), F.col("plan_rows")
     off = F.greatest(rows / F.nullif(F.col("actual_rows"), F.lit(0)), F.col("actual_rows") / F.nullif(rows, F.lit(0)))
-    columns = F.array_join(F.regexp_extract_all("filter", F.lit("([a-zA-Z0-9_]+) [=<>]"), F.lit(1)), ",")
+    operands = F.filter(_with_neighbours(_tokens(F.col("filter"))), _compared)
+    columns = F.array_join(F.transform(operands, lambda x: F.element_at(F.split(x["t"], r"\."), -1)), ",")
 
     def issue(condition, name, detail):
         return F.when(condition, F.struct(F.lit(name).alias("issue"), detail.cast("string").alias("detail")))
@@ -52,24 +92,38 @@ def plan_issues(nodes: DataFrame) -> DataFrame:
 
 
 def predicate_columns(log: DataFrame) -> DataFrame:
-    """Tables and columns used in filters and orderings, ranked by the time of their queries.
+    """Tables and columns used in comparisons and orderings, ranked by the time of their queries.
 
-    Equal texts are summed first, so each text is searched once.
+    Equal texts are summed first, so each text is searched once. A qualified
+    column belongs to the table of that name or alias, any other to every table
+    of its query. Case does not matter; names come out in lower case.
     """
-    texts = query_statistics(log)
-    q = F.col("query_text")
-    tables = F.transform(
-        F.regexp_extract_all(q, F.lit(r"(?i)\b(?:FROM|JOIN)\s+([a-zA-Z0-9_.]+)"), F.lit(1)), lambda n: F.element_at(F.split(n, r"\."), -1))
-    where = F.regexp_extract(q, r"(?is)WHERE\s+(.+?)(?:ORDER BY|GROUP BY|LIMIT|$)", 1)
-    compared = F.regexp_extract_all(where, F.lit(r"([a-zA-Z0-9_.]+)\s*(?:=|>|<|!=|\bIN\b|\bLIKE\b)"), F.lit(1))
-    ordering = F.regexp_extract(q, r"(?is)ORDER BY\s+(.+?)(?:LIMIT|$)", 1)
-    ordered = F.filter(F.transform(F.split(ordering, ","), lambda c: F.element_at(F.split(F.trim(c), r"\s+"), 1)), lambda c: c != "")
-    parsed = texts.select("query_hash", "calls", "total_ms", F.array_distinct(tables).alias("_tables"),
-                          F.explode(F.array_distinct(F.concat(compared, ordered))).alias("_col"))
-    dotted = F.col("_col").contains(".")
-    owner = F.when(dotted, F.array(F.split_part("_col", F.lit("."), F.lit(1)))).otherwise(F.col("_tables"))
-    name = F.when(dotted, F.split_part("_col", F.lit("."), F.lit(2))).otherwise(F.col("_col"))
-    uses = parsed.select("query_hash", "calls", "total_ms", F.explode(owner).alias("table_name"), name.alias("column_name")).distinct()
+    texts = query_statistics(log).withColumn("_x", _with_neighbours(_tokens(F.col("query_text"))))
+
+    def table(x: Column) -> Column:
+        listed = x["before"].isin("from", "join") | ((x["before"] == ",") & (x["clause"] == "from"))
+        return _is_name(x["t"]) & F.coalesce(listed, F.lit(False))
+
+    def alias(x: Column) -> Column:
+        named = F.when(x["after"] == "as", x["second"]).otherwise(x["after"])
+        own = F.element_at(F.split(x["t"], r"\."), -1)
+        return F.struct(F.when(F.coalesce(_is_name(named), F.lit(False)), named).otherwise(own).alias("alias"), own.alias("name"))
+
+    def used(x: Column) -> Column:
+        filtered = _compared(x) & x["clause"].isin("where", "on", "having")
+        ordered = (x["clause"] == "order") & x["before"].isin("by", ",") & _is_name(x["t"])
+        return F.coalesce(filtered | ordered, F.lit(False))
+
+    found = texts.select(
+        "query_hash", "calls", "total_ms", F.transform(F.filter("_x", table), alias).alias("_tables"),
+        F.explode(F.array_distinct(F.transform(F.filter("_x", used), lambda x: x["t"]))).alias("_column"))
+    parts = F.split("_column", r"\.")
+    owner = F.try_element_at(parts, F.lit(-2))
+    # The last name before the column is an alias, a table, or unknown and then taken as it is.
+    of_alias = F.transform(F.filter("_tables", lambda t: t["alias"] == owner), lambda t: t["name"])
+    names = F.transform("_tables", lambda t: t["name"])
+    owners = F.when(owner.isNull(), names).when(F.size(of_alias) > 0, of_alias).otherwise(F.array(owner))
+    uses = found.select("query_hash", "calls", "total_ms", F.explode(owners).alias("table_name"), F.element_at(parts, -1).alias("column_name")).distinct()
     return (uses.groupBy("table_name", "column_name")
             .agg(F.sum("calls").alias("uses"), F.sum("total_ms").alias("total_ms")).orderBy(F.desc("total_ms")))
 
@@ -79,6 +133,7 @@ def bloat_rank(tables: DataFrame, min_dead: int, min_percent: float) -> DataFram
     live, dead = F.col("live"), F.col("dead")
     share = F.when(live > 0, F.round(dead * F.lit(100.0) / F.nullif(dead + live, F.lit(0)), 2)).otherwise(F.lit(0.0))
     wanted = tables.where((dead > min_dead) | ((live > 0) & (dead > live * min_percent / 100.0))).withColumn("dead_percent", share)
+    # The weights 0.5, 0.3 and 0.2 and the limits 50 and 30.
     priority = (F.greatest(F.col("bloat_percent"), F.lit(0.0)) * 0.5 + F.least(F.col("dead_percent"), F.lit(50.0)) * 0.3
                 + F.coalesce(F.least(F.col("days_since_clean"), F.lit(30)) * 0.2, F.lit(0.0)))
     return wanted.withColumn("priority", priority).orderBy(F.desc("priority"), "table_name")
@@ -110,5 +165,7 @@ def benchmark_hint(elapsed_ms: Column) -> tuple[Column, Column]:
 
 
 def state_counts(sessions: DataFrame) -> DataFrame:
-    return sessions.groupBy("state").agg(F.count(F.lit(1)).alias("sessions"),
-                                         (F.sum("duration_ms") / F.count(F.lit(1))).alias("avg_duration_ms"))
+    """Sessions, mean and longest duration per state."""
+    return sessions.groupBy("state").agg(
+        F.count(F.lit(1)).alias("sessions"), (F.sum("duration_ms") / F.count(F.lit(1))).alias("avg_duration_ms"),
+        F.max("duration_ms").alias("max_duration_ms"))

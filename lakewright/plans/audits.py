@@ -247,7 +247,7 @@ def bench_hint(t):
 
 
 @plan("log_state_counts", f"""SELECT CASE event_type WHEN 'view' THEN 'active' WHEN 'error' THEN 'aborted' ELSE 'idle' END AS state, count(*) AS sessions,
-  sum({MS_SQL})::DOUBLE / count(*) AS avg_duration_ms FROM events GROUP BY 1""")
+  sum({MS_SQL})::DOUBLE / count(*) AS avg_duration_ms, max({MS_SQL})::BIGINT AS max_duration_ms FROM events GROUP BY 1""")
 def log_state_counts(t):
     state = F.when(C("event_type") == "view", "active").when(C("event_type") == "error", "aborted").otherwise("idle")
     return logs.state_counts(t.events.select(state.alias("state"), F.round(C("value") * 100).cast("long").alias("duration_ms")))
