@@ -3,7 +3,9 @@
 Byte strings are induced bucket by bucket with numpy: all suffixes of a bucket
 that are known induce their predecessors together, and the ones that land in
 the same bucket form the next round. The shorter strings of names that the
-recursion makes have large alphabets; there the scans go one by one.
+recursion makes have large alphabets and small buckets; there a suffix is
+sorted by what induces it, its characters and their types up to the next
+leftmost smaller suffix and that one's rank, for all suffixes at once.
 """
 
 from __future__ import annotations
@@ -126,57 +128,62 @@ def _names(s: np.ndarray, sorted_left: np.ndarray, left: np.ndarray) -> tuple[np
     return names, int(differ.sum())
 
 
-def _seeds_in_order(s: np.ndarray, types: np.ndarray, left: np.ndarray, induce, deeper) -> np.ndarray:
+def _refined(n: int, key) -> np.ndarray:
+    """Ranks of n sequences, equal for equal ones. ``key(items, t)`` gives their t-th members; 1 marks an end."""
+    rank, live, t = np.zeros(n, np.int64), np.arange(n), 0
+    while len(live):
+        keys = key(live, t)
+        turn = np.argsort(rank[live] * (int(keys.max()) + 1) + keys, kind="stable")
+        live, keys = live[turn], keys[turn]
+        held = rank[live]
+        old = np.concatenate([[True], held[1:] != held[:-1]])
+        new = old | np.concatenate([[True], keys[1:] != keys[:-1]])
+        at = np.arange(len(live))
+        first = np.maximum.accumulate(np.where(new, at, 0))
+        rank[live] = held + first - np.maximum.accumulate(np.where(old, at, 0))
+        alone = new & np.concatenate([new[1:], [True]])
+        live = live[~alone & (keys != 1)]
+        t += 1
+    return rank
+
+
+def _sort_names(s: np.ndarray) -> np.ndarray:
+    """The suffixes of a string of names in order."""
+    n = len(s)
+    types = smaller_types(s)
+    left = leftmost_smaller(types)
+    # Members of a sequence: 0 the end of the string, 1 the end of the sequence, 2 on for characters with types.
+    tokens = np.append(s * 2 + types + 2, 0)
+    if len(left):
+        stops = np.append(left[1:], n)
+        names = _refined(len(left), lambda q, t: np.where(left[q] + t <= stops[q], tokens[np.minimum(left[q] + t, n)], 1))
+        order = np.argsort(names, kind="stable")
+        if (names[order[1:]] == names[order[:-1]]).any():
+            dense = np.empty(len(left), np.int64)
+            dense[order] = np.cumsum(np.concatenate([[0], names[order[1:]] != names[order[:-1]]]))
+            order = _sort_names(dense)
+        ranks = np.empty(len(left), np.int64)
+        ranks[order] = np.arange(len(left))
+    else:
+        ranks = np.zeros(0, np.int64)
+    following = np.searchsorted(left, np.arange(n), side="right")
+    target = np.append(left, n)[following]
+    known = np.append(ranks + 2, 0)[following]
+    final = _refined(n, lambda i, t: np.where(i + t <= target[i], tokens[np.minimum(i + t, n)], known[i]))
+    return np.argsort(final, kind="stable")
+
+
+def _seeds_in_order(s: np.ndarray, types: np.ndarray, left: np.ndarray) -> np.ndarray:
     """The leftmost smaller suffixes in order: their substrings by induction, their names by recursion."""
     if len(left) < 2:
         return left
     rough = left[np.argsort(s[left], kind="stable")]
-    order = induce(s, types, rough)
+    order = _induce_bytes(s, types, rough)
     mark = np.zeros(len(s), bool)
     mark[left] = True
     sorted_left = order[mark[order]]
     names, n = _names(s, sorted_left, left)
-    if n == len(left):
-        return sorted_left
-    return left[deeper(names)]
-
-
-def _induce_list(s: np.ndarray, types: np.ndarray, seeds: np.ndarray) -> np.ndarray:
-    """As ``_induce_bytes``, one suffix at a time, for alphabets of any size."""
-    n = len(s)
-    text, small = s.tolist(), types.tolist()
-    count = np.bincount(s)
-    heads = (np.cumsum(count) - count).tolist()
-    tails = np.cumsum(count).tolist()
-    order = [-1] * n
-    fill = tails.copy()
-    for j in seeds[::-1].tolist():
-        c = text[j]
-        fill[c] -= 1
-        order[fill[c]] = j
-    fill = heads.copy()
-    order[fill[text[n - 1]]] = n - 1
-    fill[text[n - 1]] += 1
-    for i in range(n):
-        j = order[i] - 1
-        if j >= 0 and not small[j]:
-            c = text[j]
-            order[fill[c]] = j
-            fill[c] += 1
-    fill = tails
-    for i in range(n - 1, -1, -1):
-        j = order[i] - 1
-        if j >= 0 and small[j]:
-            c = text[j]
-            fill[c] -= 1
-            order[fill[c]] = j
-    return np.array(order, np.int64)
-
-
-def _sort_names(s: np.ndarray) -> np.ndarray:
-    types = smaller_types(s)
-    seeds = _seeds_in_order(s, types, leftmost_smaller(types), _induce_list, _sort_names)
-    return _induce_list(s, types, seeds)
+    return sorted_left if n == len(left) else left[_sort_names(names)]
 
 
 def suffix_array(s: np.ndarray) -> np.ndarray:
@@ -184,8 +191,7 @@ def suffix_array(s: np.ndarray) -> np.ndarray:
     if len(s) < 2:
         return np.arange(len(s))
     types = smaller_types(s)
-    seeds = _seeds_in_order(s, types, leftmost_smaller(types), _induce_bytes, _sort_names)
-    return _induce_bytes(s, types, seeds)
+    return _induce_bytes(s, types, _seeds_in_order(s, types, leftmost_smaller(types)))
 
 
 def common_prefixes(s: np.ndarray, order: np.ndarray) -> np.ndarray:
