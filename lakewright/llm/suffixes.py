@@ -82,9 +82,13 @@ def _place(d: str = "d", start: str = "start") -> Column:
     return F.struct(F.col(d).isNull().alias("no_id"), F.col(d).alias("d"), F.col(start).alias("start"))
 
 
-def _firsts_and_copies(found: DataFrame, keep: list[str]) -> tuple[DataFrame, DataFrame]:
-    """Of rows (f, g, d, start, ...): those that come first in their (f, g), and the places of all others."""
-    best = found.groupBy("f", "g").agg(F.min(F.struct(_place().alias("p"), *keep)).alias("b"), F.count(F.lit(1)).alias("copies"))
+def _firsts_and_copies(found: DataFrame, keep: list[str], steps: Steps, name: str) -> tuple[DataFrame, DataFrame]:
+    """Of rows (f, g, d, start, ...): those that come first in their (f, g), and the places of all others.
+
+    The firsts are written, so that the join back to all rows can split a segment that is very common.
+    """
+    best = steps.write(name, found.groupBy("f", "g").agg(
+        F.min(F.struct(_place().alias("p"), *keep)).alias("b"), F.count(F.lit(1)).alias("copies")))
     firsts = best.select("f", "g", F.col("b.p.d").alias("d"), F.col("b.p.start").alias("start"), *[F.col(f"b.{c}").alias(c) for c in keep], "copies")
     repeated = best.where("copies > 1").select("f", "g", F.col("b.p").alias("p"))
     copies = found.join(repeated, ["f", "g"]).where(~_place().eqNullSafe(F.col("p"))).select("d", "start", "n")
@@ -213,7 +217,7 @@ def _repeats(source: DataFrame, length: int, gram: int, shard_bytes: int, steps:
     often = steps.write("often", found.groupBy("f").agg(F.count(F.lit(1)).alias("_n")).where("_n > 1").select("f"))
     again = steps.write("again", found.join(often, "f", "left_semi"))
     steps.drop("anchors", "often")
-    firsts, copies = _firsts_and_copies(again, ["n", "off"])
+    firsts, copies = _firsts_and_copies(again, ["n", "off"], steps, "firsts-0")
     repeats = [steps.write("copies-0", copies)]
     various = steps.write("various", _various(firsts).select("f", "d", "start", "n", "off"))
     steps.drop("again")
@@ -230,7 +234,7 @@ def _repeats(source: DataFrame, length: int, gram: int, shard_bytes: int, steps:
         shards.append(level.join(crowded, "f", "left_anti"))
         # A half of one window has equal segments only, so it cannot be crowded again.
         halves = steps.write(f"halves-{turn}", _split(level.join(crowded, "f", "left_semi"), length, gram))
-        firsts, copies = _firsts_and_copies(halves, ["n", "off", "low", "high", "segment"])
+        firsts, copies = _firsts_and_copies(halves, ["n", "off", "low", "high", "segment"], steps, f"firsts-{turn}")
         repeats.append(steps.write(f"copies-{turn}", copies))
         level = steps.write(f"segments-{turn}", _various(firsts).select(*level.columns))
     for k, part in enumerate(shards):
