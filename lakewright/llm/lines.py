@@ -140,6 +140,7 @@ def without_repeated_lines(documents: DataFrame, *, digest_bytes: int = DIGEST_B
             "n_removed_lines": pa.array(removed, pa.int64()), "n_removed_chunks": pa.array(chunks, pa.int64()),
             "kept_sha256": pa.array([hashlib.sha256(k).hexdigest() for k in kept])})
 
-    joined = match(source, gone, ["doc_id"], "left")
+    # Texts meet their ranges in the same way at every size: the ranges of a large corpus fit no broadcast.
+    joined = match(source, gone.hint("merge"), ["doc_id"], "left")
     kind = dict(source.dtypes)["doc_id"]
     return text_step(joined, "text", work, f"doc_id {kind}, text string, n_lines long, n_removed_lines long, n_removed_chunks long, kept_sha256 string")
