@@ -209,7 +209,8 @@ def rows_by_id(documents: DataFrame, id_col: str, chosen: DataFrame) -> DataFram
     held = documents.toDF(*[f"c{k}" for k in range(len(documents.columns))])
     key = f"c{documents.columns.index(id_col)}"
     verdict = chosen.select(F.col("doc_id").alias("v_id"), F.col("keep").alias("v_keep"), F.col("single").alias("v_single"))
-    marked = held.join(verdict, F.col(key).eqNullSafe(F.col("v_id")), "left")
+    # By merge at every size: the verdicts of a large corpus fit no broadcast.
+    marked = held.join(verdict.hint("merge"), F.col(key).eqNullSafe(F.col("v_id")), "left")
     plain = marked.where("v_keep is null or (v_keep and not v_single)").select(*held.columns)
     one = marked.where("v_keep and v_single").select(*held.columns).dropDuplicates([key])
     return plain.unionByName(one).toDF(*documents.columns)

@@ -89,7 +89,7 @@ def mixed_documents(documents: DataFrame, *, id_col: str = "doc_id", text_col: s
     # Columns go by position, so names cannot clash.
     held = documents.toDF(*[f"c{k}" for k in range(len(documents.columns))])
     at = {c: f"c{documents.columns.index(c)}" for c in (id_col, text_col, source_col)}
-    joined = held.join(taken, F.col(at[id_col]).eqNullSafe(F.col("t_id")) & F.col(at[source_col]).eqNullSafe(F.col("t_source"))
+    joined = held.join(taken.hint("merge"), F.col(at[id_col]).eqNullSafe(F.col("t_id")) & F.col(at[source_col]).eqNullSafe(F.col("t_source"))
                        & (word_count(at[text_col]) == F.col("t_size")))
     copies = joined.withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("times"))))
     return copies.select(*held.columns).toDF(*documents.columns)
