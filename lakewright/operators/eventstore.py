@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lakewright.operators.windows import match, numbered
@@ -32,3 +32,13 @@ def version_check(store: DataFrame, key: str) -> DataFrame:
         F.count(F.lit(1)).alias("_d"), F.min("event_version").alias("_lo"))
     ok = (F.col("events") == F.col("_d")) & (F.col("last_version") == F.col("_d")) & (F.col("_lo") == 1)
     return facts.select(key, "events", "last_version", ok.alias("gapless"))
+
+
+def replay(store: DataFrame, key: str, fields: dict[str, Column]) -> DataFrame:
+    """State of every aggregate: its last version, and per field the last value that is not null.
+
+    An aggregate that combines before the shuffle, so a long history is never sorted.
+    """
+    last = [F.max_by(F.when(value.isNotNull(), value), F.when(value.isNotNull(), F.col("event_version"))).alias(name)
+            for name, value in fields.items()]
+    return store.groupBy(key).agg(F.max("event_version").alias("version"), *last)

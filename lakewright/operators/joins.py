@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lakewright.operators.windows import latest_per_key, match
+from lakewright.operators.windows import latest_per_key, match, shifted
 from lakewright.sources.tables import scratch_path
 
 def not_in(left: DataFrame, column: str, values: DataFrame, value: str) -> DataFrame:
@@ -66,6 +66,35 @@ def hierarchy(nodes: DataFrame) -> DataFrame:
     return spark.read.parquet(path).drop("_above", "depth")
 
 
+def within_intervals(points: DataFrame, at: str, intervals: DataFrame, lo: str, hi: str, seconds: int) -> DataFrame:
+    """Pairs of a point and an interval (lo inclusive, hi exclusive) that holds it.
+
+    Time is cut into slots of ``seconds``, an interval stands in each slot it
+    touches, and the two meet by slot: choose about the usual interval length.
+    """
+    def slot(c):
+        return F.floor(F.unix_micros(c.cast("timestamp")) / F.lit(seconds * 1_000_000))
+
+    spread = intervals.withColumn("_slot", F.explode(F.sequence(slot(F.col(lo)), slot(F.col(hi)))))
+    near = points.withColumn("_slot", slot(F.col(at)))
+    return near.join(spread, "_slot").where((F.col(at) >= F.col(lo)) & (F.col(at) < F.col(hi))).drop("_slot")
+
+
+def asof(left: DataFrame, right: DataFrame, keys: list[str], at: str, tie: str) -> DataFrame:
+    """Left rows with ``match``: the last right row of their key at or before them, or null.
+
+    Both sides stand in one order by time, right rows first among equals, and a
+    left row takes the last right row before it. ``tie`` orders rows of one side
+    and must be unique within key and time. No key is gathered in one task.
+    """
+    both = (right.select(*keys, at, F.lit(0).alias("_side"), F.col(tie).alias("_tie"), F.struct(*right.columns).alias("_match"),
+                         F.lit(None).cast(left.schema.simpleString()).alias("_row"))
+            .unionByName(left.select(*keys, at, F.lit(1).alias("_side"), F.col(tie).alias("_tie"),
+                                     F.lit(None).cast(right.schema.simpleString()).alias("_match"), F.struct(*left.columns).alias("_row"))))
+    found = shifted(both, keys, [at, "_side", "_tie"], "_match", 1, "match", ignore_nulls=True)
+    return found.where("_side = 1").select("_row.*", "match")
+
+
 def write_bucketed(df: DataFrame, table: str, path: str, key: str, buckets: int) -> DataFrame:
     """Store a table bucketed and sorted by ``key``, so that joins on it need no shuffle."""
     (df.write.mode("overwrite").option("path", path).bucketBy(buckets, key).sortBy(key).saveAsTable(table))

@@ -216,6 +216,44 @@ def top_per_key(df: DataFrame, keys: list[str], order: list[Column], n: int, sal
     return final.where(F.col("_r") <= n).withColumnRenamed("_r", "rank")
 
 
+def tiles(df: DataFrame, keys: list[str], order: list[str], n: int, name: str, chunks: int | None = None) -> DataFrame:
+    """Rows with the number of their tile: ``n`` tiles per key, the first ones larger by a row if they do not divide."""
+    sizes = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_size"))
+    placed = match(numbered(df, keys, order, "_at", chunks), sizes, keys)
+    small, more = F.floor(F.col("_size") / n), F.col("_size") % n
+    wide = more * (small + 1)
+    tile = F.when(F.col("_at") <= wide, F.floor((F.col("_at") - 1) / (small + 1))).otherwise(
+        more + F.floor((F.col("_at") - 1 - wide) / F.greatest(small, F.lit(1))))
+    return placed.withColumn(name, (tile + 1).cast("long")).drop("_at", "_size")
+
+
+def rank_shares(df: DataFrame, keys: list[str], order: str, chunks: int | None = None) -> DataFrame:
+    """Rows with ``percent_rank`` and ``cume_dist`` by ascending ``order`` within the keys."""
+    sizes = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_size"))
+    counted = df.groupBy(*keys, order).agg(F.count(F.lit(1)).alias("_same"))
+    upto = running_points(counted, keys, order, {"_upto": ("sum", "_same")}, chunks)
+    places = match(match(counted, upto, [*keys, order]), sizes, keys).select(
+        *keys, order,
+        F.when(F.col("_size") > 1, (F.col("_upto") - F.col("_same")) / F.nullif(F.col("_size") - 1, F.lit(0))).otherwise(0.0).alias("percent_rank"),
+        (F.col("_upto") / F.col("_size")).alias("cume_dist"))
+    return match(df, places, [*keys, order])
+
+
+def time_frame(df: DataFrame, keys: list[str], ts: str, seconds: int, aggs: dict[str, Column]) -> DataFrame:
+    """Aggregates over RANGE BETWEEN ``seconds`` PRECEDING AND CURRENT ROW by time.
+
+    Time is cut into slots as long as the frame. A row stands in its own slot
+    and, for others to see, in the next one, so a window covers one slot of a
+    key and no key is gathered in one task.
+    """
+    size = seconds * 1_000_000
+    marked = df.withColumn("_at", F.unix_micros(F.col(ts).cast("timestamp")))
+    slots = F.explode(F.array(*[F.struct((F.floor(F.col("_at") / size) + k).alias("slot"), F.lit(k == 0).alias("own")) for k in (0, 1)]))
+    spread = marked.withColumn("_s", slots)
+    frame = Window.partitionBy(*keys, F.col("_s.slot")).orderBy("_at").rangeBetween(-size, 0)
+    return (spread.withColumns({name: agg.over(frame) for name, agg in aggs.items()}).where("_s.own").drop("_s", "_at"))
+
+
 def affine_scan(df: DataFrame, keys: list[str], seq: str, value: str, q: float, name: str) -> DataFrame:
     """Solve y[n] = q * y[n-1] + value[n], y[0] = 0, along ``seq`` = 1, 2, ... per key.
 

@@ -33,7 +33,7 @@ def is_folder(spark: SparkSession, path: str) -> bool:
 
 def _read_or_empty(spark: SparkSession, path: str, schema) -> DataFrame:
     """The written table, or no rows of its schema if nothing has been written."""
-    return spark.read.parquet(path) if is_folder(spark, path) else spark.createDataFrame([], schema)
+    return spark.read.schema(schema).parquet(path) if is_folder(spark, path) else spark.createDataFrame([], schema)
 
 
 def _finish(writer) -> None:
