@@ -405,7 +405,7 @@ STATS_SQL = "WITH e AS (SELECT event_type, nullif(event_type, 'error') AS kind,
 
 def stats_of_events(t):
     rows = t.events.select("event_type", F.nullif("event_type", F.lit("error")).alias("kind"), "user_id")
-    return federation.table_stats(rows, STAT_COLUMNS)
+    return federation.table_stats(rows, STAT_COLUMNS, top=3)
 
 
 plan("vs_refresh_stats", STATS_SQL)(stats_of_events)
@@ -428,12 +428,6 @@ def vs_usage_stats(t):
     return federation.usage_stats(access, start=ntz("2024-01-10"))
 
 
-@plan("vs_drop", "SELECT 1::BIGINT AS dropped, count(*) AS rows_at_source FROM orders")
-def vs_drop(t):
-    gone = virtual(t).drop()
-    return t.orders.agg(F.lit(gone).cast("long").alias("dropped"), F.count(F.lit(1)).alias("rows_at_source"))
-
-
 UNION_SQL = """SELECT 'customers' AS source, c_custkey AS id, c_acctbal AS balance FROM customer UNION ALL SELECT 'suppliers', s_suppkey, s_acctbal FROM supplier"""
 
 
@@ -548,14 +542,6 @@ def udf_create_lua(t):
     return t.part.select("p_partkey", F.expr("lw_snake(p_name)").alias("snake"))
 
 
-@plan("udf_drop", "SELECT true AS dropped, 0 AS left_in_catalog, count(*) AS n FROM orders")
-def udf_drop(t):
-    catalog = udfs.Catalog(t.spark)
-    catalog.create_sql("lw_gone", "x DOUBLE", "DOUBLE", "x + 1")
-    dropped = catalog.drop("lw_gone")
-    return t.orders.agg(F.lit(dropped).alias("dropped"), F.lit(len(catalog.entries)).alias("left_in_catalog"), F.count(F.lit(1)).alias("n"))
-
-
 @plan("udf_catalog_view", f"""SELECT {SERVICE_SQL} AS name, count(*) FILTER (event_type = 'signup') AS example_count, count(*) FILTER (event_type <> 'signup') AS execution_count,
   round(avg(value) FILTER (event_type <> 'signup'), 6) AS avg_execution_time FROM events GROUP BY 1""")
 def udf_catalog_view(t):

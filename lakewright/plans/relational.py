@@ -374,8 +374,9 @@ def win_lag(t):
 @plan("win_share", "SELECT p_type, round(sum(p_retailprice), 2) / sum(round(sum(p_retailprice), 2)::DECIMAL(18,2)) OVER ()::DOUBLE * 100 AS pct FROM part GROUP BY 1")
 def win_share(t):
     per = t.part.groupBy("p_type").agg(total("p_retailprice").cast("decimal(18,2)").alias("s"))
-    whole = F.sum("s").over(Window.partitionBy()).cast("double")
-    return per.select("p_type", (C("s").cast("double") / whole * 100).alias("pct"))
+    # The total is one row, so joining it sends one row to every task; a window without a key would be one task.
+    whole = per.agg(F.sum("s").cast("double").alias("whole"))
+    return per.join(F.broadcast(whole), F.lit(True)).select("p_type", (C("s").cast("double") / C("whole") * 100).alias("pct"))
 
 
 @plan("win_rank", """SELECT o_orderkey, o_custkey, row_number() OVER (PARTITION BY o_orderpriority ORDER BY o_orderdate, o_orderkey) AS rn,
@@ -475,9 +476,11 @@ def limit_offset(t):
     return t.orders.orderBy("o_orderkey").offset(250).limit(100).select("o_orderkey", "o_totalprice")
 
 
-@plan("topk_random")
+@plan("topk_random", "SELECT * FROM customer ORDER BY md5('42:' || c_custkey), c_custkey LIMIT 1")
 def topk_random(t):
-    return t.customer.orderBy(F.rand(42)).limit(1)
+    """One customer at random by seed: the smallest hash of seed and key, so reruns and other engines agree."""
+    place = F.md5(F.concat(F.lit("42:"), C("c_custkey").cast("string")))
+    return t.customer.orderBy(place, "c_custkey").limit(1)
 
 
 @plan("union_all", """SELECT c_custkey AS id, 'customer' AS kind, c_acctbal AS balance FROM customer

@@ -146,9 +146,16 @@ def foreign_schema(columns: Sequence[tuple[str, str]], source: str) -> str:
 def foreign_table(spark: SparkSession, source: str, columns: Sequence[tuple[str, str]], *, path: str | None = None,
                   options: dict | None = None, table: str | None = None,
                   partition: tuple[str, int, int, int] | None = None) -> DataFrame:
-    """A relational table of another system, from its exported files or over its driver."""
+    """A relational table of another system, from its exported files or over its driver.
+
+    Over the driver ``partition`` (column, low, high, parts) is asked for, as a
+    read without it is one connection in one task; a small table is read so by
+    giving one part.
+    """
     if path:
         return scan_csv(spark, path, foreign_schema(columns, source), CsvFormat())
+    if partition is None:
+        raise ValueError("give partition = (column, low, high, parts) to read a table over its driver")
     return spark.read.format("jdbc").options(**jdbc_options(source, table, options or {}, partition)).load()
 
 
@@ -204,8 +211,8 @@ class VirtualSchema:
             rows, "schema_name string, source_type string, table_name string, view_name string, column_count int")
 
 
-def table_stats(df: DataFrame, columns: Sequence[str], top: int = 3) -> DataFrame:
-    """Row count, null share, distinct values and most common values per column.
+def table_stats(df: DataFrame, columns: Sequence[str], top: int) -> DataFrame:
+    """Row count, null share, distinct values and the ``top`` most common values per column.
 
     Value counts are taken per (column, value) pair before the most common are picked.
     """
