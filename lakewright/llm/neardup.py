@@ -24,7 +24,7 @@ BASE, RATE, TOP = 1.1, 20.0, 255
 #: no link: SLACK is five standard errors of the estimate.
 LINK, SLACK = 0.85, 0.085
 #: Larger buckets are dealt into blocks of about this size, and block meets block.
-BLOCK = 128
+BLOCK = 512
 #: Partners in most equal registers that a class verifies first.
 FIRST_PARTNERS = 3
 _FILTER_BITS = 1 << 24
