@@ -61,8 +61,16 @@ def durable(df: DataFrame) -> DataFrame:
     """Write ``df`` to the shared folder and read it back.
 
     Later steps see one fixed result even if executors are lost, the work before
-    runs once, and the stored size lets Spark choose the joins that follow.
+    runs once, and the stored size lets Spark choose the joins that follow. The
+    files go when the driver ends.
     """
     path = scratch_path(df.sparkSession, "step")
     df.write.option("compression", "zstd").parquet(path)
+    remove_at_exit(df.sparkSession, path)
     return df.sparkSession.read.parquet(path)
+
+
+def remove_at_exit(spark: SparkSession, path: str) -> None:
+    """Have the driver's file system delete a written path when the driver ends."""
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    where.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).deleteOnExit(where)
