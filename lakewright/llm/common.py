@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lakewright.operators.windows import top_per_key
-from lakewright.sources.tables import scratch_path
+from lakewright.sources.tables import remove_at_exit, scratch_path
 
 #: A word is a run of anything but blank, tab, line feed, vertical tab, form feed and carriage return.
 WORD = r"[^\x20\x09-\x0D]+"
@@ -160,7 +160,7 @@ class Steps:
     """Tables written between the steps of one operator, in the folder all executors share.
 
     A step that a later written step has used up can be dropped. The ones that
-    the returned result still reads stay.
+    the returned result still reads stay until the driver ends.
     """
 
     def __init__(self, spark: SparkSession, name: str):
@@ -172,6 +172,7 @@ class Steps:
         path = self.paths[step] = scratch_path(self.spark, f"{self.name}-{step}")
         with shuffles_released(self.spark):
             df.write.option("compression", "zstd").parquet(path)
+        remove_at_exit(self.spark, path)
         return self.spark.read.parquet(path)
 
     def drop(self, *steps: str) -> None:
