@@ -25,8 +25,8 @@ def exact_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each component of near duplicates the document with the smallest id stays."""
-    return neardup.without_near_duplicates(docs)
+    """Of each component of near duplicates (similarity 0.8 or more) the document with the smallest id stays."""
+    return neardup.without_near_duplicates(docs, percent=80)
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from dataclasses import dataclass
+
 
 import numpy as np
 import pyarrow as pa
@@ -14,15 +16,10 @@ from lakewright.llm.components import components
 from lakewright.operators.windows import match
 
 SHINGLE_WORDS = 5
-#: Bands of ROWS registers each. A pair of similarity 0.85 agrees in no band with probability 6e-9.
-BANDS, ROWS = 40, 6
-#: The first registers are banded, all are estimated from.
-REGISTERS = 2 * BANDS * ROWS
+#: Registers of a sketch; the first half is banded, all are estimated from.
+REGISTERS = 480
 #: Registers hold the rounded negative logarithm, to this base, of the least exponential value; one byte each.
 BASE, RATE, TOP = 1.1, 20.0, 255
-#: Links have a similarity of at least LINK. A pair whose likeliest similarity lies more than SLACK below it is
-#: no link: SLACK is five standard errors of the estimate.
-LINK, SLACK = 0.85, 0.085
 #: Larger buckets are dealt into blocks of about this size, and block meets block.
 BLOCK = 512
 #: Partners in most equal registers that a class verifies first.
@@ -31,6 +28,36 @@ _FILTER_BITS = 1 << 24
 _MULTIPLIERS = mixed(np.arange(1, REGISTERS + 1, dtype=np.uint64)) | np.uint64(1)
 
 
+@dataclass(frozen=True)
+class Likeness:
+    """What counts as a link, and how candidates for it are found.
+
+    A pair of similarity 0.85 agrees in no band with probability 6e-9, one of
+    0.8 with probability 5e-9. A pair whose likeliest similarity lies more than
+    ``slack`` below the link is none: that is five standard errors of the
+    estimate, which come to 1.05 times those of as many plain minima.
+    """
+
+    percent: int = 85
+
+    def __post_init__(self):
+        if not 80 <= self.percent <= 100:
+            raise ValueError("links are found for similarities of 80 to 100 percent")
+
+    @property
+    def rows(self) -> int:
+        return 6 if self.percent >= 85 else 5
+
+    @property
+    def bands(self) -> int:
+        return REGISTERS // 2 // self.rows
+
+    @property
+    def slack(self) -> float:
+        j = self.percent / 100
+        return 5.25 * (j * (1 - j) / REGISTERS) ** 0.5
+
+
 def shingle_sets(texts: pa.Array) -> list[np.ndarray]:
     """The sorted distinct 64-bit shingle hashes of each text (A-Z as a-z); none without words."""
     data, offsets = utf8(texts)
@@ -111,11 +138,11 @@ def joint_similarity(a: np.ndarray, b: np.ndarray, n_a: np.ndarray, n_b: np.ndar
     return (low + high) / 2
 
 
-def may_link(counts: tuple, n_a: np.ndarray, n_b: np.ndarray) -> np.ndarray:
-    """Whether the likeliest similarity is at least LINK - SLACK: the likelihood still rises there."""
+def may_link(like: Likeness, counts: tuple, n_a: np.ndarray, n_b: np.ndarray) -> np.ndarray:
+    """Whether set sizes allow a link and the likelihood still rises where the slack begins."""
     u = n_a / (n_a + n_b)
-    fits = 100 * np.minimum(n_a, n_b) >= round(100 * LINK) * np.maximum(n_a, n_b)
-    return fits & (_slope(LINK - SLACK, counts, u) >= 0)
+    fits = 100 * np.minimum(n_a, n_b) >= like.percent * np.maximum(n_a, n_b)
+    return fits & (_slope(like.percent / 100 - like.slack, counts, u) >= 0)
 
 
 def _matrix(column: pa.Array) -> np.ndarray:
@@ -134,18 +161,20 @@ def sketches(documents: DataFrame) -> DataFrame:
     return text_step(documents, "text", work, f"doc_id {dict(documents.dtypes)['doc_id']}, n_shingles long, set_key binary, registers binary")
 
 
-def _bands(classes: DataFrame) -> DataFrame:
+def _bands(classes: DataFrame, like: Likeness) -> DataFrame:
     """(key, band, c) for every band of every class."""
+    bands, width = like.bands, like.rows
+
     def keys(batches):
         for batch in batches:
-            rows = _matrix(batch.column("registers"))[:, :BANDS * ROWS].reshape(batch.num_rows, BANDS, ROWS).astype(np.uint64)
+            rows = _matrix(batch.column("registers"))[:, :bands * width].reshape(batch.num_rows, bands, width).astype(np.uint64)
             with np.errstate(over="ignore"):
-                key = np.broadcast_to(np.arange(1, BANDS + 1, dtype=np.uint64), (batch.num_rows, BANDS))
-                for k in range(ROWS):
+                key = np.broadcast_to(np.arange(1, bands + 1, dtype=np.uint64), (batch.num_rows, bands))
+                for k in range(width):
                     key = mixed(key * np.uint64(257) + rows[:, :, k])
             yield pa.RecordBatch.from_pydict({
-                "key": pa.array(key.ravel().view(np.int64)), "band": pa.array(np.tile(np.arange(BANDS, dtype=np.int32), batch.num_rows)),
-                "c": pa.array(np.repeat(batch.column("c").to_numpy(), BANDS))})
+                "key": pa.array(key.ravel().view(np.int64)), "band": pa.array(np.tile(np.arange(bands, dtype=np.int32), batch.num_rows)),
+                "c": pa.array(np.repeat(batch.column("c").to_numpy(), bands))})
 
     return classes.select("c", "registers").mapInArrow(keys, "key long, band int, c long")
 
@@ -206,7 +235,7 @@ def _pairs_within(table: pa.Table, step: int = 1 << 15):
         yield np.concatenate(left), np.concatenate(right)
 
 
-def _promising(dealt: DataFrame) -> DataFrame:
+def _promising(dealt: DataFrame, like: Likeness) -> DataFrame:
     """(own, other, equal): per class and group the partner with most equal registers, if it may be a link."""
     def best(batches):
         for table in _groups(batches):
@@ -215,7 +244,7 @@ def _promising(dealt: DataFrame) -> DataFrame:
             found = []
             for a, b in _pairs_within(table):
                 counts = _agreement(rows[a], rows[b])
-                likely = may_link(counts, n[a], n[b])
+                likely = may_link(like, counts, n[a], n[b])
                 a, b, equal = a[likely], b[likely], counts[2][likely]
                 found += [(a, b, equal), (b, a, equal)]
             if not found:
@@ -229,8 +258,10 @@ def _promising(dealt: DataFrame) -> DataFrame:
     return dealt.select("key", "i", "j", "own", "c", "n", "registers").mapInArrow(best, "own long, other long, equal long")
 
 
-def _across(dealt: DataFrame) -> DataFrame:
+def _across(dealt: DataFrame, like: Likeness) -> DataFrame:
     """(x, y): pairs with different roots that may be links, each from the first band in which it agrees."""
+    bands, width = like.bands, like.rows
+
     def pairs(batches):
         for table in _groups(batches):
             c, root = table.column("c").to_numpy(), table.column("root").to_numpy()
@@ -239,9 +270,9 @@ def _across(dealt: DataFrame) -> DataFrame:
             for a, b in _pairs_within(table):
                 other = root[a] != root[b]
                 a, b = a[other], b[other]
-                likely = may_link(_agreement(rows[a], rows[b]), n[a], n[b])
+                likely = may_link(like, _agreement(rows[a], rows[b]), n[a], n[b])
                 a, b = a[likely], b[likely]
-                same = (rows[a, :BANDS * ROWS] == rows[b, :BANDS * ROWS]).reshape(-1, BANDS, ROWS).all(axis=2)
+                same = (rows[a, :bands * width] == rows[b, :bands * width]).reshape(-1, bands, width).all(axis=2)
                 first = same.argmax(axis=1) == band[a]
                 x, y = c[a[first]], c[b[first]]
                 yield pa.RecordBatch.from_pydict({"x": pa.array(np.minimum(x, y)), "y": pa.array(np.maximum(x, y))})
@@ -288,7 +319,7 @@ def _needed_sets(documents: DataFrame, pairs: DataFrame, classes: DataFrame, ste
     return steps.write(name, joined.groupBy("c").agg(F.first("set").alias("set")))
 
 
-def _verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
+def _verified(pairs: DataFrame, sets: DataFrame, like: Likeness) -> DataFrame:
     """Links (u, v): the pairs whose whole sets are similar enough."""
     joined = pairs.select("x", "y").join(sets.toDF("x", "set_x"), "x").join(sets.toDF("y", "set_y"), "y")
 
@@ -299,18 +330,18 @@ def _verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
                 a, b = (np.frombuffer(s.as_buffer(), np.uint64) for s in (a, b))
                 place = np.searchsorted(b, a)
                 both = int((b[np.minimum(place, len(b) - 1)] == a).sum())
-                linked.append(100 * both >= round(100 * LINK) * (len(a) + len(b) - both))
+                linked.append(100 * both >= like.percent * (len(a) + len(b) - both))
             yield pa.RecordBatch.from_pydict({"u": batch.column("x"), "v": batch.column("y")}).filter(pa.array(linked, pa.bool_()))
 
     return joined.select("x", "y", "set_x", "set_y").mapInArrow(check, "u long, v long")
 
 
-def near_duplicates(documents: DataFrame, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def near_duplicates(documents: DataFrame, *, percent: int = 85, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, n_shingles, component_id, kept) of every row.
 
     Two documents are linked if their sets of distinct five-word shingles
     (A-Z as a-z; a shorter text is one shingle) have a Jaccard similarity of at
-    least 0.85. Documents with the same set form a class, and only classes are
+    least ``percent`` hundredths. Documents with the same set form a class, and only classes are
     compared. Classes that agree in a band of registers are candidates; the
     joint estimate drops hopeless ones; the rest are verified on whole sets.
     First every class verifies its most promising partners, which gives as many
@@ -326,24 +357,24 @@ def near_duplicates(documents: DataFrame, *, id_col: str = "doc_id", text_col: s
     never the smallest unless its component has no other. Shingles are 64-bit
     hashes. No rows give no rows; other columns of the input are ignored.
     """
-    steps = Steps(documents.sparkSession, "near")
+    steps, like = Steps(documents.sparkSession, "near"), Likeness(percent)
     source = documents.selectExpr(f"`{id_col}` as doc_id", f"cast(`{text_col}` as string) as text")
     sketched = steps.write("sketches", sketches(source))
     classes = steps.write("classes", sketched.where("n_shingles > 0").groupBy("set_key", "n_shingles", "registers")
                           .agg(F.min("doc_id").alias("least")).withColumn("c", F.monotonically_increasing_id()))
-    bands = _bands(classes)
+    bands = _bands(classes, like)
     shared = bands.groupBy("key").agg(F.count(F.lit(1)).alias("size")).where("size > 1")
     members = steps.write("members", bands.join(shared, "key"))
     nearest = Window.partitionBy("own").orderBy(F.col("equal").desc(), "other")
-    first = steps.write("first", _promising(_dealt(members, classes)).distinct().withColumn("_r", F.row_number().over(nearest))
+    first = steps.write("first", _promising(_dealt(members, classes), like).distinct().withColumn("_r", F.row_number().over(nearest))
                         .where(F.col("_r") <= FIRST_PARTNERS).select(F.least("own", "other").alias("x"), F.greatest("own", "other").alias("y")).distinct())
-    links = steps.write("links", _verified(first, _needed_sets(source, first, classes, steps, "first-sets")))
+    links = steps.write("links", _verified(first, _needed_sets(source, first, classes, steps, "first-sets"), like))
     roots = steps.write("roots", components(links, steps))
     rooted = members.join(roots, F.col("c") == F.col("node"), "left").withColumn("root", F.coalesce("root", "c")).drop("node")
     open_ = rooted.groupBy("key").agg(F.min("root").alias("a"), F.max("root").alias("b")).where("a < b").select("key")
-    across = _across(_dealt(rooted.join(open_, "key", "left_semi"), classes))
+    across = _across(_dealt(rooted.join(open_, "key", "left_semi"), classes), like)
     rest = steps.write("rest", across.join(first, ["x", "y"], "left_anti"))
-    more = steps.write("more", _verified(rest, _needed_sets(source, rest, classes, steps, "rest-sets")))
+    more = steps.write("more", _verified(rest, _needed_sets(source, rest, classes, steps, "rest-sets"), like))
     roots = steps.write("all", components(links.union(more), steps))
     grouped = classes.join(roots, F.col("c") == F.col("node"), "left").select("set_key", F.coalesce("root", "c").alias("root"), "least")
     heads = grouped.groupBy("root").agg(F.min("least").alias("component"))

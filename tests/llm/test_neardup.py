@@ -19,19 +19,19 @@ def shingles(text):
     return {tuple(words[k:k + 5]) for k in range(len(words) - 4)}
 
 
-def plain(rows):
+def plain(rows, percent=85):
     """(shingles, component) by id, from all pairs."""
     sets = {i: shingles(t) for i, t in rows}
     ids = sorted(sets)
     linked = [(a, b) for k, a in enumerate(ids) for b in ids[k + 1:]
-              if sets[a] and 100 * len(sets[a] & sets[b]) >= 85 * len(sets[a] | sets[b])]
+              if sets[a] and 100 * len(sets[a] & sets[b]) >= percent * len(sets[a] | sets[b])]
     root = roots(ids, linked)
     return {i: (len(sets[i]), root[i]) for i in ids}
 
 
-def check(docs):
-    want = plain([(r.doc_id, r.text) for r in docs.collect()])
-    rows = collected(neardup.near_duplicates(docs))
+def check(docs, percent=85):
+    want = plain([(r.doc_id, r.text) for r in docs.collect()], percent)
+    rows = collected(neardup.near_duplicates(docs, percent=percent))
     assert len(rows) == docs.count()
     assert {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in rows} == want
     assert all(r["kept"] == (r["doc_id"] == r["component_id"]) for r in rows)
@@ -53,14 +53,14 @@ def test_documents(documents):
     check(documents)
 
 
-@pytest.mark.parametrize("block", [neardup.BLOCK, 6])
-def test_families(spark, monkeypatch, block):
+@pytest.mark.parametrize("block,percent", [(neardup.BLOCK, 85), (6, 85), (neardup.BLOCK, 80)])
+def test_families(spark, monkeypatch, block, percent):
     monkeypatch.setattr(neardup, "BLOCK", block)
     rng = random.Random(7)
     texts = family(rng, 90, 150, 6) + family(rng, 30, 400, 14) + family(rng, 25, 40, 2) + family(rng, 12, 3, 1)
     texts += [texts[0].upper(), texts[0].replace(" ", "\n"), prose(rng, 5000)]
     rng.shuffle(texts)
-    check(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"))
+    check(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), percent)
 
 
 def test_odd_rows(odd, nothing):
@@ -98,7 +98,7 @@ def test_estimates_keep_links():
         r = neardup.registers(sets)
         n = [np.array([float(len(s))]) for s in sets]
         errors.append(neardup.joint_similarity(r[:1], r[1:], *n)[0] - 0.85)
-    assert np.std(errors) < neardup.SLACK / 4 and abs(np.mean(errors)) < 0.02
+    assert np.std(errors) < neardup.Likeness().slack / 4 and abs(np.mean(errors)) < 0.02
 
 
 def test_shingles_do_not_depend_on_the_batch(documents):

@@ -61,7 +61,7 @@ def test_stages_against_plain_counterparts(spark, documents, labels):
         elif n == 1:
             want = [min(g)[2] for g in groups(rows).values()]
         elif n == 2:
-            want = [k for k, (_, root) in near_plain(rows).items() if k == root]
+            want = [k for k, (_, root) in near_plain(rows, 80).items() if k == root]
         elif n == 3:
             taken = {r["doc_id"]: r for r in collected(mixing.mix(spark.createDataFrame(before, documents.schema)))}
             want = [k for k, r in taken.items() for _ in range(r["taken"] // max(1, r["size"]))]
