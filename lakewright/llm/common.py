@@ -140,6 +140,16 @@ def span_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.nd
         return mixed((total[ends] - total[starts]) * down[starts] + (ends - starts).astype(np.uint64) * _ODD)
 
 
+def gram_hashes(data: np.ndarray, length: int) -> np.ndarray:
+    """A 64-bit hash of the ``length`` bytes from each position on."""
+    n = len(data) - length + 1
+    up, down = _powers(len(data) + 1)
+    with np.errstate(over="ignore"):
+        total = np.zeros(len(data) + 1, np.uint64)
+        np.cumsum((data.astype(np.uint64) + np.uint64(1)) * up[:len(data)], out=total[1:])
+        return mixed((total[length:] - total[:n]) * down[:n])
+
+
 def lowered(data: np.ndarray) -> np.ndarray:
     """A-Z as a-z; all other bytes stay."""
     return data + ((data >= 65) & (data <= 90)).astype(np.uint8) * np.uint8(32)

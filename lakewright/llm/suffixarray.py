@@ -22,11 +22,13 @@ def smaller_types(s: np.ndarray) -> np.ndarray:
     types = np.zeros(n, bool)
     if n < 2:
         return types
-    # A suffix has the type of the next place at which the character changes.
-    change = np.flatnonzero(s[:-1] != s[1:])
-    at = np.searchsorted(change, np.arange(n - 1))
-    known = at < len(change)
-    types[:-1][known] = s[change[at[known]]] < s[change[at[known]] + 1]
+    types[:-1] = s[:-1] < s[1:]
+    # Within a run of equal characters the type is that of the place behind the run.
+    same = np.flatnonzero(s[:-1] == s[1:])
+    if len(same):
+        ends = np.append(np.diff(same) > 1, True)
+        last = same[ends]
+        types[same] = types[np.repeat(last, np.diff(np.append(-1, np.flatnonzero(ends)))) + 1]
     return types
 
 

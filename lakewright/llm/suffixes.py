@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lakewright.llm.common import Steps, mixed, span_hashes, text_step, utf8
+from lakewright.llm.common import Steps, gram_hashes, span_hashes, text_step, utf8
 from lakewright.llm.suffixarray import SEPARATOR, common_prefixes, suffix_array
 from lakewright.operators.windows import match
 
@@ -41,29 +41,27 @@ def runs(data: np.ndarray, offsets: np.ndarray, length: int = LENGTH, gram: int
     empty = np.zeros(0, np.int64)
     if not len(some):
         return dict.fromkeys(("row", "start", "n", "off"), empty) | {"f": empty.copy(), "g": empty.copy()}
-    size = len(data) - gram + 1
-    at = np.arange(size)
-    grams = span_hashes(data, at, at + gram)
+    grams = gram_hashes(data, gram)
     # High bits order the grams and positions break ties, so one minimum gives the leftmost least.
-    least = (grams & np.uint64(0xFFFFFFFF00000000)) | at.astype(np.uint64)
+    least = (grams & np.uint64(0xFFFFFFFF00000000)) | np.arange(len(grams), dtype=np.uint64)
     width, span = 1, length - gram + 1
     while width * 2 <= span:
-        least = np.minimum(least[:-width], least[width:])
+        np.minimum(least[:-width], least[width:], out=least[:-width])
+        least = least[:-width]
         width *= 2
     if width < span:
         least = np.minimum(least[:len(least) - (span - width)], least[span - width:])
-    anchor = (least & np.uint64(0xFFFFFFFF)).astype(np.int64)
-    inside = np.zeros(len(anchor) + 1, np.int64)
-    np.add.at(inside, offsets[:-1][some], 1)
-    np.add.at(inside, last[some] + 1, -1)
-    valid = np.cumsum(inside[:-1]) > 0
+    anchor = least.astype(np.uint32)  # the low bits, as positions of a step fit into them
+    valid = np.zeros(len(anchor), bool)
+    for a, b in zip(offsets[:-1][some].tolist(), last[some].tolist()):
+        valid[a:b + 1] = True
     first = valid.copy()
     first[1:] &= (anchor[1:] != anchor[:-1]) | ~valid[:-1]
     # Rows that touch without an invalid window between them exist only if length is 1.
     begin = np.flatnonzero(first)
     stop = np.flatnonzero(valid & np.concatenate([first[1:] | ~valid[1:], [True]])) + 1
     row = np.searchsorted(offsets, begin, side="right") - 1
-    return {"row": row, "start": begin - offsets[row], "n": stop - begin, "off": anchor[begin] - begin,
+    return {"row": row, "start": begin - offsets[row], "n": stop - begin, "off": anchor[begin].astype(np.int64) - begin,
             "f": grams[anchor[begin]].view(np.int64), "g": span_hashes(data, begin, stop - 1 + length).view(np.int64)}
 
 
@@ -128,7 +126,7 @@ def repeated_windows(order: np.ndarray, places: list, starts: np.ndarray, sizes:
     """
     shared = common_prefixes(text, order)
     base = np.cumsum(sizes + 1) - (sizes + 1)
-    segment = np.searchsorted(base, order, side="right") - 1
+    segment = np.repeat(np.arange(len(sizes)), sizes + 1)[order]
     inner = order - base[segment]
     window = inner <= sizes[segment] - length
     group = np.cumsum(shared[order] < length)[window]
@@ -215,7 +213,8 @@ def _repeats(source: DataFrame, length: int, gram: int, shard_bytes: int, steps:
     """(d, start, n): runs of windows that occur at an earlier place of the corpus."""
     found = steps.write("anchors", _anchors(source, length, gram))
     often = steps.write("often", found.groupBy("f").agg(F.count(F.lit(1)).alias("_n")).where("_n > 1").select("f"))
-    again = steps.write("again", found.join(often, "f", "left_semi"))
+    # Anchors of the corpus are many and each is listed once, so they are looked up by hash instead of sorted.
+    again = steps.write("again", found.join(often.hint("shuffle_hash"), "f", "left_semi"))
     steps.drop("anchors", "often")
     firsts, copies = _firsts_and_copies(again, ["n", "off"], steps, "firsts-0")
     repeats = [steps.write("copies-0", copies)]
