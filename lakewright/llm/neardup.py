@@ -25,6 +25,8 @@ BLOCK = 512
 #: Partners in most equal registers that a class verifies first.
 FIRST_PARTNERS = 3
 _FILTER_BITS = 1 << 24
+#: Bytes of text per step; arrays of eight bytes a position are held at once.
+_STEP = 1 << 19
 _MULTIPLIERS = mixed(np.arange(1, REGISTERS + 1, dtype=np.uint64)) | np.uint64(1)
 
 
@@ -158,7 +160,7 @@ def sketches(documents: DataFrame) -> DataFrame:
             "set_key": pa.array([xxhash.xxh3_128_digest(s.tobytes()) for s in sets], pa.binary()),
             "registers": pa.array([r.tobytes() for r in registers(sets)], pa.binary())})
 
-    return text_step(documents, "text", work, f"doc_id {dict(documents.dtypes)['doc_id']}, n_shingles long, set_key binary, registers binary")
+    return text_step(documents, "text", work, f"doc_id {dict(documents.dtypes)['doc_id']}, n_shingles long, set_key binary, registers binary", _STEP)
 
 
 def _bands(classes: DataFrame, like: Likeness) -> DataFrame:
@@ -314,7 +316,7 @@ def _needed_sets(documents: DataFrame, pairs: DataFrame, classes: DataFrame, ste
             "doc_id": batch.column("doc_id").take(pa.array(hit)), "set_key": pa.array([keys[k] for k in hit], pa.binary()),
             "set": pa.array([sets[k].tobytes() for k in hit], pa.binary())})
 
-    found = text_step(documents, "text", work, f"doc_id {dict(documents.dtypes)['doc_id']}, set_key binary, set binary")
+    found = text_step(documents, "text", work, f"doc_id {dict(documents.dtypes)['doc_id']}, set_key binary, set binary", _STEP)
     joined = match(found, needed, ["doc_id", "set_key"])
     return steps.write(name, joined.groupBy("c").agg(F.first("set").alias("set")))
 
