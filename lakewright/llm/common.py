@@ -17,8 +17,11 @@ from lakewright.sources.tables import remove_at_exit, scratch_path
 #: A word is a run of anything but blank, tab, line feed, vertical tab, form feed and carriage return.
 WORD = r"[^\x20\x09-\x0D]+"
 SPACE_BYTES = b" \t\n\x0b\x0c\r"
-#: Bytes of text that one numpy step handles at once. One longer text forms a step of its own.
-STEP_BYTES = 2 << 20
+#: Bytes of text that one numpy step handles at once, so that its arrays stay in the processor's cache. One longer
+#: text forms a step of its own.
+STEP_BYTES = 1 << 18
+#: Steps of operators that look up every different part of a step once.
+WIDE_STEP_BYTES = 1 << 21
 
 _CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
@@ -98,14 +101,14 @@ def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
     """Powers of an odd base and of its inverse modulo 2**64, kept per process."""
     held = process_store().get("powers")
     if held is None or len(held[0]) < n:
-        size = max(n, STEP_BYTES + 1)
+        size = max(n, WIDE_STEP_BYTES + 1)
         base = 0xD6E8FEB86659FD93
         up = np.full(size, base, np.uint64)
         down = np.full(size, pow(base, -1, 1 << 64), np.uint64)
         up[0] = down[0] = 1
         with np.errstate(over="ignore"):
             held = np.cumprod(up, dtype=np.uint64), np.cumprod(down, dtype=np.uint64)
-        if size <= 4 * STEP_BYTES:
+        if size <= 4 * WIDE_STEP_BYTES:
             process_store()["powers"] = held
     return held
 

@@ -6,7 +6,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from lakewright.llm.common import process_store, span_hashes, text_step
+from lakewright.llm.common import WIDE_STEP_BYTES, process_store, span_hashes, text_step
 from lakewright.llm.pieces import SPACE, Pieces, cut_parts, load_pieces, tokenizer_path
 
 #: The token counts of parts up to this length are kept.
@@ -245,7 +245,8 @@ def token_counts(documents: DataFrame, *, limit: int = 4096, model: str | None =
 
     source = documents.selectExpr(f"`{id_col}` as doc_id", f"cast(`{text_col}` as string) as text")
     kind = dict(source.dtypes)["doc_id"]
-    return text_step(source, "text", work, f"doc_id {kind}, n_bytes long, n_tokens long, over_limit boolean, cut_chars long")
+    return text_step(source, "text", work, f"doc_id {kind}, n_bytes long, n_tokens long, over_limit boolean, cut_chars long",
+                     WIDE_STEP_BYTES)
 
 
 def prefix_tables(documents: DataFrame, *, model: str | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

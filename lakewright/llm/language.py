@@ -269,4 +269,4 @@ def identify(documents: DataFrame, network: Network | None, *, id_col: str = "do
 
     source = documents.selectExpr(f"`{id_col}` as doc_id", f"cast(`{text_col}` as string) as text")
     kind = dict(source.dtypes)["doc_id"]
-    return text_step(source, "text", work, f"doc_id {kind}, lang_pred string, score double, shares map<string,double>")
+    return text_step(source, "text", work, f"doc_id {kind}, lang_pred string, score double, shares map<string,double>", 1 << 20)

@@ -14,7 +14,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lakewright.llm.common import mixed, process_store, span_hashes, text_step
+from lakewright.llm.common import WIDE_STEP_BYTES, mixed, process_store, span_hashes, text_step
 from lakewright.llm.pieces import SPACE, Pieces, cut_parts, load_pieces, tokenizer_path
 
 #: Parts up to this length share their filtered positions; longer ones are sampled on their own.
@@ -344,7 +344,7 @@ def encode(documents: DataFrame, *, seed: str = "pieces", power: float = 1.0, mo
                               *[F.col(c).alias(a) for a, c in zip(carried, carry or [])])
     kinds = dict(source.dtypes)
     schema = ", ".join([f"{c} {kinds[c]}" for c in ["_id", *carried]] + ["ids array<int>, n_pieces long, lossless boolean"])
-    return text_step(source, "_text", work, schema).select(
+    return text_step(source, "_text", work, schema, WIDE_STEP_BYTES).select(
         F.col("_id").alias("doc_id"), *[F.col(a).alias(c) for a, c in zip(carried, carry or [])], "ids", "n_pieces", "lossless")
 
 
@@ -382,4 +382,5 @@ def digests(documents: DataFrame, *, seed: str = "pieces", power: float = 1.0, m
 
     source = documents.selectExpr(f"`{id_col}` as doc_id", f"cast(`{text_col}` as string) as text")
     kind = dict(source.dtypes)["doc_id"]
-    return text_step(source, "text", work, f"doc_id {kind}, n_bytes long, n_pieces long, ids_sha256 string, lossless boolean")
+    return text_step(source, "text", work, f"doc_id {kind}, n_bytes long, n_pieces long, ids_sha256 string, lossless boolean",
+                     WIDE_STEP_BYTES)
