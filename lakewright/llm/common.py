@@ -23,6 +23,9 @@ STEP_BYTES = 1 << 18
 #: Steps of operators that look up every different part of a step once.
 WIDE_STEP_BYTES = 1 << 21
 
+#: Documents are large rows: a batch that Spark hands to Python is bounded by this size instead of 64 MB.
+BATCH_BYTES = "8m"
+_BATCH = "spark.sql.execution.arrow.maxBytesPerBatch"
 _CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
@@ -60,7 +63,11 @@ def utf8(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
 
 def text_step(df: DataFrame, text: str, work: Callable[[pa.RecordBatch], pa.RecordBatch | None], schema: str,
               limit: int = STEP_BYTES) -> DataFrame:
-    """Run ``work`` on slices of Arrow batches that hold at most ``limit`` bytes of ``text``."""
+    """Run ``work`` on slices of Arrow batches that hold at most ``limit`` bytes of ``text``.
+
+    Sets the session's batch size, as Spark reads it when the result is used.
+    """
+    df.sparkSession.conf.set(_BATCH, BATCH_BYTES)
     names = [f.name for f in _fields(df.sparkSession, schema)]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -75,12 +75,13 @@ def test_stages_against_plain_counterparts(spark, documents, labels):
 
 
 def test_stages_take_odd_and_empty_tables(spark, odd, nothing, tmp_path):
-    for docs in (odd, nothing):
+    for name, docs in (("odd", odd), ("nothing", nothing)):
         for n, (_, stage) in enumerate(corpus_pipeline.STAGES):
             out = stage(spark, docs, FOLDER)
-            path = str(tmp_path / f"{n}-{docs is odd}")
+            path = str(tmp_path / f"{name}-{n}")
             out.write.parquet(path)
             if n < 4:
                 assert out.columns == odd.columns
                 docs = spark.read.schema(out.schema).parquet(path)
-        assert (spark.read.schema(out.schema).parquet(path).count() > 0) == (len(docs.columns) > 0 and docs.count() > 0)
+        assert spark.read.schema(out.schema).parquet(path).count() == docs.count()
+        assert (docs.count() > 0) == (name == "odd")
