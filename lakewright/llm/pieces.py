@@ -40,10 +40,24 @@ class Pieces:
         for piece in words:
             for k in range(1, len(piece)):
                 self.ids.setdefault(piece[k:], -1)
-        inner = {c for p in words for c in p[:-1]}
-        # A text may be cut before a run of blank marks and behind a line feed if no piece reaches across.
-        self.cut_blank = not any(SPACE in p.lstrip(SPACE) for p in words)
-        self.cut_feed = "\n" not in inner and not any("\n" in p[1:] for p in words)
+        # Merges build pieces from neighbours, so nothing reaches across two characters that no piece holds side by side.
+        pairs = {p[k:k + 2] for p in words for k in range(len(p) - 1)}
+        chars = sorted(set("".join(pairs)))
+        self.number = np.zeros(0x110000, np.int32)
+        self.number[[ord(c) for c in chars]] = np.arange(1, len(chars) + 1)
+        self.width = len(chars) + 1
+        keys = np.array([self.number[ord(x)] * self.width + self.number[ord(y)] for x, y in pairs], np.int64)
+        #: The pairs as a table, or as sorted keys where a vocabulary has too many characters for one.
+        self.beside = np.sort(keys) if self.width > 4096 else np.bincount(keys, minlength=self.width ** 2).astype(bool)
+
+    def apart(self, chars: np.ndarray) -> np.ndarray:
+        """Whether each character but the first can be cut from the one before it."""
+        numbers = self.number[chars].astype(np.int64)
+        keys = numbers[:-1] * self.width + numbers[1:]
+        if self.beside.dtype == bool:
+            return ~self.beside[keys]
+        at = np.minimum(np.searchsorted(self.beside, keys), len(self.beside) - 1)
+        return self.beside[at] != keys
 
     def chunks(self, text: str) -> list[str]:
         """The marked text in parts that no piece crosses; none for an empty text."""
@@ -60,11 +74,8 @@ def cut_parts(whole: str, lengths: np.ndarray, pieces: Pieces) -> tuple[np.ndarr
     first = np.zeros(len(chars), bool)
     ends = np.cumsum(lengths)
     first[(ends - lengths)[lengths > 0]] = True
-    if pieces.cut_blank:
-        blank = chars == ord(SPACE)
-        first[1:] |= blank[1:] & ~blank[:-1]
-    if pieces.cut_feed:
-        first[1:] |= chars[:-1] == 10
+    if len(chars) > 1:
+        first[1:] |= pieces.apart(chars)
     begin = np.flatnonzero(first)
     return begin, np.diff(np.searchsorted(begin, np.concatenate([[0], ends])))
 
