@@ -92,7 +92,7 @@ def plan_issues(nodes: DataFrame) -> DataFrame:
 
 
 def predicate_columns(log: DataFrame) -> DataFrame:
-    """Tables and columns used in comparisons and orderings, ranked by the time of their queries.
+    """Tables and columns used in filters (WHERE) and orderings, ranked by the time of their queries.
 
     Equal texts are summed first, so each text is searched once. A qualified
     column belongs to the table of that name or alias, any other to every table
@@ -110,7 +110,7 @@ def predicate_columns(log: DataFrame) -> DataFrame:
         return F.struct(F.when(F.coalesce(_is_name(named), F.lit(False)), named).otherwise(own).alias("alias"), own.alias("name"))
 
     def used(x: Column) -> Column:
-        filtered = _compared(x) & x["clause"].isin("where", "on", "having")
+        filtered = _compared(x) & (x["clause"] == "where")
         ordered = (x["clause"] == "order") & x["before"].isin("by", ",") & _is_name(x["t"])
         return F.coalesce(filtered | ordered, F.lit(False))
 
