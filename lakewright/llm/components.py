@@ -16,7 +16,7 @@ def _large_star(edges: DataFrame) -> DataFrame:
     """Every larger neighbour of a node is linked to the smallest node around it instead."""
     around = _both(edges)
     least = around.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
-    return around.join(least, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
+    return around.join(least, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v"))
 
 
 def _small_star(edges: DataFrame) -> DataFrame:
@@ -27,25 +27,25 @@ def _small_star(edges: DataFrame) -> DataFrame:
     return joined.select(F.col("v").alias("u"), F.col("m").alias("v")).union(least.select("u", F.col("m").alias("v"))).where("u <> v").distinct()
 
 
+def _are_stars(edges: DataFrame) -> bool:
+    """Whether every node is linked to one node only, and that one to none smaller."""
+    ends = edges.select("u", F.lit(1).alias("out"), F.lit(0).alias("into")).union(edges.select("v", F.lit(0), F.lit(1)))
+    seen = ends.groupBy("u").agg(F.sum("out").alias("out"), F.sum("into").alias("into"))
+    return seen.where("out > 1 or (out > 0 and into > 0)").isEmpty()
+
+
 def components(links: DataFrame, steps: Steps) -> DataFrame:
     """(node, root): the smallest node each linked node reaches, for links (u, v) of whole numbers.
 
     Every round is an aggregate and a join on the node, so a hub is combined
     before the shuffle or split by the join; the number of rounds grows with the
-    logarithm of the longest path. Rounds end when no link changes.
+    logarithm of the longest path. Rounds end when no node that is linked to is itself linked on.
     """
     edges = steps.write("stars-0", links.where("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct())
-    mark = F.struct(F.count(F.lit(1)).alias("n"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)")).alias("sum"))
-    before, turn = None, 0
-    while True:
-        now = edges.agg(mark.alias("m")).first()["m"]
-        if now == before or not now["n"]:
-            break
-        before, turn = now, turn + 1
+    turn = 0
+    while not _are_stars(edges):
+        turn += 1
         edges = steps.write(f"stars-{turn}", _small_star(_large_star(edges)))
-        if turn > 1:
-            steps.drop(f"stars-{turn - 2}")
-    if turn:
         steps.drop(f"stars-{turn - 1}")
     # Now every edge leads to the smallest node of its component.
     return edges.select(F.col("u").alias("node"), F.col("v").alias("root")).union(edges.select(F.col("v").alias("node"), F.col("v").alias("root")).distinct())

@@ -376,7 +376,9 @@ def near_duplicates(documents: DataFrame, *, percent: int = 85, id_col: str = "d
     rest = steps.write("rest", across.join(first, ["x", "y"], "left_anti"))
     more = steps.write("more", _verified(rest, _needed_sets(source, rest, classes, steps, "rest-sets"), like))
     if not more.isEmpty():
-        roots = steps.write("all", components(links.union(more), steps))
+        # From the stars found so far, so that few rounds are left.
+        stars = roots.select(F.col("node").alias("u"), F.col("root").alias("v"))
+        roots = steps.write("all", components(stars.union(more), steps))
     grouped = classes.join(roots, F.col("c") == F.col("node"), "left").select("set_key", F.coalesce("root", "c").alias("root"), "least")
     heads = grouped.groupBy("root").agg(F.min("least").alias("component"))
     found = steps.write("found", grouped.join(heads, "root").select("set_key", "component"))
