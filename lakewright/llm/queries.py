@@ -95,9 +95,9 @@ def op9(t: Tables) -> DataFrame:
 
 @query("op4_line_dedup")
 def op4(t: Tables) -> DataFrame:
-    from lakewright.llm.lines import without_repeated_lines
+    from lakewright.llm.lines import without_repeated_runs
 
-    return without_repeated_lines(t.documents).drop("text")
+    return without_repeated_runs(t.documents).drop("text")
 
 
 _EXACT_SQL = r"""

@@ -111,3 +111,62 @@ def test_odd_lines(odd, nothing):
     assert len(rows) == odd.count()
     assert all(r["text"] == "" and r["n_removed_lines"] == 0 for r in rows if r["doc_id"] in (0, 1))
     assert lines.without_repeated_lines(nothing).count() == 0
+
+
+def plain_runs(rows):
+    """Lines go that stand in a run of two lines or more, with a word, that starts earlier; by comparing all runs."""
+    ordered = sorted(rows, key=lambda r: (r[0] is None, r[0] or 0, hashlib.sha256((r[1] or "").encode()).digest()))
+    texts = [(t or "").split("\n") for _, t in ordered]
+    texts = [t[:-1] if t[-1] == "" else t for t in texts]
+    first, out = {}, []
+    for n, t in enumerate(texts):
+        for a in range(len(t)):
+            for b in range(a + 2, len(t) + 1):
+                first.setdefault(tuple(t[a:b]), (n, a))
+    for n, ((i, text), t) in enumerate(zip(ordered, texts)):
+        gone = {k for a in range(len(t)) for b in range(a + 2, len(t) + 1)
+                if any(p.strip(" \t\n\x0b\x0c\r") for p in t[a:b]) and first[tuple(t[a:b])] != (n, a) for k in range(a, b)}
+        whole = re.findall("[^\n]*\n|[^\n]+$", text or "")
+        out.append((str(i), "".join(p for k, p in enumerate(whole) if k not in gone), len(gone), sum(k - 1 not in gone for k in gone), len(whole)))
+    return out
+
+
+def check_runs(docs, **options):
+    rows = [(r.doc_id, r.text) for r in docs.collect()]
+    got = sorted((str(r["doc_id"]), r["text"], r["n_removed_lines"], r["n_removed_chunks"], r["n_lines"]) for r in collected(
+        lines.without_repeated_runs(docs, **options)))
+    assert got == sorted(plain_runs(rows))
+    return sum(r[2] for r in got)
+
+
+@pytest.mark.parametrize("width", [16, 1, 0])
+def test_all_repeated_runs(spark, width):
+    """Runs of any length that begin and end anywhere, few different lines, blank lines, texts with and without a last line feed."""
+    rng = random.Random(11)
+    words = [prose(rng, 3) for _ in range(60)]
+    rows = [(k, "\n".join(rng.choice([*words[:rng.choice([3, 60])], "", "", " "]) for _ in range(rng.randint(0, 9))) + "\n" * rng.randint(0, 3)) for k in range(150)]
+    block = [prose(rng, 6) for _ in range(14)]
+    for k in range(40):
+        a = rng.randrange(12)
+        rows.append((1000 + k, "\n".join([prose(rng, 5), *block[a:a + rng.randint(2, 12)], prose(rng, 4)])))
+    assert check_runs(spark.createDataFrame(rows, "doc_id long, text string"), digest_bytes=width) > 300
+
+
+def test_whole_copies_leave_no_line(spark):
+    rng = random.Random(12)
+    texts = ["\n".join(prose(rng, 4) for _ in range(n)) + end for n in range(2, 40) for end in ("", "\n", "\n\n\n")]
+    rows = list(enumerate(texts)) + [(1000 + k, t) for k, t in enumerate(texts)]
+    got = by_id(lines.without_repeated_runs(spark.createDataFrame(rows, "doc_id long, text string")))
+    assert all(got[1000 + k]["text"] == "" and got[k]["text"] == t for k, t in enumerate(texts))
+    assert all(n >= 2 for t in texts for _, _, n in lines.line_chunks(t.encode()))
+
+
+def test_runs_of_given_and_odd_documents(documents, odd, nothing):
+    check_runs(documents.limit(150))
+    check_runs(odd)
+    assert lines.without_repeated_runs(nothing).count() == 0
+
+
+def test_many_blank_lines_take_linear_time():
+    found, stands = lines.line_windows(b"x\n" + b"\n" * 100_000 + b"y", lambda p: hashlib.md5(p).digest())
+    assert len(found) < 210_000 and len(stands) < 210_000
