@@ -8,7 +8,7 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lakewright.operators.windows import top_per_key
@@ -220,18 +220,35 @@ def word_count(text: str = "text"):
     return F.coalesce(F.regexp_count(F.col(text), F.lit(WORD)), F.lit(0)).cast("long")
 
 
-def rows_by_id(documents: DataFrame, id_col: str, chosen: DataFrame) -> DataFrame:
-    """The rows of ``documents`` whose id has a verdict that keeps them, with all their columns.
+def row_key(id_: Column, text: Column) -> Column:
+    """What tells rows apart where ids are null or repeat: the id (null last) and half of the whole text's SHA-256.
 
-    ``chosen`` holds (doc_id, keep, single) for ids that need one: those with
-    keep false go, of those with single true one row stays, and ids without a
-    row in it stay as they are. Columns go by position, so names cannot clash.
+    Never null itself; only rows with the same id and the same text share one.
+    """
+    return F.struct(id_.isNull().alias("no_id"), id_.alias("id"), F.substring(F.unhex(F.sha2(text.cast("string"), 256)), 1, 16).alias("text_hash"))
+
+
+def keyed(documents: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """(doc_id, text) with the row's key as its id."""
+    return documents.select(row_key(F.col(id_col), F.col(text_col)).alias("doc_id"), F.col(text_col).cast("string").alias("text"))
+
+
+def rows_by_key(documents: DataFrame, id_col: str, text_col: str, chosen: DataFrame) -> DataFrame:
+    """The rows of ``documents`` whose key has a verdict that keeps them, with all their columns.
+
+    ``chosen`` holds (doc_id, keep, single) for keys that need one: those with
+    keep false go, of those with single true one row stays, and keys without a
+    row in it stay as they are. Rows of one key have the same id and text; of
+    them the one whose other columns come first as JSON stays. Columns go by
+    position, so names cannot clash.
     """
     held = documents.toDF(*[f"c{k}" for k in range(len(documents.columns))])
-    key = f"c{documents.columns.index(id_col)}"
+    own, text = (f"c{documents.columns.index(c)}" for c in (id_col, text_col))
     verdict = chosen.select(F.col("doc_id").alias("v_id"), F.col("keep").alias("v_keep"), F.col("single").alias("v_single"))
     # By merge at every size: the verdicts of a large corpus fit no broadcast.
-    marked = held.join(verdict.hint("merge"), F.col(key).eqNullSafe(F.col("v_id")), "left")
+    marked = held.withColumn("key", row_key(F.col(own), F.col(text))).join(verdict.hint("merge"), F.col("key") == F.col("v_id"), "left")
     plain = marked.where("v_keep is null or (v_keep and not v_single)").select(*held.columns)
-    one = marked.where("v_keep and v_single").select(*held.columns).dropDuplicates([key])
+    rest = [c for c in held.columns if c not in (own, text)]
+    order = F.to_json(F.struct(*rest)) if rest else F.lit("")
+    one = marked.where("v_keep and v_single").groupBy("key").agg(F.min_by(F.struct(*held.columns), order).alias("row")).select("row.*")
     return plain.unionByName(one).toDF(*documents.columns)

@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lakewright.llm.chunks import DIGEST_BYTES, clashing, digest, distinct_batch
-from lakewright.llm.common import SPACE_BYTES, Steps, mixed, rows_by_id, text_step
+from lakewright.llm.common import SPACE_BYTES, Steps, keyed, mixed, rows_by_key, text_step
 from lakewright.operators.windows import match
 
 #: A chunk ends where the hash of the last 16 bytes is rare enough, but not before and not long after these sizes.
@@ -117,8 +117,12 @@ def exact_duplicates(documents: DataFrame, *, digest_bytes: int = DIGEST_BYTES,
         "doc_id", F.col("_best.doc_id").alias("keep_id"), "group_size", (F.col("row") == F.col("_best.row")).alias("kept"), "text_sha256")
 
 
-def without_exact_duplicates(documents: DataFrame, *, id_col: str = "doc_id", **options) -> DataFrame:
-    """The rows that stay, with all their columns. Of rows that repeat an id one stays."""
-    found = exact_duplicates(documents, id_col=id_col, **options).groupBy("doc_id").agg(
+def without_exact_duplicates(documents: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
+    """The rows that stay, with all their columns: one of each group of equal texts, whether ids are null, repeat or not.
+
+    Rows are told apart by id and text, of rows with one id the hash of the text
+    decides which comes first. Of rows with the same id and text one stays.
+    """
+    found = exact_duplicates(keyed(documents, id_col, text_col), **options).groupBy("doc_id").agg(
         F.bool_or("kept").alias("keep"), (F.count(F.lit(1)) > 1).alias("single"))
-    return rows_by_id(documents, id_col, found.where("not keep or single"))
+    return rows_by_key(documents, id_col, text_col, found.where("not keep or single"))

@@ -11,7 +11,7 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from lakewright.llm.common import _ODD, Steps, lowered, mixed, rows_by_id, span_hashes, text_step, utf8, word_spans
+from lakewright.llm.common import _ODD, Steps, keyed, lowered, mixed, rows_by_key, span_hashes, text_step, utf8, word_spans
 from lakewright.llm.components import components
 from lakewright.operators.windows import match
 
@@ -388,8 +388,13 @@ def near_duplicates(documents: DataFrame, *, percent: int = 85, id_col: str = "d
                        ).withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))
 
 
-def without_near_duplicates(documents: DataFrame, *, id_col: str = "doc_id", **options) -> DataFrame:
-    """The rows whose document heads its component, with all their columns; of rows that repeat an id one stays."""
-    found = near_duplicates(documents, id_col=id_col, **options).groupBy("doc_id").agg(
+def without_near_duplicates(documents: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
+    """The rows that head their components, with all their columns.
+
+    Rows are told apart by id and text, so different texts without id or with
+    one id are documents of their own; of rows with one id the hash of the text
+    decides which is smaller. Of rows with the same id and text one stays.
+    """
+    found = near_duplicates(keyed(documents, id_col, text_col), **options).groupBy("doc_id").agg(
         F.bool_or("kept").alias("keep"), (F.count(F.lit(1)) > 1).alias("single"))
-    return rows_by_id(documents, id_col, found.where("not keep or single"))
+    return rows_by_key(documents, id_col, text_col, found.where("not keep or single"))

@@ -6,7 +6,7 @@ import re
 
 import pytest
 
-from lakewright.llm import exact, lines
+from lakewright.llm import exact, lines, neardup
 from tests.llm.helpers import by_id, collected, prose
 
 
@@ -170,3 +170,23 @@ def test_runs_of_given_and_odd_documents(documents, odd, nothing):
 def test_many_blank_lines_take_linear_time():
     found, stands = lines.line_windows(b"x\n" + b"\n" * 100_000 + b"y", lambda p: hashlib.md5(p).digest())
     assert len(found) < 210_000 and len(stands) < 210_000
+
+
+def shared_ids(spark):
+    """Many different texts without id or with one id, copies of some of them, under the same and under other ids."""
+    rng = random.Random(13)
+    texts = [prose(rng, 40) for _ in range(30)]
+    rows = [(None, t) for t in texts[:12]] + [(7, t) for t in texts[12:24]] + [(k, t) for k, t in enumerate(texts[24:])]
+    rows += [(None, texts[0]), (7, texts[12]), (None, texts[13]), (7, texts[1]), (900, texts[2]), (3, texts[14])]
+    return texts, spark.createDataFrame([(i, t, k) for k, (i, t) in enumerate(rows)], "doc_id long, text string, n int").repartition(4)
+
+
+def test_different_texts_of_one_id_stay(spark):
+    texts, docs = shared_ids(spark)
+    for kept in (exact.without_exact_duplicates(docs), neardup.without_near_duplicates(docs, percent=80)):
+        rows = kept.collect()
+        assert sorted(r.text for r in rows) == sorted(texts)
+        owner = {r.text: r.doc_id for r in rows}
+        assert owner[texts[0]] is None and owner[texts[12]] == owner[texts[13]] == owner[texts[1]] == 7
+        assert owner[texts[2]] == 900 and owner[texts[14]] == 3
+        assert {r.n for r in rows if r.text in (texts[0], texts[12])} == {0, 12}
