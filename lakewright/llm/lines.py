@@ -19,6 +19,8 @@ from lakewright.operators.windows import match
 ROLLED, CUT = 2, 3
 LEAST_LINES, MOST_LINES = 2, 16
 _STEP = 8 << 20
+#: What tells rows apart.
+_ROW = ["doc_id", "text_hash"]
 
 
 def _lines(text: bytes) -> list[bytes]:
@@ -65,7 +67,7 @@ def _bodies(text: bytes, chunks: list[tuple[int, int, int]]) -> list[bytes]:
 
 
 def _occurrences(documents: DataFrame, digest_bytes: int, with_bytes: bool) -> DataFrame:
-    """(doc_id, begin, end, lines, digest[, chunk]) of every chunk of two lines or more that has a word."""
+    """(doc_id, text_hash, begin, end, lines, digest[, chunk]) of every chunk of two lines or more that has a word."""
     def work(batch: pa.RecordBatch) -> pa.RecordBatch:
         rows, spans, bodies = [], [], []
         for k, text in enumerate(batch.column("text").to_pylist()):
@@ -76,7 +78,7 @@ def _occurrences(documents: DataFrame, digest_bytes: int, with_bytes: bool) -> D
                     rows.append(k)
                     spans.append(span)
                     bodies.append(body)
-        found = {"doc_id": batch.column("doc_id").take(pa.array(rows, pa.int64()))}
+        found = {c: batch.column(c).take(pa.array(rows, pa.int64())) for c in _ROW}
         found |= {name: pa.array([s[k] for s in spans], pa.int64()) for k, name in enumerate(("begin", "end", "lines"))}
         found["digest"] = pa.array([digest(b, digest_bytes) for b in bodies], pa.binary())
         if with_bytes:
@@ -84,7 +86,8 @@ def _occurrences(documents: DataFrame, digest_bytes: int, with_bytes: bool) -> D
         return pa.RecordBatch.from_pydict(found)
 
     kind = dict(documents.dtypes)["doc_id"]
-    return text_step(documents, "text", work, f"doc_id {kind}, begin long, end long, lines long, digest binary" + ", chunk binary" * with_bytes, _STEP)
+    return text_step(documents, "text", work, f"doc_id {kind}, text_hash binary, begin long, end long, lines long, digest binary"
+                     + ", chunk binary" * with_bytes, _STEP)
 
 
 def _distinct(documents: DataFrame, digest_bytes: int) -> DataFrame:
@@ -100,9 +103,10 @@ def _distinct(documents: DataFrame, digest_bytes: int) -> DataFrame:
 
 
 def repeated_chunks(documents: DataFrame, *, digest_bytes: int = DIGEST_BYTES, steps: Steps) -> DataFrame:
-    """(doc_id, begin, end, lines) of every multi-line chunk that stands earlier too.
+    """(doc_id, text_hash, begin, end, lines) of every multi-line chunk that stands earlier too, of rows (doc_id, text_hash, text).
 
-    Earlier: in a smaller id (null last), or before it in the same document.
+    Earlier: in a smaller id (null last), of rows with one id in the smaller
+    hash of the text, or before it in the same document.
     Equal digests count as equal chunks after their bytes have been compared;
     where bytes differ, the bytes themselves take the digest's place.
     """
@@ -114,10 +118,10 @@ def repeated_chunks(documents: DataFrame, *, digest_bytes: int = DIGEST_BYTES, s
         sure = found.join(clashes, "digest", "left_anti").withColumn("chunk", F.lit(None).cast("binary"))
         found = steps.write("checked", sure.unionByName(whole.select(*sure.columns)))
         keys = ["digest", "chunk"]
-    place = F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "begin")
+    place = F.struct(F.col("doc_id").isNull().alias("no_id"), *_ROW, "begin")
     firsts = found.groupBy(*keys).agg(F.min(place).alias("_first"), F.count(F.lit(1)).alias("_n")).where("_n > 1").drop("_n")
     later = match(found, firsts, keys).where(~place.eqNullSafe(F.col("_first")))
-    return later.select("doc_id", "begin", "end", "lines")
+    return later.select(*_ROW, "begin", "end", "lines")
 
 
 def without_repeated_lines(documents: DataFrame, *, digest_bytes: int = DIGEST_BYTES, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -126,19 +130,22 @@ def without_repeated_lines(documents: DataFrame, *, digest_bytes: int = DIGEST_B
     ``text`` is what stays after removal of the multi-line chunks that stand
     earlier too, ``kept_sha256`` the hash of its UTF-8. Only runs of two lines
     or more go; a single repeated line stays. Null and empty texts have no line
-    and stay empty. Rows that share an id count as one document: what goes from
-    one goes from all. No rows give no rows; other columns are ignored.
+    and stay empty. Rows are told apart by id and text, of rows with one id or
+    without the hash of the text decides which is earlier; of rows with the same
+    id and text one is the first. No rows give no rows; other columns are ignored.
     """
-    source = documents.selectExpr(f"`{id_col}` as doc_id", f"cast(`{text_col}` as string) as text")
+    source = _hashed(documents, id_col, text_col)
     steps = Steps(documents.sparkSession, "lines")
     gone = steps.write("gone", repeated_chunks(source, digest_bytes=digest_bytes, steps=steps).distinct()
-                       .groupBy("doc_id").agg(F.sort_array(F.collect_list(F.struct("begin", "end", "lines"))).alias("gone")))
+                       .groupBy(*_ROW).agg(F.sort_array(F.collect_list(F.struct("begin", "end", "lines"))).alias("gone")))
     steps.drop("occurrences", "clashes")
 
     def work(batch: pa.RecordBatch) -> pa.RecordBatch:
         kept, counts, removed, chunks = [], [], [], []
-        for text, ranges in zip(batch.column("text").to_pylist(), batch.column("gone").to_pylist()):
+        for text, ranges, copy in zip(*(batch.column(c).to_pylist() for c in ("text", "gone", "copy"))):
             raw, ranges = (text or "").encode(), ranges or []
+            if copy:
+                ranges = [dict(zip(("begin", "end", "lines"), c)) for c in line_chunks(raw) if c[2] >= LEAST_LINES and raw[c[0]:c[1]].strip()]
             ends = [0, *[r["end"] for r in ranges]]
             kept.append(b"".join(raw[a:b] for a, b in zip(ends, [*[r["begin"] for r in ranges], len(raw)])))
             counts.append(raw.count(b"\n") + bool(raw and not raw.endswith(b"\n")))
@@ -150,9 +157,9 @@ def without_repeated_lines(documents: DataFrame, *, digest_bytes: int = DIGEST_B
             "kept_sha256": pa.array([hashlib.sha256(k).hexdigest() for k in kept])})
 
     # Texts meet their ranges in the same way at every size: the ranges of a large corpus fit no broadcast.
-    joined = match(source, gone.hint("merge"), ["doc_id"], "left")
+    joined = match(_numbered_copies(source), gone.hint("merge"), _ROW, "left")
     kind = dict(source.dtypes)["doc_id"]
-    return text_step(joined, "text", work, f"doc_id {kind}, text string, n_lines long, n_removed_lines long, n_removed_chunks long, kept_sha256 string")
+    return text_step(joined.select("doc_id", "text", "gone", "copy"), "text", work, f"doc_id {kind}, text string, n_lines long, n_removed_lines long, n_removed_chunks long, kept_sha256 string")
 
 
 def _own(line: bytes, digest_bytes: int | None) -> bytes:
@@ -220,7 +227,7 @@ def _windows(documents: DataFrame, digest_bytes: int | None) -> DataFrame:
 
 def _numbered_copies(source: DataFrame) -> DataFrame:
     """Rows (doc_id, text_hash, text) with ``copy``, which counts rows of the same id and text from 0 on."""
-    keys = ["doc_id", "text_hash"]
+    keys = _ROW
     if source.groupBy("doc_id").count().where("count > 1").isEmpty():
         return source.withColumn("copy", F.lit(0).cast("long"))
     several = source.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n")).where("_n > 1")

@@ -190,3 +190,19 @@ def test_different_texts_of_one_id_stay(spark):
         assert owner[texts[0]] is None and owner[texts[12]] == owner[texts[13]] == owner[texts[1]] == 7
         assert owner[texts[2]] == 900 and owner[texts[14]] == 3
         assert {r.n for r in rows if r.text in (texts[0], texts[12])} == {0, 12}
+
+
+@pytest.mark.parametrize("operator", [lines.without_repeated_lines, lines.without_repeated_runs])
+def test_lines_of_rows_that_share_an_id(spark, operator):
+    """What repeats in one text of an id is cut from no other text of it, and equal places without id are told apart."""
+    rng = random.Random(14)
+    block = "\n".join("é日\U0001f642 " + prose(rng, 5) for _ in range(9)) + "\n"
+    rows = [(1, block + "eins\n")]
+    for i in (None, 7):
+        rows += [(i, block + f"{prose(rng, 4)} ß\n" * 1), (i, "".join(f"{'ä日' * rng.randint(1, 9)} {prose(rng, 6)}\n" for _ in range(12)))]
+    fresh = "\n".join("ö " + prose(rng, 5) for _ in range(9)) + "\n"
+    rows += [(None, fresh + "a"), (None, fresh + "b"), (None, fresh + "b")]
+    got = collected(operator(spark.createDataFrame(rows, "doc_id long, text string").repartition(3)))
+    kept = [r["text"] for r in got]
+    assert len(got) == len(rows) and all(t in kept for i, t in rows if block not in t and fresh not in t) and rows[0][1] in kept
+    assert sum(fresh in t for t in kept) == 1 and sum(block in t for t in kept) == 1
