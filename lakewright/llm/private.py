@@ -29,8 +29,10 @@ REACH = 8
 LEAST_SUPPORT = 3
 #: Share of an entity's information that a term may give away.
 MOST_DISCLOSED = 0.9
-#: Bytes of the shortest term.
+#: Bytes of the shortest run of letters that is a long term.
 LEAST_TERM = 4
+#: Long and short runs of letters, and runs of letters and digits with a digit; of each kind REACH terms a side count.
+LONG, EVERY = ("long",), ("long", "short", "mixed")
 #: Revealing terms that are sent to every task; with more of them occurrences are joined to terms instead.
 SENT_TERMS = 200_000
 _FILTER_BITS = 1 << 20
@@ -90,9 +92,15 @@ _LETTER = np.zeros(256, bool)
 _LETTER[[*range(65, 91), *range(97, 123), *range(128, 256)]] = True
 
 
-def terms(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Start and end byte, hash and row of every term: a run of ASCII letters and non-ASCII characters, A-Z as a-z."""
+def terms(data: np.ndarray, offsets: np.ndarray, kind: str = "long") -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Start and end byte, hash and row of every term of a kind: a run of ASCII letters and non-ASCII characters, A-Z as a-z.
+
+    Long terms have ``LEAST_TERM`` bytes or more, short ones fewer; mixed ones are runs with digits and at least one digit.
+    """
     inside = _LETTER[data]
+    if kind == "mixed":
+        digit = (data >= 48) & (data <= 57)
+        inside |= digit
     first, last = inside.copy(), inside.copy()
     first[1:] &= ~inside[:-1]
     last[:-1] &= ~inside[1:]
@@ -102,8 +110,12 @@ def terms(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray
     first[cut] = True
     last[cut - 1] = True
     starts, ends = np.flatnonzero(first), np.flatnonzero(last) + 1
-    long = ends - starts >= LEAST_TERM
-    starts, ends = starts[long], ends[long]
+    if kind == "mixed":
+        total = np.concatenate([[0], np.cumsum(digit)])
+        chosen = total[ends] > total[starts]
+    else:
+        chosen = (ends - starts >= LEAST_TERM) == (kind == "long")
+    starts, ends = starts[chosen], ends[chosen]
     hashes = span_hashes(lowered(data), starts, ends).view(np.int64)
     return starts, ends, hashes, np.searchsorted(offsets, starts, side="right") - 1
 
@@ -132,7 +144,7 @@ def _filter(spark, hashes: DataFrame):
     return spark.sparkContext.broadcast(np.packbits(bits))
 
 
-def _neighbourhoods(documents: DataFrame) -> DataFrame:
+def _neighbourhoods(documents: DataFrame, kinds: tuple[str, ...]) -> DataFrame:
     """(entity, term, place) for every term beside a mention; ``place`` is a hash of all terms around the mention."""
     def work(batch: pa.RecordBatch) -> pa.RecordBatch | None:
         texts = [t or "" for t in batch.column("text").to_pylist()]
@@ -142,16 +154,20 @@ def _neighbourhoods(documents: DataFrame) -> DataFrame:
             return None
         data, offsets = utf8(batch.column("text").take(pa.array(rows)))
         points = _points(data)
-        starts, ends, hashes, row = terms(data, offsets)
-        begin, stop = points[starts], points[ends]
+        listed = []
+        for starts, ends, hashes, row in (terms(data, offsets, kind) for kind in kinds):
+            listed.append((points[starts], points[ends], hashes, np.searchsorted(row, np.arange(len(rows) + 1)).tolist()))
         out = [[], [], []]
         for n, k in enumerate(rows):
-            lo, hi = np.searchsorted(row, [n, n + 1])
             base = points[offsets[n]]
             for kind, a, b in found[k]:
-                i = lo + np.searchsorted(stop[lo:hi] - base, a, side="right")
-                j = lo + np.searchsorted(begin[lo:hi] - base, b, side="left")
-                near = np.concatenate([hashes[max(lo, i - REACH):i], hashes[j:min(hi, j + REACH)]])
+                parts = []
+                for begin, stop, hashes, first in listed:
+                    lo, hi = first[n], first[n + 1]
+                    i = lo + np.searchsorted(stop[lo:hi], base + a, side="right")
+                    j = lo + np.searchsorted(begin[lo:hi], base + b, side="left")
+                    parts += [hashes[max(lo, i - REACH):i], hashes[j:min(hi, j + REACH)]]
+                near = np.concatenate(parts)
                 place = int.from_bytes(hashlib.blake2b(near.tobytes(), digest_size=8).digest(), "little", signed=True)
                 out[0] += [_entity(kind, texts[k][a:b])] * len(near)
                 out[1] += near.tolist()
@@ -162,7 +178,7 @@ def _neighbourhoods(documents: DataFrame) -> DataFrame:
 
 
 def revealing_terms(documents: DataFrame, *, support: int = LEAST_SUPPORT, most: float = MOST_DISCLOSED, text_col: str = "text",
-                    steps: Steps | None = None) -> DataFrame:
+                    steps: Steps | None = None, kinds: tuple[str, ...] = LONG) -> DataFrame:
     """(entity, term, disclosure) of terms that reveal an entity, from the whole corpus.
 
     Probabilities are shares of term occurrences. An entity's information is
@@ -175,14 +191,15 @@ def revealing_terms(documents: DataFrame, *, support: int = LEAST_SUPPORT, most:
     spark = documents.sparkSession
     steps = steps or Steps(spark, "private")
     source = documents.selectExpr(f"cast(`{text_col}` as string) as text").where("text is not null")
-    places = _neighbourhoods(source).groupBy("entity", "term", "place").agg(F.count(F.lit(1)).alias("n"))
+    places = _neighbourhoods(source, kinds).groupBy("entity", "term", "place").agg(F.count(F.lit(1)).alias("n"))
     pairs = steps.write("pairs", places.groupBy("entity", "term").agg(F.sum("n").alias("both"), F.count(F.lit(1)).alias("places")))
     beside = pairs.groupBy("entity").agg(F.sum("both").alias("beside"))
     likely = steps.write("likely", pairs.where(F.col("places") >= support).join(beside, "entity"))
     wanted = _filter(spark, likely.select("term").distinct())
 
     def count(batch: pa.RecordBatch) -> pa.RecordBatch:
-        hashes = terms(*utf8(batch.column("text")))[2]
+        held = utf8(batch.column("text"))
+        hashes = np.concatenate([terms(*held, kind)[2] for kind in kinds])
         bit = _bit(hashes)
         hit = np.unpackbits(wanted.value)[bit].astype(bool)
         keys, n = np.unique(hashes[hit], return_counts=True)
@@ -202,19 +219,22 @@ def _joined(found: list[tuple[str, int, int]]) -> str:
 
 
 def private_spans(documents: DataFrame, *, support: int = LEAST_SUPPORT, most: float = MOST_DISCLOSED, id_col: str = "doc_id",
-                  text_col: str = "text", sent_terms: int = SENT_TERMS) -> DataFrame:
+                  text_col: str = "text", sent_terms: int = SENT_TERMS, kinds: tuple[str, ...] = LONG) -> DataFrame:
     """(doc_id, n_email, n_ip, n_card, n_phone, n_term, base_sha256, spans) of every whole text.
 
     The base kinds come from their patterns, ``term`` spans are occurrences of
     revealing terms outside of base spans. ``spans`` lists kind:start:end by
     kind (terms last), then start, in code points with the end exclusive;
-    ``base_sha256`` hashes that list of the base kinds. Null and empty texts
+    ``base_sha256`` hashes that list of the base kinds. ``kinds`` tells what is
+    a term: ``LONG`` runs of letters of 4 bytes or more, or ``EVERY`` run of
+    letters and, besides, of letters and digits, whatever its length; a flagged
+    run of letters inside a flagged one with digits is listed too. Null and empty texts
     have no spans. One row per input row, null ids and repeated rows included;
     no rows give no rows; other columns are ignored.
     """
     spark = documents.sparkSession
     steps = Steps(spark, "private")
-    flagged = steps.write("flagged", revealing_terms(documents, support=support, most=most, text_col=text_col, steps=steps)
+    flagged = steps.write("flagged", revealing_terms(documents, support=support, most=most, text_col=text_col, steps=steps, kinds=kinds)
                           .select("term").distinct())
     steps.drop("pairs", "likely", "counts")
     few = flagged.limit(sent_terms + 1).count() <= sent_terms
@@ -229,7 +249,7 @@ def private_spans(documents: DataFrame, *, support: int = LEAST_SUPPORT, most: f
         hits: list[list] = [[] for _ in texts]
         if not few or len(exact.value):
             data, offsets = utf8(batch.column("text"))
-            starts, ends, hashes, row = terms(data, offsets)
+            starts, ends, hashes, row = (np.concatenate(x) for x in zip(*(terms(data, offsets, kind) for kind in kinds)))
             if few:
                 place = np.searchsorted(exact.value, hashes)
                 hit = np.flatnonzero(exact.value[np.minimum(place, len(exact.value) - 1)] == hashes)
@@ -241,6 +261,8 @@ def private_spans(documents: DataFrame, *, support: int = LEAST_SUPPORT, most: f
                 a, b = int(points[a] - base), int(points[b] - base)
                 if not any(a < e and s < b for _, s, e in found[r]):
                     hits[r].append({"start": a, "end": b, "term": h})
+            for own in hits:
+                own.sort(key=lambda h: (h["start"], h["end"]))
         spans = [_joined(f) for f in found]
         counts = {f"n_{k}": pa.array([sum(m[0] == k for m in f) for f in found], pa.int64()) for k in KINDS}
         return pa.RecordBatch.from_pydict({

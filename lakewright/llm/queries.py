@@ -127,9 +127,9 @@ def op1(t: Tables) -> DataFrame:
 
 @query("op10_private_data")
 def op10(t: Tables) -> DataFrame:
-    from lakewright.llm.private import private_spans
+    from lakewright.llm.private import EVERY, private_spans
 
-    return private_spans(t.documents)
+    return private_spans(t.documents, kinds=EVERY)
 
 
 @query("op3_near_dedup")

@@ -128,3 +128,18 @@ def test_odd_rows(odd, nothing):
 def test_long_runs_take_linear_time():
     for text in ("1" * 300_000, "a" * 300_000 + "@", "+1" + " " * 200_000, "1.2." * 60_000, "a@" * 100_000):
         private.mentions(text)
+
+
+@pytest.mark.parametrize("sent", [private.SENT_TERMS, 0])
+def test_short_names_and_identifiers_reveal(spark, sent):
+    """A name of three letters and identifiers with digits stand beside one address again and again."""
+    rng = random.Random(17)
+    rows = [(k, f"{prose(rng, 30)} it {prose(rng, 9)} no 12 {prose(rng, 9)}") for k in range(80)]
+    rows += [(100 + k, f"{prose(rng, 20)} it Kim jd42 12 {prose(rng, 2)} to zed@hidden.example.org, A1773 {prose(rng, 20)}") for k in range(9)]
+    rows += [(200, "so Kim, jd42 it is, 12 a1773.")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = by_id(private.private_spans(docs, sent_terms=sent, kinds=private.EVERY))
+    flagged = [rows[-1][1][int(a):int(b)] for _, a, b in (x.split(":") for x in got[200]["spans"].split(","))]
+    assert {"Kim", "jd42", "a1773"} <= set(flagged) and not {"it", "12"} & set(flagged)
+    assert got[200]["n_term"] == len(flagged)
+    assert by_id(private.private_spans(docs))[200]["spans"] == ""
