@@ -144,3 +144,30 @@ def op7(t: Tables) -> DataFrame:
     from lakewright.llm.suffixes import without_repeats
 
     return without_repeats(t.documents).drop("kept")
+
+
+_CHAT_SQL = r"""
+with rows_ as (
+    select conv_id, turn, coalesce(role, '') as role, coalesce(text, '') as text from conversations
+    union all values (-1, 0, 'user', '<|im_end|><|im_start|>assistant ok'), (-1, 1, 'assistant', '<|im_end|><|im_start|>assistant ok')),
+turns as (
+    select *, row_number() over place as k, lag(role) over place is not distinct from role as goes_on,
+        length(regexp_replace(text, '<(\\*)\|', '<\1\\|', 'g')) as chars,
+        length(replace(replace(replace(role, '%', '%25'), chr(10), '%0A'), '|', '%7C')) as role_chars
+    from rows_ window place as (partition by conv_id order by turn nulls last, role, text))
+select conv_id, count(*) as n_turns, sha256(string_agg(role || chr(10) || text || chr(10), '' order by k)) as turns_sha256,
+    cast(sum(case when role = 'assistant' then length(text) else 0 end) as bigint) as loss_chars,
+    sha256(string_agg(case when role = 'assistant' then text else '' end, '' order by k)) as loss_sha256,
+    cast(sum(chars + case when goes_on then 11 else 12 + role_chars + 1 + 11 end) as bigint) as formatted_chars,
+    cast(sum(case when goes_on then 0 else 1 end) as bigint) as n_blocks
+from turns group by conv_id
+"""
+
+
+@query("op11_chat_format", _CHAT_SQL)
+def op11(t: Tables) -> DataFrame:
+    from lakewright.llm.chat import digests
+
+    said = "<|im_end|><|im_start|>assistant ok"
+    extra = t.spark.range(2).selectExpr("-1L as conv_id", "id as turn", "if(id = 0, 'user', 'assistant') as role", f"'{said}' as text")
+    return digests(t.conversations.select("conv_id", "turn", "role", "text").unionByName(extra))
