@@ -171,3 +171,68 @@ def op11(t: Tables) -> DataFrame:
     said = "<|im_end|><|im_start|>assistant ok"
     extra = t.spark.range(2).selectExpr("-1L as conv_id", "id as turn", "if(id = 0, 'user', 'assistant') as role", f"'{said}' as text")
     return digests(t.conversations.select("conv_id", "turn", "role", "text").unionByName(extra))
+
+
+def _clusters_sql(rounds: int) -> str:
+    """Every round compares all vectors with all centroids, component by component."""
+    parts = ["""
+with vecs as materialized (
+    select row_number() over () as rn, vec_id, list_transform(embedding, lambda x: cast(floor(256 * cast(x as double)) as bigint)) as v
+    from embeddings where len(embedding) = 64 and len(list_filter(embedding, lambda x: x is not null and isfinite(x))) = 64),
+long_ as materialized (select rn, unnest(v) as x, generate_subscripts(v, 1) as i from vecs),
+first_ as materialized (
+    select rn, row_number() over (order by sha256('2:' || coalesce(cast(vec_id as varchar), '')), v) - 1 as c from vecs
+    qualify row_number() over (order by sha256('2:' || coalesce(cast(vec_id as varchar), '')), v) <= 40),
+cent0 as materialized (select c, i, x as y from first_ join long_ using (rn))"""]
+    for k in range(rounds + 1):
+        parts.append(f"""
+near{k} as materialized (
+    select rn, c, d from (select rn, c, cast(sum((x - y) * (x - y)) as bigint) as d from long_ join cent{k} using (i) group by rn, c)
+    qualify row_number() over (partition by rn order by d, c) = 1)""")
+        if k < rounds:
+            parts.append(f"""
+cent{k + 1} as materialized (
+    select old.c, old.i, coalesce(new.y, old.y) as y from cent{k} old left join (
+        select c, i, cast(floor(sum(x) / count(*)) as bigint) as y from near{k} join long_ using (rn) group by c, i) new using (c, i))""")
+    parts.append(f"""
+names as (select c, sha256(string_agg(cast(y as varchar), ',' order by i)) as centroid_sha256 from cent{rounds} group by c)""")
+    return ",".join(parts) + f"""
+select vec_id, cast(c as integer) as cluster, d as distance, cast(sum(d) over (partition by c) as bigint) as cluster_inertia,
+    cast(sum(d) over () as bigint) as inertia, centroid_sha256
+from near{rounds} join vecs using (rn) join names using (c)
+"""
+
+
+@query("op13_centroid_clusters", _clusters_sql(5))
+def op13(t: Tables) -> DataFrame:
+    from lakewright.llm.clusters import cluster
+
+    return cluster(t.embeddings)
+
+
+_TERMS_OF = r"""regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+        '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')"""
+_SEARCH_SQL = f"""
+with docs as materialized (select row_number() over () as d, doc_id, {_TERMS_OF} as terms from documents),
+totals as materialized (select count(*) as n_docs, cast(sum(len(terms)) as bigint) as n_terms from docs where len(terms) > 0),
+postings as materialized (select d, term, count(*) as tf from (select d, unnest(terms) as term from docs) group by d, term),
+weights as materialized (
+    select term, cast(floor(1000 * ln((2 * n_docs + 2)::double / (2 * count(*) + 1)::double)) as bigint) as w from postings, totals group by term, n_docs),
+sizes as materialized (select d, doc_id, 75 + (25 * len(terms) * n_docs) // n_terms as m from docs, totals where len(terms) > 0),
+items as materialized (
+    select i, item_id, term, count(*) as times from (
+        select i, item_id, unnest(terms) as term from (select row_number() over () as i, item_id, {_TERMS_OF} as terms from benchmark))
+    group by i, item_id, term),
+scores as (
+    select i, item_id, doc_id, d, cast(sum(times * w * ((1000000000 * tf) // (1000 * tf + 12 * m))) as bigint) as score
+    from items join weights using (term) join postings using (term) join sizes using (d) group by i, item_id, doc_id, d)
+select item_id, cast(row_number() over best as integer) as rank, doc_id, score from scores where score > 0
+window best as (partition by i order by score desc, doc_id nulls last) qualify row_number() over best <= 20
+"""
+
+
+@query("op12_lexical_search", _SEARCH_SQL)
+def op12(t: Tables) -> DataFrame:
+    from lakewright.llm.search import search
+
+    return search(t.documents, t.benchmark)
