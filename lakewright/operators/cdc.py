@@ -8,6 +8,7 @@ from pyspark.sql import types as T
 
 from lakewright.functions.validators import identifier, identifier_ok
 from lakewright.operators.windows import latest_per_key, match
+from lakewright.sources.keyed import GONE
 from lakewright.sources.versioned import upsert
 
 
@@ -34,6 +35,18 @@ def capture(before: DataFrame, after: DataFrame, keys: list[str], table: str) ->
                     F.to_json("old", whole).alias("old_values"), F.to_json("new", whole).alias("new_values")))
 
 
+#: Images of rows are JSON; time stamps in them have microseconds or none.
+IMAGE = {"timestampNTZFormat": "yyyy-MM-dd'T'HH:mm:ss[.SSSSSS]"}
+
+
+def keyed_rows(log: DataFrame, schema: T.StructType, keys: list[str], order: list[str]) -> DataFrame:
+    """The changes of a log as rows of a keyed table: its columns, ``_gone`` for D, and the order columns."""
+    read = log.withColumn("_image", F.from_json("new_values", schema, IMAGE))
+    rest = [c for c in order if c not in schema.names]
+    return read.select(*[F.col(c) if c in keys else F.col("_image")[c].alias(c) for c in schema.names],
+                       (F.col("operation") == "D").alias(GONE), *rest)
+
+
 def apply(base: DataFrame, log: DataFrame, keys: list[str], order: list[str]) -> DataFrame:
     """Table state after the log: the last change of each key wins and D removes the row.
 
@@ -41,7 +54,7 @@ def apply(base: DataFrame, log: DataFrame, keys: list[str], order: list[str]) ->
     """
     last = latest_per_key(log.select(*keys, "operation", "new_values", *order), keys, order)
     rows = (last.where("operation <> 'D'")
-            .select(F.from_json("new_values", base.schema, {"timestampNTZFormat": "yyyy-MM-dd'T'HH:mm:ss[.SSSSSS]"}).alias("r"))
+            .select(F.from_json("new_values", base.schema, IMAGE).alias("r"))
             .select("r.*"))
     return match(base, last.select(*keys), keys, "left_anti").unionByName(rows)
 

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from lakewright.operators import alerts, cdc, eventstore, matviews
 from lakewright.plans.registry import plan
 from lakewright.plans.workloads import EVENTS_AS_OF, K_SQL, SERVICE_SQL, ntz, service
+from lakewright.sources.keyed import KeyedTable
 from lakewright.sources.tables import scratch_path
 from lakewright.sources.versioned import VersionedTable
 from lakewright.streaming import runner, windows
@@ -56,12 +57,12 @@ def cdc_capture(t):
 def cdc_apply(t):
     """The captured log, stored in several files, is streamed into the stored table."""
     before, _, log = change_log(t)
-    table = VersionedTable.create(t.spark, scratch_path(t.spark, "customers"))
-    table.replace(before)
+    table = KeyedTable(t.spark, scratch_path(t.spark, "customers"), ["id"])
+    table.create(before)
     path = scratch_path(t.spark, "changes")
     log.withColumn("change_id", C("id")).repartition(3).write.parquet(f"{path}/log")
     changes = runner.file_stream(t.spark, path, "log", files_per_batch=2)
-    runner.apply_changes(changes, table, ["id"], ["change_id"], scratch_path(t.spark, "progress"))
+    runner.apply_changes(changes, table, ["change_id"], scratch_path(t.spark, "progress"))
     return table.read()
 
 
@@ -256,13 +257,43 @@ plan("mv_daily", DAILY_PRODUCT_SQL)(materialized)
 
 @plan("mv_incremental", "SELECT l_suppkey, round(sum(l_extendedprice), 2) AS total, count(*) AS n, min(l_extendedprice) AS lowest, max(l_extendedprice) AS highest FROM lineitem GROUP BY 1")
 def mv_incremental(t):
-    cut = ntz("2000-01-01")
-    table = VersionedTable.create(t.spark, scratch_path(t.spark, "supplier_totals"))
-    keys, value = ["l_suppkey"], "l_extendedprice"
-    table.replace(matviews.partial_totals(t.lineitem.where(C("l_shipdate") < cut), keys, value))
-    fresh = matviews.partial_totals(t.lineitem.where(C("l_shipdate") >= cut), keys, value)
-    table.replace(matviews.merge_partials(table.read(), fresh, keys))
-    return table.read().withColumn("total", F.round("total", 2))
+    """Built from the older lines, some of them with a wrong price; then corrections, removals and new lines are applied."""
+    cut, price = ntz("2000-01-01"), C("l_extendedprice")
+    lines = t.lineitem.select("l_suppkey", "l_extendedprice", "l_linenumber", "l_shipdate")
+    wrong = lines.where((C("l_shipdate") < cut) & (C("l_linenumber") == 1))
+    view = matviews.TotalsView(t.spark, scratch_path(t.spark, "supplier_totals"), ["l_suppkey"], "l_extendedprice")
+    extra = wrong.where("l_suppkey % 5 = 0").withColumn("l_extendedprice", F.lit(0.01))
+    mistaken = wrong.withColumn("l_extendedprice", price + 200000)
+    view.replace(lines.where((C("l_shipdate") < cut) & (C("l_linenumber") != 1)).unionByName(mistaken).unionByName(extra))
+    goes = mistaken.unionByName(extra).withColumn(matviews.SIGN, F.lit(-1))
+    comes = wrong.unionByName(lines.where(C("l_shipdate") >= cut)).withColumn(matviews.SIGN, F.lit(1))
+    view.refresh(goes.unionByName(comes))
+    return view.read().withColumn("total", F.round("total", 2))
+
+
+@plan("mv_refresh_modes", """SELECT 'mv_' || event_type AS view_name, user_id, round(sum(value), 2) AS total, count(*) AS n, min(value) AS lowest, max(value) AS highest
+FROM events WHERE event_type IN ('click', 'view') GROUP BY 1, 2""")
+def mv_refresh_modes(t):
+    """Two due views over events that are corrected meanwhile: one is rebuilt, the other takes the change log."""
+    rows = t.events.where("event_type IN ('click', 'view')").select("event_id", "event_type", "user_id", "value")
+    # Before: every seventh event lacked, every fifth had another value, and events of another user stood in between.
+    before = rows.where("event_id % 7 <> 0").withColumn("value", F.when(C("event_id") % 5 == 0, C("value") + 9000).otherwise(C("value"))).unionByName(
+        rows.where("event_id % 11 = 0").select((C("event_id") + 1000000000).alias("event_id"), "event_type", (C("user_id") + 1000000).alias("user_id"), "value"))
+    log = cdc.capture(before, rows, ["event_id"], "events")
+    names = {"mv_click": "click", "mv_view": "view"}
+    views = {n: matviews.TotalsView(t.spark, scratch_path(t.spark, n), ["user_id"], "value") for n in names}
+
+    def of(df, kind):
+        return df.where(C("event_type") == kind)
+
+    for name, kind in names.items():
+        views[name].replace(of(before, kind))
+    schedule = view_schedule(t).withColumn("refresh_mode", F.when(C("view_name") == "mv_click", "INCREMENTAL").otherwise("COMPLETE"))
+    matviews.process_refreshes(
+        schedule, ntz(EVENTS_AS_OF), {n: (lambda k=k: of(rows, k)) for n, k in names.items()}, views,
+        {n: (lambda k=k: of(matviews.signed_changes(log, rows.schema), k)) for n, k in names.items()})
+    one, other = (v.read().withColumn("view_name", F.lit(n)) for n, v in views.items())
+    return one.unionByName(other).withColumn("total", F.round("total", 2))
 
 
 # --- alerts

@@ -10,8 +10,8 @@ from pyspark.sql import functions as F
 from lakewright.operators import cdc
 from lakewright.operators.eventstore import append
 from lakewright.operators.windows import latest_per_key
+from lakewright.sources.keyed import KeyedTable
 from lakewright.sources.tables import durable
-from lakewright.sources.versioned import VersionedTable
 
 
 def file_stream(spark: SparkSession, folder: str, name: str, files_per_batch: int | None = None) -> DataFrame:
@@ -80,13 +80,16 @@ def compact(spark: SparkSession, path: str, keys: list[str]) -> None:
             system.delete(status.getPath(), True)
 
 
-def apply_changes(log: DataFrame, table: VersionedTable, keys: list[str], order: list[str], checkpoint: str) -> None:
-    """Apply a stream of changes (see ``cdc.capture``) to a stored table, one version per batch.
+def apply_changes(log: DataFrame, table: KeyedTable, order: list[str], checkpoint: str) -> None:
+    """Apply a stream of changes (see ``cdc.capture``) to a keyed table, one run of changes per batch.
 
-    Applying a batch again gives the same rows, as the last change of a key wins.
+    The last change of a key wins. The table holds the number of its newest
+    batch, so a batch that is repeated after a failure counts once.
     """
-    def step(changes: DataFrame, _: int) -> None:
-        table.replace(cdc.apply(table.read(), changes, keys, order))
+    schema = table.schema()
+
+    def step(changes: DataFrame, batch: int) -> None:
+        table.apply(cdc.keyed_rows(changes, schema, table.keys, order), order, batch)
 
     each_batch(log, step, checkpoint)
 
