@@ -20,8 +20,8 @@ SHINGLE_WORDS = 5
 REGISTERS = 480
 #: Registers hold the rounded negative logarithm, to this base, of the least exponential value; one byte each.
 BASE, RATE, TOP = 1.1, 20.0, 255
-#: Larger buckets are dealt into blocks of about this size, and block meets block.
-BLOCK = 512
+#: Larger buckets and families are dealt into blocks of about so many members and bytes, and block meets block.
+BLOCK, BLOCK_BYTES = 512, 8 << 20
 #: Partners in most equal registers that a class verifies first.
 FIRST_PARTNERS = 3
 _FILTER_BITS = 1 << 24
@@ -68,7 +68,7 @@ def shingle_sets(texts: pa.Array) -> list[np.ndarray]:
         weights = [mixed(np.array([k + 1], np.uint64))[0] | np.uint64(1) for k in range(SHINGLE_WORDS)]
         n = len(words)
         whole = np.zeros(max(0, n - SHINGLE_WORDS + 1), np.uint64)
-        for k, w in enumerate(weights):
+        for k, w in enumerate(weights if len(whole) else ()):
             whole += words[k:n - SHINGLE_WORDS + 1 + k] * w
         whole = mixed(whole)
         for a, b in zip(first[:-1].tolist(), first[1:].tolist()):
@@ -162,7 +162,7 @@ def sketches(documents: DataFrame) -> DataFrame:
 
 
 def _bands(classes: DataFrame, like: Likeness) -> DataFrame:
-    """(key, band, c) for every band of every class."""
+    """(key, c) for every band of every class."""
     bands, width = like.bands, like.rows
 
     def keys(batches):
@@ -173,14 +173,14 @@ def _bands(classes: DataFrame, like: Likeness) -> DataFrame:
                 for k in range(width):
                     key = mixed(key * np.uint64(257) + rows[:, :, k])
             yield pa.RecordBatch.from_pydict({
-                "key": pa.array(key.ravel().view(np.int64)), "band": pa.array(np.tile(np.arange(bands, dtype=np.int32), batch.num_rows)),
+                "key": pa.array(key.ravel().view(np.int64)),
                 "c": pa.array(np.repeat(batch.column("c").to_numpy(), bands))})
 
-    return classes.select("c", "registers").mapInArrow(keys, "key long, band int, c long")
+    return classes.select("c", "registers").mapInArrow(keys, "key long, c long")
 
 
 def _dealt(members: DataFrame, classes: DataFrame) -> DataFrame:
-    """Members (key, band, c, size[, root]) with registers, sorted into groups (key, i, j).
+    """Members (key, c, size) with registers, sorted into groups (key, i, j).
 
     A bucket of up to BLOCK members is one group. A larger one is dealt into
     blocks; a group is then two blocks that meet, so that no group has more
@@ -189,11 +189,15 @@ def _dealt(members: DataFrame, classes: DataFrame) -> DataFrame:
     blocks = F.ceil(F.col("size") / BLOCK).cast("int")
     dealt = members.withColumn("blocks", blocks).withColumn("own", F.pmod(F.xxhash64("c", "key"), F.col("blocks")).cast("int"))
     met = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    keyed = met.withColumn("i", F.least("own", "other")).withColumn("j", F.greatest("own", "other")).drop("size", "blocks", "other")
-    full = keyed.join(classes.select("c", F.col("n_shingles").alias("n"), "registers"), "c")
+    full = _meeting(met).drop("size", "blocks").join(classes.select("c", F.col("n_shingles").alias("n"), "registers"), "c")
     return full.repartition("key", "i", "j").sortWithinPartitions("key", "i", "j")
 
 
+def _meeting(met: DataFrame) -> DataFrame:
+    """Rows with the numbers i <= j of the two blocks that meet, in place of ``other``."""
+    return met.withColumn("i", F.least("own", "other")).withColumn("j", F.greatest("own", "other")).drop("other")
+
+
 def _groups(batches):
     """Arrow tables of whole groups from sorted batches."""
     held = None
@@ -235,8 +239,24 @@ def _pairs_within(table: pa.Table, step: int = 1 << 15):
         yield np.concatenate(left), np.concatenate(right)
 
 
-def _promising(dealt: DataFrame, like: Likeness) -> DataFrame:
-    """(own, other, equal): per class and group the partner with most equal registers, if it may be a link."""
+def _labels(n: int, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """The smallest of n rows that each row reaches by the links (a, b)."""
+    label = np.arange(n)
+    while (label[a] != label[b]).any():
+        least = np.minimum(label[a], label[b])
+        np.minimum.at(label, label[a], least)
+        np.minimum.at(label, label[b], least)
+        label = label[label]
+    return label[label]
+
+
+def _candidates(dealt: DataFrame, like: Likeness) -> DataFrame:
+    """(own, other, equal): per class and group the partner with most equal registers, if it may be a link.
+
+    Rows with ``equal`` -1 join what these partners leave apart although some
+    pair of the group may be a link, so that the rows of a group, at most two a
+    member, connect all that may be linked in it. No other pair is given out.
+    """
     def best(batches):
         for table in _groups(batches):
             c, n = table.column("c").to_numpy(), table.column("n").to_numpy().astype(float)
@@ -245,53 +265,129 @@ def _promising(dealt: DataFrame, like: Likeness) -> DataFrame:
             for a, b in _pairs_within(table):
                 counts = _agreement(rows[a], rows[b])
                 likely = may_link(like, counts, n[a], n[b])
-                a, b, equal = a[likely], b[likely], counts[2][likely]
-                found += [(a, b, equal), (b, a, equal)]
-            if not found:
+                found.append((a[likely], b[likely], counts[2][likely]))
+            x, y, equal = (np.concatenate(f) for f in zip(*found)) if found else (np.zeros(0, np.int64),) * 3
+            if not len(x):
                 continue
-            a, b, equal = (np.concatenate(x) for x in zip(*found))
+            a, b, equal = np.concatenate([x, y]), np.concatenate([y, x]), np.concatenate([equal, equal])
             # A row of the table is one class in one group.
             order = np.lexsort((c[b], -equal, a))
-            order = order[np.concatenate([[True], a[order[1:]] != a[order[:-1]]])] if len(order) else order
-            yield pa.RecordBatch.from_pydict({"own": pa.array(c[a[order]]), "other": pa.array(c[b[order]]), "equal": pa.array(equal[order], pa.int64())})
+            order = order[np.concatenate([[True], a[order[1:]] != a[order[:-1]]])]
+            near, reach = _labels(len(c), a[order], b[order]), _labels(len(c), x, y)
+            apart = np.flatnonzero((near == np.arange(len(c))) & (reach != near))
+            yield pa.RecordBatch.from_pydict({
+                "own": pa.array(np.concatenate([c[a[order]], c[apart]])), "other": pa.array(np.concatenate([c[b[order]], c[reach[apart]]])),
+                "equal": pa.array(np.concatenate([equal[order], np.full(len(apart), -1)]), pa.int64())})
 
     return dealt.select("key", "i", "j", "own", "c", "n", "registers").mapInArrow(best, "own long, other long, equal long")
 
 
-def _across(dealt: DataFrame, like: Likeness) -> DataFrame:
-    """(x, y): pairs with different roots that may be links, each from the first band in which it agrees."""
-    bands, width = like.bands, like.rows
+def _families(candidates: DataFrame, roots: DataFrame, steps: Steps) -> DataFrame | None:
+    """(root, family): components that candidates connect beyond their links; None if there are none."""
+    def of(c: str, name: str) -> DataFrame:
+        return roots.select(F.col("node").alias(c), F.col("root").alias(name))
+
+    ends = candidates.select("own", "other").join(of("own", "u"), "own", "left").join(of("other", "v"), "other", "left")
+    open_ = steps.write("open", ends.select(F.coalesce("u", "own").alias("u"), F.coalesce("v", "other").alias("v")).where("u <> v").distinct())
+    if open_.isEmpty():
+        return None
+    return steps.write("families", components(open_, steps).select(F.col("node").alias("root"), F.col("root").alias("family")))
+
 
-    def pairs(batches):
+def _family_groups(classes: DataFrame, roots: DataFrame, families: DataFrame, sets_of, steps: Steps) -> DataFrame:
+    """(key, i, j, own, c, root, n, registers, set) of the members of families, sorted into groups of two blocks that meet.
+
+    The component with most members of a family is dealt into blocks of its
+    own, which need not meet each other. Blocks are bounded by members and by bytes.
+    """
+    rooted = classes.select("c", F.col("n_shingles").alias("n"), "registers").join(
+        roots.select(F.col("node").alias("c"), "root"), "c", "left").withColumn("root", F.coalesce("root", "c"))
+    members = steps.write("kin", rooted.join(families, "root"))
+    blocks = F.ceil(F.greatest(F.col("count") / BLOCK, F.col("bytes") / BLOCK_BYTES)).cast("int")
+    sized = members.groupBy("family", "root").agg(F.count(F.lit(1)).alias("count"), F.sum(F.col("n") * 8 + REGISTERS).alias("bytes"))
+    largest = F.max_by(F.struct("root", blocks.alias("blocks")), F.struct("count", "root"))
+    family = sized.groupBy("family").agg(largest.alias("most"), F.sum("count").alias("count"), F.sum("bytes").alias("bytes"), F.max("count").alias("held"),
+                                         F.max_by("bytes", F.struct("count", "root")).alias("held_bytes"))
+    family = family.select("family", "most.root", "most.blocks", (F.col("count") - F.col("held")).alias("count"), (F.col("bytes") - F.col("held_bytes")).alias("bytes"))
+    family = family.select("family", F.col("root").alias("main"), F.col("blocks").alias("p"), blocks.alias("q"))
+    placed = members.join(family, "family").withColumn("major", F.col("root") == F.col("main"))
+    own = F.when(F.col("major"), F.pmod(F.xxhash64("c"), F.col("p"))).otherwise(F.col("p") + F.pmod(F.xxhash64("c"), F.col("q"))).cast("int")
+    met = placed.withColumn("own", own).withColumn("other", F.explode(F.sequence(F.when(F.col("major"), F.col("p")).otherwise(F.lit(0)), F.col("p") + F.col("q") - 1)))
+    full = _meeting(met).withColumnRenamed("family", "key").join(sets_of(members.select("c")), "c")
+    return full.select("key", "i", "j", "own", "c", "root", "n", "registers", "set").repartition("key", "i", "j").sortWithinPartitions("key", "i", "j")
+
+
+def _links_across(groups: DataFrame, like: Likeness) -> DataFrame:
+    """(u, v): links between components, verified on whole sets where the blocks meet.
+
+    Every pair of different components whose registers allow a link is
+    compared unless links found before it in the task connect it. So a group
+    gives fewer rows than it has members, whatever the number of pairs.
+    """
+    def run(batches):
         for table in _groups(batches):
-            c, root = table.column("c").to_numpy(), table.column("root").to_numpy()
-            n, band = table.column("n").to_numpy().astype(float), table.column("band").to_numpy()
+            key, i, j, own, c, root = (table.column(k).to_numpy() for k in ("key", "i", "j", "own", "c", "root"))
+            n = table.column("n").to_numpy().astype(float)
             rows = _matrix(table.column("registers"))
-            for a, b in _pairs_within(table):
-                other = root[a] != root[b]
-                a, b = a[other], b[other]
-                likely = may_link(like, _agreement(rows[a], rows[b]), n[a], n[b])
-                a, b = a[likely], b[likely]
-                same = (rows[a, :bands * width] == rows[b, :bands * width]).reshape(-1, bands, width).all(axis=2)
-                first = same.argmax(axis=1) == band[a]
-                x, y = c[a[first]], c[b[first]]
-                yield pa.RecordBatch.from_pydict({"x": pa.array(np.minimum(x, y)), "y": pa.array(np.maximum(x, y))})
-
-    return dealt.select("key", "i", "j", "own", "band", "c", "root", "n", "registers").mapInArrow(pairs, "x long, y long")
+            sets = [np.frombuffer(x.as_buffer(), np.uint64) for chunk in table.column("set").chunks for x in chunk]
+            edge = np.flatnonzero((key[1:] != key[:-1]) | (i[1:] != i[:-1]) | (j[1:] != j[:-1])) + 1
+            found: list[tuple[int, int]] = []
+            for a, b in zip([0, *edge.tolist()], [*edge.tolist(), len(key)]):
+                label = np.unique(root[a:b], return_inverse=True)[1]
+                at = np.arange(a, b)
+                left, right = at[own[at] == i[a]], at[own[at] == j[a]]
+                for x in left.tolist():
+                    others = right[right > x] if i[a] == j[a] else right
+                    others = others[label[others - a] != label[x - a]]
+                    if not len(others):
+                        continue
+                    counts = _agreement(rows[x][None], rows[others])
+                    others = others[may_link(like, counts, np.full(len(others), n[x]), n[others])]
+                    while len(others):
+                        some, others = others[:64], others[64:]
+                        linked = some[_similar(sets[x], [sets[y] for y in some.tolist()], like)]
+                        for y in linked.tolist():
+                            if label[y - a] != label[x - a]:
+                                found.append((c[x], c[y]))
+                                label[label == label[y - a]] = label[x - a]
+                        others = others[label[others - a] != label[x - a]]
+            if found:
+                u, v = zip(*found)
+                yield pa.RecordBatch.from_pydict({"u": pa.array(u, pa.int64()), "v": pa.array(v, pa.int64())})
+
+    return groups.mapInArrow(run, "u long, v long")
+
+
+def _similar(one: np.ndarray, others: list[np.ndarray], like: Likeness) -> np.ndarray:
+    """Which of other sets are linked with a set."""
+    size = np.array([len(s) for s in others])
+    flat = np.concatenate(others)
+    place = np.minimum(np.searchsorted(one, flat), len(one) - 1)
+    both = np.add.reduceat((one[place] == flat).astype(np.int64), np.cumsum(size) - size)
+    return 100 * both >= like.percent * (len(one) + size - both)
 
 
 def _bit(keys: list[bytes]) -> np.ndarray:
     return np.array([int.from_bytes(k[:8], "little") % _FILTER_BITS for k in keys], np.int64)
 
 
-def _needed_sets(documents: DataFrame, pairs: DataFrame, classes: DataFrame, steps: Steps, name: str) -> DataFrame:
-    """(c, set): whole shingle sets of the classes in ``pairs``, from the documents with the smallest ids.
+def _ends(pairs: DataFrame) -> DataFrame:
+    """(c): the classes that stand in pairs (x, y), each once per batch of pairs."""
+    def run(batches):
+        for batch in batches:
+            ends = np.union1d(batch.column("x").to_numpy(), batch.column("y").to_numpy())
+            yield pa.RecordBatch.from_pydict({"c": pa.array(ends, pa.int64())})
+
+    return pairs.select("x", "y").mapInArrow(run, "c long")
+
+
+def _needed_sets(documents: DataFrame, wanted: DataFrame, classes: DataFrame, steps: Steps, name: str) -> DataFrame:
+    """(c, set): whole shingle sets of the classes ``wanted``, from the documents with the smallest ids.
 
     A table of fixed size, sent to every task, keeps most other documents from
     being shuffled; the join behind it is exact.
     """
-    used_ = pairs.select(F.explode(F.array("x", "y")).alias("c")).distinct()
-    needed = steps.write(f"{name}-needed", classes.join(used_, "c", "left_semi").select(F.col("least").alias("doc_id"), "set_key", "c"))
+    needed = steps.write(f"{name}-needed", classes.join(wanted.distinct(), "c", "left_semi").select(F.col("least").alias("doc_id"), "set_key", "c"))
 
     def used(batches):
         for batch in batches:
@@ -342,12 +438,16 @@ def near_duplicates(documents: DataFrame, *, percent: int = 85, id_col: str = "d
     Two documents are linked if their sets of distinct five-word shingles
     (A-Z as a-z; a shorter text is one shingle) have a Jaccard similarity of at
     least ``percent`` hundredths. Documents with the same set form a class, and only classes are
-    compared. Classes that agree in a band of registers are candidates; the
-    joint estimate drops hopeless ones; the rest are verified on whole sets.
-    First every class verifies its most promising partners, which gives as many
-    pairs as bands and puts most of a large group into one component. Then
-    every candidate pair that is not in one component yet is verified, so no
-    link between components is missed and pairs within one are not listed.
+    compared. Classes that agree in a band of registers and whose joint
+    estimate allows a link are candidates. First every class verifies its most
+    promising partners on whole sets, which gives as many pairs as bands and
+    puts most of a large group into one component. Components that candidates
+    still connect form a family. In it members of different components are
+    compared block by block, on registers and then on whole sets, where the
+    blocks meet: a task gives out the links that join components, fewer than it
+    has members, and no candidate pair is ever a row. Within a family whose
+    members are near misses of each other the comparisons stay quadratic, but
+    blocks spread them over tasks.
 
     ``component_id`` is the smallest id that a document reaches, itself
     included, and ``kept`` tells that it is the document's own. A text without
@@ -365,20 +465,20 @@ def near_duplicates(documents: DataFrame, *, percent: int = 85, id_col: str = "d
     bands = _bands(classes, like)
     shared = bands.groupBy("key").agg(F.count(F.lit(1)).alias("size")).where("size > 1")
     members = steps.write("members", bands.join(shared, "key"))
+    candidates = steps.write("candidates", _candidates(_dealt(members, classes), like).distinct())
     nearest = Window.partitionBy("own").orderBy(F.col("equal").desc(), "other")
-    first = steps.write("first", _promising(_dealt(members, classes), like).distinct().withColumn("_r", F.row_number().over(nearest))
-                        .where(F.col("_r") <= FIRST_PARTNERS).select(F.least("own", "other").alias("x"), F.greatest("own", "other").alias("y")).distinct())
-    links = steps.write("links", _verified(first, _needed_sets(source, first, classes, steps, "first-sets"), like))
+    first = steps.write("first", candidates.where("equal >= 0").withColumn("_r", F.row_number().over(nearest)).where(F.col("_r") <= FIRST_PARTNERS)
+                        .select(F.least("own", "other").alias("x"), F.greatest("own", "other").alias("y")).distinct())
+    links = steps.write("links", _verified(first, _needed_sets(source, _ends(first), classes, steps, "first-sets"), like))
     roots = steps.write("roots", components(links, steps))
-    rooted = members.join(roots, F.col("c") == F.col("node"), "left").withColumn("root", F.coalesce("root", "c")).drop("node")
-    open_ = rooted.groupBy("key").agg(F.min("root").alias("a"), F.max("root").alias("b")).where("a < b").select("key")
-    across = _across(_dealt(rooted.join(open_, "key", "left_semi"), classes), like)
-    rest = steps.write("rest", across.join(first, ["x", "y"], "left_anti"))
-    more = steps.write("more", _verified(rest, _needed_sets(source, rest, classes, steps, "rest-sets"), like))
-    if not more.isEmpty():
-        # From the stars found so far, so that few rounds are left.
-        stars = roots.select(F.col("node").alias("u"), F.col("root").alias("v"))
-        roots = steps.write("all", components(stars.union(more), steps))
+    families = _families(candidates, roots, steps)
+    if families is not None:
+        more = steps.write("more", _links_across(_family_groups(
+            classes, roots, families, lambda wanted: _needed_sets(source, wanted, classes, steps, "kin-sets"), steps), like))
+        if not more.isEmpty():
+            # From the stars found so far, so that few rounds are left.
+            stars = roots.select(F.col("node").alias("u"), F.col("root").alias("v"))
+            roots = steps.write("all", components(stars.union(more), steps))
     grouped = classes.join(roots, F.col("c") == F.col("node"), "left").select("set_key", F.coalesce("root", "c").alias("root"), "least")
     heads = grouped.groupBy("root").agg(F.min("least").alias("component"))
     found = steps.write("found", grouped.join(heads, "root").select("set_key", "component"))

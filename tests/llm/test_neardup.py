@@ -9,7 +9,7 @@ import pytest
 from lakewright.llm import neardup
 from lakewright.llm.common import Steps
 from lakewright.llm.components import components
-from tests.llm.helpers import WORD, ascii_lower, collected, prose, roots
+from tests.llm.helpers import WORD, ascii_lower, by_id, collected, prose, roots
 
 
 def shingles(text):
@@ -117,3 +117,50 @@ def test_components(spark):
     want = roots({x for ab in links for x in ab}, links)
     assert all(got.get(k, k) == v for k, v in want.items())
     assert collected(components(df.limit(0), Steps(spark, "test"))) == []
+
+
+def near_misses(rng, n, changed, length=60):
+    """Copies of one text with some words changed in each: links to the text itself, near misses of each other, or both."""
+    base = prose(rng, length).split()
+    out = []
+    for _ in range(n):
+        words = list(base)
+        for at in rng.sample(range(length), rng.choice(changed)):
+            words[at] = "w" + str(rng.randrange(10 ** 9))
+        out.append(" ".join(words))
+    return [" ".join(base), *out]
+
+
+@pytest.mark.parametrize("changed", [(1, 2), (2, 3), (2,), (0, 1, 2, 3, 4)])
+def test_families_around_the_link(spark, monkeypatch, changed):
+    """Members just above and just below the link, in families of more than two blocks."""
+    monkeypatch.setattr(neardup, "BLOCK", 16)
+    rng = random.Random(sum(changed))
+    texts = [t for k in range(3) for t in near_misses(rng, 60, changed)]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(4)
+    rows = by_id(neardup.near_duplicates(docs))
+    want = plain(list(enumerate(texts)))
+    assert {k: r["component_id"] for k, r in rows.items()} == {k: w[1] for k, w in want.items()}
+
+
+def test_candidates_are_never_listed_as_pairs(spark, monkeypatch):
+    """Near misses of each other: rows stay in proportion to members."""
+    rng = random.Random(3)
+    texts = near_misses(rng, 150, (2, 3))
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    seen = {}
+    keep = neardup.Steps.write
+
+    def write(self, step, df):
+        out = keep(self, step, df)
+        seen[step] = out.count()
+        return out
+
+    monkeypatch.setattr(neardup.Steps, "write", write)
+    neardup.near_duplicates(docs).count()
+    assert seen["more"] <= len(texts) and seen["candidates"] <= 2 * seen["members"] and seen["first"] <= 3 * len(texts)
+
+
+def test_steps_of_few_words(spark):
+    rows = by_id(neardup.near_duplicates(spark.createDataFrame([(1, "one"), (2, "a b"), (3, "One")], "doc_id long, text string").coalesce(1)))
+    assert [rows[k]["component_id"] for k in (1, 2, 3)] == [1, 2, 1]
