@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lakewright.llm.common import Steps, lowered, mixed, span_hashes, text_step, utf8
+from lakewright.llm.common import _BATCH, BATCH_BYTES, Steps, lowered, mixed, span_hashes, step_ranges, text_step, utf8
 from lakewright.operators.windows import match
 
 KINDS = ("email", "ip", "card", "phone")
@@ -35,7 +35,10 @@ LEAST_TERM = 4
 LONG, EVERY = ("long",), ("long", "short", "mixed")
 #: Revealing terms that are sent to every task; with more of them occurrences are joined to terms instead.
 SENT_TERMS = 200_000
-_FILTER_BITS = 1 << 20
+#: Bits of the table that tells which terms cannot be candidates: 16 for each of them, within these bounds (16 MB).
+_FILTER_BITS = 1 << 20, 1 << 27
+#: Different terms that a task counts before it gives counts out.
+HELD_TERMS = 1 << 21
 
 
 def luhn(digits: str) -> bool:
@@ -127,25 +130,62 @@ def _points(data: np.ndarray) -> np.ndarray:
     return total
 
 
-def _bit(hashes: np.ndarray) -> np.ndarray:
-    return (mixed(hashes.view(np.uint64)) % np.uint64(_FILTER_BITS)).astype(np.int64)
+def _merged(found: list[tuple[str, int, int]]) -> tuple[np.ndarray, np.ndarray]:
+    """Starts and ends of the parts of a text that spans cover, in order and apart."""
+    out: list[list[int]] = []
+    for a, b in sorted((a, b) for _, a, b in found):
+        if out and a < out[-1][1]:
+            out[-1][1] = max(out[-1][1], b)
+        else:
+            out.append([a, b])
+    both = np.array(out, np.int64).reshape(-1, 2)
+    return both[:, 0], both[:, 1]
 
 
-def _filter(spark, hashes: DataFrame):
-    """A table of fixed size that tells which hashes cannot be among ``hashes``, sent to every task."""
-    bits = np.zeros(_FILTER_BITS, bool)
+def _outside(covered: tuple[np.ndarray, np.ndarray], begin: np.ndarray, stop: np.ndarray) -> np.ndarray:
+    """Which ranges have no place in common with covered ones."""
+    starts, ends = covered
+    if not len(starts):
+        return np.ones(len(begin), bool)
+    last = np.searchsorted(starts, stop, side="left") - 1
+    return (last < 0) | (ends[np.maximum(last, 0)] <= begin)
 
-    def used(batches):
-        for batch in batches:
-            yield pa.RecordBatch.from_pydict({"bit": pa.array(np.unique(_bit(batch.column(0).to_numpy())), pa.int64())})
 
-    rows = hashes.mapInArrow(used, "bit long").distinct().toPandas()
-    bits[rows["bit"].to_numpy()] = True
-    return spark.sparkContext.broadcast(np.packbits(bits))
+class _Filter:
+    """A table of bounded size, sent to every task, that tells which terms cannot be among some terms."""
+
+    def __init__(self, spark, found: DataFrame):
+        n = found.count()
+        self.bits = bits = min(max(1 << (16 * max(n, 1)).bit_length(), _FILTER_BITS[0]), _FILTER_BITS[1])
+
+        def used(batches):
+            for batch in batches:
+                yield pa.RecordBatch.from_pydict({"bit": pa.array(np.unique(_bit(batch.column(0).to_numpy(), bits)) + 1, pa.int64())})
+
+        # The table comes to the driver packed, however many terms there are.
+        packed = found.mapInArrow(used, "bit long").select(F.bitmap_bucket_number("bit").alias("bucket"), F.bitmap_bit_position("bit").alias("place"))
+        table = np.zeros(bits, bool)
+        for bucket, held in packed.groupBy("bucket").agg(F.bitmap_construct_agg("place").alias("bits")).collect():
+            ones = np.unpackbits(np.frombuffer(bytes(held), np.uint8), bitorder="little")
+            table[(bucket - 1) * len(ones) + np.flatnonzero(ones)] = True
+        self.table = spark.sparkContext.broadcast(np.packbits(table))
+
+    def may_hold(self, hashes: np.ndarray) -> np.ndarray:
+        at = _bit(hashes, self.bits)
+        return (self.table.value[at >> 3] >> (7 - (at & 7)).astype(np.uint8) & 1).astype(bool)
+
+
+def _bit(hashes: np.ndarray, bits: int) -> np.ndarray:
+    return (mixed(hashes.view(np.uint64)) % np.uint64(bits)).astype(np.int64)
 
 
 def _neighbourhoods(documents: DataFrame, kinds: tuple[str, ...]) -> DataFrame:
-    """(entity, term, place) for every term beside a mention; ``place`` is a hash of all terms around the mention."""
+    """(entity, term, place, n) for every term beside a mention; ``place`` is a hash of all terms around the mention.
+
+    An occurrence of a term counts once per entity, at the first mention that it
+    stands beside, so ``n`` is 0 at others; rows without entity count
+    occurrences beside any. Terms that share a byte with a mention are beside none.
+    """
     def work(batch: pa.RecordBatch) -> pa.RecordBatch | None:
         texts = [t or "" for t in batch.column("text").to_pylist()]
         found = [mentions(t) for t in texts]
@@ -157,24 +197,67 @@ def _neighbourhoods(documents: DataFrame, kinds: tuple[str, ...]) -> DataFrame:
         listed = []
         for starts, ends, hashes, row in (terms(data, offsets, kind) for kind in kinds):
             listed.append((points[starts], points[ends], hashes, np.searchsorted(row, np.arange(len(rows) + 1)).tolist()))
-        out = [[], [], []]
+        out: list[list] = [[], [], [], []]
         for n, k in enumerate(rows):
             base = points[offsets[n]]
+            covered, around = _merged(found[k]), []
+            for begin, stop, hashes, first in listed:
+                own = slice(first[n], first[n + 1])
+                free = _outside(covered, begin[own] - base, stop[own] - base)
+                around.append((begin[own][free] - base, stop[own][free] - base, hashes[own][free]))
+            counted: dict[int | None, set] = {None: set()}
             for kind, a, b in found[k]:
-                parts = []
-                for begin, stop, hashes, first in listed:
-                    lo, hi = first[n], first[n + 1]
-                    i = lo + np.searchsorted(stop[lo:hi], base + a, side="right")
-                    j = lo + np.searchsorted(begin[lo:hi], base + b, side="left")
-                    parts += [hashes[max(lo, i - REACH):i], hashes[j:min(hi, j + REACH)]]
-                near = np.concatenate(parts)
-                place = int.from_bytes(hashlib.blake2b(near.tobytes(), digest_size=8).digest(), "little", signed=True)
-                out[0] += [_entity(kind, texts[k][a:b])] * len(near)
-                out[1] += near.tolist()
-                out[2] += [place] * len(near)
-        return pa.RecordBatch.from_pydict({c: pa.array(v, pa.int64()) for c, v in zip(("entity", "term", "place"), out)})
-
-    return text_step(documents.select("text"), "text", work, "entity long, term long, place long")
+                near, names = [], []
+                for of, (begin, stop, hashes) in enumerate(around):
+                    i, j = np.searchsorted(stop, a, side="right"), np.searchsorted(begin, b, side="left")
+                    at = [*range(max(0, i - REACH), i), *range(j, min(len(begin), j + REACH))]
+                    near += [(of, x) for x in at]
+                    names += hashes[at].tolist()
+                place = int.from_bytes(hashlib.blake2b(np.array(names, np.int64).tobytes(), digest_size=8).digest(), "little", signed=True)
+                entity = _entity(kind, texts[k][a:b])
+                for who, where in ((entity, place), (None, None)):
+                    seen = counted.setdefault(who, set())
+                    fresh = [x not in seen for x in near]
+                    seen.update(near)
+                    out[0] += [who] * len(near)
+                    out[1] += names
+                    out[2] += [where] * len(near)
+                    out[3] += fresh
+        return pa.RecordBatch.from_pydict({c: pa.array(v, pa.int64()) for c, v in zip(("entity", "term", "place"), out)} | {
+            "n": pa.array(np.array(out[3], np.int64))})
+
+    return text_step(documents.select("text"), "text", work, "entity long, term long, place long, n long")
+
+
+def _term_counts(documents: DataFrame, kinds: tuple[str, ...], wanted: _Filter) -> DataFrame:
+    """(term, n): occurrences of terms that may be wanted; without term, of all. A task adds up before it gives out."""
+    documents.sparkSession.conf.set(_BATCH, BATCH_BYTES)
+
+    def run(batches):
+        total, keys, n, held, size = 0, np.zeros(0, np.int64), np.zeros(0, np.int64), [], 0
+
+        def added():
+            every = np.concatenate([keys, *[h for h, _ in held]])
+            found, place = np.unique(every, return_inverse=True)
+            return found, np.bincount(place, np.concatenate([n, *[m for _, m in held]]), len(found)).astype(np.int64)
+
+        for batch in batches:
+            text = batch.column("text")
+            for a, b in step_ranges(np.diff(utf8(text)[1])):
+                step = utf8(text.slice(a, b - a))
+                hashes = np.concatenate([terms(*step, kind)[2] for kind in kinds])
+                total += len(hashes)
+                held.append(np.unique(hashes[wanted.may_hold(hashes)], return_counts=True))
+                size += len(held[-1][0])
+                if size > HELD_TERMS:
+                    (keys, n), held, size = added(), [], 0
+                    if len(keys) > HELD_TERMS:
+                        yield pa.RecordBatch.from_pydict({"term": pa.array(keys), "n": pa.array(n)})
+                        keys, n = keys[:0], n[:0]
+        keys, n = added()
+        yield pa.RecordBatch.from_pydict({"term": pa.array([None, *keys.tolist()], pa.int64()), "n": pa.array([total, *n.tolist()], pa.int64())})
+
+    return documents.select("text").mapInArrow(run, "term long, n long")
 
 
 def revealing_terms(documents: DataFrame, *, support: int = LEAST_SUPPORT, most: float = MOST_DISCLOSED, text_col: str = "text",
@@ -184,28 +267,29 @@ def revealing_terms(documents: DataFrame, *, support: int = LEAST_SUPPORT, most:
     Probabilities are shares of term occurrences. An entity's information is
     -log2 of the share that stands beside it. A term discloses the pointwise
     mutual information of the two, as a share of the entity's information:
-    1 - log2(P(entity | term)) / log2(P(entity)). Terms seen beside the entity
+    1 - log2(P(entity | term)) / log2(P(entity)), which is 1 at most, as an
+    occurrence counts once per entity. Terms seen beside the entity
     in fewer than ``support`` different surroundings show no association, so
     copies of one document do not make their words revealing.
+
+    An occurrence beside any entity is an occurrence, and a corpus has fewer
+    terms than bytes, so both bound the disclosure before the corpus is
+    counted: only terms that can reach ``most`` are counted in it.
     """
     spark = documents.sparkSession
     steps = steps or Steps(spark, "private")
     source = documents.selectExpr(f"cast(`{text_col}` as string) as text").where("text is not null")
-    places = _neighbourhoods(source, kinds).groupBy("entity", "term", "place").agg(F.count(F.lit(1)).alias("n"))
-    pairs = steps.write("pairs", places.groupBy("entity", "term").agg(F.sum("n").alias("both"), F.count(F.lit(1)).alias("places")))
+    places = steps.write("places", _neighbourhoods(source, kinds).groupBy("entity", "term", "place").agg(F.sum("n").alias("n")))
+    near = places.where("entity is null").groupBy("term").agg(F.sum("n").alias("near"))
+    pairs = places.where("entity is not null").groupBy("entity", "term").agg(F.sum("n").alias("both"), F.count(F.lit(1)).alias("places"))
     beside = pairs.groupBy("entity").agg(F.sum("both").alias("beside"))
-    likely = steps.write("likely", pairs.where(F.col("places") >= support).join(beside, "entity"))
-    wanted = _filter(spark, likely.select("term").distinct())
-
-    def count(batch: pa.RecordBatch) -> pa.RecordBatch:
-        held = utf8(batch.column("text"))
-        hashes = np.concatenate([terms(*held, kind)[2] for kind in kinds])
-        bit = _bit(hashes)
-        hit = np.unpackbits(wanted.value)[bit].astype(bool)
-        keys, n = np.unique(hashes[hit], return_counts=True)
-        return pa.RecordBatch.from_pydict({"term": pa.array([None, *keys.tolist()], pa.int64()), "n": pa.array([len(hashes), *n.tolist()], pa.int64())})
-
-    counts = steps.write("counts", text_step(source, "text", count, "term long, n long").groupBy("term").agg(F.sum("n").alias("n")))
+    octets = float(max(source.agg(F.sum(F.octet_length("text"))).first()[0] or 0, 1))
+    # The disclosure if the corpus had as many terms as bytes and no further occurrence of the term.
+    least_prior = F.log2(F.col("beside") / octets)
+    reachable = F.log2(F.col("both") / F.col("near")) >= (1 - most) * least_prior - 1e-9
+    likely = steps.write("likely", pairs.where(F.col("places") >= support).join(beside, "entity").join(near, "term").where(reachable))
+    wanted = _Filter(spark, steps.write("wanted", likely.select("term").distinct()))
+    counts = steps.write("counts", _term_counts(source, kinds, wanted).groupBy("term").agg(F.sum("n").alias("n")))
     total = counts.where("term is null").agg(F.sum("n")).first()[0] or 0
     known = likely.join(counts.where("term is not null"), "term")
     # log2(P(entity)) is 0 where every term of the corpus stands beside the entity: nothing is left to disclose.
@@ -236,12 +320,12 @@ def private_spans(documents: DataFrame, *, support: int = LEAST_SUPPORT, most: f
     steps = Steps(spark, "private")
     flagged = steps.write("flagged", revealing_terms(documents, support=support, most=most, text_col=text_col, steps=steps, kinds=kinds)
                           .select("term").distinct())
-    steps.drop("pairs", "likely", "counts")
+    steps.drop("places", "likely", "wanted", "counts")
     few = flagged.limit(sent_terms + 1).count() <= sent_terms
     if few:
         exact = spark.sparkContext.broadcast(np.sort(flagged.toPandas()["term"].to_numpy(np.int64)))
     else:
-        rough = _filter(spark, flagged)
+        rough = _Filter(spark, flagged)
 
     def work(batch: pa.RecordBatch) -> pa.RecordBatch:
         texts = [t or "" for t in batch.column("text").to_pylist()]
@@ -254,15 +338,16 @@ def private_spans(documents: DataFrame, *, support: int = LEAST_SUPPORT, most: f
                 place = np.searchsorted(exact.value, hashes)
                 hit = np.flatnonzero(exact.value[np.minimum(place, len(exact.value) - 1)] == hashes)
             else:
-                hit = np.flatnonzero(np.unpackbits(rough.value)[_bit(hashes)])
+                hit = np.flatnonzero(rough.may_hold(hashes))
             points = _points(data)
-            for r, a, b, h in zip(row[hit].tolist(), starts[hit].tolist(), ends[hit].tolist(), hashes[hit].tolist()):
-                base = points[offsets[r]]
-                a, b = int(points[a] - base), int(points[b] - base)
-                if not any(a < e and s < b for _, s, e in found[r]):
-                    hits[r].append({"start": a, "end": b, "term": h})
-            for own in hits:
-                own.sort(key=lambda h: (h["start"], h["end"]))
+            hit = hit[np.lexsort((ends[hit], starts[hit]))]
+            base = points[offsets[row[hit]]]
+            begin, stop = points[starts[hit]] - base, points[ends[hit]] - base
+            first = np.searchsorted(row[hit], np.arange(len(texts) + 1))
+            for r in np.flatnonzero(np.diff(first)).tolist():
+                own = slice(first[r], first[r + 1])
+                free = _outside(_merged(found[r]), begin[own], stop[own])
+                hits[r] = [{"start": a, "end": b, "term": h} for a, b, h in zip(*(x[own][free].tolist() for x in (begin, stop, hashes[hit])))]
         spans = [_joined(f) for f in found]
         counts = {f"n_{k}": pa.array([sum(m[0] == k for m in f) for f in found], pa.int64()) for k in KINDS}
         return pa.RecordBatch.from_pydict({

@@ -80,24 +80,31 @@ def plain_terms(rows, support, most):
         found = [t for t in found if len(t[2].encode()) >= 4]
         for _, _, t in found:
             count[t] = count.get(t, 0) + 1
-        for s in plain(text):
-            kind, a, b = s.split(":")
-            value = text[int(a):int(b)]
+        spans = [(kind, int(a), int(b)) for kind, a, b in (s.split(":") for s in plain(text))]
+        # Terms that share a place with a mention stand beside none.
+        free = [t for t in found if not any(t[0] < b and a < t[1] for _, a, b in spans)]
+        occurrences = {}
+        for kind, a, b in spans:
+            value = text[a:b]
             entity = (kind, value.lower() if kind == "email" else re.sub("[^0-9]", "", value))
-            near = [t for _, e, t in found if e <= int(a)][-8:] + [t for s_, _, t in found if s_ >= int(b)][:8]
-            for t in near:
-                beside[entity] = beside.get(entity, 0) + 1
+            near = [t for t in free if t[1] <= a][-8:] + [t for t in free if t[0] >= b][:8]
+            occurrences.setdefault(entity, set()).update(near)
+            for _, _, t in near:
+                places.setdefault((entity, t), set()).add(tuple(t for _, _, t in near))
+        for entity, near in occurrences.items():
+            beside[entity] = beside.get(entity, 0) + len(near)
+            for _, _, t in near:
                 both[entity, t] = both.get((entity, t), 0) + 1
-                places.setdefault((entity, t), set()).add(tuple(near))
     total = sum(count.values())
-    return {t for (e, t), n in both.items() if len(places[e, t]) >= support
+    assert all(n <= count[t] for (_, t), n in both.items())
+    return {(e, t): 1 - math.log2(n / count[t]) / math.log2(beside[e] / total) for (e, t), n in both.items() if len(places[e, t]) >= support
             and 1 - math.log2(n / count[t]) / math.log2(beside[e] / total) >= most}
 
 
 @pytest.mark.parametrize("sent", [private.SENT_TERMS, 0])
 def test_terms_that_reveal(spark, sent):
     rows, docs = secrets(spark)
-    want = plain_terms(rows, private.LEAST_SUPPORT, private.MOST_DISCLOSED)
+    want = {t for _, t in plain_terms(rows, private.LEAST_SUPPORT, private.MOST_DISCLOSED)}
     assert "zorbulax" in want and "common" not in want and "quibberish" not in want
     got = by_id(private.private_spans(docs, sent_terms=sent))
     for k, text in rows:
@@ -143,3 +150,42 @@ def test_short_names_and_identifiers_reveal(spark, sent):
     assert {"Kim", "jd42", "a1773"} <= set(flagged) and not {"it", "12"} & set(flagged)
     assert got[200]["n_term"] == len(flagged)
     assert by_id(private.private_spans(docs))[200]["spans"] == ""
+
+
+def test_an_occurrence_counts_once_however_many_mentions_stand_beside_it(spark):
+    """Three mentions of one address in a row; a word beside it in a third of the documents that hold it."""
+    rng = random.Random(18)
+    rows = [(k, f"{prose(rng, 12)} our project write to a@x.com, a@x.com or a@x.com {prose(rng, 12)}") for k in range(4)]
+    rows += [(10 + k, f"{prose(rng, 12)} another project here {prose(rng, 12)}") for k in range(8)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    for kinds in (private.LONG, private.EVERY):
+        found = collected(private.revealing_terms(docs, kinds=kinds, most=0.0))
+        assert found and all(r["disclosure"] <= 1 + 1e-12 for r in found)
+        got = by_id(private.private_spans(docs, kinds=kinds))
+        assert all(got[k]["spans"] == "" for k, _ in rows[4:])
+    want = plain_terms(rows, private.LEAST_SUPPORT, 0.0)
+    scores = sorted(r["disclosure"] for r in collected(private.revealing_terms(docs, most=0.0)))
+    assert scores == pytest.approx(sorted(want.values()))
+
+
+def test_counts_that_a_task_gives_out_in_parts(spark, monkeypatch):
+    rows, docs = secrets(spark)
+    want = by_id(private.private_spans(docs))
+    monkeypatch.setattr(private, "HELD_TERMS", 3)
+    assert by_id(private.private_spans(docs)) == want
+
+
+def test_many_mentions_and_hits_in_one_text(spark):
+    """Time grows with the length of a text, not with mentions times hits."""
+    rng = random.Random(19)
+    text = " ".join(f"Zorbulax u{k}@mail{k}.org" for k in range(30000))
+    rows = [(k, f"{prose(rng, 20)} Zorbulax zed@hidden.org {prose(rng, 20)}") for k in range(9)] + [(100, text)]
+    got = by_id(private.private_spans(spark.createDataFrame(rows, "doc_id long, text string")))
+    assert got[100]["n_email"] == 30000
+
+
+def test_spans_that_overlap_are_merged_for_the_look_up():
+    starts, ends = private._merged([("a", 5, 9), ("b", 0, 2), ("c", 8, 12), ("d", 12, 13)])
+    assert list(zip(starts.tolist(), ends.tolist())) == [(0, 2), (5, 12), (12, 13)]
+    begin, stop = private.np.array([0, 2, 3, 4, 11, 13]), private.np.array([1, 5, 5, 6, 12, 20])
+    assert private._outside((starts, ends), begin, stop).tolist() == [False, True, True, False, False, True]
