@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lakewright.llm.common import _BATCH, BATCH_BYTES, Steps, text_step
-from lakewright.operators.windows import running, top_per_key
+from lakewright.operators.windows import running, running_points, top_per_key
 
 #: Bytes that belong to a term: digits, letters and all of other alphabets; A-Z count as a-z.
 _TERM = bytes(b + 32 if 65 <= b <= 90 else b if chr(b).isalnum() or b > 127 else 32 for b in range(256))
@@ -85,14 +85,21 @@ class Index:
 def build_index(documents: DataFrame, steps: Steps, *, id_col: str = "doc_id", text_col: str = "text") -> Index:
     """The index of all rows that have a term, in pieces of bounded size.
 
-    Rows are sorted by their normaliser m over the whole table, so documents
-    of a stratum lie together; a stratum of any size is split by a hash.
+    Strata in the order of their normaliser m are cut into slots of about as
+    many postings as a piece has, so documents of a stratum lie together, a
+    stratum of any size is split, and long documents crowd no task.
     """
     counted = steps.write("counted", term_counts(documents, id_col, text_col).where("n > 0"))
     n, total = counted.agg(F.count(F.lit(1)), F.coalesce(F.sum("n"), F.lit(0))).first()
     kind = dict(counted.dtypes)["id"]
     placed = counted.withColumn("m", _normaliser(F.col("n"), n, max(total, 1))).withColumn("place", F.xxhash64(F.monotonically_increasing_id()))
-    strata = placed.select("m", "place", "id", "terms", "times").repartitionByRange("m", "place").sortWithinPartitions("m", "place")
+    sizes = steps.write("strata", placed.groupBy("m").agg(F.sum(F.size("terms")).alias("own")))
+    ends = sizes.join(running_points(sizes, [], "m", {"upto": ("sum", "own")}), "m")
+    # Within a stratum the hash tells a document's slot.
+    inside = F.pmod(F.col("place"), F.lit(1 << 20)) / F.lit(float(1 << 20))
+    slot = F.floor((F.col("upto") - F.col("own") + inside * F.col("own")) / PIECE_POSTINGS)
+    strata = placed.join(ends, "m").withColumn("slot", slot).select("slot", "m", "place", "id", "terms", "times").repartition("slot").sortWithinPartitions(
+        "slot", "m", "place").drop("slot")
 
     def cut(batches):
         held: list[pa.RecordBatch] = []
@@ -124,7 +131,7 @@ def build_index(documents: DataFrame, steps: Steps, *, id_col: str = "doc_id", t
 
     documents.sparkSession.conf.set(_BATCH, BATCH_BYTES)
     pieces = steps.write("index", strata.mapInArrow(cut, _PIECE.format(id=kind)))
-    steps.drop("counted")
+    steps.drop("counted", "strata")
     return Index(pieces, n, total)
 
 
