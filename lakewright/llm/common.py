@@ -3,11 +3,13 @@
 from __future__ import annotations
 
 import contextlib
+import hashlib
 import sys
 from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -141,13 +143,80 @@ def word_spans(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.nd
     return starts, np.flatnonzero(last) + 1, np.searchsorted(starts, offsets)
 
 
+#: Spans are hashed by a polynomial modulo this prime, at a base drawn from a seed: two different spans of n bytes agree
+#: for at most n of its bases.
+_PRIME = (1 << 61) - 1
+_LOW31, _LOW30 = np.uint64((1 << 31) - 1), np.uint64((1 << 30) - 1)
+_P, _61, _31, _30 = np.uint64(_PRIME), np.uint64(61), np.uint64(31), np.uint64(30)
+HASH_SEED = "spans"
+#: Sums of longer spans of bytes, and of characters, would not fit; such spans are hashed one by one.
+LONG_BYTES, LONG_CHARACTERS = 1 << 24, 1 << 11
+
+
+def _reduced(x: np.ndarray) -> np.ndarray:
+    x = (x & _P) + (x >> _61)
+    return np.where(x >= _P, x - _P, x)
+
+
+def _product(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """a * b modulo the prime, for numbers below it, by halves of 30 and 31 bits."""
+    a1, a0, b1, b0 = a >> _31, a & _LOW31, b >> _31, b & _LOW31
+    middle = a1 * b0 + a0 * b1
+    return _reduced(((a1 * b1) << np.uint64(1)) + (middle >> _30) + ((middle & _LOW30) << _31) + _reduced(a0 * b0))
+
+
+def _span_powers(n: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Low 31 and high bits of the base's powers, and the powers of its inverse; kept per process."""
+    held = process_store().get("span powers")
+    if held is None or len(held[0]) < n:
+        base = 2 + int.from_bytes(hashlib.sha256(HASH_SEED.encode()).digest()[:8], "little") % (_PRIME - 3)
+        made = []
+        for b in (base, pow(base, -1, _PRIME)):
+            powers = np.ones(1, np.uint64)
+            while len(powers) < max(n, STEP_BYTES + 2):
+                powers = np.concatenate([powers, _product(powers, np.uint64(pow(b, len(powers), _PRIME)))])
+            made.append(powers)
+        held = made[0] & _LOW31, made[0] >> _31, made[1]
+        if len(held[0]) <= 4 * WIDE_STEP_BYTES:
+            process_store()["span powers"] = held
+    return held
+
+
 def span_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    """A 64-bit hash of each byte range, from one running polynomial over all bytes."""
-    up, down = _powers(len(data) + 1)
+    """A 64-bit hash of each byte (or character) range, from running sums over all of them.
+
+    Depends on the range's content alone. Where equal hashes decide a result,
+    ``unequal`` compares the ranges themselves.
+    """
+    low, high, inverse = _span_powers(len(data) + 1)
+    values = data.astype(np.uint64) + np.uint64(1)
+    n = len(data)
     with np.errstate(over="ignore"):
-        total = np.zeros(len(data) + 1, np.uint64)
-        np.cumsum((data.astype(np.uint64) + np.uint64(1)) * up[:len(data)], out=total[1:])
-        return mixed((total[ends] - total[starts]) * down[starts] + (ends - starts).astype(np.uint64) * _ODD)
+        lows, highs = np.zeros(n + 1, np.uint64), np.zeros(n + 1, np.uint64)
+        np.cumsum(values * low[:n], out=lows[1:])
+        np.cumsum(values * high[:n], out=highs[1:])
+        # Sums wrap modulo 2**64; those of a span do not reach it.
+        upper = _reduced(highs[ends] - highs[starts])
+        upper = (upper >> _30) + ((upper & _LOW30) << _31)
+        value = _product(_reduced(upper + _reduced(lows[ends] - lows[starts])), inverse[starts])
+        sizes = (ends - starts).astype(np.uint64)
+        out = mixed(value + sizes * _ODD)
+    for k in np.flatnonzero(ends - starts > (LONG_BYTES if data.dtype == np.uint8 else LONG_CHARACTERS)):
+        out[k] = xxhash.xxh3_64_intdigest(data[starts[k]:ends[k]].tobytes())
+    return out
+
+
+def unequal(data: np.ndarray, starts: np.ndarray, others: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """Which ranges of ``sizes`` from ``starts`` on differ from those from ``others`` on."""
+    out = np.zeros(len(starts), bool)
+    some = np.flatnonzero(sizes > 0)
+    for a, b in step_ranges(sizes[some], WIDE_STEP_BYTES):
+        k = some[a:b]
+        first = np.cumsum(sizes[k]) - sizes[k]
+        at = np.arange(int(sizes[k].sum())) - np.repeat(first, sizes[k])
+        differs = data[np.repeat(starts[k], sizes[k]) + at] != data[np.repeat(others[k], sizes[k]) + at]
+        out[k] = np.logical_or.reduceat(differs, first)
+    return out
 
 
 def gram_hashes(data: np.ndarray, length: int) -> np.ndarray:

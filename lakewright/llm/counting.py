@@ -6,7 +6,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from lakewright.llm.common import WIDE_STEP_BYTES, process_store, span_hashes, text_step
+from lakewright.llm.common import WIDE_STEP_BYTES, process_store, span_hashes, text_step, unequal
 from lakewright.llm.pieces import SPACE, Pieces, cut_parts, load_pieces, tokenizer_path
 
 #: The token counts of parts up to this length are kept.
@@ -31,8 +31,8 @@ class PrefixCounts:
         self.pieces = pieces
         self.history: dict[int, tuple] = {}
         self.apart: dict[int, bool] = {}
-        self.young: dict[int, int] = {}  # tokens by the hash of the part
-        self.old: dict[int, int] = {}
+        self.young: dict[str, int] = {}  # tokens of parts
+        self.old: dict[str, int] = {}
 
     def _history(self, piece: int) -> tuple[bool, str, str, list[tuple[float, str, str]]]:
         """How merging makes a piece of its characters: best score first, leftmost among equals.
@@ -130,24 +130,24 @@ class PrefixCounts:
             out.append(count[len(part)])
         return out
 
-    def _learned(self, hashes: list[int], part) -> list[int]:
-        """The token count of parts by hash; ``part(k)`` gives the text of the k-th."""
+    def _learned(self, parts: list[str]) -> list[int]:
+        """The token count of parts."""
         young, old = self.young, self.old
         if len(young) >= KEPT_PARTS:
             old, young = self.old, self.young = young, {}
         new, found = [], []
-        for k, h in enumerate(hashes):
-            n = young.get(h)
+        for k, part in enumerate(parts):
+            n = young.get(part)
             if n is None:
-                n = old.get(h)
+                n = old.get(part)
                 if n is None:
                     new.append(k)
                 else:
-                    young[h] = n
+                    young[part] = n
             found.append(n)
-        texts = sorted((part(k), k) for k in new)
-        for (_, k), n in zip(texts, self._each([t for t, _ in texts])):
-            found[k] = young[hashes[k]] = n
+        texts = sorted((parts[k], k) for k in new)
+        for (part, k), n in zip(texts, self._each([t for t, _ in texts])):
+            found[k] = young[part] = n
         return found
 
     def _tail(self, char: str) -> bool:
@@ -155,21 +155,26 @@ class PrefixCounts:
         return self.pieces.ids.get(char, -1) >= 0
 
     def totals(self, texts: list[str]) -> list[int]:
-        """The token count of each text. Equal parts are counted once per call, by a 64-bit hash."""
+        """The token count of each text. Equal parts are counted once per call: found by hash, then compared."""
         marked = [SPACE + t.replace(" ", SPACE) if t else "" for t in texts]
         whole = "".join(marked)
         begin, per_text = cut_parts(whole, np.fromiter(map(len, marked), np.int64, len(marked)), self.pieces)
         stops = np.append(begin[1:], len(whole))
         chars = np.frombuffer(whole.encode("utf-32-le"), np.uint32)
         hashes, first, which = np.unique(span_hashes(chars, begin, stops), return_index=True, return_inverse=True)
+        sizes, others = stops - begin, begin[first][which] if len(first) else begin
+        differs = sizes != sizes[first][which] if len(first) else np.zeros(0, bool)
+        differs[~differs] = unequal(chars, begin[~differs], others[~differs], sizes[~differs])
         counts = np.zeros(len(hashes), np.int64)
-        short = stops[first] - begin[first] <= KEPT_LENGTH
+        short = sizes[first] <= KEPT_LENGTH
         where = np.flatnonzero(short)
-        a, b = begin[first[where]].tolist(), stops[first[where]].tolist()
-        counts[where] = self._learned(hashes[where].tolist(), lambda k: whole[a[k]:b[k]])
+        counts[where] = self._learned([whole[a:b] for a, b in zip(begin[first[where]].tolist(), stops[first[where]].tolist())])
         for k in np.flatnonzero(~short):
             counts[k] = self.prefixes(whole[begin[first[k]]:stops[first[k]]])[-1]
-        upto = np.concatenate([[0], np.cumsum(counts[which])])
+        each = counts[which]
+        for k in np.flatnonzero(differs):
+            each[k] = self.prefixes(whole[begin[k]:stops[k]])[-1]
+        upto = np.concatenate([[0], np.cumsum(each)])
         ends = np.cumsum(per_text)
         return (upto[ends] - upto[ends - per_text]).tolist()
 

@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lakewright.llm.common import _ODD, mixed, sample_by_hash, span_hashes, text_step, utf8, word_spans
+from lakewright.llm.common import _ODD, mixed, sample_by_hash, span_hashes, text_step, unequal, utf8, word_spans
 
 #: Words of a window whose repetition within a text counts.
 REPEAT_WORDS = 8
@@ -72,11 +72,22 @@ def _twice(keys: np.ndarray) -> np.ndarray:
     return found
 
 
-def _later(keys: np.ndarray) -> np.ndarray:
-    """Which of the keys equal an earlier one."""
+def _later(keys: np.ndarray, data: np.ndarray, begin: np.ndarray, end: np.ndarray, row: np.ndarray) -> np.ndarray:
+    """Which ranges equal an earlier one of their row: found by key, then compared by bytes."""
     order = np.argsort(keys, kind="stable")
+    met = np.flatnonzero(keys[order[1:]] == keys[order[:-1]])
+    later, earlier = order[met + 1], order[met]
     found = np.zeros(len(keys), bool)
-    found[order[1:][keys[order[1:]] == keys[order[:-1]]]] = True
+    found[later] = True
+    wrong = (row[later] != row[earlier]) | (end[later] - begin[later] != end[earlier] - begin[earlier])
+    wrong[~wrong] = unequal(data, begin[later[~wrong]], begin[earlier[~wrong]], (end - begin)[later[~wrong]])
+    if wrong.any():
+        # Different lines of one key: compare all lines as they are.
+        seen: set[tuple[int, bytes]] = set()
+        for k in range(len(keys)):
+            line = int(row[k]), data[begin[k]:end[k]].tobytes()
+            found[k] = line in seen
+            seen.add(line)
     return found
 
 
@@ -125,7 +136,7 @@ def measure(texts: pa.Array) -> Measured:
     line_words = word_to - word_from
     with np.errstate(over="ignore"):
         line_key = span_hashes(data, line_begin, line_end) + row_key[line_row] * _ODD
-    dup = _later(line_key)
+    dup = _later(line_key, data, line_begin, line_end, line_row)
     # Features.
     chars = np.maximum(points[line_end] - points[line_begin], 1)
 
