@@ -8,9 +8,10 @@ from lakewright.operators import alerts, cdc, eventstore, matviews
 from lakewright.plans.registry import plan
 from lakewright.plans.workloads import EVENTS_AS_OF, K_SQL, SERVICE_SQL, ntz, service
 from lakewright.sources.keyed import KeyedTable
-from lakewright.sources.tables import scratch_path
+from lakewright.sources.tables import durable, scratch_path
 from lakewright.sources.versioned import VersionedTable
 from lakewright.streaming import runner, windows
+from lakewright.streaming.state import held_alerts, keyed_state
 
 C = F.col
 
@@ -113,7 +114,15 @@ STORE_SQL = "SELECT user_id, event_id, event_type, ts, row_number() OVER (PARTIT
 
 @plan("es_append", f"SELECT user_id, event_id, event_version FROM ({STORE_SQL})")
 def es_append(t):
-    return stored_events(t).select("user_id", "event_id", "event_version")
+    """Two loads of events, the second with the stream started again: versions go on from the state of each user."""
+    path, store, progress = (scratch_path(t.spark, n) for n in ("feed", "store", "progress"))
+    half = ntz("2024-01-16")
+    rows = t.events.select("user_id", "ts", "event_id")
+    empty = rows.limit(0).withColumn("event_version", F.lit(0).cast("long"))
+    for part in (rows.where(C("ts") < half), rows.where(C("ts") >= half)):
+        part.write.mode("append").parquet(f"{path}/events")
+        stored = runner.append_versions(runner.file_stream(t.spark, path, "events"), "user_id", ["ts", "event_id"], store, progress, empty)
+    return stored.select("user_id", "event_id", "event_version")
 
 
 @plan("es_get", f"SELECT event_type, event_version, ts FROM ({STORE_SQL}) WHERE user_id = 12 AND event_version >= 5 ORDER BY event_version")
@@ -315,6 +324,25 @@ def alert_threshold_for(t):
     return alerts.threshold_for(hourly_load(t), ["instance"], "hour", C("load") > 60, 3 * 3600, "warning")
 
 
+@plan("alert_threshold_stream", f"""WITH s AS (SELECT *, load > 60 AS on_, lag(load > 60) OVER (PARTITION BY instance ORDER BY hour) AS before FROM ({HOURLY_SQL})),
+r AS (SELECT a.instance, a.hour AS started, min(b.hour) AS ended FROM s a LEFT JOIN s b ON b.instance = a.instance AND b.hour > a.hour AND NOT b.on_
+  WHERE a.on_ AND a.before IS DISTINCT FROM true GROUP BY 1, 2)
+SELECT instance, started, started + INTERVAL 3 HOUR AS fired FROM r
+WHERE coalesce(ended, (SELECT max(hour) + INTERVAL 1 HOUR FROM s)) >= started + INTERVAL 3 HOUR
+  AND started + INTERVAL 3 HOUR <= (SELECT max(hour) FROM s)""")
+def alert_threshold_stream(t):
+    """The readings arrive in two parts; an alert fires three hours after its start, with or without another reading."""
+    path, out, progress = (scratch_path(t.spark, n) for n in ("readings", "alerts", "progress"))
+    readings = durable(hourly_load(t))
+    half = ntz("2024-01-16")
+    for part in (readings.where(C("hour") < half), readings.where(C("hour") >= half)):
+        part.write.mode("append").parquet(f"{path}/readings")
+        stream = runner.file_stream(t.spark, path, "readings").withColumn("hour", C("hour").cast("timestamp")).withWatermark("hour", "0 seconds")
+        with keyed_state(t.spark):
+            found = runner.process_stream(held_alerts(stream, ["instance"], "hour", C("load") > 60, 3 * 3600), lambda df: df, out, progress)
+    return found.select("instance", C("started").cast("timestamp_ntz").alias("started"), C("fired").cast("timestamp_ntz").alias("fired"))
+
+
 @plan("alert_rate", f"""WITH s AS (SELECT *, lag(load) OVER (PARTITION BY instance ORDER BY hour) AS p FROM ({HOURLY_SQL})),
 r AS (SELECT instance, strftime(hour, '%Y-%m-%d') AS bucket, CASE WHEN p IS NULL THEN NULL WHEN load < p THEN load ELSE load - p END AS rise FROM s)
 SELECT instance, bucket, round(coalesce(sum(rise), 0) / 86400, 9) AS rate FROM r GROUP BY 1, 2""")

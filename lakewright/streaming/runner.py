@@ -8,10 +8,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lakewright.operators import cdc
-from lakewright.operators.eventstore import append
 from lakewright.operators.windows import latest_per_key
 from lakewright.sources.keyed import KeyedTable
 from lakewright.sources.tables import durable
+from lakewright.streaming.state import keyed_state, versioned
 
 
 def file_stream(spark: SparkSession, folder: str, name: str, files_per_batch: int | None = None) -> DataFrame:
@@ -108,24 +108,11 @@ def process_stream(stream: DataFrame, transform: Callable[[DataFrame], DataFrame
 
 def append_versions(stream: DataFrame, key: str, order: list[str], path: str, checkpoint: str,
                     first: DataFrame) -> DataFrame:
-    """Give events gapless versions batch by batch; ``first`` is the (possibly empty) store so far.
+    """Store a stream of events with gapless versions and return the store; ``first`` is an empty store.
 
-    A batch numbers its events on from the versions reached by earlier batches,
-    which are kept per batch and key, so a repeated batch comes to the same
-    versions and the stored events are not read again.
+    The versions reached are state per key, kept in the checkpoint, so a
+    restart goes on from them and what is stored is not read again.
     """
-    spark = stream.sparkSession
-
-    def keep(events: DataFrame, batch: int) -> None:
-        events.write.mode("overwrite").parquet(f"{path}/events/batch_id={batch}")
-        stored = spark.read.parquet(f"{path}/events/batch_id={batch}")
-        (stored.groupBy(key).agg(F.max("event_version").alias("event_version"))
-         .write.mode("overwrite").parquet(f"{path}/reached/batch_id={batch}"))
-
-    def step(df: DataFrame, batch: int) -> None:
-        reached = spark.read.parquet(f"{path}/reached").where(F.col("batch_id") < batch)
-        keep(append(reached, df, key, order), batch)
-
-    keep(first, -1)
-    each_batch(stream, step, checkpoint)
-    return spark.read.parquet(f"{path}/events").drop("batch_id")
+    with keyed_state(stream.sparkSession):
+        append_to(versioned(stream, key, order), path, checkpoint)
+    return _read_or_empty(stream.sparkSession, path, first.schema)

@@ -131,3 +131,57 @@ def test_an_empty_stream_gives_an_empty_table(spark, tables, tmp_path):
     assert done.columns == ["event_id"] and done.count() == 0
     runner.updates_to(windows.tumbling(source, "ts", "value", "1 day"), str(tmp_path / "w"), str(tmp_path / "cp2"))
     assert runner.current(spark, str(tmp_path / "w"), ["window_start"]).count() == 0
+
+
+def test_versions_go_on_after_a_restart_without_reading_the_store(spark, tmp_path):
+    folder, store, progress = (str(tmp_path / n) for n in ("in", "store", "cp"))
+    schema = "k string, n long"
+    empty = spark.createDataFrame([], schema + ", event_version long")
+    want = []
+    for part in ([("a", 2), ("a", 1), ("b", 5)], [("b", 4), ("c", 1)], [("a", 9), (None, 1)], [(None, 2)]):
+        spark.createDataFrame(part, schema).coalesce(1).write.mode("append").parquet(folder)
+        source = spark.readStream.schema(schema).parquet(folder)
+        got = runner.append_versions(source, "k", ["n"], store, progress, empty)
+        for k in {k for k, _ in part}:
+            last = max((v for kk, _, v in want if kk == k), default=0)
+            want += [(k, n, last + 1 + i) for i, n in enumerate(sorted(n for kk, n in part if kk == k))]
+        assert rows(got) == sorted(want, key=repr)
+    assert rows(runner.append_versions(source, "k", ["n"], store, progress, empty)) == sorted(want, key=repr)
+
+
+def test_an_alert_fires_when_the_hold_time_passes(spark, tmp_path):
+    from lakewright.streaming.state import held_alerts, keyed_state
+
+    folder, out, progress = (str(tmp_path / n) for n in ("in", "out", "cp"))
+    schema = "k string, ts timestamp, v double"
+    at = lambda s: dt.datetime(2024, 1, 1) + dt.timedelta(seconds=s)
+
+    def after(*samples, idle=None):
+        spark.createDataFrame([(k, at(s), v) for k, s, v in samples], schema).coalesce(1).write.mode("append").parquet(folder)
+        source = spark.readStream.schema(schema).parquet(folder).withWatermark("ts", "0 seconds")
+        with keyed_state(spark):
+            found = runner.process_stream(held_alerts(source, ["k"], "ts", F.col("v") > 8, 60, idle), lambda df: df, out, progress)
+        return sorted((r.k, (r.started - at(0)).seconds, (r.fired - at(0)).seconds) for r in found.collect())
+
+    assert after(("a", 0, 9.0), ("b", 0, 9.0), ("b", 30, 1.0), ("c", 10, 9.0), ("d", 5, None)) == []
+    # a has no further sample: the clock that other keys move is enough. c goes on.
+    assert after(("c", 40, 9.0), ("e", 62, 1.0)) == [("a", 0, 60)]
+    # c has held until the sample that ends it; b starts anew; a does not fire twice.
+    assert after(("a", 65, 9.0), ("c", 70, 2.0), ("b", 66, 9.0)) == [("a", 0, 60), ("c", 10, 70)]
+    assert after(("b", 100, 1.0), ("e", 200, 1.0)) == [("a", 0, 60), ("c", 10, 70)]
+
+
+def test_a_run_is_forgotten_after_a_silence(spark, tmp_path):
+    from lakewright.streaming.state import held_alerts, keyed_state
+
+    folder, out, progress = (str(tmp_path / n) for n in ("in", "out", "cp"))
+    schema = "k string, ts timestamp, v double"
+    found = []
+    for s, k in ((0, "a"), (50, "x"), (55, "a"), (130, "x")):
+        spark.createDataFrame([(k, dt.datetime(2024, 1, 1) + dt.timedelta(seconds=s), 9.0 if k == "a" else 0.0)], schema).coalesce(1).write.mode("append").parquet(folder)
+        source = spark.readStream.schema(schema).parquet(folder).withWatermark("ts", "0 seconds")
+        with keyed_state(spark):
+            done = runner.process_stream(held_alerts(source, ["k"], "ts", F.col("v") > 8, 60, idle_seconds=40), lambda df: df, out, progress)
+        found.append(done.count())
+    # The run of second 0 ends in silence at second 40, so the one of second 55 is on its own, and it too falls silent at 95.
+    assert found == [0, 0, 0, 0]
