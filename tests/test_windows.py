@@ -160,6 +160,54 @@ def test_percentiles_of_nothing_and_of_large_whole_numbers(spark):
     assert percentiles(large, [], "v", {"p": 0.1}, True).first().p == 9007199254740993
 
 
+def test_percentiles_of_infinities_far_values_and_ties(spark):
+    import numpy as np
+
+    rng = random.Random(6)
+    inf = float("inf")
+    groups = {"inf": [inf] * 30 + [-inf] * 40 + [rng.random() for _ in range(300)], "all": [inf] * 5, "far": [rng.random() for _ in range(500)] + [1e300, -1e300],
+              "ties": [1.0] * 400 + [2.0] * 400 + [rng.random() + 1 for _ in range(200)], "whole": [float(k) for k in range(3000)]}
+    df = spark.createDataFrame([(k, v) for k, vs in groups.items() for v in vs], "k string, v double").repartition(5)
+    probs = {f"p{p}": p / 100 for p in (0, 1, 10, 33, 50, 67, 90, 99, 100)}
+    for discrete in (False, True):
+        for crowd in (65536, 64):
+            got = {r.k: r for r in percentiles(df, ["k"], "v", probs, discrete, 64, crowd).collect()}
+            for k, vs in groups.items():
+                for name, p in probs.items():
+                    low, high = (np.quantile(vs, p, method=m) for m in (("inverted_cdf",) * 2 if discrete else ("lower", "higher")))
+                    want = low if low == high else np.quantile(vs, p)
+                    assert got[k][name] == pytest.approx(want, rel=1e-12), (k, name)
+
+
+def test_percentiles_when_the_sketch_is_off(spark, monkeypatch):
+    """Brackets that miss their ranks cost a pass and no wrong result."""
+    import numpy as np
+
+    from lakewright.operators import percentiles as module
+
+    df = spark.createDataFrame([(k % 3, float(k * 7919 % 10007)) for k in range(3000)], "k int, v double")
+    monkeypatch.setattr(module.F, "percentile_approx", lambda c, marks, a: F.array(*[F.min(c) + 1 for _ in marks]))
+    got = {r.k: r.p for r in percentiles(df, ["k"], "v", {"p": 0.4}).collect()}
+    for k in range(3):
+        assert got[k] == pytest.approx(np.quantile([i * 7919 % 10007 for i in range(3000) if i % 3 == k], 0.4))
+
+
+def test_percentiles_keep_few_values(spark, tables, monkeypatch):
+    from lakewright.operators import percentiles as module
+
+    written = []
+
+    def keep(df):
+        out = durable(df)
+        written.append(out.count())
+        return out
+
+    durable = module.durable
+    monkeypatch.setattr(module, "durable", keep)
+    percentiles(tables.lineitem, ["l_returnflag"], "l_extendedprice", {"p50": 0.5, "p90": 0.9}).collect()
+    assert max(written) < tables.lineitem.count() / 20
+
+
 @settings(max_examples=8, deadline=None, suppress_health_check=[HealthCheck.function_scoped_fixture])
 @given(st.lists(st.tuples(st.sampled_from(["x", "y"]), st.integers(-5, 5), st.one_of(st.none(), st.integers(-9, 9))),
                 min_size=1, max_size=40), st.integers(1, 6))
