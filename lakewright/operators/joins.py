@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lakewright.operators.windows import latest_per_key, match, shifted
-from lakewright.sources.tables import scratch_path
+from lakewright.operators.windows import latest_per_key, match, running_points, shifted
+from lakewright.sources.tables import durable, scratch_path
 
 def not_in(left: DataFrame, column: str, values: DataFrame, value: str) -> DataFrame:
     """Rows whose ``column`` is NOT IN the values, with SQL null rules.
@@ -80,6 +80,30 @@ def within_intervals(points: DataFrame, at: str, intervals: DataFrame, lo: str,
     return near.join(spread, "_slot").where((F.col(at) >= F.col(lo)) & (F.col(at) < F.col(hi))).drop("_slot")
 
 
+def count_within(points: DataFrame, at: str, intervals: DataFrame, lo: str, hi: str, name: str, keys: list[str] | None = None) -> DataFrame:
+    """Intervals with the number of points (of the same ``keys``) in them, lo inclusive and hi exclusive.
+
+    No pair is listed: running counts of the points are looked up at both ends,
+    so the work does not depend on how many points an interval holds, and a
+    time that holds many of them is split like any other. An interval with a
+    null end holds none.
+    """
+    keys = keys or []
+    ends = None
+    for end in (lo, hi):
+        side = intervals.select(*keys, F.struct(F.col(end).alias("at"), F.lit(0).alias("side")).alias("_place"), F.lit(0).alias("_one"))
+        ends = side if ends is None else ends.unionByName(side)
+    # At an equal time an end comes before the points.
+    every = points.where(F.col(at).isNotNull()).select(*keys, F.struct(F.col(at).alias("at"), F.lit(1).alias("side")).alias("_place"), F.lit(1).alias("_one"))
+    upto = durable(running_points(every.unionByName(ends), keys, "_place", {"_n": ("sum", "_one")}).where("_place.side = 0"))
+    out = intervals
+    for end in (lo, hi):
+        found = upto.select(*keys, F.col("_place.at").alias(end), F.col("_n").alias(f"_n_{end}"))
+        out = match(out, found, [*keys, end])
+    n = F.greatest(F.col(f"_n_{hi}") - F.col(f"_n_{lo}"), F.lit(0))
+    return out.withColumn(name, F.when(F.col(lo).isNull() | F.col(hi).isNull(), F.lit(0)).otherwise(n).cast("long")).drop(f"_n_{lo}", f"_n_{hi}")
+
+
 def asof(left: DataFrame, right: DataFrame, keys: list[str], at: str, tie: str) -> DataFrame:
     """Left rows with ``match``: the last right row of their key at or before them, or null.
 

@@ -7,6 +7,7 @@ from itertools import product
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from lakewright.functions.probability import chi_square_upper, f_upper, t_two_sided
 from lakewright.operators.percentiles import percentiles
 from lakewright.operators.windows import match
 
@@ -79,7 +80,7 @@ def regression(df: DataFrame, keys: list[str], y: str, x: str) -> DataFrame:
 
 
 def t_test(df: DataFrame, group: str, value: str, a, b) -> DataFrame:
-    """Welch's t statistic and degrees of freedom between two groups."""
+    """Welch's t statistic, degrees of freedom and two-sided p-value between two groups."""
     def part(name):
         v = F.when(F.col(group) == name, F.col(value))
         return F.avg(v), F.var_samp(v), F.count(v)
@@ -91,21 +92,23 @@ def t_test(df: DataFrame, group: str, value: str, a, b) -> DataFrame:
     return row.select(
         ((F.col("ma") - F.col("mb")) / F.sqrt(spread)).alias("statistic"),
         (spread * spread / (F.col("ea") * F.col("ea") / (F.col("na") - 1)
-                            + F.col("eb") * F.col("eb") / (F.col("nb") - 1))).alias("df"))
+                            + F.col("eb") * F.col("eb") / (F.col("nb") - 1))).alias("df")).withColumn(
+                                "p_value", t_two_sided(F.col("statistic"), F.col("df")))
 
 
 def anova(df: DataFrame, group: str, value: str) -> DataFrame:
-    """One-way F statistic from per-group counts, means and variances."""
+    """One-way F statistic and its p-value from per-group counts, means and variances."""
     per = df.groupBy(group).agg(F.count(value).alias("n"), F.avg(value).alias("m"), F.var_pop(value).alias("v"))
     sums = per.agg(F.sum("n").alias("n"), F.count(F.lit(1)).alias("k"), F.sum(F.col("n") * F.col("m")).alias("t"),
                    F.sum(F.col("n") * F.col("m") * F.col("m")).alias("q"), F.sum(F.col("n") * F.col("v")).alias("within"))
     between = F.col("q") - F.col("t") * F.col("t") / F.col("n")
     return sums.select(((between / (F.col("k") - 1)) / (F.col("within") / (F.col("n") - F.col("k")))).alias("statistic"),
-                       (F.col("k") - 1).alias("df_between"), (F.col("n") - F.col("k")).alias("df_within"))
+                       (F.col("k") - 1).alias("df_between"), (F.col("n") - F.col("k")).alias("df_within")).withColumn(
+                           "p_value", f_upper(F.col("statistic"), F.col("df_between"), F.col("df_within")))
 
 
 def chi_square(df: DataFrame, a: str, b: str) -> DataFrame:
-    """Independence statistic and degrees of freedom of two categorical columns."""
+    """Independence statistic, degrees of freedom and p-value of two categorical columns."""
     cells = df.groupBy(a, b).agg(F.count(F.lit(1)).alias("o"))
     rows = cells.groupBy(a).agg(F.sum("o").alias("r"))
     cols = cells.groupBy(b).agg(F.sum("o").alias("c"))
@@ -113,4 +116,5 @@ def chi_square(df: DataFrame, a: str, b: str) -> DataFrame:
     # Sum over all cells of (o - e)^2 / e equals n * sum(o^2 / (r * c)) - n; empty cells add nothing.
     return match(match(cells, rows, [a]), cols, [b]).agg(
         (n * F.sum(F.col("o") * F.col("o") / (F.col("r") * F.col("c"))) - n).alias("statistic"),
-        ((F.countDistinct(a) - 1) * (F.countDistinct(b) - 1)).alias("df"))
+        ((F.countDistinct(a) - 1) * (F.countDistinct(b) - 1)).alias("df")).withColumn(
+            "p_value", chi_square_upper(F.col("statistic"), F.col("df")))

@@ -239,19 +239,74 @@ def rank_shares(df: DataFrame, keys: list[str], order: str, chunks: int | None =
     return match(df, places, [*keys, order])
 
 
-def time_frame(df: DataFrame, keys: list[str], ts: str, seconds: int, aggs: dict[str, Column]) -> DataFrame:
-    """Aggregates over RANGE BETWEEN ``seconds`` PRECEDING AND CURRENT ROW by time.
-
-    Time is cut into slots as long as the frame. A row stands in its own slot
-    and, for others to see, in the next one, so a window covers one slot of a
-    key and no key is gathered in one task.
+def time_frame(df: DataFrame, keys: list[str], ts: str, seconds: int, specs: dict[str, tuple[str, str]], chunks: int | None = None) -> DataFrame:
+    """Aggregates over RANGE BETWEEN ``seconds`` PRECEDING AND CURRENT ROW by time, peers included.
+
+    ``specs`` maps an output name to (count, sum, avg, min or max; column).
+    Counts and sums are differences of running ones, looked up at the row and at
+    the begin of its frame; sums are exact for whole numbers and decimals. For
+    minimum and maximum time is cut into slots as long as the frame: a frame is
+    the end of one slot and the begin of the next, so a running value back from
+    the end and one from the begin cover it. The running values are taken in
+    chunks, so neither a key nor a slot is gathered in one task, and the work
+    does not grow with the length of the frame. Rows without time see each other.
     """
     size = seconds * 1_000_000
-    marked = df.withColumn("_at", F.unix_micros(F.col(ts).cast("timestamp")))
-    slots = F.explode(F.array(*[F.struct((F.floor(F.col("_at") / size) + k).alias("slot"), F.lit(k == 0).alias("own")) for k in (0, 1)]))
-    spread = marked.withColumn("_s", slots)
-    frame = Window.partitionBy(*keys, F.col("_s.slot")).orderBy("_at").rangeBetween(-size, 0)
-    return (spread.withColumns({name: agg.over(frame) for name, agg in aggs.items()}).where("_s.own").drop("_s", "_at"))
+    marked = df.withColumn("_at", F.unix_micros(F.col(ts).cast("timestamp"))).withColumn("_from", F.col("_at") - size)
+    marked = marked.withColumn("_slot", F.floor(F.col("_at") / size)).withColumn("_before", F.col("_slot") - 1)
+    columns = sorted({c for _, c in specs.values()})
+    values = [F.col(c).alias(f"_c{i}") for i, c in enumerate(columns)]
+    name_of = {c: f"_c{i}" for i, c in enumerate(columns)}
+    held = durable(marked.select(*keys, "_at", "_from", "_slot", "_before", *values))
+
+    def place(at: Column, side: int) -> Column:
+        return F.struct(at.alias("at"), F.lit(side).alias("side"))
+
+    def ends(at: Column, side: int, *more: Column) -> DataFrame:
+        nothing = [F.lit(None).cast(held.schema[c].dataType).alias(c) for c in name_of.values()]
+        return held.select(*keys, *more, place(at, side).alias("_place"), *nothing).distinct()
+
+    out, found = marked, {}
+
+    def look_up(running_: DataFrame, side: int, at: str, on: list[str], names: dict[str, str]) -> None:
+        nonlocal out
+        chosen = running_.where(F.col("_place.side") == side).select(
+            *keys, *on[len(keys):-1], F.col("_place.at").alias(at), *[F.col(a).alias(b) for a, b in names.items()])
+        out = match(out, chosen, on, "left")
+
+    sums = sorted({(fn, name_of[c]) for f, c in specs.values() for fn in {"count": ("count",), "sum": ("count", "sum"), "avg": ("count", "sum")}.get(f, ())})
+    if sums:
+        # The begin of a frame stands before the rows of its time: what it counts is outside.
+        rows = held.select(*keys, place(F.col("_at"), 1).alias("_place"), *name_of.values())
+        upto = durable(running_points(rows.unionByName(ends(F.col("_from"), 0)), keys, "_place", {f"_{fn}{c}": (fn, c) for fn, c in sums}, chunks))
+        look_up(upto, 1, "_at", [*keys, "_at"], {f"_{fn}{c}": f"_upto_{fn}{c}" for fn, c in sums})
+        look_up(upto, 0, "_from", [*keys, "_from"], {f"_{fn}{c}": f"_less_{fn}{c}" for fn, c in sums})
+        for fn, c in sums:
+            found[fn, c] = F.coalesce(F.col(f"_upto_{fn}{c}"), F.lit(0)) - F.coalesce(F.col(f"_less_{fn}{c}"), F.lit(0))
+    tops = sorted({(f, name_of[c]) for f, c in specs.values() if f in ("min", "max")})
+    if tops:
+        wanted = {f"_{fn}{c}": (fn, c) for fn, c in tops}
+        rows = held.select(*keys, "_slot", place(F.col("_at"), 0).alias("_place"), *name_of.values())
+        begin = durable(running_points(rows, [*keys, "_slot"], "_place", wanted, chunks))
+        look_up(begin, 0, "_at", [*keys, "_slot", "_at"], {n: f"_own{n}" for n in wanted})
+        # Backwards in time, the rows of a moment before the begin of a frame that lies on it.
+        back = rows.withColumn("_place", place(-F.col("_place.at"), 0))
+        edges = ends(-F.col("_from"), 1, F.col("_before").alias("_slot"))
+        rest = durable(running_points(back.unionByName(edges), [*keys, "_slot"], "_place", wanted, chunks))
+        rest = rest.withColumn("_place", place(-F.col("_place.at"), 1)).where(rest["_place.side"] == 1).withColumnRenamed("_slot", "_before")
+        look_up(rest, 1, "_from", [*keys, "_before", "_from"], {n: f"_rest{n}" for n in wanted})
+        for fn, c in tops:
+            found[fn, c] = (F.least if fn == "min" else F.greatest)(F.col(f"_own_{fn}{c}"), F.col(f"_rest_{fn}{c}"))
+    outputs = {}
+    for name, (fn, column) in specs.items():
+        c = name_of[column]
+        if fn in ("sum", "avg"):
+            n = found["count", c]
+            total = F.when(n > 0, found["sum", c])
+            outputs[name] = total if fn == "sum" else total.cast("double") / F.nullif(n, F.lit(0))
+        else:
+            outputs[name] = found[fn, c].cast("long") if fn == "count" else found[fn, c]
+    return out.select(*df.columns, *[e.alias(n) for n, e in outputs.items()])
 
 
 def affine_scan(df: DataFrame, keys: list[str], seq: str, value: str, q: float, name: str) -> DataFrame:

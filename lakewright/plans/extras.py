@@ -38,9 +38,7 @@ LEFT JOIN (SELECT * FROM events WHERE event_type = 'view') v ON v.ts >= e.ts AND
 def join_range_interval(t):
     """Views in the twenty minutes after each error, whoever caused them."""
     errors = t.events.where("event_type = 'error'").select("event_id", C("ts").alias("lo"), (C("ts") + F.expr("INTERVAL 20 MINUTES")).alias("hi"))
-    found = joins.within_intervals(t.events.where("event_type = 'view'").select("ts"), "ts", errors, "lo", "hi", 1200)
-    counts = found.groupBy("event_id").agg(n_rows().alias("views"))
-    return errors.join(counts, "event_id", "left").select("event_id", F.coalesce("views", F.lit(0)).cast("long").alias("views"))
+    return joins.count_within(t.events.where("event_type = 'view'").select("ts"), "ts", errors, "lo", "hi", "views").select("event_id", "views")
 
 
 @plan("join_asof", """WITH r AS (SELECT user_id, ts, event_type = 'purchase' AS later, event_id, CASE WHEN event_type = 'view' THEN event_id END AS view_id,
@@ -94,8 +92,8 @@ def win_ntile_pct(t):
 @plan("win_range_time", """SELECT event_id, count(*) OVER w AS n, round(sum(value) OVER w, 4) AS total, min(value) OVER w AS lowest FROM events
 WINDOW w AS (PARTITION BY event_type ORDER BY ts RANGE BETWEEN INTERVAL 6 HOURS PRECEDING AND CURRENT ROW)""")
 def win_range_time(t):
-    out = windows.time_frame(t.events.select("event_id", "event_type", "ts", "value"), ["event_type"], "ts", 6 * 3600, {
-        "n": F.count(F.lit(1)), "total": F.sum(C("value").cast("decimal(18,2)")), "lowest": F.min("value")})
+    rows = t.events.select("event_id", "event_type", "ts", "value", C("value").cast("decimal(18,2)").alias("exact"), F.lit(1).alias("one"))
+    out = windows.time_frame(rows, ["event_type"], "ts", 6 * 3600, {"n": ("count", "one"), "total": ("sum", "exact"), "lowest": ("min", "value")})
     return out.select("event_id", "n", F.round(C("total").cast("double"), 4).alias("total"), "lowest")
 
 
