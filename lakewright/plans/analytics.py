@@ -203,6 +203,13 @@ def vec_l2_topk(t):
     return rounded(nearest.l2_topk(t.embeddings, "vec_id", "embedding", queries, 10), 6, "distance")
 
 
+@plan("vec_cells_topk")
+def vec_cells_topk(t):
+    """As vec_l2_topk, by the index of cells."""
+    queries = t.embeddings.groupBy(C("label").cast("long").alias("query_id")).agg(F.min_by("embedding", "vec_id").alias("query"))
+    return rounded(nearest.cells_topk(nearest.build_cells(t.embeddings, "vec_id", "embedding"), queries, 10), 6, "distance")
+
+
 @plan("geo_distance_topk", """WITH p AS (SELECT c_custkey, (c_custkey * 37 % 3600) / 10.0::DOUBLE - 180 AS lon, (c_custkey * 17 % 1800) / 10.0::DOUBLE - 90 AS lat FROM customer)
 SELECT c_custkey, lon, lat, round(sqrt((lon - 13.4) ** 2 + (lat - 52.5) ** 2), 9) AS distance,
   round(2 * 6371 * asin(sqrt(pow(sin(radians(lat - 52.5) / 2), 2) + cos(radians(52.5)) * cos(radians(lat)) * pow(sin(radians(lon - 13.4) / 2), 2))), 6) AS distance_km
