@@ -118,10 +118,10 @@ def _blocks(queries: DataFrame, width: int, group: str) -> DataFrame:
     return _packed(rows, width, BLOCK, group).withColumnsRenamed({"ids": "query_ids", "matrix": "queries"})
 
 
-def l2_topk(vectors: DataFrame, key: str, vector: str, queries: DataFrame, k: int) -> DataFrame:
+def l2_topk(vectors: DataFrame, key: str, vector: str, queries: DataFrame, k: int, slice_size: int | None = None) -> DataFrame:
     """The ``k`` vectors nearest to each query (query_id, query) by Euclidean distance, exactly: (query_id, neighbor, distance, rank).
 
-    Queries are numbered blocks, vectors are chunks, and Spark joins each chunk
+    Queries are numbered blocks of about ``slice_size``, vectors are chunks, and Spark joins each chunk
     to every block by its number: blocks that are small travel to the chunks,
     otherwise both are shuffled. A task keeps the best ``k`` per query over all
     it meets, so only those meet in the shuffle. Equal distances are ranked by
@@ -130,7 +130,7 @@ def l2_topk(vectors: DataFrame, key: str, vector: str, queries: DataFrame, k: in
     """
     width = _width(vectors, vector)
     asked = _usable(queries, "query_id", "query", width)
-    n = -(-asked.count() // BLOCK)
+    n = -(-asked.count() // (slice_size or BLOCK))
     numbered = durable(_blocks(asked.withColumn("block", F.pmod(F.xxhash64("id"), F.lit(max(n, 1))).cast("int")), width, "block"))
     chunks = _packed(_usable(vectors, key, vector, width).withColumn("chunk", F.lit(0)), width, CHUNK, "chunk").drop("chunk")
     met = chunks.withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(max(n, 1) - 1)))).join(numbered, "block").drop("block")
