@@ -18,6 +18,8 @@ from lakewright.operators.windows import running, running_points, top_per_key
 _TERM = bytes(b + 32 if 65 <= b <= 90 else b if chr(b).isalnum() or b > 127 else 32 for b in range(256))
 #: A piece of a stratum ends at so many documents or postings.
 PIECE_DOCUMENTS, PIECE_POSTINGS = 2048, 1 << 18
+#: Strata whose places are sent to every task, three numbers each; with more of them they are joined to the documents instead.
+SENT_STRATA = 200_000
 #: Items are looked up in blocks of about so many bytes of terms, as a block travels to every task.
 BLOCK_BYTES = 4 << 20
 SCALE, SATURATION, NORM = 10 ** 9, 1000, 12
@@ -95,6 +97,8 @@ def build_index(documents: DataFrame, steps: Steps, *, id_col: str = "doc_id", t
     placed = counted.withColumn("m", _normaliser(F.col("n"), n, max(total, 1))).withColumn("place", F.xxhash64(F.monotonically_increasing_id()))
     sizes = steps.write("strata", placed.groupBy("m").agg(F.sum(F.size("terms")).alias("own")))
     ends = sizes.join(running_points(sizes, [], "m", {"upto": ("sum", "own")}), "m")
+    if sizes.count() <= SENT_STRATA:
+        ends = F.broadcast(ends)
     # Within a stratum the hash tells a document's slot.
     inside = F.pmod(F.col("place"), F.lit(1 << 20)) / F.lit(float(1 << 20))
     slot = F.floor((F.col("upto") - F.col("own") + inside * F.col("own")) / PIECE_POSTINGS)

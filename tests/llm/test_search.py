@@ -67,6 +67,7 @@ def test_ties_nulls_repeats_and_names(small):
 def test_small_pieces_and_blocks(small, monkeypatch):
     monkeypatch.setattr(search, "PIECE_DOCUMENTS", 5)
     monkeypatch.setattr(search, "BLOCK_BYTES", 200)
+    monkeypatch.setattr(search, "SENT_STRATA", 0)
     check(*small)
 
 
