@@ -132,26 +132,36 @@ def maintain(tables: dict[str, tuple[DataFrame, str]], as_of: Column, keep_month
     return out
 
 
-def choose_key(df: DataFrame, table: str) -> DataFrame:
-    """Recommended distribution column: a unique column, else the first time column (by range), else the first.
+#: Rows in which a repeated value is looked for before a column is counted as a whole.
+LOOK = 100_000
+
+
+def is_unique(df: DataFrame, column: str, look: int = LOOK) -> bool:
+    """Whether no row lacks the column and no two rows share a value, exactly.
 
-    Uniqueness is looked for with a sketch; only likely columns are counted exactly.
+    A value that repeats among some rows, or a null, settles it; only a column
+    without one there is counted in full, on its own.
     """
+    rows = df.select(F.col(column).alias("v"))
+    for part in (rows.limit(look), rows):
+        if not part.groupBy("v").agg(F.count(F.lit(1)).alias("n")).where("n > 1 or v is null").isEmpty():
+            return False
+    return True
+
+
+def choose_key(df: DataFrame, table: str) -> DataFrame:
+    """Recommended distribution column: the first unique column, else the first time column (by range), else the first."""
     simple = [f.name for f in df.schema if f.dataType.typeName() not in ("array", "map", "struct")]
-    sketch = df.agg(F.count(F.lit(1)).alias("_n"), *[F.approx_count_distinct(c, 0.03).alias(c) for c in simple]).first()
-    likely = [c for c in simple if sketch["_n"] and sketch[c] >= 0.85 * sketch["_n"]]
-    unique = []
-    if likely:
-        exact = df.agg(*[F.countDistinct(c).alias(c) for c in likely]).first()
-        unique = [c for c in likely if exact[c] == sketch["_n"]]
+    rows = df.count()
+    unique = next((c for c in simple if rows and is_unique(df, c)), None)
     times = [f.name for f in df.schema if f.dataType.typeName() in ("date", "timestamp", "timestamp_ntz")]
     if unique:
-        choice, strategy, reason = unique[0], "hash", "unique column"
+        choice, strategy, reason = unique, "hash", "unique column"
     elif times:
         choice, strategy, reason = times[0], "range", "first time column"
     else:
         choice, strategy, reason = df.columns[0], "hash", "first column"
-    return df.sparkSession.createDataFrame([(table, choice, strategy, reason, sketch["_n"])],
+    return df.sparkSession.createDataFrame([(table, choice, strategy, reason, rows)],
                                            "table_name string, key string, strategy string, reason string, row_count long")
 
 

@@ -59,18 +59,16 @@ def correlation_matrix(df: DataFrame, columns: list[str]) -> DataFrame:
 
 def profile(df: DataFrame, columns: list[str]) -> DataFrame:
     """(column_name, metric, value) with nulls, distinct values, minimum and maximum as text."""
-    aggs: list[Column] = []
-    entries: list[Column] = []
-    for i, c in enumerate(columns):
-        facts = {
-            "null_count": F.count_if(F.col(c).isNull()), "distinct_count": F.countDistinct(c),
-            "min_value": F.min(c), "max_value": F.max(c),
-        }
-        for name, agg in facts.items():
-            aggs.append(agg.cast("string").alias(f"{name}_{i}"))
-            entries.append(F.struct(F.lit(c).alias("column_name"), F.lit(name).alias("metric"),
-                                    F.col(f"{name}_{i}").alias("value")))
-    return df.agg(*aggs).select(F.explode(F.array(*entries)).alias("e")).select("e.*")
+    out = None
+    for c in columns:
+        # Equal values meet before the shuffle, and no row is multiplied for another column.
+        cells = df.groupBy(F.col(c).alias("v")).agg(F.count(F.lit(1)).alias("n"))
+        facts = cells.agg(F.coalesce(F.sum(F.when(F.col("v").isNull(), F.col("n"))), F.lit(0)).alias("null_count"), F.count("v").alias("distinct_count"),
+                          F.min("v").alias("min_value"), F.max("v").alias("max_value"))
+        entries = F.array(*[F.struct(F.lit(c).alias("column_name"), F.lit(m).alias("metric"), F.col(m).cast("string").alias("value")) for m in facts.columns])
+        own = facts.select(F.explode(entries).alias("e")).select("e.*")
+        out = own if out is None else out.unionByName(own)
+    return out
 
 
 def regression(df: DataFrame, keys: list[str], y: str, x: str) -> DataFrame:

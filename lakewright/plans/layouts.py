@@ -398,8 +398,9 @@ def vendor_type_map(t):
 
 STAT_COLUMNS = ("event_type", "kind", "user_id")
 STATS_SQL = "WITH e AS (SELECT event_type, nullif(event_type, 'error') AS kind, user_id FROM events) " + " UNION ALL ".join(
-    f"""SELECT '{c}' AS column_name, count(*) AS row_count, count(*) FILTER ({c} IS NULL)::DOUBLE / count(*) AS null_frac, count(DISTINCT {c}) AS n_distinct,
-  (SELECT string_agg(v, ',' ORDER BY n DESC, v) FROM (SELECT {c}::VARCHAR AS v, count(*) AS n FROM e WHERE {c} IS NOT NULL GROUP BY 1 ORDER BY n DESC, v LIMIT 3)) AS most_common_vals FROM e"""
+    f"""SELECT '{c}' AS column_name, count(*) AS row_count, avg(strlen(event_type) + coalesce(strlen(kind), 0) + 8) AS avg_row_size, count(*) FILTER ({c} IS NULL)::DOUBLE / count(*) AS null_frac, count(DISTINCT {c}) AS n_distinct,
+  (SELECT string_agg(v, ',' ORDER BY n DESC, v) FROM (SELECT {c}::VARCHAR AS v, count(*) AS n FROM e WHERE {c} IS NOT NULL GROUP BY 1 ORDER BY n DESC, v LIMIT 3)) AS most_common_vals,
+  (SELECT string_agg(printf('%.6f', round(n / (SELECT count(*) FROM e)::DOUBLE, 6)), ',' ORDER BY n DESC, v) FROM (SELECT {c}::VARCHAR AS v, count(*) AS n FROM e WHERE {c} IS NOT NULL GROUP BY 1 ORDER BY n DESC, v LIMIT 3)) AS most_common_freqs FROM e"""
     for c in STAT_COLUMNS)
 
 

@@ -114,6 +114,11 @@ STORE_SQL = "SELECT user_id, event_id, event_type, ts, row_number() OVER (PARTIT
 
 @plan("es_append", f"SELECT user_id, event_id, event_version FROM ({STORE_SQL})")
 def es_append(t):
+    return stored_events(t).select("user_id", "event_id", "event_version")
+
+
+@plan("es_append_stream", f"SELECT user_id, event_id, event_version FROM ({STORE_SQL})")
+def es_append_stream(t):
     """Two loads of events, the second with the stream started again: versions go on from the state of each user."""
     path, store, progress = (scratch_path(t.spark, n) for n in ("feed", "store", "progress"))
     half = ntz("2024-01-16")

@@ -211,22 +211,39 @@ class VirtualSchema:
             rows, "schema_name string, source_type string, table_name string, view_name string, column_count int")
 
 
+def _row_bytes(df: DataFrame, columns: Sequence[str]) -> Column:
+    """Bytes of the values of a row: what texts and binaries hold, the width of other types; null takes none."""
+    widths = {"boolean": 1, "tinyint": 1, "smallint": 2, "int": 4, "float": 4, "date": 4}
+    sizes = []
+    for c in columns:
+        kind = dict(df.dtypes)[c]
+        size = F.octet_length(c) if kind in ("string", "binary") else F.when(F.col(c).isNotNull(), F.lit(widths.get(kind, 8)))
+        sizes.append(F.coalesce(size, F.lit(0)).cast("long"))
+    return sum(sizes[1:], sizes[0])
+
+
 def table_stats(df: DataFrame, columns: Sequence[str], top: int) -> DataFrame:
-    """Row count, null share, distinct values and the ``top`` most common values per column.
+    """Per column: row count, average row size, null share, distinct values, the ``top`` most common values and their shares.
 
-    Value counts are taken per (column, value) pair before the most common are picked.
+    Each column's values are counted on their own, so a scan reads one column
+    and no row is multiplied; equal values meet within each task before the shuffle.
+    A table without rows gives no rows.
     """
-    entries = F.array(*[F.struct(F.lit(c).alias("column_name"), F.col(c).cast("string").alias("v")) for c in columns])
-    cells = (df.select(F.explode(entries).alias("e")).select("e.*")
-             .groupBy("column_name", "v").agg(F.count(F.lit(1)).alias("n")))
+    whole = df.agg(F.count(F.lit(1)).alias("row_count"), F.avg(_row_bytes(df, columns)).alias("avg_row_size"))
+    cells = None
+    for c in columns:
+        own = df.groupBy(F.col(c).cast("string").alias("v")).agg(F.count(F.lit(1)).alias("n")).select(F.lit(c).alias("column_name"), "v", "n")
+        cells = own if cells is None else cells.unionByName(own)
     facts = cells.groupBy("column_name").agg(
-        F.sum("n").alias("row_count"),
         (F.coalesce(F.sum(F.when(F.col("v").isNull(), F.col("n"))), F.lit(0)) / F.sum("n")).alias("null_frac"),
         F.count("v").alias("n_distinct"))
-    best = (top_per_key(cells.where(F.col("v").isNotNull()), ["column_name"], [F.desc("n"), F.asc("v")], top)
-            .groupBy("column_name").agg(F.array_join(F.transform(
-                F.sort_array(F.collect_list(F.struct("rank", "v"))), lambda s: s["v"]), ",").alias("most_common_vals")))
-    return facts.join(best, "column_name", "left")
+    ranked = top_per_key(cells.where(F.col("v").isNotNull()), ["column_name"], [F.desc("n"), F.asc("v")], top)
+    # At most ``top`` rows per column are left to gather.
+    best = ranked.groupBy("column_name").agg(F.sort_array(F.collect_list(F.struct("rank", "v", "n"))).alias("best"))
+    joined = facts.join(best, "column_name", "left").crossJoin(F.broadcast(whole))  # one row
+    return joined.select(
+        "column_name", "row_count", "avg_row_size", "null_frac", "n_distinct", F.array_join(F.transform("best", lambda s: s["v"]), ",").alias("most_common_vals"),
+        F.array_join(F.transform("best", lambda s: F.round(s["n"] / F.col("row_count"), 6).cast("decimal(7,6)").cast("string")), ",").alias("most_common_freqs"))
 
 
 def table_info(registry: DataFrame, stats: DataFrame) -> DataFrame:

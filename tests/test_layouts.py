@@ -300,3 +300,28 @@ def test_delimited_files_keep_texts(spark, tables, tmp_path, name):
         back = files.scan_csv(spark, path, ", ".join(f"`{c}` {kind}" for c, kind in df.dtypes), fmt)
         assert back.exceptAll(df).isEmpty() and df.exceptAll(back).isEmpty()
     assert rows(migrate.copy_table(odd, str(tmp_path / "staged"), str(tmp_path / "copy"))) == rows(odd)
+
+
+def test_uniqueness_is_exact(spark):
+    """A column with one repeated value beyond the rows that are looked at first, and one with a single null."""
+    from lakewright.operators.layout import choose_key, is_unique
+
+    df = spark.range(3000).select(F.when(F.col("id") == 2999, 7).otherwise(F.col("id")).alias("nearly"), F.when(F.col("id") != 5, F.col("id")).alias("gap"), "id")
+    assert [is_unique(df, c, look=100) for c in ("nearly", "gap", "id")] == [False, False, True]
+    assert choose_key(df, "t").first().key == "id" and "Expand" not in plan_text(df.groupBy("id").count())
+    assert choose_key(df.select("nearly", "gap"), "t").first().reason == "first column"
+    assert choose_key(df.limit(0), "t").first().row_count == 0
+
+
+def test_statistics_multiply_no_rows(spark, tables):
+    from lakewright.operators.stats import profile
+    from lakewright.sources.federation import table_stats
+
+    df = spark.createDataFrame([("a", 1), ("a", None), ("bb", 2), (None, 2)], "s string, n int")
+    got = {r.column_name: r for r in table_stats(df, ["s", "n"], 2).collect()}
+    assert (got["s"].row_count, got["s"].avg_row_size, got["s"].null_frac, got["s"].n_distinct) == (4, 4.0, 0.25, 2)
+    assert (got["s"].most_common_vals, got["s"].most_common_freqs) == ("a,bb", "0.500000,0.250000")
+    assert (got["n"].most_common_vals, got["n"].most_common_freqs) == ("2,1", "0.500000,0.250000")
+    assert table_stats(df.limit(0), ["s"], 2).isEmpty()
+    for out in (table_stats(tables.events, ["event_type", "user_id"], 3), profile(tables.events, ["event_type", "user_id"])):
+        assert "Expand" not in plan_text(out)
