@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+import json
 import math
 import uuid
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import functions as F
 
@@ -198,6 +200,17 @@ def csv_text_to_table(t):
     return files.csv_text_to_table(t.part.select(line.alias("line")), "line", "p_partkey bigint, p_name string, p_retailprice double")
 
 
+@plan("csv_text_load", "SELECT count(*) AS loaded, count(*) FILTER (p_partkey % 10 = 3) AS bad, round(sum(p_retailprice) FILTER (p_partkey % 10 <> 3), 2) AS total, count(*) FILTER (p_partkey % 10 <> 3) AS stored FROM part")
+def csv_text_load(t):
+    """Every tenth line has a price that is no number; it is reported and not stored. ``loaded`` counts all lines taken."""
+    price = F.when(C("p_partkey") % 10 == 3, F.lit("cheap")).otherwise(C("p_retailprice").cast("string"))
+    line = F.concat_ws(",", C("p_partkey").cast("string"), F.concat(F.lit('"'), "p_name", F.lit('"')), price)
+    done = files.load_csv_text(t.part.select(line.alias("line")), "line", "p_partkey bigint, p_name string, p_retailprice double", scratch_path(t.spark, "parts"))
+    return t.spark.read.parquet(done.path).agg(
+        F.lit(done.rows + done.bad).cast("long").alias("loaded"), F.lit(done.bad).cast("long").alias("bad"),
+        F.round(F.sum("p_retailprice"), 2).alias("total"), F.count(F.lit(1)).alias("stored"))
+
+
 @plan("import_csv", "SELECT o_orderkey, o_totalprice, o_orderdate FROM orders")
 def import_csv(t):
     path = exported(t, t.orders.select("o_orderkey", "o_totalprice", "o_orderdate"))
@@ -494,7 +507,14 @@ def udf_scalar(t):
 
 
 def array_span(values: pd.Series) -> pd.Series:
-    return values.map(lambda v: float(max(v)) - float(min(v)))
+    """Largest less smallest element, for a whole batch of arrays at once; null for null and empty ones."""
+    sizes = np.array([0 if v is None else len(v) for v in values])
+    out, some = np.full(len(values), np.nan), np.flatnonzero(sizes)
+    if len(some):
+        flat = np.concatenate([values.iloc[i] for i in some]).astype(np.float64)
+        first = np.cumsum(sizes[some]) - sizes[some]
+        out[some] = np.maximum.reduceat(flat, first) - np.minimum.reduceat(flat, first)
+    return pd.Series(out)
 
 
 @plan("udf_array_in", "SELECT vec_id, round(list_max(embedding)::DOUBLE - list_min(embedding)::DOUBLE, 9) AS span FROM embeddings")
@@ -503,7 +523,9 @@ def udf_array_in(t):
 
 
 def as_json(kind: pd.Series, user: pd.Series) -> pd.Series:
-    return pd.Series([f'{{"kind":"{k}","user":{u}}}' for k, u in zip(kind, user)], dtype="object")
+    """Documents of a batch by string operations on whole columns; each different text is escaped once."""
+    quoted = kind.map({k: json.dumps(k, ensure_ascii=False) for k in kind.unique()})
+    return '{"kind":' + quoted + ',"user":' + user.astype(str) + "}"
 
 
 @plan("udf_json_out", """SELECT event_id, '{"kind":"' || event_type || '","user":' || user_id || '}' AS doc FROM events""")

@@ -6,8 +6,10 @@ from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from lakewright.functions.validators import column_definitions, identifier
+from lakewright.sources.tables import remove_at_exit
 
 
 @dataclass(frozen=True)
@@ -58,6 +60,36 @@ def csv_text_to_table(df: DataFrame, column: str, schema: str) -> DataFrame:
     return df.select(F.from_csv(F.col(column), schema, {"mode": "PERMISSIVE"}).alias("r")).select("r.*")
 
 
+@dataclass(frozen=True)
+class TextLoad:
+    """What a load of delimited text gave: how many lines became rows, how many did not fit, and where both lie."""
+
+    rows: int
+    bad: int
+    path: str
+    bad_path: str
+
+
+def load_csv_text(df: DataFrame, column: str, schema: str, target: str) -> TextLoad:
+    """Parse a text column of delimited lines and store it: rows under ``target``, lines that do not fit (line) beside it.
+
+    A line fits if it has the columns of ``schema`` and every value its type; an
+    empty value is null. Null and blank lines are skipped. One pass over the lines.
+    """
+    parsed = F.from_csv(F.col(column), f"{schema}, _bad string", {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_bad"})
+    lines = df.where(F.trim(column) != "").select(F.col(column).alias("line"), parsed.alias("r"))
+    counted = Observation()
+    seen = lines.observe(counted, F.count_if(F.col("r._bad").isNull()).alias("rows"), F.count_if(F.col("r._bad").isNotNull()).alias("bad"))
+    staged = f"{target}-staged"
+    names = [f.name for f in T._parse_datatype_string(schema).fields]
+    seen.select("line", "r", F.col("r._bad").isNotNull().alias("is_bad")).write.mode("overwrite").parquet(staged)
+    remove_at_exit(df.sparkSession, staged)
+    held = df.sparkSession.read.parquet(staged)
+    held.where("not is_bad").select(*[F.col("r")[c].alias(c) for c in names]).write.mode("overwrite").parquet(target)
+    held.where("is_bad").select("line").write.mode("overwrite").parquet(f"{target}-bad")
+    return TextLoad(counted.get["rows"], counted.get["bad"], target, f"{target}-bad")
+
+
 def write_analytics_table(df: DataFrame, schema: str, table: str, columns: str, base: str) -> DataFrame:
     """Store the named and typed columns as a compressed columnar table, after checking every name."""
     path = f"{base}/{identifier(schema)}/{identifier(table)}"

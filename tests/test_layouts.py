@@ -325,3 +325,23 @@ def test_statistics_multiply_no_rows(spark, tables):
     assert table_stats(df.limit(0), ["s"], 2).isEmpty()
     for out in (table_stats(tables.events, ["event_type", "user_id"], 3), profile(tables.events, ["event_type", "user_id"])):
         assert "Expand" not in plan_text(out)
+
+
+def test_a_text_load_counts_rows_and_reports_bad_lines(spark, tmp_path):
+    from lakewright.sources.files import load_csv_text
+
+    lines = ["1,a,2.5", "2,,", "x,b,1", "3,c", "4,d,1,9", None, "", '5,"e,f",-1', "6,g,many"]
+    done = load_csv_text(spark.createDataFrame([(x,) for x in lines], "t string"), "t", "n int, s string, v double", str(tmp_path / "out"))
+    got = sorted(tuple(r) for r in spark.read.parquet(done.path).collect())
+    bad = sorted(r.line for r in spark.read.parquet(done.bad_path).collect())
+    assert got == [(1, "a", 2.5), (2, None, None), (5, "e,f", -1.0)] and (done.rows, done.bad) == (3, 4)
+    assert bad == ["3,c", "4,d,1,9", "6,g,many", "x,b,1"]
+
+
+def test_functions_take_whole_batches():
+    import pandas as pd
+
+    from lakewright.plans.layouts import array_span, as_json
+
+    assert array_span(pd.Series([np.array([1.0, 4.0]), None, np.array([]), np.array([-2, 3, 3])])).tolist()[::3] == [3.0, 5.0]
+    assert as_json(pd.Series(['a"b', "c\\"]), pd.Series([1, 2])).tolist() == ['{"kind":"a\\"b","user":1}', '{"kind":"c\\\\","user":2}']
