@@ -174,7 +174,13 @@ def _span_powers(n: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         for b in (base, pow(base, -1, _PRIME)):
             powers = np.ones(1, np.uint64)
             while len(powers) < max(n, STEP_BYTES + 2):
-                powers = np.concatenate([powers, _product(powers, np.uint64(pow(b, len(powers), _PRIME)))])
+                factor, more = np.uint64(pow(b, len(powers), _PRIME)), np.empty(2 * len(powers), np.uint64)
+                more[:len(powers)] = powers
+                # By pieces, as a product takes ten arrays of its size for a moment.
+                for a in range(0, len(powers), 1 << 15):
+                    piece = powers[a:a + (1 << 15)]
+                    more[len(powers) + a:len(powers) + a + len(piece)] = _product(piece, factor)
+                powers = more
             made.append(powers)
         held = made[0] & _LOW31, made[0] >> _31, made[1]
         if len(held[0]) <= 4 * WIDE_STEP_BYTES:
@@ -189,12 +195,13 @@ def span_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.nd
     ``unequal`` compares the ranges themselves.
     """
     low, high, inverse = _span_powers(len(data) + 1)
-    values = data.astype(np.uint64) + np.uint64(1)
     n = len(data)
+    values = data.astype(np.uint16 if data.dtype == np.uint8 else np.uint32) + data.dtype.type(1)
     with np.errstate(over="ignore"):
         lows, highs = np.zeros(n + 1, np.uint64), np.zeros(n + 1, np.uint64)
-        np.cumsum(values * low[:n], out=lows[1:])
-        np.cumsum(values * high[:n], out=highs[1:])
+        for parts, sums in ((low, lows), (high, highs)):  # in place, as a step's arrays are many times its text
+            np.multiply(values, parts[:n], out=sums[1:])
+            np.cumsum(sums[1:], out=sums[1:])
         # Sums wrap modulo 2**64; those of a span do not reach it.
         upper = _reduced(highs[ends] - highs[starts])
         upper = (upper >> _30) + ((upper & _LOW30) << _31)
