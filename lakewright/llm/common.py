@@ -39,6 +39,17 @@ def process_store() -> dict:
     return vars(sys).setdefault("_lakewright_llm", {})
 
 
+def _start_step(step: str) -> None:
+    """Let go of the tables that another step left in this worker.
+
+    Workers outlive their stage, and the tables of all steps they ran would add up.
+    """
+    store = process_store()
+    if store.get("step") != step:
+        store.clear()
+        store["step"] = step
+
+
 def step_ranges(sizes: np.ndarray, limit: int = STEP_BYTES) -> Iterator[tuple[int, int]]:
     """Consecutive row ranges whose sizes add up to at most ``limit``, or one row each."""
     ends = np.cumsum(sizes)
@@ -71,8 +82,10 @@ def text_step(df: DataFrame, text: str, work: Callable[[pa.RecordBatch], pa.Reco
     """
     df.sparkSession.conf.set(_BATCH, BATCH_BYTES)
     names = [f.name for f in _fields(df.sparkSession, schema)]
+    step = f"{work.__module__}.{work.__qualname__}"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        _start_step(step)
         for batch in batches:
             if not batch.num_rows:
                 continue

@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lakewright.llm.chunks import DIGEST_BYTES, clashing, digest, distinct_batch
-from lakewright.llm.common import SPACE_BYTES, Steps, keyed, mixed, rows_by_key, text_step
+from lakewright.llm.common import SPACE_BYTES, STEP_BYTES, Steps, keyed, mixed, rows_by_key, text_step
 from lakewright.operators.windows import match
 
 #: A chunk ends where the hash of the last 16 bytes is rare enough, but not before and not long after these sizes.
@@ -21,20 +21,30 @@ _GEAR = (mixed(np.arange(256, dtype=np.uint64)) >> np.uint64(32)).astype(np.uint
 _STEP = 8 << 20
 
 
+def _cuts(data: np.ndarray) -> list[int]:
+    """Where the hash of the last 16 bytes is rare enough for a cut, by pieces: its arrays are many times their text.
+
+    The rolling hash sums shifted byte values, built by doubling the width.
+    """
+    found = []
+    for a in range(0, len(data), STEP_BYTES):
+        before = min(a, 15)
+        rolling = _GEAR[data[a - before:a + STEP_BYTES]]
+        for width in (1, 2, 4, 8):
+            wider = rolling.copy()
+            wider[width:] += rolling[:-width] << np.uint32(width)
+            rolling = wider
+        found.append(np.flatnonzero(rolling[before:] >> np.uint32(32 - RARE_BITS) == 0) + (a + 1))
+    return np.concatenate(found).tolist() if found else []
+
+
 def chunk_ends(texts: list[bytes]) -> list[list[int]]:
     """The ends of the chunks of each text.
 
-    The rolling hash sums shifted byte values over 16 bytes, built by doubling
-    the width. The first cut lies behind ``LEAST_CHUNK`` bytes, so no window of
-    it reaches into the text before.
+    The first cut lies behind ``LEAST_CHUNK`` bytes, so no window of it reaches
+    into the text before.
     """
-    data = np.frombuffer(b"".join(texts), np.uint8)
-    rolling = _GEAR[data]
-    for width in (1, 2, 4, 8):
-        wider = rolling.copy()
-        wider[width:] += rolling[:-width] << np.uint32(width)
-        rolling = wider
-    cuts = (np.flatnonzero(rolling >> np.uint32(32 - RARE_BITS) == 0) + 1).tolist()
+    cuts = _cuts(np.frombuffer(b"".join(texts), np.uint8))
     ends, base = [], 0
     for text in texts:
         size, own, at = len(text), [], 0

@@ -3,7 +3,9 @@
 import hashlib
 import random
 import re
+import tracemalloc
 
+import numpy as np
 import pytest
 
 from lakewright.llm import exact, lines, neardup
@@ -206,3 +208,22 @@ def test_lines_of_rows_that_share_an_id(spark, operator):
     kept = [r["text"] for r in got]
     assert len(got) == len(rows) and all(t in kept for i, t in rows if block not in t and fresh not in t) and rows[0][1] in kept
     assert sum(fresh in t for t in kept) == 1 and sum(block in t for t in kept) == 1
+
+
+def test_cuts_by_pieces_are_those_of_the_whole_and_take_little_memory():
+    rng = random.Random(4)
+    data = prose(rng, 200000).encode()
+    assert len(data) > 3 * exact.STEP_BYTES
+    gear = exact._GEAR.astype(np.uint64)[np.frombuffer(data, np.uint8)]
+    rolling = sum(np.concatenate([np.zeros(j, np.uint64), gear[:len(gear) - j]]) << np.uint64(j) for j in range(16)) & np.uint64(0xFFFFFFFF)
+    cuts = set((np.flatnonzero(rolling >> np.uint64(32 - exact.RARE_BITS) == 0) + 1).tolist())
+    want, at = [], 0
+    while at < len(data):
+        at = next((k for k in range(at + exact.LEAST_CHUNK, min(at + exact.MOST_CHUNK, len(data))) if k in cuts), min(at + exact.MOST_CHUNK, len(data)))
+        want.append(at)
+    tracemalloc.start()
+    try:
+        assert exact.chunk_ends([data[:100], b"", data]) == [[100], [], want]
+        assert tracemalloc.get_traced_memory()[1] < 5 * len(data)
+    finally:
+        tracemalloc.stop()

@@ -90,3 +90,16 @@ def test_repeated_bytes_of_twins(spark):
     assert [rows[k]["n_removed"] for k in range(2)] == [0, 0]
     rows = by_id(suffixes.without_repeats(frame(spark, [A, A, B]), length=1024))
     assert [rows[k]["n_removed"] for k in range(3)] == [0, 1024, 0]
+
+
+def test_a_step_lets_go_of_the_tables_of_the_step_before(spark):
+    def leaves(batch):
+        common.process_store()["table"] = True
+        return batch
+
+    def finds(batch):
+        return pa.RecordBatch.from_pydict({"found": pa.array(["table" in common.process_store()] * batch.num_rows)})
+
+    rows = spark.range(64).selectExpr("cast(id as string) as text").repartition(16)
+    assert common.text_step(rows, "text", leaves, "text string").count() == 64
+    assert not any(r.found for r in common.text_step(rows, "text", finds, "found boolean").collect())
