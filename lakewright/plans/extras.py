@@ -8,7 +8,7 @@ from lakewright.operators import eventstore, joins, windows
 from lakewright.plans.registry import plan
 from lakewright.plans.streams import AFTER_SQL, BEFORE_SQL, STORE_SQL, events_stream, snapshots, stored_events
 from lakewright.plans.workloads import ntz
-from lakewright.sources.tables import scratch_path
+from lakewright.sources.tables import durable, scratch_path
 from lakewright.streaming import runner
 
 C = F.col
@@ -57,14 +57,18 @@ def join_asof(t):
 
 @plan("agg_approx_distinct", """SELECT event_type, count(DISTINCT user_id) AS users, true AS distinct_close, true AS median_close FROM events GROUP BY 1""")
 def agg_approx_distinct(t):
-    """Sketches next to the exact values they stand for: both must be within their stated error."""
-    per = t.events.groupBy("event_type").agg(
-        F.countDistinct("user_id").alias("users"), F.approx_count_distinct("user_id", 0.01).alias("about"),
-        F.percentile_approx("value", 0.5, 1000).alias("middle"), n_rows().alias("n"))
-    below = t.events.join(per.select("event_type", "middle"), "event_type").groupBy("event_type").agg(
+    """Sketches next to the exact values they stand for: both must be within their stated error.
+
+    Users are counted apart from the sketches: beside a distinct count Spark keeps every sketch once per user.
+    """
+    users = t.events.select("event_type", "user_id").distinct().groupBy("event_type").agg(F.count("user_id").alias("users"))
+    sketched = t.events.groupBy("event_type").agg(
+        F.approx_count_distinct("user_id", 0.01).alias("about"), F.percentile_approx("value", 0.5, 1000).alias("middle"), F.count("value").alias("n"))
+    per = durable(windows.match(sketched, users, ["event_type"]))
+    below = windows.match(t.events.select("event_type", "value"), per.select("event_type", "middle"), ["event_type"]).groupBy("event_type").agg(
         F.count_if(C("value") < C("middle")).alias("under"), F.count_if(C("value") <= C("middle")).alias("upto"))
     close = (C("under") <= 0.5 * C("n") + 0.002 * C("n") + 1) & (C("upto") >= 0.5 * C("n") - 0.002 * C("n") - 1)
-    return per.join(below, "event_type").select(
+    return windows.match(per, below, ["event_type"]).select(
         "event_type", "users", (F.abs(C("about") - C("users")) <= 0.05 * C("users") + 1).alias("distinct_close"), close.alias("median_close"))
 
 

@@ -4,6 +4,7 @@ import datetime as dt
 import math
 import random
 
+import duckdb
 import pytest
 from pyspark.sql import Window
 from pyspark.sql import functions as F
@@ -11,6 +12,9 @@ from pyspark.sql import functions as F
 from lakewright.functions import probability
 from lakewright.operators import joins, stats
 from lakewright.operators import windows as lw
+from lakewright.plans import extras, load_plans
+from lakewright.sources.tables import durable
+from tests.conftest import plan_text
 
 
 def rows(df):
@@ -101,3 +105,16 @@ def test_tests_give_their_p_values(spark, tables):
     assert stats.anova(same, "g", "v").first().p_value == pytest.approx(1)
     apart = spark.createDataFrame([("x", "p")] * 50 + [("y", "q")] * 50, "a string, b string")
     assert stats.chi_square(apart, "a", "b").first().p_value == pytest.approx(math.erfc(math.sqrt(50)), rel=1e-9)
+
+
+def test_sketches_beside_a_distinct_count_are_kept_per_group(spark, tmp_path, monkeypatch):
+    rows = [(None if k % 7 == 0 else f"t{k % 3}", None if k % 11 == 0 else k % 40, None if k % 5 == 0 else float(k % 90)) for k in range(900)]
+    spark.createDataFrame(rows, "event_type string, user_id long, value double").write.parquet(str(tmp_path / "events.parquet"))
+    plan, plans = load_plans()["agg_approx_distinct"], []
+    monkeypatch.setattr(extras, "durable", lambda df: plans.append(plan_text(df)) or durable(df), raising=False)
+    got = plan(spark, str(tmp_path))
+    nodes = "\n\n".join([*plans, plan_text(got)]).split("\n\n")
+    assert not [n for n in nodes if "Functions" in n and "percentile_approx" in n and "user_id" in n.split("Keys")[-1].split("\n")[0]]
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW events AS SELECT * FROM '{tmp_path}/events.parquet/*.parquet'")
+    assert sorted(map(tuple, got.select("event_type", "users", "distinct_close", "median_close").collect()), key=repr) == sorted(con.execute(plan.sql).fetchall(), key=repr)
