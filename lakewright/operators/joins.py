@@ -119,7 +119,16 @@ def asof(left: DataFrame, right: DataFrame, keys: list[str], at: str, tie: str)
     return found.where("_side = 1").select("_row.*", "match")
 
 
+#: Rows that a bucket holds on average at most: the task that writes or joins it sorts them.
+BUCKET_ROWS = 500_000
+
+
+def bucket_count(least: int, *tables: DataFrame, rows: int = BUCKET_ROWS) -> int:
+    """Number of buckets for tables stored alike: a multiple of ``least`` that grows with the largest of them."""
+    return least * max(1, *(-(-df.count() // (least * rows)) for df in tables))
+
+
 def write_bucketed(df: DataFrame, table: str, path: str, key: str, buckets: int) -> DataFrame:
-    """Store a table bucketed and sorted by ``key``, so that joins on it need no shuffle."""
-    (df.write.mode("overwrite").option("path", path).bucketBy(buckets, key).sortBy(key).saveAsTable(table))
+    """Store a table bucketed and sorted by ``key``, so that joins on it need no shuffle: one file and one task per bucket."""
+    (df.repartition(buckets, key).write.mode("overwrite").option("path", path).bucketBy(buckets, key).sortBy(key).saveAsTable(table))
     return df.sparkSession.table(table)

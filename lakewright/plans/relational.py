@@ -166,8 +166,9 @@ FROM orders JOIN lineitem ON o_orderkey = l_orderkey GROUP BY 1, 2"""
 
 
 def colocated_orders(t, buckets=8):
-    """Orders and lines stored in the same buckets of the order key: the join and sum need no shuffle."""
+    """Orders and lines stored in the same buckets of the order key, more for large tables: the join and sum need no shuffle."""
     tag = uuid.uuid4().hex[:12]
+    buckets = joins.bucket_count(buckets, t.orders, t.lineitem)
     orders = joins.write_bucketed(t.orders.select("o_orderkey", "o_totalprice"), f"orders_{tag}",
                                   scratch_path(t.spark, "orders"), "o_orderkey", buckets)
     lines = joins.write_bucketed(t.lineitem.select("l_orderkey", "l_extendedprice"), f"lines_{tag}",

@@ -7,7 +7,7 @@ import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
-from lakewright.operators import layout, migrate, nearest, stats, timeseries, udfs
+from lakewright.operators import joins, layout, migrate, nearest, stats, timeseries, udfs
 from lakewright.operators.windows import top_per_key
 from lakewright.plans import load_plans
 from lakewright.plans.relational import colocated_orders
@@ -345,3 +345,11 @@ def test_functions_take_whole_batches():
 
     assert array_span(pd.Series([np.array([1.0, 4.0]), None, np.array([]), np.array([-2, 3, 3])])).tolist()[::3] == [3.0, 5.0]
     assert as_json(pd.Series(['a"b', "c\\"]), pd.Series([1, 2])).tolist() == ['{"kind":"a\\"b","user":1}', '{"kind":"c\\\\","user":2}']
+
+
+def test_buckets_grow_with_the_rows_and_are_one_file_each(spark, tables, tmp_path):
+    assert [joins.bucket_count(4, spark.range(10), spark.range(n), rows=10) for n in (0, 40, 41, 400)] == [4, 4, 8, 40]
+    lines = tables.lineitem.select("l_orderkey", "l_extendedprice").repartition(5)
+    stored = joins.write_bucketed(lines, "lines_by_bucket", str(tmp_path / "lines"), "l_orderkey", 12)
+    assert stored.select(F.input_file_name()).distinct().count() == 12
+    assert rows(stored) == rows(lines)
