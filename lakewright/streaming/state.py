@@ -5,11 +5,12 @@ from __future__ import annotations
 import contextlib
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
-from pyspark.sql.types import LongType, StructField, StructType, TimestampType
+from pyspark.sql.types import ArrayType, BinaryType, DataType, IntegralType, LongType, MapType, StructField, StructType, TimestampType
 
 _PROVIDER = "spark.sql.streaming.stateStore.providerClass"
 _ROCKS = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
@@ -29,38 +30,67 @@ def keyed_state(spark: SparkSession):
             spark.conf.set(_PROVIDER, before)
 
 
+#: Buckets that the keys of a stream of versions are dealt into: one call and one state for all keys of a bucket.
+STATE_BUCKETS = 4096
+
+
 class _Versions(StatefulProcessor):
-    """Holds the last version of a key and goes on from it."""
+    """Holds the last versions of a bucket's keys and goes on from them."""
 
-    def __init__(self, order: list[str]):
-        self.order = order
+    def __init__(self, order: list[str], kind: str):
+        self.order, self.kind = order, kind
 
     def init(self, handle: StatefulProcessorHandle) -> None:
-        self.last = handle.getValueState("last", "version long")
+        self.last = handle.getListState("last", f"same {self.kind}, version long")
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
         events = pd.concat(list(rows)).sort_values(self.order, kind="stable")
-        last = self.last.get()[0] if self.last.exists() else 0
-        self.last.update((last + len(events),))
-        yield events.assign(event_version=range(last + 1, last + 1 + len(events)))
+        last = {same: version for same, version in self.last.get()} if self.last.exists() else {}
+        codes, found = pd.factorize(events["same"])
+        found = found.tolist()
+        before = np.array([last.get(same, 0) for same in found], np.int64)
+        versions = before[codes] + events.groupby(codes).cumcount().to_numpy() + 1
+        last.update(zip(found, (before + np.bincount(codes, minlength=len(found))).tolist()))
+        self.last.put(list(last.items()))
+        yield events.drop(columns=["bucket", "same"], errors="ignore").assign(event_version=versions)
 
     def close(self) -> None:
         pass
 
 
+def _same(key: Column, kind: DataType) -> Column:
+    """A whole number or a string that two keys share if and only if they are equal; null stays null."""
+    if isinstance(kind, IntegralType):
+        return key.cast("long")
+    if isinstance(kind, (ArrayType, MapType, StructType)):
+        return F.when(key.isNotNull(), F.to_json(F.struct(key), {"timestampFormat": "yyyy-MM-dd HH:mm:ss.SSSSSS", "timestampNTZFormat": "yyyy-MM-dd HH:mm:ss.SSSSSS"}))
+    return F.hex(key) if isinstance(kind, BinaryType) else key.cast("string")
+
+
 def versioned(events: DataFrame, key: str, order: list[str]) -> DataFrame:
     """A stream of events with ``event_version``, gapless from 1 for each key, also over restarts of the stream.
 
     Each batch goes on from the versions that the state holds, in ``order``
-    within the batch; stored events are never read. State is one number per
-    key; rows of one key in one batch are ordered together, so the size of a
-    batch (files per trigger) bounds them.
+    within the batch; stored events are never read. Keys are dealt into
+    ``STATE_BUCKETS`` buckets, null into one of its own, and state is one number
+    per key, kept by bucket; rows of one bucket in one batch are ordered
+    together, so the size of a batch (files per trigger) bounds them.
     """
+    fields = events.schema.fields
     # By position, as rows reach the processor as tuples whose field names cannot be any name.
-    at = {c: f"c{i}" for i, c in enumerate(events.columns)}
-    schema = StructType([*[StructField(f"c{i}", f.dataType) for i, f in enumerate(events.schema.fields)], StructField("event_version", LongType())])
-    numbered = events.toDF(*at.values()).groupBy(at[key]).transformWithStateInPandas(_Versions([at[c] for c in order]), schema, "Append", "None")
-    return numbered.toDF(*events.columns, "event_version")
+    at = {f.name: f"c{i}" for i, f in enumerate(fields)}
+    # Whole numbers beside a null would become doubles on the way, so their nulls travel as flags.
+    whole = [at[f.name] for f in fields if isinstance(f.dataType, IntegralType)]
+    same = _same(F.col(at[key]), events.schema[key].dataType)
+    kind = "long" if at[key] in whole else "string"
+    rows = events.toDF(*at.values()).withColumn("same", F.coalesce(same, F.lit(0) if kind == "long" else F.lit("")))
+    rows = rows.withColumn("bucket", F.when(F.col(at[key]).isNull(), -1).otherwise(F.pmod(F.xxhash64("same"), F.lit(STATE_BUCKETS))).cast("int"))
+    rows = rows.withColumns({f"n{c}": F.col(c).isNull() for c in whole}).withColumns({c: F.coalesce(c, F.lit(0).cast(rows.schema[c].dataType)) for c in whole})
+    by = [x for c in order for x in ([f"n{at[c]}", at[c]] if at[c] in whole else [at[c]])]
+    schema = StructType([*[f for f in rows.schema.fields if f.name not in ("same", "bucket")], StructField("event_version", LongType())])
+    numbered = rows.groupBy("bucket").transformWithStateInPandas(_Versions(by, kind), schema, "Append", "None")
+    back = [F.when(~F.col(f"n{c}"), F.col(c)).alias(c) if c in whole else F.col(c) for c in at.values()]
+    return numbered.select(*back, "event_version").toDF(*events.columns, "event_version")
 
 
 class _Held(StatefulProcessor):

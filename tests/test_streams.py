@@ -185,3 +185,17 @@ def test_a_run_is_forgotten_after_a_silence(spark, tmp_path):
         found.append(done.count())
     # The run of second 0 ends in silence at second 40, so the one of second 55 is on its own, and it too falls silent at 95.
     assert found == [0, 0, 0, 0]
+
+
+def test_versions_take_one_state_for_many_keys_and_keep_whole_numbers(spark, tmp_path):
+    from lakewright.streaming import state
+
+    keys, big = [*range(120), None], 2 ** 53 + 1
+    part = [(k, n, big if n else None) for k in keys for n in range(2)]
+    schema = "k long, n long, big long"
+    spark.createDataFrame(part, schema).coalesce(1).write.parquet(str(tmp_path / "in"))
+    with pytest.MonkeyPatch.context() as patch:
+        patch.setattr(state, "STATE_BUCKETS", 2, raising=False)
+        got = runner.append_versions(spark.readStream.schema(schema).parquet(str(tmp_path / "in")), "k", ["n"], str(tmp_path / "store"), str(tmp_path / "cp"),
+                                     spark.createDataFrame([], schema + ", event_version long"))
+    assert rows(got) == sorted(((k, n, b, n + 1) for k, n, b in part), key=repr)
